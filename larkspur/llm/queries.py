@@ -7,13 +7,29 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, sharding, simhash
+from . import ann, embdedup, langid, lmscore, mixing, packing, sharding, simhash, urlfilter, warc
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+#: (verdict, host, path)
+RULES = [
+    ("allow", "com", "/"),
+    ("block", "example.com", "/en/"),
+    ("allow", "www.example.com", "/en/"),
+    ("block", "net", "/es/"),
+    ("block", "net", "/fr/"),
+]
+
+
+def op1_cross_entropy_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    good = spark.read.parquet(f"{sf_dir}/labels.parquet").where("quality = 1").select("doc_id")
+    return lmscore.score(docs, docs.join(good, "doc_id", "left_semi"))
+
+
 def op2_hypergeometric_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     data = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
     docs = _documents(spark, sf_dir).select("doc_id", (F.octet_length(data).cast("long") + 1).alias("size"), F.crc32(data).alias("text_crc32"))
@@ -30,7 +46,93 @@ def op5_pivotal_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_documents(spark, sf_dir)).drop("copies")
 
 
+def op7_hierarchical_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    model = langid.fit(docs.where(~langid.held_out()))
+    return langid.identify(docs, model).select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
+
+
+def op9_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_documents(spark, sf_dir))
+
+
+def op4_collision_counting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embdedup.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op6_multi_index_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return ann.search(vectors, vectors.where("vec_id % 50 = 0"))
+
+
+def op8_digest_array_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
+    return urlfilter.judge_urls(pages, urlfilter.rule_table(spark, RULES)).select("page_id", "host", "path", "rule", "verdict")
+
+
+def op10_warc_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_hypergeometric_shards, op3_simhash_pigeonring, op5_pivotal_mix)
+    f.__name__: f
+    for f in (
+        op1_cross_entropy_difference,
+        op2_hypergeometric_shards,
+        op3_simhash_pigeonring,
+        op4_collision_counting,
+        op5_pivotal_mix,
+        op6_multi_index_hashing,
+        op7_hierarchical_language,
+        op8_digest_array_urls,
+        op9_harmonic_packing,
+        op10_warc_segments,
+    )
+}
+
+ORACLE_SQL: dict[str, str] = {
+    "op4_collision_counting": """
+        WITH RECURSIVE v AS (
+          SELECT vec_id, label, list_transform(embedding, x -> x::DOUBLE) AS e FROM embeddings
+          WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+            AND len(list_filter(embedding, x -> x <> 0)) > 0
+        ), link AS (
+          SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id
+          WHERE len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.93
+        ), reach(a, b) AS (
+          SELECT vec_id, vec_id FROM embeddings UNION SELECT reach.a, link.b FROM reach JOIN link ON reach.b = link.a
+        )
+        SELECT e.vec_id, (SELECT count(*) FROM link WHERE link.a = e.vec_id) AS n_links,
+          (SELECT min(b) FROM reach WHERE reach.a = e.vec_id) AS component_id,
+          e.vec_id = (SELECT min(b) FROM reach WHERE reach.a = e.vec_id) AS kept
+        FROM embeddings e
+    """,
+    "op8_digest_array_urls": """
+        WITH rules(verdict, host, path) AS (VALUES
+          ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'), ('block', 'net', '/es/'), ('block', 'net', '/fr/')
+        ), p AS (
+          SELECT page_id, translate(coalesce(regexp_extract(url, '://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+            coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') AS path
+          FROM pages
+        ), fit AS (
+          SELECT p.page_id, r.host || r.path AS rule, r.verdict,
+            row_number() OVER (PARTITION BY p.page_id ORDER BY length(r.host || r.path) DESC, length(r.host) DESC) AS n
+          FROM p JOIN rules r ON (p.host = r.host OR ends_with(p.host, '.' || r.host)) AND starts_with(p.path, r.path)
+        )
+        SELECT p.page_id, p.host, p.path, fit.rule, coalesce(fit.verdict, 'allow') AS verdict
+        FROM p LEFT JOIN fit ON fit.page_id = p.page_id AND fit.n = 1
+    """,
+    "op10_warc_segments": """
+        WITH p AS (
+          SELECT page_id, encode(coalesce(html, '')) AS payload, sha1(coalesce(html, '')) AS h FROM pages
+        ), d AS (
+          SELECT page_id, octet_length(payload) AS n, max(page_id) OVER (PARTITION BY payload) AS first,
+            list_aggregate(list_transform(range(32), i -> 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[
+              (('0x' || h[(i * 5 // 4 + 1)::INT:(i * 5 // 4 + 2)::INT])::INT >> (3 - i * 5 % 4)::INT) % 32 + 1]), 'string_agg', '') AS digest
+          FROM p
+        )
+        SELECT page_id, n AS payload_bytes, digest AS payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+          CASE WHEN page_id <> first THEN first END AS refers_to
+        FROM d
+    """,
 }
-ORACLE_SQL: dict[str, str] = {}
