@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import unit
+from .shared import fresh, unit
 
 #: Documents that the classifiers are fitted on at most, n-gram buckets, longest n-gram in bytes, folds, seed.
 SAMPLE, WIDTH, LONGEST, FOLDS, SEED = 4000, 4096, 3, 5, 99
@@ -153,5 +153,6 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", lang_col: st
         return pa.StructArray.from_arrays([pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], ["lang", "score"])
 
     kept = [c for c in docs.columns if c not in (lang_col, score_col)]
-    found = docs.select(*kept, predict(F.col(text_col)).alias("_found"))
-    return found.select(*kept, F.col("_found.lang").alias(lang_col), F.col("_found.score").alias(score_col))
+    at = fresh(docs, "_found")
+    found = docs.select(*kept, predict(F.col(text_col)).alias(at))
+    return found.select(*kept, F.col(at)["lang"].alias(lang_col), F.col(at)["score"].alias(score_col))

@@ -46,6 +46,13 @@ def unstage(df: DataFrame) -> None:
             hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that the rows don't have."""
+    while name.lower() in {c.lower() for c in df.columns}:
+        name += "_"
+    return name
+
+
 def unit(*cols: Column | str) -> Column:
     """A number in (0, 1) that the values of the columns decide."""
     return (F.shiftrightunsigned(F.xxhash64(*cols), 12).cast("double") + 0.5) / float(1 << 52)

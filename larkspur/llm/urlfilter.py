@@ -27,7 +27,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import new_path
+from .shared import fresh, new_path
 
 #: Bytes of rules that are shipped to every executor at most.
 LIMIT = 1 << 30
@@ -174,8 +174,9 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url_col: str = "url", default
                 at += len(own)
         return pa.StructArray.from_arrays([pa.array(list(c), pa.string()) for c in ([h for h, _ in parts], [p for _, p in parts], rule, verdict)], ["host", "path", "rule", "verdict"])
 
-    judged = pages.select(*kept, judge(F.col(url_col)).alias("_judged"))
-    return judged.select(*kept, *[F.col(f"_judged.{c}").alias(c) for c in ("host", "path", "rule", "verdict")])
+    at = fresh(pages, "_judged")
+    judged = pages.select(*kept, judge(F.col(url_col)).alias(at))
+    return judged.select(*kept, *[F.col(at)[c].alias(c) for c in ("host", "path", "rule", "verdict")])
 
 
 def _joined(pages: DataFrame, rules: DataFrame, lengths: list[int], url_col: str, kept: list[str], default: str) -> DataFrame:
@@ -192,8 +193,8 @@ def _joined(pages: DataFrame, rules: DataFrame, lengths: list[int], url_col: str
     found = urls.select("_url", "_p.host", "_p.path").join(best, "_url", "left")
     verdict = F.when(F.col("_best").isNull(), F.lit(default)).when(F.col("_best.allow") == 1, "allow").otherwise("block")
     out = found.select("_url", "host", "path", F.col("_best.key").alias("rule"), verdict.alias("verdict"))
-    left = pages.select(*kept, F.col(url_col).alias("_seen"))
-    return left.join(out, F.col("_seen").eqNullSafe(F.col("_url"))).select(*kept, "host", "path", "rule", "verdict")
+    left = pages.select(*kept, pages[url_col].alias(seen := fresh(pages, "_seen")))
+    return left.join(out, left[seen].eqNullSafe(out["_url"])).select(*[left[c] for c in kept], *[out[c] for c in ("host", "path", "rule", "verdict")])
 
 
 def rule_table(spark: SparkSession, rules: list[tuple[str, str, str]]) -> DataFrame:
