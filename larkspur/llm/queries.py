@@ -93,9 +93,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE_SQL: dict[str, str] = {
     "op4_collision_counting": """
         WITH RECURSIVE v AS (
-          SELECT vec_id, label, list_transform(embedding, x -> x::DOUBLE) AS e FROM embeddings
-          WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
-            AND len(list_filter(embedding, x -> x <> 0)) > 0
+          SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings
+          WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+            AND len(list_filter(embedding, lambda x: x <> 0)) > 0
         ), link AS (
           SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id
           WHERE len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.93
@@ -127,7 +127,7 @@ ORACLE_SQL: dict[str, str] = {
           SELECT page_id, encode(coalesce(html, '')) AS payload, sha1(coalesce(html, '')) AS h FROM pages
         ), d AS (
           SELECT page_id, octet_length(payload) AS n, max(page_id) OVER (PARTITION BY payload) AS first,
-            list_aggregate(list_transform(range(32), i -> 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[
+            list_aggregate(list_transform(range(32), lambda i: 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[
               (('0x' || h[(i * 5 // 4 + 1)::INT:(i * 5 // 4 + 2)::INT])::INT >> (3 - i * 5 % 4)::INT) % 32 + 1]), 'string_agg', '') AS digest
           FROM p
         )
