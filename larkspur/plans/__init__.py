@@ -1,0 +1,4 @@
+"""The registered queries of the library."""
+
+from . import catalogue, music, signals, texts  # noqa: F401
+from .registry import ORACLE_SQL, QUERIES  # noqa: F401
