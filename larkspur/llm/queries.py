@@ -27,7 +27,8 @@ RULES = [
 def op1_cross_entropy_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir)
     good = spark.read.parquet(f"{sf_dir}/labels.parquet").where("quality = 1").select("doc_id")
-    return lmscore.score(docs, docs.join(good, "doc_id", "left_semi"))
+    # labels grow with the documents, so they are merged at every size and never broadcast
+    return lmscore.score(docs, docs.join(good.hint("merge"), "doc_id", "left_semi"))
 
 
 def op2_hypergeometric_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
