@@ -62,7 +62,7 @@ def replace_each(x: Column, pattern: str, group: int, what) -> Column:
     between = F.split(x, pattern, -1)
     found = F.regexp_extract_all(x, F.lit(pattern), F.lit(group))
     pairs = F.zip_with(between, F.transform(found, what), lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))
-    return F.concat_ws("", pairs)
+    return F.array_join(pairs, "")
 
 
 def html_to_text(html: Column) -> Column:
@@ -81,7 +81,7 @@ def html_to_text(html: Column) -> Column:
     x = F.regexp_replace(F.regexp_replace(x, r"(?i)<br\s*/?>", "\n"), "<[^>]+>", "")
     for entity, char in ENTITIES:
         x = F.replace(x, F.lit(entity), F.lit(char))
-    return full_trim(F.regexp_replace(x, "\n{3,}", "\n\n"))
+    return F.when(html.isNotNull(), full_trim(F.regexp_replace(x, "\n{3,}", "\n\n")))
 
 
 def split_documents(text: Column, marker: str = r"#[ \t]+\S") -> Column:
