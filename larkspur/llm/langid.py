@@ -92,7 +92,7 @@ class Model:
         for a, b in self.pairs:
             rows = (langs == a) | (langs == b)
             fits.append(_svm(x[rows], np.where(langs[rows] == a, 1.0, -1.0)))
-        self.w = np.array([w for w, _ in fits], np.float32).reshape(len(fits), -1)
+        self.w = np.array([w for w, _ in fits], np.float32).reshape(len(fits), WIDTH)
         self.b = np.array([b for _, b in fits], np.float32)
 
     def predict(self, text: str | None) -> tuple[str, float]:

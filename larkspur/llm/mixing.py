@@ -6,7 +6,10 @@ documents exchange mass (size times probability) at random, without changing
 either expectation or their sum, until one of the two probabilities is 0 or 1;
 the other one goes on to the next partner. A bucket of documents leaves one
 fractional rest, the rests of a bucket of buckets again leave one, and so on up
-a tree, so a source's words miss its target by one document's size at most.
+a tree, so what is rounded in the end is one document of a source. Long
+documents go first, in WAVES by size: the later ones' probabilities make up for
+what the rounding of longer ones has left over or taken too much, so a source
+misses its target by a short document's size.
 """
 
 from __future__ import annotations
@@ -18,6 +21,8 @@ from .shared import WORD, numbered, stage, unit
 
 #: Units that one node of the reduction tree combines, on average; most copies of one document.
 FAN, MOST, SEED = 32, 3, 7_411
+#: Sizes, as multiples of a source's mean, above which documents belong to the first wave, the second, and so on.
+WAVES = (4.0, 1.0, 0.25)
 
 _UNIT = "struct<id:bigint,a:bigint,x:double>"
 #: Folds units (u, id, a: size, x: probability) into the one still fractional (a = 0: none) and those decided.
@@ -74,6 +79,34 @@ def source_targets(sizes: DataFrame) -> DataFrame:
     return each.select("n", "source", "source_size", "docs", target.alias("target"), copies.alias("copies"))
 
 
+def _shifted(units: DataFrame, sums: DataFrame, decided: DataFrame | None, wave: int) -> DataFrame:
+    """The wave's probabilities, moved evenly by what its source's longer documents took beyond their share."""
+    if decided is None:
+        return units
+    rest = sums.groupBy("n").agg(F.sum(F.when(F.col("wave") >= wave, F.col("sum"))).alias("rest"), F.sum(F.when(F.col("wave") < wave, F.col("sum") * F.col("x"))).alias("due"))
+    got = decided.groupBy("n").agg(F.sum(F.col("a") * F.col("copy")).alias("got"))
+    over = F.coalesce((F.col("got") - F.col("due")) / F.col("rest"), F.lit(0.0))
+    moves = rest.join(got, "n", "left").select("n", over.alias("over"))
+    return units.join(moves, "n").withColumn("x", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("x") - F.col("over")))).drop("over")
+
+
+def _round(units: DataFrame, most: int, seed: int) -> DataFrame:
+    """Decides units (n: source, id, a, x, docs: units of the source, ``most`` at most) by the reduction tree: n, id, a, copy."""
+    bucket = F.floor(unit(F.lit(seed), "id") * F.ceil(F.col("docs") / FAN)).alias("bucket")
+    units = units.select("n", bucket, "id", "a", "x")
+    fold = _FOLD.format(draw=_uniform(f"{seed + 1}L", "s.id", "e.id"))
+    decided, width = None, 1
+    while True:
+        listed = units.groupBy("n", "bucket").agg(F.array_sort(F.collect_list(F.struct(unit(F.lit(seed + 2), "id").alias("u"), "id", "a", "x"))).alias("units"))
+        folded = stage(listed.select("n", "bucket", F.expr(fold).alias("f")).select("n", "bucket", "f.*"), "rounded")
+        done = folded.select("n", F.explode("done").alias("d")).select("n", "d.*")
+        decided = done if decided is None else decided.union(done)
+        units = folded.where("a > 0").select("n", F.floor(F.col("bucket") / FAN).alias("bucket"), "id", "a", "x")
+        width *= FAN
+        if width >= most:
+            return decided.union(units.select("n", "id", "a", (F.expr(_uniform(f"{seed + 3}L", "id")) < F.col("x")).cast("int").alias("copy")))
+
+
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = SEED) -> DataFrame:
     """One row per document: doc_id, size, source_size, target, copies, taken.
 
@@ -89,25 +122,24 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     sources = stage(source_targets(sizes), "targets")
     rows = sizes.withColumn("_null", F.monotonically_increasing_id()).alias("d").join(sources.alias("s"), F.col("d.source").eqNullSafe(F.col("s.source")))
     part = F.col("copies") - F.floor("copies")
-    rows = rows.select("doc_id", F.coalesce("doc_id", -1 - F.col("_null")).alias("id"), "size", "n", "docs", part.alias("x"))
+    mean = F.try_divide("source_size", "docs")
+    wave = F.lit(len(WAVES))
+    for k, times in reversed(list(enumerate(WAVES))):
+        wave = F.when(F.col("size") > mean * times, k).otherwise(wave)
+    rows = stage(rows.select("doc_id", F.coalesce("doc_id", -1 - F.col("_null")).alias("id"), "size", "n", part.alias("x"), wave.alias("wave")), "units")
     open_ = (F.col("size") > 0) & (F.col("x") > 0)
-    most = sources.agg(F.max("docs")).first()[0] or 0
-    units = rows.where(open_).select("n", F.floor(unit(F.lit(seed), "id") * F.ceil(F.col("docs") / FAN)).alias("bucket"), "id", F.col("size").alias("a"), "x")
-    decided, levels = [], 1
-    while most > FAN**levels:
-        levels += 1
-    fold = _FOLD.format(draw=_uniform(f"{seed + 1}L", "s.id", "e.id"))
-    for k in range(levels):
-        if k:
-            units = units.withColumn("bucket", F.floor(F.col("bucket") / FAN))
-        listed = units.groupBy("n", "bucket").agg(F.array_sort(F.collect_list(F.struct(unit(F.lit(seed + 2), "id").alias("u"), "id", "a", "x"))).alias("units"))
-        folded = stage(listed.select("n", "bucket", F.expr(fold).alias("f")).select("n", "bucket", "f.*"), "rounded")
-        decided.append(folded.select("n", F.explode("done").alias("d")).select("n", "d.*"))
-        units = folded.where("a > 0").select("n", "bucket", "id", "a", "x")
-    decided.append(units.select("n", "id", "a", (F.expr(_uniform(f"{seed + 3}L", "id")) < F.col("x")).cast("int").alias("copy")))
+    units = rows.where(open_).select("n", "wave", "id", F.col("size").alias("a"), "x")
+    sums = stage(units.groupBy("n", "wave").agg(F.count("*").alias("docs"), F.sum("a").alias("sum"), F.first("x").alias("x")), "waves")
+    decided: DataFrame | None = None
+    for k in range(len(WAVES) + 1):
+        here = sums.where(F.col("wave") == k).select("n", "docs")
+        most = here.agg(F.max("docs")).first()[0]
+        if most:
+            done = _round(_shifted(units.where(F.col("wave") == k).drop("wave"), sums, decided, k).join(here, "n"), most, seed + 10 * k)
+            decided = done if decided is None else decided.union(done)
     out = rows.where(~open_).select("n", "doc_id", "size", F.lit(0).alias("copy"))
-    for d in decided:
-        out = out.union(d.select("n", F.when(F.col("id") >= 0, F.col("id")), "a", "copy"))
+    if decided is not None:
+        out = out.union(decided.select("n", F.when(F.col("id") >= 0, F.col("id")), "a", "copy"))
     out = out.join(sources.select("n", "source_size", "target", F.floor("copies").cast("int").alias("whole")), "n")
     copies = F.coalesce(F.col("whole") + F.col("copy"), F.lit(0))
     return out.select("doc_id", "size", "source_size", "target", copies.alias("copies"), (F.col("size") * copies).alias("taken"))
