@@ -20,11 +20,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import components, stage
-from .vectors import blocks, matrix, norm, unit_rows, usable
+from .vectors import blocks, matrix, unit_rows, usable
 
 THRESHOLD, BLOCK, SEED = 0.93, 1024, 17
 #: Half width of the windows in standard deviations of a difference between unrelated vectors; axes counted before the first pairs are dropped.
@@ -113,11 +114,17 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     used = rows.where("_used")
     classes = used.groupBy("label", "vector").agg(F.min("vec_id").alias("least"), F.count("*").alias("times"))
     classes = stage(classes.withColumn("id", F.monotonically_increasing_id()).withColumn("width", F.size("vector")), "classes")
-    at = F.lit(0.0)
-    for (w,) in classes.select("width").distinct().collect():
-        dot = F.aggregate(F.zip_with(norm("vector"), F.array(*map(F.lit, basis(w)[:, 0].tolist())), lambda p, q: p * q), F.lit(0.0), lambda s, p: s + p)
-        at = F.when(F.col("width") == w, dot).otherwise(at)
-    laid = classes.withColumn("at", at).orderBy("label", "width", "at", "id")
+
+    @F.arrow_udf("double")
+    def first_axis(rows_: pa.Array) -> pa.Array:
+        out = np.zeros(len(rows_))
+        widths = pc.list_value_length(rows_).to_numpy(zero_copy_only=False)
+        for w in set(widths.tolist()):
+            own = rows_.filter(pa.array(widths == w))
+            out[widths == w] = unit_rows(own.flatten().to_numpy(zero_copy_only=False).reshape(-1, w)) @ basis(w)[:, 0]
+        return pa.array(out)
+
+    laid = classes.withColumn("at", first_axis("vector")).orderBy("label", "width", "at", "id")
     packed = stage(blocks(laid, block, "label").withColumn("block", F.monotonically_increasing_id()), "blocks")
     reach = float(np.sqrt(max(2 - 2 * threshold, 0))) + 1e-6
     x, y = packed.alias("x"), packed.alias("y")

@@ -54,14 +54,6 @@ def blocks(sorted_rows: DataFrame, size: int, key: str) -> DataFrame:
     return rows.mapInArrow(pack, "ids binary, times binary, key long, low double, high double, n int, data binary")
 
 
-def norm(vector: str) -> Column:
-    """The vector at length 1; scaled first, so that no square overflows or vanishes."""
-    most = F.array_max(F.transform(vector, F.abs))
-    scaled = F.transform(vector, lambda x: x / most)
-    size = F.sqrt(F.aggregate(scaled, F.lit(0.0), lambda s, x: s + x * x))
-    return F.transform(scaled, lambda x: x / size)
-
-
 def unit_rows(x: np.ndarray) -> np.ndarray:
     """Rows at length 1; scaled first, so that no square overflows or vanishes."""
     x = x / np.abs(x).max(axis=1, keepdims=True)
