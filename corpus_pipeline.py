@@ -12,15 +12,12 @@ from pyspark.sql import functions as F
 from larkspur.llm import langid, mixing, packing, simhash
 from larkspur.llm.shared import stage
 
-#: Documents surer of no language than this are rejected, as are those without a letter.
-LEAST_SCORE = 0.3
-
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the documents in a learned language; the prediction takes nothing but the text."""
+    """Rejects documents in no language at all (no text, no letter); however short, the others are kept."""
     model = langid.fit(docs.where(~langid.held_out()))
     found = langid.identify(docs, model, lang_col="_pred", score_col="_score")
-    return found.where((F.col("_pred") != langid.UNKNOWN) & (F.col("_score") >= LEAST_SCORE)).select(*docs.columns)
+    return found.where(F.col("_pred") != langid.UNKNOWN).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
