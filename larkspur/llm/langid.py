@@ -67,12 +67,12 @@ def held_out(id_col: str = "doc_id") -> Column:
 
 def _svm(x: np.ndarray, y: np.ndarray, steps: int = 150, c: float = 30.0) -> tuple[np.ndarray, float]:
     """Linear support vector machine with squared hinge loss, by accelerated gradient descent; y is -1 or 1."""
-    w, v, b, u = np.zeros(x.shape[1]), np.zeros(x.shape[1]), 0.0, 0.0
-    weight = np.where(y > 0, 0.5 / max((y > 0).sum(), 1), 0.5 / max((y < 0).sum(), 1))
+    w, v, b, u = np.zeros(x.shape[1], x.dtype), np.zeros(x.shape[1], x.dtype), 0.0, 0.0
+    weight = np.where(y > 0, 0.5 / max((y > 0).sum(), 1), 0.5 / max((y < 0).sum(), 1)).astype(x.dtype)
     for t in range(steps):
         slack = np.maximum(0, 1 - y * (x @ v + u)) * weight * y * c
         rate, last, last_b = 1 / (1 + 4 * c), w, b
-        w, b = v - rate * (v - 2 * slack @ x), u + rate * 2 * slack.sum()
+        w, b = v - rate * (v - 2 * slack @ x), u + rate * 2 * float(slack.sum())
         v, u = w + t / (t + 3) * (w - last), b + t / (t + 3) * (b - last_b)
     return w, b
 
@@ -88,10 +88,10 @@ class Model:
         of = np.array([_FAMILY.get(lang, lang) for lang in langs])
         self.names = list(self.families)
         self.pairs = [p for own in self.families.values() for p in combinations(own, 2)]
-        fits = [_svm(x, np.where(of == f, 1.0, -1.0)) for f in self.names] if len(self.names) > 1 else []
+        fits = [_svm(x, np.where(of == f, 1, -1).astype(x.dtype)) for f in self.names] if len(self.names) > 1 else []
         for a, b in self.pairs:
             rows = (langs == a) | (langs == b)
-            fits.append(_svm(x[rows], np.where(langs[rows] == a, 1.0, -1.0)))
+            fits.append(_svm(x[rows], np.where(langs[rows] == a, 1, -1).astype(x.dtype)))
         self.w = np.array([w for w, _ in fits], np.float32).reshape(len(fits), WIDTH)
         self.b = np.array([b for _, b in fits], np.float32)
 
@@ -123,7 +123,7 @@ def fit(labelled: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_
     rows = labelled.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
     counts = {r[0]: r[1] for r in rows.groupBy(lang_col).count().collect()}
     if not counts:
-        return Model(np.zeros((0, WIDTH)), np.array([], str))
+        return Model(np.zeros((0, WIDTH), np.float32), np.array([], str))
     share = sample / len(counts)
     chance = F.create_map(*[F.lit(v) for lang, n in counts.items() for v in (lang, min(1.0, share / n))])
     drawn = rows.where(unit(F.lit(SEED), F.col(id_col)) < chance[F.col(lang_col)])

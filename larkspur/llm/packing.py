@@ -28,6 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
+from tokenizers.pre_tokenizers import ByteLevel
 
 from .shared import stage
 
@@ -40,7 +41,8 @@ FINER = (18, 20, 22, 24, 27, 30, 34, 38, 44, 52, 64, 80, 102, 128, 170, 256, 409
 #: Bytes of text that are split into words at once, and words whose ids a worker remembers.
 SLICE, REMEMBERED = 8 << 20, 300_000
 
-_STEM = re.compile(r"([a-z]+)([!-&(-/:;=-@\[-`{-~]*)")
+#: Letters of Latin-1 that normalisation leaves alone, then marks that begin no contraction and no special token.
+_STEM = re.compile(r"([A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+)([!-&(-/:;=-@\[-`{-~]*)")
 
 
 class Encoder:
@@ -50,17 +52,22 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.words: dict[str, list[int]] = {}
         self.stems: dict[str, list[int]] = {}
+        as_bytes = ByteLevel(add_prefix_space=False, use_regex=False)
+        self.letters = {c: as_bytes.pre_tokenize_str(chr(c))[0][0] for c in range(0xDF, 0x100)}
 
     def word(self, word: str) -> list[int]:
-        """The ids of one run; lower-case letters with marks behind them are remembered apart from the marks."""
-        m = _STEM.fullmatch(word.lower()) if word.isascii() else None
+        """The ids of one run; letters with marks behind them are remembered in lower case and apart from the marks."""
+        m = _STEM.fullmatch(word)
         if not m:
             return self.tokenizer.encode(word, add_special_tokens=False).ids
-        if (ids := self.stems.get(m[1])) is None:
+        stem, marks = m.groups()
+        stem = stem.lower()
+        if (ids := self.stems.get(stem)) is None:
             if len(self.stems) >= REMEMBERED:
                 self.stems.clear()
-            ids = self.stems[m[1]] = [t.id for t in self.tokenizer.model.tokenize(m[1])]
-        return ids + self.word_marks(m[2]) if m[2] else ids
+            shown = stem if stem.isascii() else stem.translate(self.letters)
+            ids = self.stems[stem] = [t.id for t in self.tokenizer.model.tokenize(shown)]
+        return ids + self.word_marks(marks) if marks else ids
 
     def word_marks(self, marks: str) -> list[int]:
         if (ids := self.stems.get(marks)) is None:
