@@ -9,9 +9,11 @@ evenly over the languages.
 
 from __future__ import annotations
 
+import pickle
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -118,23 +120,32 @@ class Model:
         return lang, sure * (won[lang][1] / (len(own) - 1) if len(own) > 1 else 1.0)
 
 
+def _train(sample: pd.DataFrame) -> pd.DataFrame:
+    """The model of a sample (u, lang, features), in the order of u."""
+    sample = sample.sort_values(["u", "lang"], ignore_index=True)
+    x = np.empty((len(sample), WIDTH), np.float32)
+    for i, v in enumerate(sample["features"]):
+        x[i] = np.frombuffer(v, np.float16)
+    return pd.DataFrame({"model": [pickle.dumps(Model(x, sample["lang"].to_numpy(str)))]})
+
+
 def fit(labelled: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
-    """Fits on a sample of the rows with text and language. Only the sample's features pass the driver."""
+    """Fits on a sample of the rows with text and language, in one task that the sample's size bounds; the driver gets the weights."""
     rows = labelled.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
     counts = {r[0]: r[1] for r in rows.groupBy(lang_col).count().collect()}
     if not counts:
         return Model(np.zeros((0, WIDTH), np.float32), np.array([], str))
     share = sample / len(counts)
     chance = F.create_map(*[F.lit(v) for lang, n in counts.items() for v in (lang, min(1.0, share / n))])
-    drawn = rows.where(unit(F.lit(SEED), F.col(id_col)) < chance[F.col(lang_col)])
+    u = unit(F.lit(SEED), F.col(id_col))
 
     @F.arrow_udf("binary")
     def vector(texts: pa.Array) -> pa.Array:
         return pa.array([features(t).astype(np.float16).tobytes() for t in texts.to_pylist()], pa.binary())
 
-    got = drawn.select(F.col(lang_col).alias("l"), vector(F.col(text_col)).alias("v")).limit(2 * sample).toArrow()
-    x = np.frombuffer(b"".join(got["v"].to_pylist()), np.float16).reshape(-1, WIDTH).astype(np.float32)
-    return Model(x, np.array(got["l"].to_pylist(), str))
+    drawn = rows.where(u < chance[F.col(lang_col)]).select(u.alias("u"), F.col(lang_col).alias("lang"), vector(F.col(text_col)).alias("features"))
+    found = drawn.limit(2 * sample).groupBy().applyInPandas(_train, "model binary").first()
+    return pickle.loads(found["model"]) if found else Model(np.zeros((0, WIDTH), np.float32), np.array([], str))
 
 
 def identify(docs: DataFrame, model: Model, text_col: str = "text", lang_col: str = "lang_pred", score_col: str = "score") -> DataFrame:
