@@ -77,6 +77,17 @@ def reviews(rows: DataFrame, day: str, after: tuple[int, ...] = REVIEWS) -> Data
     return rows.withColumn("after_days", F.explode(F.array(*map(F.lit, after)))).withColumn("due", F.date_add(F.to_date(day), F.col("after_days")))
 
 
+def carry_label(rows: DataFrame, by: str, order: list[str], starts: Column, label: str) -> DataFrame:
+    """Adds ``section``, the label of the last row that starts a section (null before the first), and ``nth``, its number."""
+    upto = Window.partitionBy(by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    return rows.withColumns({"section": F.last(F.when(starts, F.col(label)), ignorenulls=True).over(upto), "nth": F.count_if(starts).over(upto)})
+
+
+def look_ahead(rows: DataFrame, by: str, order: list[str], counts: Column, value: str) -> DataFrame:
+    """The rows that count, with ``following``: the value of the next one."""
+    return rows.where(counts).withColumn("following", F.lead(value).over(Window.partitionBy(by).orderBy(*order)))
+
+
 def last_attempt(rows: DataFrame, by: str, order: str, verified: str) -> DataFrame:
     """The first verified attempt of each key, else the last one."""
     rank = F.struct(F.coalesce(F.col(verified), F.lit(False)).cast("int").alias("ok"), F.when(F.col(verified), -F.col(order)).otherwise(F.col(order)).alias("at"))

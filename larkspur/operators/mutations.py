@@ -131,6 +131,15 @@ def put_all(cache: DataFrame, fetched: DataFrame, key: str = "id", at: str | Non
     return first_of(both, [F.col(key)], [F.desc("_age"), *([F.desc(at)] if at else [])]).drop("_age")
 
 
+def changes(old: DataFrame, new: DataFrame, key: str = "id") -> DataFrame:
+    """One row: how many keys were changed, removed and added. Both tables have the same columns and unique keys."""
+    columns = [c for c in old.columns if c != key]
+    before, after = (d.select(F.col(key).alias("_key"), F.struct(F.lit(True), *columns).alias(name)) for d, name in ((old, "_old"), (new, "_new")))
+    both = before.join(after, "_key", "full")
+    gone, fresh = F.col("_new").isNull(), F.col("_old").isNull()
+    return both.agg(F.count_if(~gone & ~fresh & ~F.col("_old").eqNullSafe(F.col("_new"))).alias("changed"), F.count_if(gone).alias("removed"), F.count_if(fresh).alias("added"))
+
+
 def duplicates(rows: DataFrame, keys: list[str | Column]) -> DataFrame:
     """Keys that occur more than once: rows that a unique index would refuse."""
     return rows.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1")

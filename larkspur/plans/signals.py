@@ -161,11 +161,17 @@ def vec_cosine(spark, d):
 _BEST = "b AS (SELECT q.vec_id AS query_id, max_by(i.vec_id, [s, -i.vec_id]) AS item_id, max(s) AS similarity FROM embeddings q JOIN embeddings i ON q.vec_id % 50 = 0 AND i.vec_id % 50 <> 0, LATERAL (SELECT list_cosine_similarity(q.embedding::DOUBLE[], i.embedding::DOUBLE[]) AS s) GROUP BY 1)"
 
 
-def _nearest(spark, d):
+def _nearest(spark, d, threshold=nearest.THRESHOLD):
     v = read_table(spark, d, "embeddings")
     queries = v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
     items = v.where("vec_id % 50 <> 0").select(F.col("vec_id").alias("item_id"), "embedding")
-    return nearest.nearest_above(queries, items)
+    return nearest.nearest_above(queries, items, threshold)
+
+
+@query(f"WITH {_BEST} SELECT query_id, item_id, round(similarity, 6) AS similarity FROM b")
+def join_knn(spark, d):
+    """The nearest item of each query, however far."""
+    return _nearest(spark, d, -1.0).withColumn("similarity", F.round("similarity", 6))
 
 
 @query(f"WITH {_BEST} SELECT query_id, CASE WHEN similarity >= 0.45 THEN item_id END AS item_id, CASE WHEN similarity >= 0.45 THEN round(similarity, 6) END AS similarity FROM b")

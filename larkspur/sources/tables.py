@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 SCHEMAS = {
@@ -41,6 +44,12 @@ def append_log(rows: DataFrame, folder: str) -> None:
     rows.write.mode("append").parquet(f"{folder}/import_log.parquet")
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path below the folder all executors share (``spark.checkpoint.dir``); where that is unset (tests), a local one."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or f"file://{tempfile.mkdtemp(prefix='larkspur-')}"
+    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def first_row(rows: DataFrame):
     """The first row as a dict, or None."""
     found = rows.limit(1).collect()

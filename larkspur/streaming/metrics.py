@@ -51,6 +51,25 @@ def stage_stream(events: DataFrame, by: str, time: str, stage: str = "stage") ->
     return events.groupBy(by).applyInPandasWithState(check, f"{by} {kind}, before string, now string", "before string", "update", GroupStateTimeout.NoTimeout)
 
 
+def files_sink(path: str, mode: str = "append"):
+    """Writes each batch as Parquet: ``append`` for rows, ``overwrite`` for running totals of which the last count."""
+
+    def write(rows: DataFrame, batch: int) -> None:
+        rows.write.mode(mode).parquet(path)
+
+    return write
+
+
+def console_sink(rows: DataFrame, batch: int) -> None:
+    """Shows each batch on the driver's console."""
+    rows.show(truncate=False)
+
+
+def drain(stream: DataFrame, sink, mode: str, checkpoint: str) -> None:
+    """Hands all that a stream has now to ``sink(rows, batch number)``, then ends."""
+    stream.writeStream.outputMode(mode).trigger(availableNow=True).option("checkpointLocation", checkpoint).foreachBatch(sink).start().awaitTermination()
+
+
 def export(stream: DataFrame, sink, mode: str = "update", interval: str = INTERVAL, checkpoint: str | None = None):
     """Starts a query that hands each batch to ``sink(rows, batch number)``."""
     writer = stream.writeStream.outputMode(mode).trigger(processingTime=interval).foreachBatch(sink)
