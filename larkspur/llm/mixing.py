@@ -97,7 +97,7 @@ def _round(units: DataFrame, most: int, seed: int) -> DataFrame:
     fold = _FOLD.format(draw=_uniform(f"{seed + 1}L", "s.id", "e.id"))
     decided, width = None, 1
     while True:
-        listed = units.groupBy("n", "bucket").agg(F.array_sort(F.collect_list(F.struct(unit(F.lit(seed + 2), "id").alias("u"), "id", "a", "x"))).alias("units"))
+        listed = units.repartition("n", "bucket").groupBy("n", "bucket").agg(F.array_sort(F.collect_list(F.struct(unit(F.lit(seed + 2), "id").alias("u"), "id", "a", "x"))).alias("units"))
         folded = stage(listed.select("n", "bucket", F.expr(fold).alias("f")).select("n", "bucket", "f.*"), "rounded")
         done = folded.select("n", F.explode("done").alias("d")).select("n", "d.*")
         decided = done if decided is None else decided.union(done)
