@@ -5,12 +5,18 @@ one vocabulary, order and smoothing. A document's score is the mean over its
 tokens of the target model's loss minus the background model's: the lower, the
 more like the target.
 
-The vocabulary has the WORDS most frequent words of all documents; the others
-fall into CLASSES classes by their last letters. Counts are gathered over all
-documents, one row for each bigram and task. The models, smoothed by the number
-of different followers of each word (Witten and Bell), are two tables of
-(WORDS + CLASSES) ** 2 numbers whatever the corpus, which bounds what is
-broadcast.
+Every word of the documents has counts of its own, so what is gathered grows
+with the corpus. Words go by their 64-bit hashes, which are checked to differ.
+The models, smoothed by the number of different followers of each word (Witten
+and Bell), are one table with a row for each bigram; documents are scored by an
+equi-join of their bigrams with it and a sum for each document. The losses of
+the HOT_BIGRAMS most frequent bigrams are broadcast and added up where the
+document is read, and the HOT_WORDS most frequent words' counts are broadcast to
+their bigrams: no key of a shuffle is hot, and the results are the same whatever
+is broadcast.
+
+A caller may ask for a small vocabulary instead: the ``words`` most frequent
+words, the others in CLASSES classes by their last letters.
 """
 
 from __future__ import annotations
@@ -19,15 +25,17 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import stage
+from .shared import signed, stage
 
-WORDS, CLASSES = 1536, 256
+CLASSES = 256
+#: Words and bigrams whose counts and losses are broadcast.
+HOT_WORDS, HOT_BIGRAMS = 1 << 15, 1 << 20
 #: Bytes of text taken at once; different words that a task counts before it hands them on.
 SLICE, HELD = 8 << 20, 200_000
 
@@ -66,109 +74,161 @@ def count_words(docs: DataFrame) -> DataFrame:
 
 
 class Vocabulary:
-    """Numbers of words; 0 stands before the first word of a document."""
+    """Numbers of words: of all by their hash, or of some words and classes; 0 stands before the first word of a document."""
 
-    def __init__(self, words: list[str]):
-        self.words = {w: i + 1 for i, w in enumerate(words)}
-        self.size = len(words) + CLASSES + 1
+    def __init__(self, words: list[str] | None = None, salt: str = ""):
+        self.words = None if words is None else {w: i + 1 for i, w in enumerate(words)}
+        self.size = None if words is None else len(words) + CLASSES + 1
+        self.salt = salt
 
     def number(self, word: str) -> int:
+        if self.words is None:
+            return signed(xxhash.xxh64_intdigest(word + self.salt, 42))
         return self.words.get(word) or self.size - 1 - zlib.crc32(word[-2:].encode()) % CLASSES
 
-    def bigrams(self, split: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
-        """Numbers of all bigrams in a row, and each text's count of them."""
+    def bigrams(self, split: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The words before and after of all bigrams in a row, and each text's count of them."""
         flat, offsets = split.flatten(), split.offsets.to_numpy() - split.offsets[0].as_py()
         coded = pc.dictionary_encode(flat)
-        number = np.array([self.number(w) if w else -1 for w in coded.dictionary.to_pylist()], np.int64)
-        ids = number[coded.indices.to_numpy()] if len(flat) else np.zeros(0, np.int64)
-        kept = np.concatenate(([0], np.cumsum(ids >= 0)))  # the empty strings at a text's ends are no words
+        known = coded.dictionary.to_pylist()
+        number = np.array([self.number(w) for w in known], np.int64)
+        at = coded.indices.to_numpy() if len(flat) else np.zeros(0, np.int64)
+        full = np.array([w != "" for w in known], bool)[at]  # the empty strings at a text's ends are no words
+        kept = np.concatenate(([0], np.cumsum(full)))
         ends = kept[offsets]
-        ids = ids[ids >= 0]
-        before = np.concatenate(([0], ids[:-1]))
-        before[ends[:-1][ends[:-1] < len(ids)]] = 0
-        return before * self.size + ids, np.diff(ends)
+        after = number[at[full]]
+        before = np.concatenate(([0], after[:-1]))[: len(after)]
+        before[ends[:-1][ends[:-1] < len(after)]] = 0
+        return before, after, np.diff(ends)
+
+
+def all_words(texts: DataFrame) -> Vocabulary:
+    """Numbers for all words; where two words' hashes are equal, or one is 0, other hashes are taken."""
+    words, salt = count_words(texts).select("word"), ""
+    while True:
+        hashes = words.select(F.xxhash64(F.concat("word", F.lit(salt))).alias("h")).groupBy("h").count()
+        if hashes.where("count > 1 OR h = 0").isEmpty():
+            return Vocabulary(salt=salt)
+        salt += "_"
+
+
+def runs(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """An order that sorts rows by the keys, where each run of equal rows starts in it, and the runs' lengths."""
+    order = np.lexsort(keys[::-1])
+    new = np.ones(len(order), bool)
+    new[1:] = np.any([k[order][1:] != k[order][:-1] for k in keys], axis=0)
+    starts = np.flatnonzero(new)
+    return order, starts, np.diff(np.append(starts, len(order)))
+
+
+def _find(first: np.ndarray, second: np.ndarray, before: np.ndarray, after: np.ndarray) -> np.ndarray:
+    """Places of the sorted bigrams (before, after) in the sorted table (first, second), -1 where there is none."""
+    lo, hi = np.searchsorted(first, before, "left"), np.searchsorted(first, before, "right")
+    end = hi.copy()
+    while (open_ := lo < hi).any():
+        mid = (lo + hi) // 2
+        less = open_ & (second[np.minimum(mid, len(second) - 1)] < after)
+        lo, hi = np.where(less, mid + 1, lo), np.where(open_ & ~less, mid, hi)
+    found = lo < end
+    found[found] = second[lo[found]] == after[found]
+    return np.where(found, lo, -1)
 
 
 def count_bigrams(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """(code, n) of the column text; a task counts in one array and returns what is not zero."""
+    """(before, after, n) of the column text."""
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = shared.value
-        counts = np.zeros(v.size**2, np.int64)
         for batch in batches:
             for split in slices(batch.column(0)):
-                codes, _ = v.bigrams(split)
-                np.add.at(counts, *np.unique(codes, return_counts=True)) if len(codes) else None
-        some = np.flatnonzero(counts)
-        for i in range(0, len(some), 1 << 18):
-            at = some[i : i + (1 << 18)]
-            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[at])], ["code", "n"])
-
-    return docs.mapInArrow(count, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
-
-
-def smoothed(after: np.ndarray, counts: np.ndarray, base: np.ndarray) -> np.ndarray:
-    """Probabilities of all words behind one word that the words ``after`` follow ``counts`` times."""
-    kinds, total = len(after), counts.sum()
-    p = base * kinds
-    p[after] += counts
-    return p / (total + kinds) if kinds else base
-
-
-def losses(target: DataFrame, background: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Both models as tables of losses in bits, a row for each word before."""
-    both = background.withColumnRenamed("n", "b").join(target.withColumnRenamed("n", "t"), "code", "left").na.fill(0, ["t"])
-    both = stage(both.select(F.floor(F.col("code") / size).cast("int").alias("before"), (F.col("code") % size).cast("int").alias("after"), "t", "b"), "bigrams")
-    singles = both.groupBy("after").agg(F.sum("t").alias("t"), F.sum("b").alias("b")).toPandas()  # at most ``size`` rows
-    base = {}
-    for name in ("t", "b"):
-        seen = singles[singles[name] > 0]
-        base[name] = smoothed(seen["after"].to_numpy(), seen[name].to_numpy(float), np.full(size, 1 / size))
-
-    def rows(group: pd.DataFrame) -> pd.DataFrame:
-        out = {"before": [int(group["before"].iloc[0])]}
-        for name in ("t", "b"):
-            seen = group[group[name] > 0]
-            out[name] = [(-np.log2(smoothed(seen["after"].to_numpy(), seen[name].to_numpy(float), base[name]))).astype(np.float32).tobytes()]
-        return pd.DataFrame(out)
-
-    tables = [np.tile((-np.log2(base[n])).astype(np.float32), (size, 1)) for n in ("t", "b")]
-    for r in both.groupBy("before").applyInPandas(rows, "before int, t binary, b binary").toLocalIterator():
-        for table, name in zip(tables, ("t", "b")):
-            table[r["before"]] = np.frombuffer(r[name], np.float32)
-    return tables[0], tables[1]
-
-
-def score(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
+                before, after, _ = shared.value.bigrams(split)
+                order, starts, n = runs(before, after)
+                at = order[starts]
+                yield pa.RecordBatch.from_arrays([pa.array(before[at]), pa.array(after[at]), pa.array(n)], ["before", "after", "n"])
+
+    return docs.mapInArrow(count, "before long, after long, n long").groupBy("before", "after").agg(F.sum("n").alias("n"))
+
+
+def _attach(rows: DataFrame, stats: DataFrame, on: str, weight: str) -> DataFrame:
+    """Joins each word's counts to its bigrams; those of the words that most tokens have are broadcast."""
+    hot = stage(stats.orderBy(F.desc(weight)).limit(HOT_WORDS), "hot")
+    rest = rows.join(F.broadcast(hot.select(on)), on, "left_anti").join(stats, on)
+    return rows.join(F.broadcast(hot), on).unionByName(rest)
+
+
+def losses(target: DataFrame, background: DataFrame, size: int | None) -> DataFrame:
+    """Both models' losses in bits: before, after, b (occurrences in the background), target_loss, background_loss."""
+    on = ["before", "after"]
+    both = stage(background.withColumnRenamed("n", "b").join(target.withColumnRenamed("n", "t"), on, "left").na.fill(0, ["t", "b"]), "bigrams")
+    count = lambda x: F.count_if(F.col(x) > 0)
+    followed = stage(both.groupBy("before").agg(*[f(x).alias(x + to) for x in "tb" for f, to in ((F.sum, "_all"), (count, "_kinds"))]), "followed")
+    singles = stage(both.groupBy("after").agg(F.sum("t").alias("t_one"), F.sum("b").alias("b_one")), "singles")
+    sums = singles.agg(F.count("*"), *[f(x) for x in ("t_one", "b_one") for f in (F.sum, count)]).first()
+    size = size or sums[0] + 1
+
+    def loss(x: str, total: int, kinds: int) -> Column:
+        base = (F.col(x + "_one") + kinds / size) / F.lit(float(total + kinds)) if kinds else F.lit(1 / size)
+        after = (F.col(x) + F.col(x + "_kinds") * base) / (F.col(x + "_all") + F.col(x + "_kinds"))
+        return -F.log2(F.when(F.col(x + "_kinds") > 0, after).otherwise(base))
+
+    known = _attach(_attach(both, followed, "before", "b_all"), singles, "after", "b_one")
+    found = known.select(*on, "b", loss("t", sums[1] or 0, sums[2]).alias("target_loss"), loss("b", sums[3] or 0, sums[4]).alias("background_loss"))
+    return stage(found, "losses")
+
+
+def score(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int | None = None) -> DataFrame:
     """One row per document: doc_id, n_tokens, target_loss, background_loss, score (their difference), losses in bits a token.
 
     ``target`` are documents like ``docs`` (null texts and repeated rows count as
     they are). A text that is null, empty or blank has no tokens, and null
     losses and score. Without target documents the target model is uniform. An
-    empty table gives an empty result; further columns are not read.
+    empty table gives an empty result; further columns are not read. ``words``
+    bounds the vocabulary; by default it has all words.
     """
-    texts = docs.select(F.col(text_col).alias("text"))
-    top = count_words(texts).orderBy(F.desc("n"), "word").limit(words)
-    vocabulary = Vocabulary([r["word"] for r in top.collect()])
-    tables = losses(count_bigrams(target.select(F.col(text_col).alias("text")), vocabulary), count_bigrams(texts, vocabulary), vocabulary.size)
-    shared = docs.sparkSession.sparkContext.broadcast((vocabulary, *tables))
-
-    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v, t, b = shared.value
+    texts, wanted = docs.select(F.col(text_col).alias("text")), target.select(F.col(text_col).alias("text"))
+    if words is None:
+        vocabulary = all_words(texts)
+    else:
+        vocabulary = Vocabulary([r["word"] for r in count_words(texts).orderBy(F.desc("n"), "word").limit(words).collect()])
+    model = losses(count_bigrams(wanted, vocabulary), count_bigrams(texts, vocabulary), vocabulary.size)
+    hot = model.orderBy(F.desc("b")).limit(HOT_BIGRAMS).drop("b").toPandas().sort_values(["before", "after"])
+    shared = docs.sparkSession.sparkContext.broadcast((vocabulary, *[hot[c].to_numpy() for c in hot.columns]))
+
+    def split_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row with the hot bigrams' sums for each document (row, after = 0), and one for each other bigram of it."""
+        v, first, second, *tables = shared.value
         for batch in batches:
-            n, sums = [], []
-            for split in slices(batch.column(1)):
-                codes, lengths = v.bigrams(split)
-                ends = np.concatenate(([0], np.cumsum(lengths)))
-                n.append(lengths)
-                sums.append([[float(x.sum()) for x in np.split(table.ravel()[codes].astype(float), ends[1:-1])] for table in (t, b)] if len(lengths) else [[], []])
-            n = np.concatenate([np.zeros(0, np.int64), *n])
-            both = [np.concatenate([np.zeros(0), *[s[k] for s in sums]]) for k in (0, 1)]
-            none = n == 0
-            mean = [s / np.maximum(n, 1) for s in both]
-            cols = [batch.column(0), pa.array(n, pa.int64()), *[pa.array(m, mask=none) for m in (*mean, mean[0] - mean[1])]]
-            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_tokens", "target_loss", "background_loss", "score"])
-
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(apply, "doc_id long, n_tokens long, target_loss double, background_loss double, score double")
+            at = 0
+            for split in slices(batch.column(2)):
+                before, after, lengths = v.bigrams(split)
+                own = np.repeat(np.arange(len(lengths)), lengths)
+                order, starts, n = runs(before, after)
+                kinds = order[starts]
+                place = _find(first, second, before[kinds], after[kinds])
+                of = np.empty(len(order), np.int64)
+                of[order] = np.repeat(place, n)
+                is_hot = of >= 0
+                sums = [np.bincount(own[is_hot], t[of[is_hot]], len(lengths)).astype(float) for t in tables]
+                rows = batch.column(0).slice(at, len(lengths)).to_numpy()
+                ids = batch.column(1).slice(at, len(lengths))
+                yield pa.RecordBatch.from_arrays([pa.array(rows), ids, pa.array(rows), pa.array(np.zeros_like(rows)), pa.array(lengths.astype(np.int64)), *map(pa.array, sums)], names)
+                cold = np.flatnonzero(~is_hot)
+                order, starts, n = runs(own[cold], before[cold], after[cold])
+                cold = cold[order[starts]]
+                for i in range(0, len(cold), 1 << 16):
+                    c = cold[i : i + (1 << 16)]
+                    none = pa.nulls(len(c), pa.float64())
+                    yield pa.RecordBatch.from_arrays([pa.array(rows[own[c]]), pa.nulls(len(c), pa.int64()), pa.array(before[c]), pa.array(after[c]), pa.array(n[i : i + (1 << 16)]), none, none], names)
+                at += len(lengths)
+
+    names = ["row", "doc_id", "before", "after", "n", "t", "b"]
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    parts = rows.mapInArrow(split_up, "row long, doc_id long, before long, after long, n long, t double, b double")
+    met = parts.join(model.drop("b"), ["before", "after"], "left")
+    by_row = met.groupBy("row").agg(
+        F.max("doc_id").alias("doc_id"),
+        F.coalesce(F.sum(F.when(F.col("after") == 0, F.col("n"))), F.lit(0)).alias("n_tokens"),
+        *[F.sum(F.coalesce(own, F.col("n") * F.col(loss))).alias(loss) for own, loss in (("t", "target_loss"), ("b", "background_loss"))],
+    )
+    mean = [F.when(F.col("n_tokens") > 0, F.col(loss) / F.col("n_tokens")) for loss in ("target_loss", "background_loss")]
+    return by_row.select("doc_id", "n_tokens", mean[0].alias("target_loss"), mean[1].alias("background_loss"), (mean[0] - mean[1]).alias("score"))

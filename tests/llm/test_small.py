@@ -465,3 +465,36 @@ def test_chunked_framing():
         assert warc.unchunked(warc.chunked(data)) == data
     assert warc.unchunked(b"3;x=y\r\nabc\r\n0\r\nTrailer: 1\r\n\r\n") == b"abc"
     assert warc.unchunked(b"5\r\nabc\r\n0\r\n\r\n") is None and warc.unchunked(b"") is None and warc.unchunked(b"zz\r\n") is None
+
+
+# Findings of the first review
+
+
+def test_rare_words_with_equal_endings_have_losses_of_their_own(spark, monkeypatch):
+    """More words than any fixed table: two texts of rare words that end alike are told apart, whatever is broadcast."""
+    texts = ["aling beling celing"] * 3 + ["doling feling geling"] * 3 + [f"w{i}xx v{i}xx" for i in range(1500)] + ["the of and"] * 900
+    docs = docs_of(spark, texts)
+    target = docs.where("doc_id < 3")
+    runs = []
+    for hot in (1 << 15, 2):
+        monkeypatch.setattr(lmscore, "HOT_WORDS", hot)
+        monkeypatch.setattr(lmscore, "HOT_BIGRAMS", hot)
+        runs.append({r.doc_id: r for r in lmscore.score(docs, target).collect()})
+    own = [t.split() for t in texts]
+    size = len({w for t in own for w in t}) + 1
+
+    def model(rows):
+        pairs, singles = defaultdict(Counter), Counter()
+        for t in rows:
+            for a, b in zip(["", *t], t):
+                pairs[a][b] += 1
+                singles[b] += 1
+        base = lambda w: (singles[w] + len(singles) / size) / (singles.total() + len(singles))
+        return lambda h, w: -math.log2((pairs[h][w] + len(pairs[h]) * base(w)) / (pairs[h].total() + len(pairs[h])) if pairs[h] else base(w))
+
+    both = model(own[:3]), model(own)
+    for got in runs:
+        assert len(got) == len(texts) and got[0].score < got[3].score - 1
+        for i, t in enumerate(own):
+            want = [sum(m(a, b) for a, b in zip(["", *t], t)) / len(t) for m in both]
+            assert (got[i].target_loss, got[i].background_loss, got[i].n_tokens) == pytest.approx((*want, len(t)), abs=1e-6)
