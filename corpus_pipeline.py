@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspur.llm import langid, mixing, packing, simhash
-from larkspur.llm.shared import stage
+from larkspur.llm.shared import fresh, stage
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -20,15 +20,24 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return found.where(F.col("_pred") != langid.UNKNOWN).select(*docs.columns)
 
 
+def _keyed(docs: DataFrame) -> tuple[DataFrame, str]:
+    """The rows with a key of their own, written once so that it stays; ids may be missing or shared."""
+    row = fresh(docs, "_row")
+    return stage(docs.withColumn(row, F.monotonically_increasing_id()), "keyed"), row
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the least id of each group of near-duplicates."""
-    kept = simhash.near_duplicates(docs).where("doc_id <=> component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept"]), "left_semi").dropDuplicates(["doc_id"])
+    """Keeps one row of each group of near-duplicates: the one with the least id, a missing id being the last."""
+    keyed, row = _keyed(docs)
+    found = simhash.near_duplicates(keyed, row_col=row)
+    kept = found.groupBy("root").agg(F.min_by(row, F.struct(F.col("doc_id").isNull(), "doc_id", row)).alias(row))
+    return keyed.join(kept.select(row), row, "left_semi").select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the mix takes it."""
-    return mixing.repeat_documents(docs, mixing.mix(docs))
+    keyed, row = _keyed(docs)
+    return mixing.repeat_documents(keyed, mixing.mix(keyed, id_col=row), id_col=row, unique=True).select(*docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

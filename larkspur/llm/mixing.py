@@ -119,6 +119,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     """
     sizes = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).alias("source"), F.coalesce(F.regexp_count(text_col, F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
     sizes = stage(sizes, "sizes")
+    least = min(sizes.agg(F.min("doc_id")).first()[0] or 0, 0)  # rows without an id are numbered below it
     sources = stage(source_targets(sizes), "targets")
     rows = sizes.withColumn("_null", F.monotonically_increasing_id()).alias("d").join(sources.alias("s"), F.col("d.source").eqNullSafe(F.col("s.source")))
     part = F.col("copies") - F.floor("copies")
@@ -126,7 +127,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     wave = F.lit(len(WAVES))
     for k, times in reversed(list(enumerate(WAVES))):
         wave = F.when(F.col("size") > mean * times, k).otherwise(wave)
-    rows = stage(rows.select("doc_id", F.coalesce("doc_id", -1 - F.col("_null")).alias("id"), "size", "n", part.alias("x"), wave.alias("wave")), "units")
+    rows = stage(rows.select("doc_id", F.coalesce("doc_id", F.lit(least - 1) - F.col("_null")).alias("id"), "size", "n", part.alias("x"), wave.alias("wave")), "units")
     open_ = (F.col("size") > 0) & (F.col("x") > 0)
     units = rows.where(open_).select("n", "wave", "id", F.col("size").alias("a"), "x")
     sums = stage(units.groupBy("n", "wave").agg(F.count("*").alias("docs"), F.sum("a").alias("sum"), F.first("x").alias("x")), "waves")
@@ -139,14 +140,19 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
             decided = done if decided is None else decided.union(done)
     out = rows.where(~open_).select("n", "doc_id", "size", F.lit(0).alias("copy"))
     if decided is not None:
-        out = out.union(decided.select("n", F.when(F.col("id") >= 0, F.col("id")), "a", "copy"))
+        out = out.union(decided.select("n", F.when(F.col("id") >= least, F.col("id")), "a", "copy"))
     out = out.join(sources.select("n", "source_size", "target", F.floor("copies").cast("int").alias("whole")), "n")
     copies = F.coalesce(F.col("whole") + F.col("copy"), F.lit(0))
     return out.select("doc_id", "size", "source_size", "target", copies.alias("copies"), (F.col("size") * copies).alias("taken"))
 
 
-def repeat_documents(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The documents as often as the mix takes them. Rows sharing an id are copies of one document; null ids are left out."""
+def repeat_documents(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id", unique: bool = False) -> DataFrame:
+    """The documents as often as the mix takes them.
+
+    Rows sharing an id are copies of one document, null ids are left out; where
+    ids are missing or shared by different texts, mix and join on a key of the
+    rows that is ``unique``.
+    """
     times = mixed.groupBy(F.col("doc_id").alias("_id")).agg(F.sum("copies").cast("int").alias("_copies")).where("_copies > 0")
-    one = docs.dropDuplicates([id_col])
+    one = docs if unique else docs.dropDuplicates([id_col])
     return one.join(times, one[id_col] == times["_id"]).withColumn("_copy", F.explode(F.sequence(F.lit(1), "_copies"))).select(*docs.columns)

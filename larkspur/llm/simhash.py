@@ -160,7 +160,7 @@ def links(fps: DataFrame, block: int = BLOCK) -> DataFrame:
     return dealt.repartition(*by).sortWithinPartitions(*by).mapInArrow(_link, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK, row_col: str | None = None) -> DataFrame:
     """One row per document: ``doc_id``, ``fp`` (signed long) and ``component_id``.
 
     component_id is the least id reachable over links of at most TAU differing
@@ -168,12 +168,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     like any other; shorter texts than a shingle count as one shingle. Repeated
     rows keep a row each. Null ids are never least; a component of null ids only
     has a null component_id. An empty table gives an empty result. Further
-    columns are not read.
+    columns are not read, but for ``row_col``, a key of the rows: it is returned,
+    with ``root``, which tells components apart even where they share an id.
     """
-    ids = stage(with_fingerprints(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("_text")), "_text", "fp").drop("_text"), "fingerprints")
+    keys = [F.col(id_col).cast("long").alias("doc_id"), *([F.col(row_col)] if row_col else [])]
+    ids = stage(with_fingerprints(docs.select(*keys, F.col(text_col).alias("_text")), "_text", "fp").drop("_text"), "fingerprints")
     distinct = stage(ids.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
     roots = components(links(distinct.select("fp"), block))
     member = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = member.groupBy("root").agg(F.min("least").alias("component_id"))
-    of = member.join(least, "root").select("fp", "component_id")
-    return ids.join(of, "fp").select("doc_id", "fp", "component_id")
+    of = member.join(least, "root").select("fp", "component_id", "root")
+    return ids.join(of, "fp").select("doc_id", "fp", "component_id", *([row_col, "root"] if row_col else []))

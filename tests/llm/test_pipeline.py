@@ -87,3 +87,23 @@ def test_run_is_all_stages(spark, sf):
     rows = corpus_pipeline.run(spark, sf)
     assert rows.count() > 0 and "sequence_id" in rows.columns
     assert corpus_pipeline.ORACLE_SQL is None
+
+
+def test_rows_without_an_id_or_sharing_one_are_kept(spark, sf):
+    rng = random.Random(12)
+    text = lambda: " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(60))
+    ids = [None] * 10 + [5, 5] + [-3, -4] + list(range(100, 110))
+    rows = [(i, text(), "en", "src1", 1) for i in ids]
+    copy = (None, rows[10][1], "en", "src1", 1)
+    docs = spark.createDataFrame([copy, *rows, rows[0]], DOC)
+    kept = corpus_pipeline.near_dedup(spark, docs, sf)
+    assert sorted(r.text for r in kept.collect()) == sorted(r[1] for r in rows)
+    assert Counter(r.doc_id for r in kept.collect()) == Counter(ids)
+    mixed = corpus_pipeline.mix_sources(spark, kept, sf)
+    assert Counter(r.text for r in mixed.collect()) == Counter(r[1] for r in rows)
+
+
+def test_mix_returns_negative_ids(spark):
+    docs = spark.createDataFrame([(i, "a b c " * (1 + i % 4), "en", "ab"[i % 2], 1) for i in range(-20, 20)] + [(None, "a b", "en", "a", 1)], DOC)
+    got = Counter(r.doc_id for r in corpus_pipeline.mixing.mix(docs).collect())
+    assert got == Counter([*range(-20, 20), None])
