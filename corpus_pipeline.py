@@ -14,10 +14,13 @@ from larkspur.llm.shared import fresh, stage
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents in no language at all (no text, no letter); however short, the others are kept."""
+    """Rejects documents without a letter and those unlike all learned languages, by a bound for their length.
+
+    If no language could be learned, all documents with letters are kept.
+    """
     model = langid.fit(docs.where(~langid.held_out()))
-    found = langid.identify(docs, model, lang_col="_pred", score_col="_score")
-    return found.where(F.col("_pred") != langid.UNKNOWN).select(*docs.columns)
+    found = langid.identify(docs, model, lang_col="_pred", score_col="_score", belongs_col="_belongs")
+    return found.where("_belongs").select(*docs.columns)
 
 
 def _keyed(docs: DataFrame) -> tuple[DataFrame, str]:

@@ -23,6 +23,10 @@ from .shared import fresh, unit
 #: Documents that the classifiers are fitted on at most, n-gram buckets, longest n-gram in bytes, folds, seed.
 SAMPLE, WIDTH, LONGEST, FOLDS, SEED = 4000, 4096, 3, 5, 99
 UNKNOWN = "und"
+#: Bytes of text for which the least likeness to a learned language is calibrated, labelled texts each needs at least.
+LENGTHS, ENOUGH = (8, 16, 32, 64, 128, 256, 512, 1024, 2048), 20
+#: The calibrated likeness is this share of what all but STRANGE of the labelled texts reach.
+SLACK, STRANGE = 0.85, 0.001
 #: Bytes of a text whose n-grams are counted at once.
 CHUNK = 1 << 20
 #: Families of languages that are often taken for each other. A language not listed is a family of its own.
@@ -82,7 +86,7 @@ def _svm(x: np.ndarray, y: np.ndarray, steps: int = 150, c: float = 30.0) -> tup
 class Model:
     """Families one against the rest, and pairs of languages inside each family."""
 
-    def __init__(self, x: np.ndarray, langs: np.ndarray):
+    def __init__(self, x: np.ndarray, langs: np.ndarray, heads: list[bytes] | None = None):
         self.langs = sorted(set(langs.tolist()))
         self.families: dict[str, list[str]] = {}
         for lang in self.langs:
@@ -96,12 +100,39 @@ class Model:
             fits.append(_svm(x[rows], np.where(langs[rows] == a, 1, -1).astype(x.dtype)))
         self.w = np.array([w for w, _ in fits], np.float32).reshape(len(fits), WIDTH)
         self.b = np.array([b for _, b in fits], np.float32)
-
-    def predict(self, text: str | None) -> tuple[str, float]:
+        sums = np.array([x[langs == lang].sum(0, dtype=float) for lang in self.langs]).reshape(len(self.langs), WIDTH)
+        self.centres = (sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-9)).astype(np.float32)
+        self.least = self._calibrate(x, langs, sums, heads or [])
+
+    def _calibrate(self, x: np.ndarray, langs: np.ndarray, sums: np.ndarray, heads: list[bytes]) -> list[float]:
+        """For each of LENGTHS the least likeness that beginnings of labelled texts have to the other texts of their language."""
+        least, low = [], 0.0
+        for n in LENGTHS:
+            like = []
+            for head, own, lang in zip(heads, x, langs):
+                if len(head) >= n and has_letter(text := head[:n].decode(errors="ignore")):
+                    others = sums[self.langs.index(lang)] - own
+                    like.append(float(others @ features(text)) / max(float(np.linalg.norm(others)), 1e-9))
+            if len(like) >= ENOUGH:
+                low = max(low, SLACK * float(np.quantile(like, STRANGE)))
+            least.append(low)
+        return least
+
+    def belongs(self, text: str | None, x: np.ndarray | None = None) -> bool:
+        """Whether a text with letters is as like a learned language as clean texts of its length; True where none was learned."""
+        if not has_letter(text):
+            return False
+        known = [low for n, low in zip(LENGTHS, self.least) if n <= len(text.encode(errors="replace"))]
+        if not self.langs or not known:
+            return True
+        return float((self.centres @ (features(text) if x is None else x)).max()) >= known[-1]
+
+    def predict(self, text: str | None, x: np.ndarray | None = None) -> tuple[str, float]:
         """The language and how sure it is: the family's share times the mean of its won comparisons."""
         if not self.langs or not has_letter(text):
             return UNKNOWN, 0.0
-        margin = (self.w @ features(text) + self.b).astype(float) if len(self.w) else np.zeros(0)
+        x = features(text) if x is None else x
+        margin = (self.w @ x + self.b).astype(float) if len(self.w) else np.zeros(0)
         sure, n = 1.0, 0
         family = self.names[0]
         if len(self.names) > 1:
@@ -121,12 +152,12 @@ class Model:
 
 
 def _train(sample: pd.DataFrame) -> pd.DataFrame:
-    """The model of a sample (u, lang, features), in the order of u."""
+    """The model of a sample (u, lang, features, head: the texts' first bytes), in the order of u."""
     sample = sample.sort_values(["u", "lang"], ignore_index=True)
     x = np.empty((len(sample), WIDTH), np.float32)
     for i, v in enumerate(sample["features"]):
         x[i] = np.frombuffer(v, np.float16)
-    return pd.DataFrame({"model": [pickle.dumps(Model(x, sample["lang"].to_numpy(str)))]})
+    return pd.DataFrame({"model": [pickle.dumps(Model(x, sample["lang"].to_numpy(str), list(sample["head"])))]})
 
 
 def fit(labelled: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
@@ -143,27 +174,31 @@ def fit(labelled: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_
     def vector(texts: pa.Array) -> pa.Array:
         return pa.array([features(t).astype(np.float16).tobytes() for t in texts.to_pylist()], pa.binary())
 
-    drawn = rows.where(u < chance[F.col(lang_col)]).select(u.alias("u"), F.col(lang_col).alias("lang"), vector(F.col(text_col)).alias("features"))
+    drawn = rows.where(u < chance[F.col(lang_col)]).select(u.alias("u"), F.col(lang_col).alias("lang"), vector(F.col(text_col)).alias("features"), F.substring(F.encode(text_col, "UTF-8"), 1, LENGTHS[-1]).alias("head"))
     found = drawn.limit(2 * sample).groupBy().applyInPandas(_train, "model binary").first()
     return pickle.loads(found["model"]) if found else Model(np.zeros((0, WIDTH), np.float32), np.array([], str))
 
 
-def identify(docs: DataFrame, model: Model, text_col: str = "text", lang_col: str = "lang_pred", score_col: str = "score") -> DataFrame:
+def identify(docs: DataFrame, model: Model, text_col: str = "text", lang_col: str = "lang_pred", score_col: str = "score", belongs_col: str | None = None) -> DataFrame:
     """Adds the predicted language and a score from 0 to 1 to every row, from its text alone.
 
     A null text or one without letters gets ``und`` and score 0, as does every
     text if the model has learned no language. Columns named like the new ones
-    are replaced.
+    are replaced. ``belongs_col`` adds whether the text has letters and is in a
+    learned language at all, as far as its length lets one tell.
     """
     spark: SparkSession = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)
 
-    @F.arrow_udf("lang string, score double")
+    @F.arrow_udf("lang string, score double, belongs boolean")
     def predict(texts: pa.Array) -> pa.Array:
-        got = [shared.value.predict(t) for t in texts.to_pylist()]
-        return pa.StructArray.from_arrays([pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], ["lang", "score"])
+        got = []
+        for t in texts.to_pylist():
+            x = features(t) if has_letter(t) else None
+            got.append((*shared.value.predict(t, x), shared.value.belongs(t, x)))
+        return pa.StructArray.from_arrays([pa.array([g[i] for g in got], kind) for i, kind in enumerate((pa.string(), pa.float64(), pa.bool_()))], ["lang", "score", "belongs"])
 
-    kept = [c for c in docs.columns if c not in (lang_col, score_col)]
+    kept = [c for c in docs.columns if c not in (lang_col, score_col, belongs_col)]
     at = fresh(docs, "_found")
     found = docs.select(*kept, predict(F.col(text_col)).alias(at))
-    return found.select(*kept, F.col(at)["lang"].alias(lang_col), F.col(at)["score"].alias(score_col))
+    return found.select(*kept, F.col(at)["lang"].alias(lang_col), F.col(at)["score"].alias(score_col), *([F.col(at)["belongs"].alias(belongs_col)] if belongs_col else []))

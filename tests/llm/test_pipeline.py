@@ -107,3 +107,16 @@ def test_mix_returns_negative_ids(spark):
     docs = spark.createDataFrame([(i, "a b c " * (1 + i % 4), "en", "ab"[i % 2], 1) for i in range(-20, 20)] + [(None, "a b", "en", "a", 1)], DOC)
     got = Counter(r.doc_id for r in corpus_pipeline.mixing.mix(docs).collect())
     assert got == Counter([*range(-20, 20), None])
+
+
+def test_language_stage_rejects_what_is_in_no_learned_language(spark, sf):
+    real = spark.read.parquet(f"{sf}/documents.parquet")
+    rng = random.Random(3)
+    hexed = rng.randbytes(900).hex()
+    russian = " ".join("".join(rng.choice("абвгдежзийклмнопрст") for _ in range(6)) for _ in range(80))
+    odd = [(9101, "12 34 ## 99 7 " * 20 + "a", None, "s", 1), (9102, hexed, None, "s", 1), (9103, russian, None, "s", 1), (9104, "The end.", None, "s", 1), (9105, "Oui", None, "s", 1)]
+    docs = real.union(spark.createDataFrame(odd, DOC))
+    kept = {r.doc_id for r in corpus_pipeline.language_id(spark, docs, sf).collect()}
+    assert kept == {r.doc_id for r in docs.select("doc_id").collect()} - {9101, 9102, 9103}
+    bare = docs.withColumn("lang", F.lit(None).cast("string"))
+    assert corpus_pipeline.language_id(spark, bare, sf).count() == docs.count()
