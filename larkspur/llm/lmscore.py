@@ -31,11 +31,11 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import signed, stage
+from .shared import signed, stage, unstage
 
 CLASSES = 256
 #: Words and bigrams whose counts and losses are broadcast.
-HOT_WORDS, HOT_BIGRAMS = 1 << 15, 1 << 20
+HOT_WORDS, HOT_BIGRAMS = 1 << 15, 1 << 16
 #: Bytes of text taken at once; different words that a task counts before it hands them on.
 SLICE, HELD = 8 << 20, 200_000
 
@@ -173,7 +173,10 @@ def losses(target: DataFrame, background: DataFrame, size: int | None) -> DataFr
 
     known = _attach(_attach(both, followed, "before", "b_all"), singles, "after", "b_one")
     found = known.select(*on, "b", loss("t", sums[1] or 0, sums[2]).alias("target_loss"), loss("b", sums[3] or 0, sums[4]).alias("background_loss"))
-    return stage(found, "losses")
+    model = stage(found, "losses")
+    for read in (both, followed, singles):
+        unstage(read)
+    return model
 
 
 def score(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int | None = None) -> DataFrame:
