@@ -159,7 +159,7 @@ def _attach(rows: DataFrame, stats: DataFrame, on: str, weight: str) -> DataFram
 def losses(target: DataFrame, background: DataFrame, size: int | None) -> DataFrame:
     """Both models' losses in bits: before, after, b (occurrences in the background), target_loss, background_loss."""
     on = ["before", "after"]
-    both = stage(background.withColumnRenamed("n", "b").join(target.withColumnRenamed("n", "t"), on, "left").na.fill(0, ["t", "b"]), "bigrams")
+    both = stage(background.withColumnRenamed("n", "b").join(target.withColumnRenamed("n", "t"), on, "full").na.fill(0, ["t", "b"]), "bigrams")
     count = lambda x: F.count_if(F.col(x) > 0)
     followed = stage(both.groupBy("before").agg(*[f(x).alias(x + to) for x in "tb" for f, to in ((F.sum, "_all"), (count, "_kinds"))]), "followed")
     singles = stage(both.groupBy("after").agg(F.sum("t").alias("t_one"), F.sum("b").alias("b_one")), "singles")
@@ -190,7 +190,7 @@ def score(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col:
     """
     texts, wanted = docs.select(F.col(text_col).alias("text")), target.select(F.col(text_col).alias("text"))
     if words is None:
-        vocabulary = all_words(texts)
+        vocabulary = all_words(texts.union(wanted))
     else:
         vocabulary = Vocabulary([r["word"] for r in count_words(texts).orderBy(F.desc("n"), "word").limit(words).collect()])
     model = losses(count_bigrams(wanted, vocabulary), count_bigrams(texts, vocabulary), vocabulary.size)

@@ -498,3 +498,12 @@ def test_rare_words_with_equal_endings_have_losses_of_their_own(spark, monkeypat
         for i, t in enumerate(own):
             want = [sum(m(a, b) for a, b in zip(["", *t], t)) / len(t) for m in both]
             assert (got[i].target_loss, got[i].background_loss, got[i].n_tokens) == pytest.approx((*want, len(t)), abs=1e-6)
+
+
+def test_target_outside_the_documents_keeps_its_counts(spark):
+    docs, target = docs_of(spark, ["a b", "c d"]), docs_of(spark, ["a b", "a x", "a x"])
+    got = {r.doc_id: r for r in lmscore.score(docs, target).collect()}
+    # target: a and x and b of 6 tokens, 3 kinds; 6 numbers; "a" begins all texts, b follows it once of three times
+    base = lambda n: (n + 3 / 6) / 9
+    want = -math.log2((3 + base(3)) / 4) - math.log2((1 + 2 * base(1)) / 5)
+    assert got[0].target_loss == pytest.approx(want / 2, abs=1e-9)
