@@ -25,10 +25,9 @@ RULES = [
 
 
 def op1_cross_entropy_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _documents(spark, sf_dir)
     good = spark.read.parquet(f"{sf_dir}/labels.parquet").where("quality = 1").select("doc_id")
-    # labels grow with the documents, so they are merged at every size and never broadcast
-    return lmscore.score(docs, docs.join(good.hint("merge"), "doc_id", "left_semi"))
+    found = lmscore.score(_documents(spark, sf_dir), members=good)
+    return found.select("doc_id", "n_tokens", *[F.round(c, 6).alias(c) for c in ("target_loss", "background_loss", "score")])
 
 
 def op2_hypergeometric_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,6 +91,45 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_cross_entropy_difference": r"""
+        WITH d AS (
+          SELECT row_number() OVER () AS r, doc_id, doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) AS own,
+            regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words
+          FROM documents
+        ), tokens AS (
+          SELECT r, own, unnest(words) AS w, unnest(['' ] || words[:-2]) AS h FROM d WHERE len(words) > 0
+        ), pair AS (
+          SELECT r, own, h, w, count(*) AS n FROM tokens GROUP BY ALL
+        ), bigram AS (
+          SELECT h, w, sum(n) AS b, coalesce(sum(n) FILTER (own), 0) AS t FROM pair GROUP BY ALL
+        ), followed AS (
+          SELECT h, sum(b) AS b_all, count(*) AS b_kinds, sum(t) AS t_all, count(*) FILTER (t > 0) AS t_kinds FROM bigram GROUP BY h
+        ), single AS (
+          SELECT w, sum(b) AS b_one, sum(t) AS t_one FROM bigram GROUP BY w
+        ), total AS (
+          SELECT count(*) + 1 AS size, sum(b_one) AS b_sum, count(*) AS b_sorts, sum(t_one) AS t_sum, count(*) FILTER (t_one > 0) AS t_sorts FROM single
+        ), met AS (
+          SELECT p.*, b, t, b_all, b_kinds, t_all, t_kinds, b_one, t_one,
+            sum(n) OVER (PARTITION BY r, h) AS own_all, count(*) FILTER (t = n) OVER (PARTITION BY r, h) AS own_kinds,
+            sum(n) OVER (PARTITION BY r, w) AS own_one, sum(n) OVER (PARTITION BY r) AS own_sum
+          FROM pair p JOIN bigram USING (h, w) JOIN followed USING (h) JOIN single USING (w)
+        ), sorts AS (
+          SELECT r, count(*) AS own_sorts FROM (SELECT DISTINCT r, w FROM met WHERE own AND own_one = t_one) GROUP BY r
+        ), c AS (
+          SELECT r, n, size, b, b_all, b_kinds, b_one, b_sum, b_sorts,
+            if(own, t - n, t) AS t, if(own, t_all - own_all, t_all) AS t_all, if(own, t_kinds - own_kinds, t_kinds) AS t_kinds,
+            if(own, t_one - own_one, t_one) AS t_one, if(own, t_sum - own_sum, t_sum) AS t_sum, if(own, t_sorts - coalesce(own_sorts, 0), t_sorts) AS t_sorts
+          FROM met LEFT JOIN sorts USING (r), total
+        ), base AS (
+          SELECT *, (b_one + b_sorts / size) / (b_sum + b_sorts) AS b_base, if(t_sorts > 0, (t_one + t_sorts / size) / (t_sum + t_sorts), 1 / size) AS t_base FROM c
+        ), loss AS (
+          SELECT r, sum(n) AS n, sum(n * -log2((b + b_kinds * b_base) / (b_all + b_kinds))) AS b_loss,
+            sum(n * -log2(if(t_kinds > 0, (t + t_kinds * t_base) / (t_all + t_kinds), t_base))) AS t_loss
+          FROM base GROUP BY r
+        )
+        SELECT doc_id, coalesce(n, 0)::BIGINT AS n_tokens, round(t_loss / n, 6) AS target_loss, round(b_loss / n, 6) AS background_loss, round(t_loss / n - b_loss / n, 6) AS score
+        FROM d LEFT JOIN loss USING (r)
+    """,
     "op4_collision_counting": """
         WITH RECURSIVE v AS (
           SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings

@@ -68,35 +68,49 @@ def test_numbered_is_gapless(spark):
 # 1: language-model scores
 
 
-def test_scores_equal_brute_force(spark):
-    texts = [prose(i % 4, 30 + i) for i in range(20)] + [None, "", "  \t ", "solo"]
-    docs = docs_of(spark, texts, ["word", "n", "code"])
-    target = docs.where("doc_id < 6")
-    got = {r.doc_id: r for r in lmscore.score(docs, target, words=10).collect()}
-    tokens = {i: [w.translate({c: c + 32 for c in range(65, 91)}) for w in (t or "").split()] for i, t in enumerate(texts)}
-    count = Counter(w for t in tokens.values() for w in t)
-    top = sorted(count, key=lambda w: (-count[w], w))[:10]
-    size = 10 + lmscore.CLASSES + 1
-    number = lambda w: top.index(w) + 1 if w in top else size - 1 - zlib.crc32(w[-2:].encode()) % lmscore.CLASSES
-
-    def model(ids):
-        pairs, singles = defaultdict(Counter), Counter()
-        for i in ids:
-            for a, b in zip([0, *map(number, tokens[i])], map(number, tokens[i])):
-                pairs[a][b] += 1
-                singles[b] += 1
-        base = lambda w: (singles[w] + len(singles) / size) / (sum(singles.values()) + len(singles))
-        return lambda h, w: -math.log2((pairs[h][w] + len(pairs[h]) * base(w)) / (sum(pairs[h].values()) + len(pairs[h])) if pairs[h] else base(w))
-
-    both = model(range(6)), model(range(len(texts)))
-    for i, own in tokens.items():
-        assert got[i].n_tokens == len(own)
-        if not own:
-            assert got[i].score is None
-            continue
-        t, b = (sum(m(x, y) for x, y in zip([0, *map(number, own)], map(number, own))) / len(own) for m in both)
-        assert (got[i].target_loss, got[i].background_loss, got[i].score) == pytest.approx((t, b, t - b), abs=1e-4)
-    assert lmscore.score(docs.limit(0), target.limit(0)).count() == 0
+def models_of(texts, rows):
+    """Brute-force losses (before, after) of a model of some of the texts, with a vocabulary of all."""
+    size = len({w for t in texts for w in t}) + 1
+    pairs, singles = defaultdict(Counter), Counter()
+    for t in rows:
+        for a, b in zip(["", *t], t):
+            pairs[a][b] += 1
+            singles[b] += 1
+    base = lambda w: (singles[w] + len(singles) / size) / (singles.total() + len(singles)) if singles else 1 / size
+    return lambda h, w: -math.log2((pairs[h][w] + len(pairs[h]) * base(w)) / (pairs[h].total() + len(pairs[h])) if pairs[h] else base(w))
+
+
+def words_of(text):
+    return (text or "").translate({c: c + 32 for c in range(65, 91)}).split()
+
+
+@pytest.mark.parametrize("part", [1 << 21, 300])
+def test_scores_equal_brute_force(spark, monkeypatch, part):
+    monkeypatch.setattr(lmscore, "PART", part)
+    texts = [prose(i % 4, 30 + i) for i in range(20)] + [None, "", "  \t ", "solo", "Solo b"]
+    docs = docs_of(spark, texts, ["word", "n", "code", "chunk", "own", "kind"])
+    docs = docs.union(docs.where("doc_id = 2")).union(docs.where("doc_id = 3").withColumn("doc_id", F.lit(None)))
+    members = spark.createDataFrame([(0,), (1,), (2,), (2,), (20,), (23,), (None,), (777,)], "doc_id long")
+    got = defaultdict(list)
+    for r in lmscore.score(docs, members=members).collect():
+        got[r.doc_id].append(r)
+    rows = [*enumerate(texts), (2, texts[2]), (None, texts[3])]
+    tokens = [(i, words_of(t)) for i, t in rows]
+    every = [t for _, t in tokens]
+    target = [k for k, (i, _) in enumerate(tokens) if i in {0, 1, 2, 20, 23}]
+    assert len(got[2]) == 2 and sum(map(len, got.values())) == len(rows)
+    background = models_of(every, every)
+    for k, (i, own) in enumerate(tokens):
+        model = models_of(every, [every[j] for j in target if j != k])
+        for r in got[i]:
+            assert r.n_tokens == len(own)
+            if not own:
+                assert (r.target_loss, r.background_loss, r.score) == (None, None, None)
+                continue
+            t, b = (sum(m(x, y) for x, y in zip(["", *own], own)) / len(own) for m in (model, background))
+            assert (r.target_loss, r.background_loss, r.score) == pytest.approx((t, b, t - b), abs=1e-9)
+    assert lmscore.score(docs.limit(0), members=members).count() == 0
+    assert lmscore.score(docs.limit(0), docs.limit(0)).count() == 0
 
 
 # 2: sharding
@@ -471,14 +485,14 @@ def test_chunked_framing():
 
 
 def test_rare_words_with_equal_endings_have_losses_of_their_own(spark, monkeypatch):
-    """More words than any fixed table: two texts of rare words that end alike are told apart, whatever is broadcast."""
+    """More words than any fixed table: two texts of rare words that end alike are told apart, whatever is spread."""
     texts = ["aling beling celing"] * 3 + ["doling feling geling"] * 3 + [f"w{i}xx v{i}xx" for i in range(1500)] + ["the of and"] * 900
     docs = docs_of(spark, texts)
     target = docs.where("doc_id < 3")
     runs = []
-    for hot in (1 << 15, 2):
-        monkeypatch.setattr(lmscore, "HOT_WORDS", hot)
-        monkeypatch.setattr(lmscore, "HOT_BIGRAMS", hot)
+    for hot in (1 << 20, 2):
+        monkeypatch.setattr(lmscore, "HOT", hot)
+        monkeypatch.setattr(lmscore, "PART", hot)
         runs.append({r.doc_id: r for r in lmscore.score(docs, target).collect()})
     own = [t.split() for t in texts]
     size = len({w for t in own for w in t}) + 1
