@@ -29,10 +29,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import new_path, stage
+from .shared import new_path, packed, stage, unpacked
 
 #: Bytes of text in a chunk, tokens of a part, most words whose followers are spread.
-CHUNK, PART, HOT = 16 << 20, 1 << 21, 1 << 20
+CHUNK, PART, HOT = 8 << 20, 1 << 20, 1 << 20
 #: Bits of documents' roles: counted in the background and scored; counted in the target; scored without their own counts there.
 SCORED, TARGET = 1, 2
 
@@ -47,20 +47,6 @@ def slices(texts: pa.Array) -> Iterator[tuple[int, pa.Array]]:
         i = j
 
 
-def packed(x: np.ndarray) -> bytes:
-    """Unsigned integers as planes of bytes, without planes that are zero throughout: these compress well."""
-    x = np.ascontiguousarray(x, np.uint64)
-    k = max(1, -(-int(x.max(initial=0)).bit_length() // 8))
-    return bytes([k]) + x.view(np.uint8).reshape(-1, 8)[:, :k].T.tobytes()
-
-
-def unpacked(data: bytes) -> np.ndarray:
-    planes = np.frombuffer(data, np.uint8, offset=1).reshape(data[0], -1)
-    x = np.zeros((planes.shape[1], 8), np.uint8)
-    x[:, : data[0]] = planes.T
-    return x.view(np.uint64).ravel()
-
-
 _TOKENS = "ids array<bigint>, tokens bigint, lengths binary, words binary, codes binary"
 
 
