@@ -1,143 +1,316 @@
 """Nearest neighbours by multi-index hashing.
 
-A rotation is learned on a sample of at most SAMPLE vectors (principal axes,
+Rotations are learned on a sample of at most SAMPLE vectors (principal axes,
 then iterative quantisation towards the signs), and every vector gets the signs
-of its coordinates under several such rotations as its binary code. Codes are
-cut into substrings of 16 bits, each with an index of its own. Two codes within
-a Hamming radius r agree in some substring up to floor(r / substrings) bits, so
-probing every substring's index up to that radius retrieves all codes within r;
-the full distance is checked, and what is left is ranked by the cosine of the
+of its coordinates under them as its binary code. Codes are cut into substrings
+of PART bits, each with an index of its own, and a query retrieves from every
+substring's index all that differs there in at most ``near`` bits: by the
+pigeonhole principle that is every code within a Hamming radius of (near + 1) *
+substrings - 1, and many further ones. An index finds them by the same principle:
+of PIECES pieces of the substring one differs in at most near // PIECES bits, and
+all such values are probed. All that is retrieved is ranked by the cosine of the
 original vectors in double precision.
 
-The radius is set on the sample for a recall of TARGET. A query that has fewer
-than k neighbours within it takes the next larger radius, up to all codes, so no
-query comes out short. Rows are indexed in blocks; each block answers the packed
-queries with its own k best, and these are merged.
+How many substrings there are (MOST at most), and how many bits may differ, is
+set for a recall of TARGET on TRIED rows whose true neighbours among all rows are
+found by brute force. A query that retrieves fewer than k rows is held against
+all rows instead, so none comes out short.
+
+Equal vectors are one entry with their k + 1 least ids. Index entries and probes
+meet on (substring, leading bits of the value); where many entries share those
+bits, they are split. Retrieved pairs are numbers inside pairs of blocks of rows
+and queries, and each pair of blocks reads its vectors once.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import stage, unit
-from .vectors import blocks, matrix, unit_rows, usable
+from .shared import packed, stage, unit, unpacked
+from .vectors import matrix, stored, unit_rows, usable
 
-#: Vectors that rotation and radius are fitted on at most; rows of an index block; queries of a block; recall aimed at.
-SAMPLE, BLOCK, QUERIES, TARGET, SEED = 4000, 16_384, 512, 0.99, 5
-#: Bits of a code at least, and of a substring.
-BITS, PART = 256, 16
+#: Vectors that rotations are fitted on at most, rows the recall is tried on at most, recall aimed at, seed.
+SAMPLE, TRIED, TARGET, SEED = 2000, 200, 0.94, 5
+#: Bits of a substring, bits that may differ at first, pieces a substring is probed by, most substrings, steps of fitting a rotation.
+PART, NEAR, PIECES, MOST, STEPS = 40, 8, 3, 512, 2
+#: Rows of an index block, queries of a block, entries of a group before it is split.
+BLOCK, QUERIES, GROUP = 10_000, 1000, 1 << 20
 
 
 class Codes:
-    """The learned rotations and the radius."""
+    """The learned rotations, the number of substrings and how many bits of them may differ."""
 
-    def __init__(self, x: np.ndarray, k: int):
-        dim = x.shape[1]
+    def __init__(self, sample: np.ndarray):
+        self.dim = sample.shape[1]
         rng = np.random.default_rng(SEED)
-        self.rotations = []
-        axes = np.linalg.svd(x - x.mean(0), full_matrices=False)[2] if len(x) > dim else np.eye(dim)
-        for _ in range(-(-BITS // dim)):
-            turn = axes.T @ np.linalg.qr(rng.standard_normal((dim, dim)))[0]
-            for _ in range(30 if len(x) > dim else 0):
-                u, _, v = np.linalg.svd(x.T @ np.sign(x @ turn))
+        axes = np.linalg.svd(sample - sample.mean(0), full_matrices=False)[2] if len(sample) > self.dim else np.eye(self.dim)
+        turns = []
+        for _ in range(-(-MOST * PART // self.dim)):
+            turn = axes.T @ np.linalg.qr(rng.standard_normal((self.dim, self.dim)))[0]
+            for _ in range(STEPS if len(sample) > self.dim else 0):
+                u, _, v = np.linalg.svd(sample.T @ np.sign(sample @ turn))
                 turn = u @ v
-            self.rotations.append(turn)
-        self.parts = -(-dim * len(self.rotations) // PART)
-        self.radius = self._radius(x, k)
+            turns.append(turn)
+        self.axes = np.concatenate(turns, axis=1)[:, : MOST * PART]
+        self.parts, self.near = MOST, NEAR
 
     def of(self, x: np.ndarray) -> np.ndarray:
-        """Codes as rows of 16-bit substrings; x has rows of length 1."""
-        bits = np.concatenate([x @ t > 0 for t in self.rotations], axis=1)
-        packed = np.packbits(bits, axis=1)
-        wide = np.zeros((len(x), self.parts * 2), np.uint8)
-        wide[:, : packed.shape[1]] = packed
-        return wide.view(np.uint16)
-
-    def _radius(self, x: np.ndarray, k: int) -> int:
-        """The least radius that holds TARGET of the k nearest of every tenth sampled vector."""
-        if len(x) < 2:
-            return self.parts * PART
-        codes, seen = self.of(x), []
-        for i in range(0, len(x), 10):
-            cos = x @ x[i]
-            cos[i] = -2
-            near = np.argsort(-cos)[:k]
-            seen.append(np.bitwise_count(codes[near] ^ codes[i]).sum(axis=1, dtype=int))
-        return int(np.quantile(np.concatenate(seen), TARGET, method="higher"))
-
-
-class Index:
-    """The substring indexes of one block."""
-
-    def __init__(self, codes: np.ndarray):
-        self.codes = codes
-        self.lists = []
-        for part in codes.T:
-            order = np.argsort(part, kind="stable").astype(np.int32)
-            values, first = np.unique(part[order], return_index=True)
-            self.lists.append((values, order, np.append(first, len(order))))
-
-    def within(self, code: np.ndarray, radius: int) -> np.ndarray:
-        """All rows whose code differs in at most ``radius`` bits."""
-        near, hit = radius // len(code), np.zeros(len(self.codes), bool)
-        for (values, order, first), own in zip(self.lists, code):
-            probed = np.flatnonzero(np.bitwise_count(values ^ own) <= near)  # the stored values within the substring's radius
-            n = first[probed + 1] - first[probed]
-            at = np.arange(n.sum()) + np.repeat(first[probed] - np.cumsum(n) + n, n)
-            hit[order[at]] = True
-        rows = np.flatnonzero(hit)
-        return rows[np.bitwise_count(self.codes[rows] ^ code).sum(axis=1, dtype=np.int32) <= radius]
+        """The substrings of the codes of rows of length 1, as numbers."""
+        axes, half = self.axes[:, : self.parts * PART].astype(np.float32), PART // 2
+        powers = (1 << np.arange(half)).astype(np.float32)
+        out = np.empty((len(x), self.parts), np.uint64)
+        for i in range(0, len(x), 256):
+            bits = (x[i : i + 256].astype(np.float32) @ axes > 0).astype(np.float32)
+            halves = (bits.reshape(-1, half) @ powers).astype(np.uint64).reshape(-1, self.parts, 2)
+            out[i : i + 256] = halves[:, :, 0] << np.uint64(half) | halves[:, :, 1]
+        return out
+
+    def calibrate(self, one: np.ndarray, two: np.ndarray) -> None:
+        """Sets substrings and bits so that TARGET of the pairs of rows are retrieved."""
+        differ = np.bitwise_count(self.of(one) ^ self.of(two))
+        for self.near in range(NEAR, PART + 1):
+            recall = np.logical_or.accumulate(differ <= self.near, axis=1).mean(axis=0) if len(one) else np.zeros(MOST)
+            if recall[-1] >= TARGET or self.near == PART:
+                self.parts = int(np.argmax(recall >= TARGET)) + 1
+                return
+
+
+def _pack(rows: DataFrame, size: int) -> DataFrame:
+    """Rows (ids: a list, vector) as blocks of one width: block, width, n, counts (of ids), ids, data."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            widths = pc.list_value_length(batch.column(1))
+            for w in pc.unique(widths).to_pylist():
+                own = batch.filter(pc.equal(widths, w))
+                for i in range(0, len(own), size):
+                    ids, vectors = (own.column(c).slice(i, size) for c in (0, 1))
+                    counts = pc.list_value_length(ids).to_numpy(zero_copy_only=False)
+                    blobs = (packed(counts), ids.flatten().to_numpy(zero_copy_only=False).astype(np.int64).tobytes(), stored(vectors.flatten().to_numpy(zero_copy_only=False)))
+                    yield pa.RecordBatch.from_arrays([pa.array([w], pa.int32()), pa.array([len(ids)], pa.int32()), *[pa.array([b], pa.binary()) for b in blobs]], ["width", "n", "counts", "ids", "data"])
+
+    blocks = rows.select("ids", "vector").mapInArrow(pack, "width int, n int, counts binary, ids binary, data binary")
+    return stage(blocks.withColumn("block", F.monotonically_increasing_id()), "blocks")
+
+
+def _nearest_of(index: DataFrame, tried: dict[int, np.ndarray], k: int) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """For each width: the tried rows, each repeated, and their k nearest rows of other direction among all rows."""
+    shared = index.sparkSession.sparkContext.broadcast(tried)
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for w, n, data in zip(*(batch.column(c).to_pylist() for c in ("width", "n", "data"))):
+                if w in shared.value:
+                    x = unit_rows(matrix(data, n))
+                    cos = shared.value[w] @ x.T
+                    cos[cos > 1 - 1e-12] = -2
+                    near = np.argsort(-cos, axis=1)[:, :k]
+                    q = np.repeat(np.arange(len(cos)), near.shape[1])
+                    score = np.take_along_axis(cos, near, 1).ravel()
+                    kept = score > -2
+                    found = pa.array([x[i].tobytes() for i in near.ravel()[kept]], pa.binary())
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(kept.sum(), w), pa.int32()), pa.array(q[kept]), pa.array(score[kept]), found], ["width", "q", "score", "vector"])
+
+    found = index.select("width", "n", "data").mapInArrow(best, "width int, q long, score double, vector binary")
+    place = F.row_number().over(Window.partitionBy("width", "q").orderBy(F.desc("score")))
+    got = found.withColumn("place", place).where(F.col("place") <= k).toArrow()  # TRIED * k rows at most for each sampled width
+    out = {}
+    for w, x in tried.items():
+        own = got.filter(pc.equal(got["width"], w))
+        two = np.frombuffer(b"".join(own["vector"].to_pylist()), np.float64).reshape(-1, w)
+        out[w] = (x[own["q"].to_numpy()], two)
+    return out
+
+
+def fit(classes: DataFrame, index: DataFrame, k: int, sample: int = SAMPLE) -> dict[int, Codes]:
+    """Codes for each width of the sampled vectors."""
+    drawn = classes.select(unit(F.lit(SEED), F.col("ids")[0]).alias("u"), "vector").orderBy("u").limit(sample).toArrow()["vector"].to_pylist()
+    by_width = {w: unit_rows(np.array([v for v in drawn if len(v) == w])) for w in {len(v) for v in drawn}}
+    models = {w: Codes(x) for w, x in by_width.items()}
+    for w, pairs in _nearest_of(index, {w: x[:TRIED] for w, x in by_width.items()}, k).items():
+        models[w].calibrate(*pairs)
+    return models
+
+
+def _masks(bits: int, most: int, least: int = 0) -> list[int]:
+    """All numbers of ``bits`` bits of which least to most are set."""
+    return [sum(1 << b for b in f) for n in range(least, min(most, bits) + 1) for f in combinations(range(bits), n)]
+
+
+def _within(index: np.ndarray, asked: np.ndarray, bits: int, near: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (place in asked, place in index) of numbers of ``bits`` bits that differ in at most ``near``, each once."""
+    cuts = [bits * i // PIECES for i in range(PIECES + 1)]
+    masks = [np.uint64((1 << b) - (1 << a)) for a, b in zip(cuts, cuts[1:])]
+    budget = near // PIECES
+    for p, (a, b) in enumerate(zip(cuts, cuts[1:])):
+        piece = lambda x: (x & masks[p]) >> np.uint64(a)  # noqa: B023, E731
+        order = np.argsort(piece(index), kind="stable")
+        starts = np.searchsorted(piece(index)[order], np.arange((1 << b - a) + 1, dtype=np.uint64))
+        probes = np.array(_masks(b - a, budget), np.int64)
+        expected = len(probes) * len(index) >> (b - a)
+        step = max(1, (1 << 20) // (len(probes) + expected))
+        for i in range(0, len(asked), step):
+            probed = (piece(asked[i : i + step]).astype(np.int64)[:, None] ^ probes).ravel()
+            n = starts[probed + 1] - starts[probed]
+            at = order[np.arange(n.sum()) + np.repeat(starts[probed] - np.cumsum(n) + n, n)]
+            q = np.repeat(np.repeat(np.arange(i, min(i + step, len(asked))), len(probes)), n)
+            differ = index[at] ^ asked[q]
+            kept = np.bitwise_count(differ) <= near
+            at, q, differ = at[kept], q[kept], differ[kept]
+            for m in masks[:p]:  # found by an earlier piece
+                new = np.bitwise_count(differ & m) > budget
+                at, q, differ = at[new], q[new], differ[new]
+            yield q, at
+
+
+def _entries(blocks: DataFrame, models: dict[int, Codes], lead: int, probes: bool) -> DataFrame:
+    """Rows (width, j, lead, block, n, rest, rows[, left]) of entries with equal leading bits; probes go to all leads within ``near`` bits, with the bits left."""
+    shared = blocks.sparkSession.sparkContext.broadcast(models)
+    low = PART - lead
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        flips = [(n, np.uint64(f)) for n in range(lead + 1) for f in _masks(lead, n, n)] if probes else [(0, np.uint64(0))]
+        for batch in batches:
+            for block, w, n, data in zip(*(batch.column(c).to_pylist() for c in ("block", "width", "n", "data"))):
+                if (model := shared.value.get(w)) is None:
+                    continue
+                codes, out = model.of(unit_rows(matrix(data, n))), []
+                for j in range(model.parts):
+                    head, rest = codes[:, j] >> np.uint64(low), codes[:, j] & np.uint64((1 << low) - 1)
+                    order = np.argsort(head, kind="stable")
+                    for rows in np.split(order, np.flatnonzero(np.diff(head[order])) + 1):
+                        for bits, flip in flips:
+                            if bits <= model.near:
+                                out.append((w, j, int(head[rows[0]] ^ flip), block, len(rows), packed(rest[rows]), packed(np.diff(rows, prepend=0)), model.near - bits))
+                kinds = (pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int32())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names)
+
+    names = ["width", "j", "lead", "block", "n", "rest", "rows", "left"]
+    return blocks.select("block", "width", "n", "data").mapInArrow(cut, "width int, j int, lead int, block long, n long, rest binary, rows binary, left int")
+
+
+def _probe(lead: int):
+    """Retrieves, for one substring and leading bits, the entries within the radius, as numbers inside pairs of blocks."""
+    low = PART - lead
+    schema = pa.schema([("block", pa.int64()), ("asked", pa.int64()), ("found", pa.binary())])
+
+    def probe(index: pa.Table, probes: pa.Table) -> pa.Table:
+        if not index.num_rows or not probes.num_rows:
+            return schema.empty_table()
+        blocks = index["block"].to_numpy()
+        rows_of = lambda data: np.cumsum(unpacked(data).astype(np.int64))
+        parts = [(unpacked(a), rows_of(b)) for a, b in zip(index["rest"].to_pylist(), index["rows"].to_pylist())]
+        value, row = (np.concatenate(x) for x in zip(*parts))
+        place = np.repeat(np.arange(len(parts)), [len(p[0]) for p in parts])
+        out = []
+        for asked, rest, rows, left in zip(*(probes[c].to_pylist() for c in ("block", "rest", "rows", "left"))):
+            rows = rows_of(rows)
+            got = [(place[at], rows[q] * BLOCK + row[at]) for q, at in _within(value, unpacked(rest), low, left)]
+            where, number = (np.concatenate(x) for x in zip(*got))
+            order = np.lexsort((number, where))
+            where, number = where[order], number[order]
+            groups = np.split(np.arange(len(where)), np.flatnonzero(np.diff(where)) + 1)
+            out += [(int(blocks[where[own[0]]]), asked, _numbers(number[own])) for own in groups if len(own)]
+        return pa.Table.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*out), schema)] if out else [[], [], []], schema=schema)
+
+    return probe
+
+
+def _numbers(sorted_numbers: np.ndarray) -> bytes:
+    """Numbers below BLOCK * QUERIES by their differences, or as bits if these are fewer bytes."""
+    listed = packed(np.diff(sorted_numbers, prepend=0))
+    if len(listed) <= BLOCK * QUERIES // 8:
+        return b"l" + listed
+    bits = np.zeros(BLOCK * QUERIES, bool)
+    bits[sorted_numbers] = True
+    return b"b" + np.packbits(bits).tobytes()
+
+
+def _mark(bits: np.ndarray, data: bytes) -> None:
+    if data[:1] == b"l":
+        bits[np.cumsum(unpacked(data[1:]).astype(np.int64))] = True
+    else:
+        bits |= np.unpackbits(np.frombuffer(data, np.uint8, offset=1)).astype(bool)
+
+
+def _rank(pairs: DataFrame, k: int) -> DataFrame:
+    """The k best rows of each block for each query: query_id, vec_id, score, seen (different vectors, in one row of each query and block)."""
+
+    def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for found, n, counts, ids, data, m, asked, queries in zip(*(batch.column(c).to_pylist() for c in ("found", "n", "counts", "ids", "data", "m", "asked_ids", "queries"))):
+                x, q = unit_rows(matrix(data, n)), unit_rows(matrix(queries, m))
+                ids, asked, counts = np.frombuffer(ids, np.int64), np.frombuffer(asked, np.int64), unpacked(counts).astype(np.int64)
+                starts = np.cumsum(counts) - counts
+                bits = np.zeros(BLOCK * QUERIES, bool)
+                for f in found or []:
+                    _mark(bits, f)
+                out = []
+                for i in range(m):
+                    rows = np.flatnonzero(bits[i * BLOCK : i * BLOCK + n]) if found is not None else np.arange(n)
+                    score = (x[rows] * q[i]).sum(axis=1)
+                    if len(rows) > 8 * (k + 1):  # ties with the last one stay
+                        kept = score >= np.partition(score, len(rows) - k - 1)[len(rows) - k - 1]
+                        close, score = rows[kept], score[kept]
+                    else:
+                        close = rows
+                    best = np.lexsort((ids[starts[close]], -score))[: k + 1]
+                    own = sorted((-s, int(v)) for r, s in zip(close[best], score[best]) for v in ids[starts[r] : starts[r] + counts[r]] if v != asked[i])[:k]
+                    out += [(asked[i], v, -s, len(rows) if not t else 0) for t, (s, v) in enumerate(own)]
+                cols = list(zip(*out)) or [[], [], [], []]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.float64(), pa.int64()))], ["query_id", "vec_id", "score", "seen"])
+
+    return pairs.mapInArrow(rank, "query_id long, vec_id long, score double, seen long")
 
 
 def search(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", sample: int = SAMPLE) -> DataFrame:
-    """The k nearest rows of ``vectors`` by cosine for each row of ``queries``: query_id, rank, vec_id, score.
+    """The k nearest rows of ``vectors`` found, by cosine, for each row of ``queries``: query_id, rank, vec_id, score, retrieved.
 
-    A query is no candidate of its own: rows with its id are left out. Ties go
-    to the smaller id. Vectors that are null, empty, zero, or hold a null or
+    ``retrieved`` counts the different vectors that were ranked for the query. A
+    query is no candidate of its own: rows with its id are left out. Ties go to
+    the smaller id. Vectors that are null, empty, zero, or hold a null or
     non-finite component take no part, nor do null ids; vectors of another width
     than the query are no candidates. Of repeated query ids one is asked;
     repeated candidates count each. Empty tables give an empty result; further
     columns are not read.
     """
     both = [d.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("vector")).where(usable("vector") & F.col("id").isNotNull()) for d in (vectors, queries)]
-    rows, asked = both[0], both[1].dropDuplicates(["id"])
-    n = rows.count()
-    spark = vectors.sparkSession
-    drawn = rows.where(unit(F.lit(SEED), "id") < sample / max(n, 1)).limit(2 * sample).toArrow()["vector"].to_pylist()
-    models = {w: Codes(unit_rows(np.array([v for v in drawn if len(v) == w]).reshape(-1, w)), k) for w in {len(v) for v in drawn}}
-    shared = spark.sparkContext.broadcast(models)
-    pack = lambda d, size: blocks(d.withColumn("times", F.lit(1)).withColumn("at", F.lit(0.0)).withColumn("width", F.size("vector")), size, "width")
-    index = stage(pack(rows.repartition(-(-n // BLOCK) or 1), BLOCK), "index")
-    packed = pack(asked.repartition(-(-asked.count() // QUERIES) or 1), QUERIES)
-
-    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for width, ids, data, ids2, data2 in zip(*batch.columns):
-                own, asked_ = np.frombuffer(ids.as_py(), np.int64), np.frombuffer(ids2.as_py(), np.int64)
-                x, q = unit_rows(matrix(data.as_py(), len(own))), unit_rows(matrix(data2.as_py(), len(asked_)))
-                model = shared.value.get(width.as_py()) or Codes(np.zeros((0, x.shape[1])), k)
-                built, codes, out = Index(model.of(x)), model.of(q), []
-                for i, code in enumerate(codes):
-                    radius = model.radius
-                    while True:
-                        near = built.within(code, radius)
-                        near = near[own[near] != asked_[i]]
-                        if len(near) >= k or radius >= len(code) * PART:
-                            break
-                        radius += len(code)
-                    score = (x[near] * q[i]).sum(axis=1)
-                    best = np.lexsort((own[near], -score))[:k]
-                    out += [(asked_[i], own[near[b]], score[b]) for b in best]
-                cols = list(zip(*out)) or [[], [], []]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.float64()))], ["query_id", "vec_id", "score"])
-
-    asked_blocks = packed.select("key", F.col("ids").alias("ids2"), F.col("data").alias("data2"))
-    met = index.select("key", "ids", "data").join(asked_blocks, "key")  # a block of queries meets every block of rows of its width
-    found = met.repartition(F.xxhash64("ids", "ids2")).mapInArrow(answer, "query_id long, vec_id long, score double")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")).cast("int")
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    rows, asked = both[0], both[1].dropDuplicates(["id"]).select(F.array("id").alias("ids"), "vector")
+    place = F.row_number().over(Window.partitionBy("vector").orderBy("id"))  # filtered before it is shuffled, so no group is large
+    classes = rows.withColumn("place", place).where(F.col("place") <= k + 1).groupBy("vector").agg(F.collect_list("id").alias("ids"))
+    classes = stage(classes.select(F.array_sort("ids").alias("ids"), "vector"), "classes")
+    n = classes.count()
+    index = _pack(classes.repartition(-(-n // BLOCK) or 1), BLOCK)
+    asked = stage(asked, "asked")
+    packed_ = _pack(asked.repartition(-(-asked.count() // BLOCK) or 1), QUERIES)
+    models = fit(classes, index, k, sample)
+
+    lead = min(max(0, (-(-n // GROUP)).bit_length() - 1), PART - NEAR)
+    entries, probes = stage(_entries(index, models, lead, False), "entries"), _entries(packed_, models, lead, True)
+    on = ["width", "j", "lead"]
+    splits = entries.groupBy(*on).agg(F.ceil(F.sum("n") / GROUP).cast("int").alias("splits"))
+    split: Column = F.pmod(F.xxhash64("block"), F.col("splits")).cast("int")
+    entries = entries.join(splits, on).withColumn("split", split).drop("splits").groupBy(*on, "split")
+    probes = probes.join(splits, on).withColumn("split", F.explode(F.sequence(F.lit(0), F.col("splits") - 1))).drop("splits").groupBy(*on, "split")
+    retrieved = entries.cogroup(probes).applyInArrow(_probe(lead), "block long, asked long, found binary")
+    pairs = retrieved.groupBy("block", "asked").agg(F.collect_list("found").alias("found"))
+    against = packed_.select(F.col("block").alias("asked"), F.col("n").alias("m"), F.col("ids").alias("asked_ids"), F.col("data").alias("queries"))
+    found = stage(_rank(pairs.join(index, "block").join(against, "asked"), k), "found")
+
+    got = found.groupBy(F.col("query_id").alias("id")).count()
+    short = stage(asked.withColumn("id", F.col("ids")[0]).join(got, "id", "left").where(F.coalesce("count", F.lit(0)) < k).drop("count"), "short")
+    if not short.isEmpty():  # these are held against all rows of their width
+        few = _pack(short.select("ids", "vector"), QUERIES).select("width", F.col("n").alias("m"), F.col("ids").alias("asked_ids"), F.col("data").alias("queries"))
+        again = _rank(index.withColumn("found", F.lit(None).cast("array<binary>")).join(few, "width"), k)
+        found = found.join(short.select(F.col("id").alias("query_id")), "query_id", "left_anti").union(again)
+    of = Window.partitionBy("query_id")
+    rank = F.row_number().over(of.orderBy(F.desc("score"), "vec_id")).cast("int")
+    ranked = found.withColumn("rank", rank).withColumn("retrieved", F.sum("seen").over(of))
+    return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score", "retrieved")

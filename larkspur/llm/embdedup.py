@@ -9,9 +9,10 @@ pair has to reach is set for a recall of 1, whatever the data. Pairs that reach
 it are verified by their cosine in double precision.
 
 Equal vectors are one class with a count. Sorted classes are cut into blocks, and
-only blocks whose ranges on the first axis come within the distance meet; a task
-compares two blocks, and returns how many links each vector has and a spanning
-forest of the links, never the pairs.
+only blocks whose ranges on the first axis come within the distance meet: first
+their numbers and ranges alone, then each pair of blocks fetches its vectors. A
+task compares two blocks, and returns how many links each vector has and a
+spanning forest of the links, never the pairs.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 from .shared import components, stage
 from .vectors import blocks, matrix, unit_rows, usable
 
-THRESHOLD, BLOCK, SEED = 0.93, 1024, 17
+THRESHOLD, BLOCK, SEED = 0.93, 4096, 17
 #: Half width of the windows in standard deviations of a difference between unrelated vectors; axes counted before the first pairs are dropped.
 WINDOW, FIRST = 0.85, 16
 #: Rounding of cosines and projections that windows allow for.
@@ -127,24 +128,32 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     laid = classes.withColumn("at", first_axis("vector")).orderBy("label", "width", "at", "id")
     packed = stage(blocks(laid, block, "label").withColumn("block", F.monotonically_increasing_id()), "blocks")
     reach = float(np.sqrt(max(2 - 2 * threshold, 0))) + 1e-6
-    x, y = packed.alias("x"), packed.alias("y")
-    meet = (F.col("x.key") == F.col("y.key")) & (F.col("x.block") <= F.col("y.block")) & (F.octet_length("x.data") * F.col("y.n") == F.octet_length("y.data") * F.col("x.n"))
+    slim = packed.select("block", "key", "low", "high", "width")
+    x, y = slim.alias("x"), slim.alias("y")
+    meet = (F.col("x.key") == F.col("y.key")) & (F.col("x.block") <= F.col("y.block")) & (F.col("x.width") == F.col("y.width"))
     meet = meet & (F.col("x.low") - reach <= F.col("y.high")) & (F.col("y.low") - reach <= F.col("x.high"))
-    met = x.join(y, meet).select(F.col("x.block").alias("one"), F.col("y.block").alias("two"), "x.ids", "x.times", "x.data", F.col("y.ids").alias("ids2"), F.col("y.times").alias("times2"), F.col("y.data").alias("data2"))
+    pairs = x.join(y, meet).select(F.col("x.block").alias("one"), F.col("y.block").alias("two"))
+    data = lambda end, to: packed.select(F.col("block").alias(end), *[F.col(c).alias(c + to) for c in ("ids", "times", "data")])
+    met = pairs.where("one < two").join(data("one", ""), "one").join(data("two", "2"), "two")
+    met = met.unionByName(pairs.where("one = two").join(data("one", ""), "one"), allowMissingColumns=True)  # a block against itself comes once
+    tasks = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # small data but much work: not to be coalesced
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for one, two, *packed_ in zip(*batch.columns):
+            for one, two, *packed_ in zip(*(batch.column(c) for c in ("one", "two", "ids", "times", "data", "ids2", "times2", "data2"))):
                 ids, times, data, ids2, times2, data2 = (v.as_py() for v in packed_)
+                same = one == two
+                if same:
+                    ids2, times2, data2 = ids, times, data
                 ids, times, ids2, times2 = (np.frombuffer(v, np.int64) for v in (ids, times, ids2, times2))
-                a, b = near_pairs(matrix(data, len(ids)), matrix(data2, len(ids2)), threshold, one == two)
+                a, b = near_pairs(matrix(data, len(ids)), matrix(data2, len(ids2)), threshold, same)
                 edges = _forest(ids[a], ids2[b])
                 nodes, place = np.unique(np.concatenate((ids[a], ids2[b])), return_inverse=True)
                 near = np.bincount(place, np.concatenate((times2[b], times[a])), len(nodes)).astype(np.int64)
                 columns = ([e[0] for e in edges] + nodes.tolist(), [e[1] for e in edges] + [None] * len(nodes), [None] * len(edges) + near.tolist())
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["a", "b", "near"])
 
-    found = stage(met.repartition("one", "two").mapInArrow(compare, "a long, b long, near long"), "links")
+    found = stage(met.repartition(tasks, "one", "two").mapInArrow(compare, "a long, b long, near long"), "links")
     roots = components(found.where("b IS NOT NULL").select("a", "b"))
     near = found.where("near IS NOT NULL").groupBy(F.col("a").alias("id")).agg(F.sum("near").alias("near"))
     member = classes.select("id", "label", "vector", "least", "times").join(near, "id", "left").join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))

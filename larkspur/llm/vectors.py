@@ -17,16 +17,23 @@ def usable(vector: str) -> Column:
     return F.coalesce(~bad & ~zero, F.lit(False))
 
 
+def stored(x: np.ndarray) -> bytes:
+    """Vectors as bytes: in single precision, the first byte 4, if that loses nothing."""
+    with np.errstate(over="ignore"):
+        single = x.astype(np.float32)
+    return b"\4" + single.tobytes() if np.array_equal(single.astype(np.float64), x) else b"\10" + x.tobytes()
+
+
 def matrix(data: bytes, rows: int) -> np.ndarray:
     """A block's vectors in double precision."""
-    return np.frombuffer(data, np.float64).reshape(rows, -1)
+    return np.frombuffer(data, np.float32 if data[0] == 4 else np.float64, offset=1).astype(np.float64).reshape(rows, -1)
 
 
 def blocks(sorted_rows: DataFrame, size: int, key: str) -> DataFrame:
     """Packs runs of at most ``size`` neighbouring rows (id, times long, key, at double, vector) with equal key and width.
 
-    Returns rows (ids, times binary: longs, key, low, high: of ``at``, n, data
-    binary: doubles). ``sorted_rows`` is sorted inside its partitions.
+    Returns rows (ids, times binary: longs, key, low, high: of ``at``, n, width, data
+    binary: as ``stored``). ``sorted_rows`` is sorted inside its partitions.
     """
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -36,11 +43,11 @@ def blocks(sorted_rows: DataFrame, size: int, key: str) -> DataFrame:
             ids = np.array([r[0] for r in held], np.int64)
             data = np.array([r[3] for r in held], np.float64)
             times = np.array([r[4] for r in held], np.int64)
-            values = (ids.tobytes(), times.tobytes(), held[0][1], held[0][2], held[-1][2], len(held), data.tobytes())
-            kinds = (pa.binary(), pa.binary(), pa.int64(), pa.float64(), pa.float64(), pa.int32(), pa.binary())
+            values = (ids.tobytes(), times.tobytes(), held[0][1], held[0][2], held[-1][2], len(held), data.shape[1], stored(data))
+            kinds = (pa.binary(), pa.binary(), pa.int64(), pa.float64(), pa.float64(), pa.int32(), pa.int32(), pa.binary())
             return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(values, kinds)], names)
 
-        names = ["ids", "times", "key", "low", "high", "n", "data"]
+        names = ["ids", "times", "key", "low", "high", "n", "width", "data"]
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns)):
                 if held and (len(held) == size or row[1] != held[0][1] or len(row[3]) != len(held[0][3])):
@@ -51,7 +58,7 @@ def blocks(sorted_rows: DataFrame, size: int, key: str) -> DataFrame:
             yield block()
 
     rows = sorted_rows.select("id", F.col(key).cast("long").alias("key"), "at", "vector", "times")
-    return rows.mapInArrow(pack, "ids binary, times binary, key long, low double, high double, n int, data binary")
+    return rows.mapInArrow(pack, "ids binary, times binary, key long, low double, high double, n int, width int, data binary")
 
 
 def unit_rows(x: np.ndarray) -> np.ndarray:

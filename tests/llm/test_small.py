@@ -326,14 +326,50 @@ def test_search_has_recall_and_exact_scores(spark):
     assert ann.search(df.limit(0), df.limit(0)).count() == 0
 
 
-def test_index_returns_every_code_within_the_radius():
+def test_index_retrieves_all_within_the_radius_once():
     rng = np.random.default_rng(1)
-    codes = rng.integers(0, 1 << 16, (500, 4), dtype=np.uint16)
-    codes[1:60] = codes[0] ^ (1 << rng.integers(0, 16, (59, 4))).astype(np.uint16)
-    index = ann.Index(codes)
-    for radius in (0, 3, 4, 9, 30):
-        near = np.bitwise_count(codes ^ codes[0]).sum(axis=1)
-        assert index.within(codes[0], radius).tolist() == np.flatnonzero(near <= radius).tolist()
+    index = rng.integers(0, 1 << 40, 3000, dtype=np.uint64)
+    index[1:900] = index[0] ^ np.bitwise_or.reduce(np.uint64(1) << rng.integers(0, 40, (899, 9), dtype=np.uint64), axis=1)
+    asked = index[:40]
+    for bits, near in ((40, 0), (40, 2), (40, 8), (40, 9), (21, 3), (40, 40)):
+        known, queries = index & np.uint64((1 << bits) - 1), asked & np.uint64((1 << bits) - 1)
+        if near == 40:
+            known = known[:60]
+        got = [p for q, at in ann._within(known, queries, bits, near) for p in zip(q.tolist(), at.tolist())]
+        want = np.argwhere(np.bitwise_count(queries[:, None] ^ known) <= near)
+        assert len(got) == len(set(got)) and sorted(got) == [tuple(w) for w in want.tolist()]
+
+
+@pytest.mark.parametrize("group", [1 << 20, 200])
+def test_leading_bits_and_splits_change_nothing(spark, sf, monkeypatch, group):
+    df = spark.read.parquet(f"{sf}/embeddings.parquet")
+    df = df.union(df.where("vec_id < 300").select((F.col("vec_id") * 0 + 7).alias("vec_id"), F.lit(df.first()["embedding"]).cast("array<float>"), "label"))
+    monkeypatch.setattr(ann, "GROUP", group)
+    got = sorted(map(tuple, ann.search(df, df.where("vec_id % 50 = 0")).collect()))
+    monkeypatch.setattr(ann, "GROUP", 1 << 20)
+    assert group == 1 << 20 or got == sorted(map(tuple, ann.search(df, df.where("vec_id % 50 = 0")).collect()))
+    assert len(got) == 5 * len({r[0] for r in got})
+
+
+@pytest.mark.parametrize(("size", "most"), [("sf0.1", 0.05), ("sf0.01", 0.12)])
+def test_recall_and_retrieved_share_of_whole_tables(spark, sf, size, most):
+    """The vectors are unrelated: neighbours lie at 66 to 70 degrees, and the fewer there are, the larger a share the five nearest take."""
+    df = spark.read.parquet(f"{sf.rpartition('/')[0]}/{size}/embeddings.parquet")
+    rows = df.orderBy("vec_id").collect()
+    x = np.array([r.embedding for r in rows], float)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    ids = np.array([r.vec_id for r in rows])
+    got = defaultdict(list)
+    for r in ann.search(df, df.where("vec_id % 50 = 0")).collect():
+        got[r.query_id].append(r)
+    hits, shares = [], []
+    for i in np.flatnonzero(ids % 50 == 0):
+        cos = x @ x[i]
+        cos[i] = -2
+        best = set(ids[np.lexsort((ids, -cos))[:5]].tolist())
+        hits.append(len(best & {r.vec_id for r in got[ids[i]]}) / 5)
+        shares.append(got[ids[i]][0].retrieved / len(ids))
+    assert np.mean(hits) >= 0.9 and np.mean(shares) <= most
 
 
 # 7: languages
