@@ -35,7 +35,7 @@ def join_filled(separator: str, *parts: Column) -> Column:
 
 
 def route(score: Column) -> Column:
-    return F.when(score <= SAFE, "safe").when(score <= WARNING, "warning").otherwise("intervention")
+    return F.when(score <= SAFE, "safe").when(score <= WARNING, "spouse_warning").otherwise("friend_intervention")
 
 
 def tone(score: Column) -> Column:

@@ -5,20 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Upper bounds of histogram buckets; the last bucket is open.
-EDGES = (0, 5, 10, 25, 50, 75, 100, 250, 500, 750, 1000)
+#: Upper bounds of histogram buckets, for counts, milliseconds and bytes alike; the last bucket is open.
+EDGES = (0, 5, 10, 25, 50, 75, 100, 250, 500, 750, 1000, 2500, 5000, 7500, 10000)
 #: The stages and what may follow each.
 STAGES = {
-    "choose": ("record",),
-    "record": ("review",),
-    "review": ("evaluating", "record"),
-    "evaluating": ("safe", "warning", "intervention"),
-    "safe": ("choose",),
-    "warning": ("abort", "rage"),
-    "intervention": ("abort", "rage"),
-    "rage": ("abort", "exile"),
-    "abort": ("choose",),
-    "exile": ("choose",),
+    "choose_spouse": ("record_idea",),
+    "record_idea": ("review_transcript",),
+    "review_transcript": ("evaluating",),
+    "evaluating": ("safe", "spouse_warning", "friend_intervention"),
+    "safe": ("choose_spouse",),
+    "spouse_warning": ("abort_success", "spouse_rage"),
+    "friend_intervention": ("abort_success", "spouse_rage"),
+    "spouse_rage": ("abort_success", "exile"),
+    "abort_success": ("choose_spouse",),
+    "exile": ("choose_spouse",),
 }
 #: User turns of a session by default, and the bounds of that number; days after which to review.
 TURNS, FEWEST, MOST = 7, 5, 10

@@ -9,21 +9,20 @@ from ..functions import scalars
 from ..functions.vectors import cosine
 from ..operators import events as ev
 from ..operators import nearest
-from ..sources.tables import read_table
+from ..sources.tables import read_table, scratch_path
+from ..streaming import metrics
 from .registry import query
 from .stand_ins import events
 
 _E = "e AS (SELECT *, (props::JSON ->> 'k')::INT AS k FROM events)"
 
 
+_EDGES = (0, 5, 10, 25, 50, 75, 100, 250, 500, 750, 1000, 2500, 5000, 7500, 10000)
+
+
 def _buckets(value: str) -> str:
-    bounds = (None, *ev.EDGES, None)
-    out = []
-    for i in range(len(ev.EDGES) + 1):
-        low, high = bounds[i], bounds[i + 1]
-        test = " AND ".join(t for t in (f"{value} > {low}" if low is not None else "", f"{value} <= {high}" if high is not None else "") if t)
-        out.append(f"count(*) FILTER ({test}) AS b{i}")
-    return ", ".join(out)
+    bounds = ["'-inf'::DOUBLE", *_EDGES, "'inf'::DOUBLE"]
+    return ", ".join(f"count(*) FILTER ({value} > {low} AND {value} <= {high}) AS b{i}" for i, (low, high) in enumerate(zip(bounds, bounds[1:])))
 
 
 def _histogram(value: str, by: str) -> str:
@@ -67,15 +66,36 @@ def str_session_corr(spark, d):
     return events(spark, d).groupBy("user_id").agg(F.count("*").alias("spans"), F.min("ts").alias("first"), F.max("ts").alias("last"))
 
 
-_STAGE = "['choose', 'record', 'review', 'evaluating', 'safe', 'warning', 'rage', 'exile'][(value * 100)::BIGINT % 8 + 1]"
-_ALLOWED = ", ".join(f"('{a}', '{b}')" for a, after in ev.STAGES.items() for b in after)
+_NAMES = ("choose_spouse", "record_idea", "review_transcript", "evaluating", "safe", "spouse_warning", "friend_intervention", "spouse_rage", "abort_success", "exile")
+_STEPS = """
+  s AS (
+    SELECT event_id, user_id, stage, lag(stage) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before
+    FROM (SELECT *, ['choose_spouse', 'record_idea', 'review_transcript', 'evaluating', 'safe', 'spouse_warning', 'friend_intervention', 'spouse_rage', 'abort_success', 'exile'][(value * 100)::BIGINT % 10 + 1] AS stage FROM events)
+  ), edge(a, b) AS (VALUES
+    ('choose_spouse', 'record_idea'), ('record_idea', 'review_transcript'), ('review_transcript', 'evaluating'),
+    ('evaluating', 'safe'), ('evaluating', 'spouse_warning'), ('evaluating', 'friend_intervention'), ('safe', 'choose_spouse'),
+    ('spouse_warning', 'abort_success'), ('spouse_warning', 'spouse_rage'), ('friend_intervention', 'abort_success'), ('friend_intervention', 'spouse_rage'),
+    ('spouse_rage', 'abort_success'), ('spouse_rage', 'exile'), ('abort_success', 'choose_spouse'), ('exile', 'choose_spouse')
+  )"""
+
 
+def with_stage(rows):
+    return rows.withColumn("stage", F.element_at(F.array(*map(F.lit, _NAMES)), (F.round(F.col("value") * 100).cast("long") % 10 + 1).cast("int")))
 
-@query(f"WITH s AS (SELECT event_id, {_STAGE} AS stage, lag({_STAGE}) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events) SELECT event_id, stage, before, before IS NULL OR (before, stage) IN (VALUES {_ALLOWED}) AS allowed FROM s")
+
+@query(f"WITH {_STEPS} SELECT event_id, stage, before, before IS NULL OR (before, stage) IN (SELECT (a, b) FROM edge) AS allowed FROM s")
 def str_stage_machine(spark, d):
-    names = F.array(*map(F.lit, ("choose", "record", "review", "evaluating", "safe", "warning", "rage", "exile")))
-    rows = events(spark, d).withColumn("stage", F.element_at(names, (F.round(F.col("value") * 100).cast("long") % 8 + 1).cast("int")))
-    return ev.check_sequence(rows, "user_id", ["ts", "event_id"]).select("event_id", "stage", "before", "allowed")
+    rows = ev.check_sequence(with_stage(events(spark, d)), "user_id", ["ts", "event_id"])
+    return rows.select("event_id", "stage", "before", "allowed")
+
+
+@query(f"WITH {_STEPS} SELECT user_id, before, stage AS now FROM s WHERE before IS NOT NULL AND (before, stage) NOT IN (SELECT (a, b) FROM edge)")
+def str_stage_live(spark, d):
+    """The same check on a stream that keeps each session's stage; every batch's findings go to a folder of its own."""
+    stream = metrics.read_events(spark, d, read_table(spark, d, "events").schema, pattern="events.parquet")
+    path = scratch_path(spark, "steps")
+    metrics.drain(metrics.stage_stream(with_stage(stream.withColumn("ts", F.col("ts").cast("timestamp"))), "user_id", ["ts", "event_id"]), metrics.files_sink(path), "update", scratch_path(spark, "offsets"))
+    return spark.read.parquet(path).select("user_id", "before", "now")
 
 
 @query("WITH s AS (SELECT *, lag(value > 20) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events) SELECT event_id FROM s WHERE value > 20 AND NOT before")
@@ -120,7 +140,7 @@ def seq_runs(spark, d):
 # Classes
 
 
-@query(f"WITH {_E} SELECT event_id, CASE WHEN k % 11 <= 2 THEN 'safe' WHEN k % 11 <= 7 THEN 'warning' ELSE 'intervention' END AS stage, CASE WHEN k % 11 <= 7 THEN 'calm but firm' ELSE 'absolutely furious and appalled' END AS tone FROM e")
+@query(f"WITH {_E} SELECT event_id, CASE WHEN k % 11 <= 2 THEN 'safe' WHEN k % 11 <= 7 THEN 'spouse_warning' ELSE 'friend_intervention' END AS stage, CASE WHEN k % 11 <= 7 THEN 'calm but firm' ELSE 'absolutely furious and appalled' END AS tone FROM e")
 def cls_route(spark, d):
     score = F.col("k") % 11
     return events(spark, d).select("event_id", scalars.route(score).alias("stage"), scalars.tone(score).alias("tone"))

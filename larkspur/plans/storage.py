@@ -87,7 +87,7 @@ def str_span_batch(spark, d):
     stream = metrics.read_events(spark, d, read_table(spark, d, "events").schema, pattern="events.parquet")
     path = tables.scratch_path(spark, "spans")
     metrics.drain(stream.select("event_id", "user_id", "event_type"), metrics.files_sink(path, "append"), "append", tables.scratch_path(spark, "offsets"))
-    return spark.read.parquet(path)
+    return spark.read.parquet(path).select("event_id", "user_id", "event_type")
 
 
 # Sequences and labels

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -45,8 +46,12 @@ def append_log(rows: DataFrame, folder: str) -> None:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path below the folder all executors share (``spark.checkpoint.dir``); where that is unset (tests), a local one."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or f"file://{tempfile.mkdtemp(prefix='larkspur-')}"
+    """A new path below the folder all executors share (``spark.checkpoint.dir``); where that is unset and Spark runs in one process, a local one."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not shared:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        shared = f"file://{tempfile.mkdtemp(prefix='larkspur-')}"
     return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 

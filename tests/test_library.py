@@ -85,7 +85,7 @@ def test_changes(spark):
 
 
 def test_sequences(spark):
-    rows = spark.createDataFrame([("a", i, s, v) for i, (s, v) in enumerate([("choose", 1), ("record", 2), ("safe", 3), ("choose", 4)])], "session string, seq int, stage string, v int")
+    rows = spark.createDataFrame([("a", i, s, v) for i, (s, v) in enumerate([("choose_spouse", 1), ("record_idea", 2), ("safe", 3), ("choose_spouse", 4)])], "session string, seq int, stage string, v int")
     assert [r.allowed for r in events.check_sequence(rows, "session", ["seq"]).orderBy("seq").collect()] == [True, True, False, True]
     assert [r.running for r in events.running_total(rows, "session", ["seq"], "v").orderBy("seq").collect()] == [1, 3, 6, 10]
     attempts = spark.createDataFrame([("x", 1, False), ("x", 2, True), ("x", 3, True), ("y", 1, False), ("y", 2, None)], "k string, at int, ok boolean")
@@ -125,10 +125,23 @@ def test_streams_equal_their_batches(spark, sf, tmp_path):
 
 def test_stage_stream(spark, tmp_path):
     schema = "session string, ts timestamp, stage string"
-    rows = spark.sql("SELECT * FROM VALUES ('a', timestamp'2024-01-01 00:00:01', 'choose'), ('a', timestamp'2024-01-01 00:00:02', 'safe'), ('b', timestamp'2024-01-01 00:00:01', 'record') t(session, ts, stage)")
+    rows = spark.sql("SELECT * FROM VALUES ('a', timestamp'2024-01-01 00:00:01', 'choose_spouse'), ('a', timestamp'2024-01-01 00:00:02', 'safe'), ('b', timestamp'2024-01-01 00:00:01', 'record_idea') t(session, ts, stage)")
     rows.coalesce(1).write.parquet(str(tmp_path / "in"))
     found = []
     q = metrics.stage_stream(metrics.read_events(spark, str(tmp_path / "in"), schema), "session", "ts").writeStream.outputMode("update").foreachBatch(lambda df, _: found.extend(tuple(r) for r in df.collect())).start()
     q.processAllAvailable()
     q.stop()
-    assert found == [("a", "choose", "safe")]
+    assert found == [("a", "choose_spouse", "safe")]
+
+
+def test_a_replayed_batch_is_written_once(spark, tmp_path):
+    sink, path = metrics.files_sink(str(tmp_path / "out")), str(tmp_path / "out")
+    for batch, ids in ((0, [1, 2]), (1, [3]), (1, [3])):
+        sink(spark.createDataFrame([(i,) for i in ids], "id long"), batch)
+    assert sorted(r.id for r in spark.read.parquet(path).collect()) == [1, 2, 3]
+
+
+def test_known_sessions_pass_the_stage_check(spark):
+    session = ["choose_spouse", "record_idea", "review_transcript", "evaluating", "friend_intervention", "spouse_rage", "exile", "choose_spouse"]
+    rows = spark.createDataFrame([("a", i, s) for i, s in enumerate(session)], "session string, seq int, stage string")
+    assert all(r.allowed for r in events.check_sequence(rows, "session", ["seq"]).collect())

@@ -65,7 +65,7 @@ def test_bands(spark):
     scores = spark.createDataFrame([(s,) for s in (-1, 0, 34, 35, 69, 70, 100, 101)], "s int")
     assert [r[0] for r in scores.select(scalars.verdict(F.col("s"))).collect()] == [None, "unc", "unc", "mid", "mid", "bussin", "bussin", None]
     stages = spark.createDataFrame([(s,) for s in (1, 2, 3, 7, 8)], "s int").select(scalars.route(F.col("s"))).collect()
-    assert [r[0] for r in stages] == ["safe", "safe", "warning", "warning", "intervention"]
+    assert [r[0] for r in stages] == ["safe", "safe", "spouse_warning", "spouse_warning", "friend_intervention"]
 
 
 def docx(paragraphs):
