@@ -8,7 +8,7 @@ the target.
 
 Every word and every bigram has counts of its own, so what is gathered grows
 with the corpus; words go by 64-bit hashes, of which a billion words share one
-with a chance of 1 in 37. The documents are cut into chunks of about CHUNK bytes,
+with a chance of 1 in 37. The documents are cut into chunks of about 8 MB,
 stored as the chunk's words and a number for each token. A chunk asks for the
 counts of its different words and bigrams: it sends them, with how often it has
 them itself, to parts that own a range of words each; a part adds up what all
@@ -24,29 +24,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import new_path, packed, stage, unpacked
+from .shared import coded_words, new_path, packed, stage, unpacked
 
-#: Bytes of text in a chunk, tokens of a part, most words whose followers are spread.
-CHUNK, PART, HOT = 8 << 20, 1 << 20, 1 << 20
+#: Tokens of a part, most words whose followers are spread.
+PART, HOT = 1 << 20, 1 << 20
 #: Bits of documents' roles: counted in the background and scored; counted in the target; scored without their own counts there.
 SCORED, TARGET = 1, 2
 
 
-def slices(texts: pa.Array) -> Iterator[tuple[int, pa.Array]]:
-    """Runs of texts of CHUNK bytes, or single longer ones: the first's index, and the lower-cased words."""
-    size = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
-    i = 0
-    while i < len(texts):
-        j = max(i + 1, int(np.searchsorted(size, (size[i - 1] if i else 0) + CHUNK, "right")))
-        yield i, pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts.slice(i, j - i), "")))
-        i = j
-
-
 _TOKENS = "ids array<bigint>, tokens bigint, lengths binary, words binary, codes binary"
 
 
@@ -55,19 +43,8 @@ def tokenize(docs: DataFrame) -> DataFrame:
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, split in slices(batch.column(1)):
-                coded = pc.dictionary_encode(split.flatten())
-                known = coded.dictionary.to_pylist()
-                words = np.array([xxhash.xxh64_intdigest(w, 42) or 1 for w in known], np.uint64)
-                at = coded.indices.to_numpy() if len(coded) else np.zeros(0, np.int32)
-                offsets = split.offsets.to_numpy() - split.offsets[0].as_py()
-                if "" in known:  # the empty strings at a text's ends are no words
-                    none = known.index("")
-                    full = at != none
-                    offsets = np.concatenate(([0], np.cumsum(full)))[offsets]
-                    at, words = at[full], np.delete(words, none)
-                    at = at - (at > none)
-                ids = pa.array([batch.column(0).slice(first, len(split))], pa.list_(pa.int64()))
+            for first, words, at, offsets in coded_words(batch.column(1)):
+                ids = pa.array([batch.column(0).slice(first, len(offsets) - 1)], pa.list_(pa.int64()))
                 blobs = [pa.array([packed(x)], pa.binary()) for x in (np.diff(offsets), words, at)]
                 yield pa.RecordBatch.from_arrays([ids, pa.array([len(at)], pa.int64()), *blobs], ["ids", "tokens", "lengths", "words", "codes"])
 

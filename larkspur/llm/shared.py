@@ -2,21 +2,30 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Words are runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Bytes of text that are split into words at once.
+CHUNK = 8 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; where it is unset (tests), a new local one."""
+    """The folder all executors share: ``spark.checkpoint.dir``; where it is unset and Spark runs in one process, a new local one."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='larkspur-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -114,6 +123,39 @@ def components(edges: DataFrame) -> DataFrame:
     return roots.union(roots.select(F.col("root").alias("node"), "root").distinct())
 
 
+def slices(texts: pa.Array) -> Iterator[tuple[int, pa.Array]]:
+    """Runs of texts of CHUNK bytes, or single longer ones: the first's index, and the lower-cased words."""
+    size = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
+    i = 0
+    while i < len(texts):
+        j = max(i + 1, int(np.searchsorted(size, (size[i - 1] if i else 0) + CHUNK, "right")))
+        yield i, pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts.slice(i, j - i), "")))
+        i = j
+
+
+def coded_words(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """For runs of texts: the first's index, hashes of the different words, each token's place among them, and where each text begins and the last ends."""
+    for first, split in slices(texts):
+        coded = pc.dictionary_encode(split.flatten())
+        known = coded.dictionary.to_pylist()
+        words = np.array([xxhash.xxh64_intdigest(w, 42) or 1 for w in known], np.uint64)
+        at = coded.indices.to_numpy() if len(coded) else np.zeros(0, np.int32)
+        offsets = split.offsets.to_numpy() - split.offsets[0].as_py()
+        if "" in known:  # the empty strings at a text's ends are no words
+            none = known.index("")
+            full = at != none
+            offsets = np.concatenate(([0], np.cumsum(full)))[offsets]
+            at, words = at[full], np.delete(words, none)
+            at = at - (at > none)
+        yield first, words, at, offsets
+
+
+def token_hashes(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For runs of texts: the first's index, all tokens' hashes, and where each text begins and the last ends."""
+    for first, words, at, offsets in coded_words(texts):
+        yield first, words[at], offsets
+
+
 def packed(x: np.ndarray) -> bytes:
     """Unsigned integers as planes of bytes, without planes that are zero throughout: these compress well."""
     x = np.ascontiguousarray(x, np.uint64)
