@@ -9,7 +9,9 @@ fractional rest, the rests of a bucket of buckets again leave one, and so on up
 a tree, so what is rounded in the end is one document of a source. Long
 documents go first, in WAVES by size: the later ones' probabilities make up for
 what the rounding of longer ones has left over or taken too much, so a source
-misses its target by a short document's size.
+misses its target by a short document's size. They make up for all of it, or, if
+that could drive a probability out of 0 to 1, for a share that is fixed before
+the longer ones are rounded: no document's expected copies change.
 """
 
 from __future__ import annotations
@@ -80,12 +82,19 @@ def source_targets(sizes: DataFrame) -> DataFrame:
 
 
 def _shifted(units: DataFrame, sums: DataFrame, decided: DataFrame | None, wave: int) -> DataFrame:
-    """The wave's probabilities, moved evenly by what its source's longer documents took beyond their share."""
+    """The wave's probabilities, moved evenly by what its source's longer documents took beyond their share.
+
+    Rounding a wave misses its sum by its longest document at most, so what is
+    to be made up for has a bound that no draw changes, and expectation 0.
+    """
     if decided is None:
         return units
-    rest = sums.groupBy("n").agg(F.sum(F.when(F.col("wave") >= wave, F.col("sum"))).alias("rest"), F.sum(F.when(F.col("wave") < wave, F.col("sum") * F.col("x"))).alias("due"))
+    before = F.col("wave") < wave
+    aggs = [F.sum(F.when(~before, F.col("sum"))).alias("rest"), F.sum(F.when(before, F.col("sum") * F.col("x"))).alias("due"), F.sum(F.when(before, F.col("longest"))).alias("most")]
+    rest = sums.groupBy("n").agg(*aggs, F.first("x").alias("x"))
     got = decided.groupBy("n").agg(F.sum(F.col("a") * F.col("copy")).alias("got"))
-    over = F.coalesce((F.col("got") - F.col("due")) / F.col("rest"), F.lit(0.0))
+    share = F.least(F.lit(1.0), F.least("x", 1 - F.col("x")) * F.col("rest") / F.col("most"))
+    over = F.coalesce(share * (F.col("got") - F.col("due")) / F.col("rest"), F.lit(0.0))
     moves = rest.join(got, "n", "left").select("n", over.alias("over"))
     return units.join(moves, "n").withColumn("x", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("x") - F.col("over")))).drop("over")
 
@@ -112,25 +121,26 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
     size counts words (null text: 0), copies is 0 to 3, taken is size times
     copies. Documents without words get the certain copies of their source only
-    and take nothing. Repeated rows count as documents of their own. Ids decide
-    the draws, so reruns agree; rows without an id draw by their place in the
-    staged table. An empty table gives an empty result; further columns are not
-    read.
+    and take nothing. Null ids and repeated rows are documents of their own. The
+    draws go by a row's place in the order of ids and texts, so reruns agree
+    however the rows are dealt out (rows that are equal may change places), and
+    no id, however frequent, is a key. A text of any length is read whole. An
+    empty table gives an empty result; further columns are not read.
     """
-    sizes = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).alias("source"), F.coalesce(F.regexp_count(text_col, F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
+    words = F.coalesce(F.regexp_count(text_col, F.lit(WORD)), F.lit(0)).cast("long")
+    sizes = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).alias("source"), words.alias("size"), F.xxhash64(text_col).alias("hash"))
     sizes = stage(sizes, "sizes")
-    least = min(sizes.agg(F.min("doc_id")).first()[0] or 0, 0)  # rows without an id are numbered below it
     sources = stage(source_targets(sizes), "targets")
-    rows = sizes.withColumn("_null", F.monotonically_increasing_id()).alias("d").join(sources.alias("s"), F.col("d.source").eqNullSafe(F.col("s.source")))
+    order = [F.col("doc_id").asc_nulls_last(), "hash", F.col("source").asc_nulls_last(), F.monotonically_increasing_id()]
+    rows = numbered(sizes, order, "rows").withColumnRenamed("n", "id").alias("d").join(sources.alias("s"), F.col("d.source").eqNullSafe(F.col("s.source")))
     part = F.col("copies") - F.floor("copies")
     mean = F.try_divide("source_size", "docs")
     wave = F.lit(len(WAVES))
     for k, times in reversed(list(enumerate(WAVES))):
         wave = F.when(F.col("size") > mean * times, k).otherwise(wave)
-    rows = stage(rows.select("doc_id", F.coalesce("doc_id", F.lit(least - 1) - F.col("_null")).alias("id"), "size", "n", part.alias("x"), wave.alias("wave")), "units")
-    open_ = (F.col("size") > 0) & (F.col("x") > 0)
-    units = rows.where(open_).select("n", "wave", "id", F.col("size").alias("a"), "x")
-    sums = stage(units.groupBy("n", "wave").agg(F.count("*").alias("docs"), F.sum("a").alias("sum"), F.first("x").alias("x")), "waves")
+    rows = stage(rows.select("doc_id", "id", "size", "n", part.alias("x"), wave.alias("wave")), "units")
+    units = rows.where((F.col("size") > 0) & (F.col("x") > 0)).select("n", "wave", "id", F.col("size").alias("a"), "x")
+    sums = stage(units.groupBy("n", "wave").agg(F.count("*").alias("docs"), F.sum("a").alias("sum"), F.max("a").alias("longest"), F.first("x").alias("x")), "waves")
     decided: DataFrame | None = None
     for k in range(len(WAVES) + 1):
         here = sums.where(F.col("wave") == k).select("n", "docs")
@@ -138,11 +148,9 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         if most:
             done = _round(_shifted(units.where(F.col("wave") == k).drop("wave"), sums, decided, k).join(here, "n"), most, seed + 10 * k)
             decided = done if decided is None else decided.union(done)
-    out = rows.where(~open_).select("n", "doc_id", "size", F.lit(0).alias("copy"))
-    if decided is not None:
-        out = out.union(decided.select("n", F.when(F.col("id") >= least, F.col("id")), "a", "copy"))
+    out = rows.withColumn("copy", F.lit(0)) if decided is None else rows.join(decided.select("id", "copy"), "id", "left")
     out = out.join(sources.select("n", "source_size", "target", F.floor("copies").cast("int").alias("whole")), "n")
-    copies = F.coalesce(F.col("whole") + F.col("copy"), F.lit(0))
+    copies = F.coalesce(F.col("whole") + F.coalesce("copy", F.lit(0)), F.lit(0))
     return out.select("doc_id", "size", "source_size", "target", copies.alias("copies"), (F.col("size") * copies).alias("taken"))
 
 
