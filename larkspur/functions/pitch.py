@@ -86,7 +86,7 @@ def written_key(sounding: Column, capo: Column) -> Column:
 
 def is_chord(token: Column) -> Column:
     """A chord token; one comma or full stop behind it is allowed."""
-    return F.regexp_replace(token, r"[,.]\z", "").rlike(CHORD)
+    return token.rlike(CHORD.removesuffix(r"\z") + r"[,.]?\z")
 
 
 def transpose_chord(chord: Column, by: Column, flats: Column | bool = False) -> Column:

@@ -5,6 +5,8 @@ Everything here stays in the JVM; nothing is a Python UDF.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -53,16 +55,23 @@ def strip_tags(x: Column) -> Column:
     return full_trim(F.regexp_replace(x, "<[^>]+>", ""))
 
 
+def bind(x: Column, f: Callable[[Column], Column]) -> Column:
+    """f(x), with x evaluated once however often f mentions it."""
+    return F.transform(F.array(x), f)[0]
+
+
 def replace_each(x: Column, pattern: str, group: int, what) -> Column:
     """Replaces every match by ``what`` (its group), where a replacement string cannot say it.
 
     The text between the matches and the rewritten matches are put together
     again alternately.
     """
-    between = F.split(x, pattern, -1)
-    found = F.regexp_extract_all(x, F.lit(pattern), F.lit(group))
-    pairs = F.zip_with(between, F.transform(found, what), lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))
-    return F.array_join(pairs, "")
+
+    def put(v: Column) -> Column:
+        found = F.transform(F.regexp_extract_all(v, F.lit(pattern), F.lit(group)), what)
+        return F.array_join(F.zip_with(F.split(v, pattern, -1), found, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+
+    return bind(x, put)
 
 
 def html_to_text(html: Column) -> Column:
@@ -72,13 +81,16 @@ def html_to_text(html: Column) -> Column:
     are looked at, so a br inside one of those leaves nothing. The p pattern
     takes any tag that begins with p.
     """
-    cell = r"(?i)<td[\s\S]*?>([\s\S]*?)</td>"
+    # The patterns, in the order in which they apply.
+    whole_table, cell = r"(?is)<table.*?</table>", r"(?is)<td.*?>(.*?)</td>"
+    first_heading, heading = r"(?is)<h1[^>]*>(.*?)</h1>", r"(?is)<h[23][^>]*>(.*?)</h[23]>"
+    paragraph, line_break, tag = r"(?is)<p[^>]*>(.*?)</p>", r"(?i)<br\s*/?>", "<[^>]+>"
     table = lambda t: F.concat(F.array_join(F.transform(F.regexp_extract_all(t, F.lit(cell), F.lit(1)), strip_tags), "\n"), F.lit("\n"))
-    x = replace_each(html, r"(?i)<table[\s\S]*?</table>", 0, table)
-    x = replace_each(x, r"(?i)<h1[^>]*>([\s\S]*?)</h1>", 1, lambda t: F.concat(F.lit("\n# "), strip_tags(t), F.lit("\n")))
-    x = replace_each(x, r"(?i)<h[23][^>]*>([\s\S]*?)</h[23]>", 1, lambda t: F.concat(F.lit("\n"), strip_tags(t), F.lit("\n")))
-    x = replace_each(x, r"(?i)<p[^>]*>([\s\S]*?)</p>", 1, lambda t: F.concat(strip_tags(t), F.lit("\n")))
-    x = F.regexp_replace(F.regexp_replace(x, r"(?i)<br\s*/?>", "\n"), "<[^>]+>", "")
+    x = replace_each(html, whole_table, 0, table)
+    x = replace_each(x, first_heading, 1, lambda t: F.concat(F.lit("\n# "), strip_tags(t), F.lit("\n")))
+    x = replace_each(x, heading, 1, lambda t: F.concat(F.lit("\n"), strip_tags(t), F.lit("\n")))
+    x = replace_each(x, paragraph, 1, lambda t: F.concat(strip_tags(t), F.lit("\n")))
+    x = F.regexp_replace(F.regexp_replace(x, line_break, "\n"), tag, "")
     for entity, char in ENTITIES:
         x = F.replace(x, F.lit(entity), F.lit(char))
     return F.when(html.isNotNull(), full_trim(F.regexp_replace(x, "\n{3,}", "\n\n")))

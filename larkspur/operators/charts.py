@@ -1,7 +1,8 @@
 """Line-oriented chord charts: classification, header and meta lines, sections.
 
-Classification is one CASE chain over each line; sections are windows over a
-document's lines, so every document is parsed without a Python UDF.
+Classification is one CASE chain over each line of a document's array of lines,
+so that no later filter evaluates it again; sections are windows over a document's
+lines. Every document is parsed without a Python UDF.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import pitch
-from ..functions.text import empty_to_null, full_trim, lines, words
+from ..functions.text import bind, empty_to_null, full_trim, lines, words
 
 # Fixed values.
 TYPES = ("BLANK", "HEADER", "BB_META", "TAB", "MODULATION", "INLINE_CHORD_LYRIC", "SECTION_WITH_CHORDS", "SECTION_REF", "PLAIN_SECTION", "CHORD", "LYRIC")
@@ -21,6 +22,8 @@ FILLERS = ("end", "on", "fade", "last", "piece")
 SECTIONS = ("verse", "chorus", "bridge", "outro", "intro", "pre-?chorus", "interlude", "middle", "solo", "link", "tag", "hook", "refrain", "coda", "vamp", "breakdown")
 LABELLED = r"^(\[.+?\])\s*(.+)\z"
 SECTION_SHARE, CHORD_SHARE = 0.7, 0.8
+HEADER_KEY = r"[–\-]\s*([A-G][b#]?m?)\s*(?:\(([A-G][b#]?m?)\))?"
+STRUCTURE, CAPO, BPM = r"(?i)BB:\s*([^\t]+)", r"(?i)Capo\s+(\d+)", r"[A-Z]-(\d{2,3})\b"
 
 #: The viewer's variant: fewer section words, no fillers, repeat marks in any case.
 VIEWER_SECTIONS = tuple(s for s in SECTIONS if s not in ("middle", "refrain", "breakdown"))
@@ -35,9 +38,16 @@ def _played(rest: Column, viewer: bool) -> Column:
 
 def classify(line: Column, viewer: bool = False) -> Column:
     """The class of a line, one of TYPES; the first condition that holds decides. Null counts as blank."""
-    s = full_trim(line)
-    played = _played(F.regexp_extract(s, LABELLED, 2), viewer)
-    tokens = words(s)
+    return bind(full_trim(line), lambda s: _class(s, viewer))
+
+
+def _share(tokens: Column, least: float, some: bool) -> Column:
+    """Whether so many of the tokens are chords; ``some``: of no tokens none is enough."""
+    return bind(tokens, lambda t: ((F.size(t) > 0) | F.lit(not some)) & (F.size(F.filter(t, pitch.is_chord)) >= least * F.size(t)))
+
+
+def _class(s: Column, viewer: bool) -> Column:
+    """The class of a trimmed line: cheap tests first, and tokens only where all others failed."""
     named = "|".join(VIEWER_SECTIONS if viewer else SECTIONS)
     return (
         F.when(F.coalesce(s, F.lit("")) == "", "BLANK")
@@ -45,11 +55,11 @@ def classify(line: Column, viewer: bool = False) -> Column:
         .when(s.startswith("BB:"), "BB_META")
         .when(s.rlike(TAB), "TAB")
         .when(s.rlike(pitch.MODULATION), "MODULATION")
-        .when(s.rlike(INLINE), "INLINE_CHORD_LYRIC")
-        .when(s.rlike(LABELLED) & (F.size(played) > 0) & (F.size(F.filter(played, pitch.is_chord)) >= SECTION_SHARE * F.size(played)), "SECTION_WITH_CHORDS")
-        .when(s.rlike(r"^\[.+\]\z"), "SECTION_REF")
+        .when(s.contains("{") & s.rlike(INLINE), "INLINE_CHORD_LYRIC")
+        .when(s.startswith("[") & s.rlike(LABELLED) & _share(_played(F.regexp_extract(s, LABELLED, 2), viewer), SECTION_SHARE, True), "SECTION_WITH_CHORDS")
+        .when(s.startswith("[") & s.rlike(r"^\[.+\]\z"), "SECTION_REF")
         .when(s.rlike(rf"(?i)^({named})(\s+\d+)?[:\s]*\z"), "PLAIN_SECTION")
-        .when(F.size(F.filter(tokens, pitch.is_chord)) >= CHORD_SHARE * F.size(tokens), "CHORD")
+        .when(_share(words(s), CHORD_SHARE, False), "CHORD")
         .otherwise("LYRIC")
     )
 
@@ -75,31 +85,31 @@ def parse_header(line: Column) -> Column:
     slots = F.filter(F.transform(F.split(full_trim(F.regexp_replace(line, r"^#+\s*", "")), "\t"), full_trim), lambda t: t != "")
     first = F.coalesce(F.try_element_at(slots, F.lit(1)), F.lit(""))
     third = F.try_element_at(slots, F.lit(3))
-    key = r"[–\-]\s*([A-G][b#]?m?)\s*(?:\(([A-G][b#]?m?)\))?"
-    at = F.regexp_instr(first, F.lit(key))
+    at = F.regexp_instr(first, F.lit(HEADER_KEY))
     return F.struct(
         F.when(at > 0, full_trim(F.substring(first, F.lit(1), at - 1))).otherwise(first).alias("title"),
         F.try_element_at(slots, F.lit(2)).alias("artist"),
-        empty_to_null(F.regexp_extract(first, key, 1)).alias("written_key"),
-        empty_to_null(F.regexp_extract(first, key, 2)).alias("sounding_key"),
+        empty_to_null(F.regexp_extract(first, HEADER_KEY, 1)).alias("written_key"),
+        empty_to_null(F.regexp_extract(first, HEADER_KEY, 2)).alias("sounding_key"),
         F.when(pitch.is_chord(third), third).alias("original_key"),
     )
 
 
 def parse_meta(line: Column) -> Column:
     """capo (0 without), bpm and structure of a ``BB:`` line; the bpm needs a capital letter before its dash."""
-    structure = F.regexp_extract(line, r"(?i)BB:\s*([^\t]+)", 1)
+    structure = F.regexp_extract(line, STRUCTURE, 1)
     return F.struct(
-        F.coalesce(F.regexp_extract(line, r"(?i)Capo\s+(\d+)", 1).try_cast("int"), F.lit(0)).alias("capo"),
-        F.regexp_extract(line, r"[A-Z]-(\d{2,3})\b", 1).try_cast("int").alias("bpm"),
+        F.coalesce(F.regexp_extract(line, CAPO, 1).try_cast("int"), F.lit(0)).alias("capo"),
+        F.regexp_extract(line, BPM, 1).try_cast("int").alias("bpm"),
         empty_to_null(full_trim(F.regexp_replace(structure, r"[A-Z]-\d{2,3}", ""))).alias("structure"),
     )
 
 
 def classified_lines(charts: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """One row per line: id, n (from 0), line, type."""
-    rows = charts.select(F.col(id_col).alias("id"), F.posexplode(lines(F.col(text_col))).alias("n", "line"))
-    return rows.withColumn("type", classify(F.col("line"))).withColumn("line", full_trim(F.col("line")))
+    classed = F.transform(F.transform(lines(F.col(text_col)), full_trim), lambda s: F.struct(s.alias("line"), _class(s, False).alias("type")))
+    rows = charts.select(F.col(id_col).alias("id"), F.posexplode(classed).alias("n", "l"))
+    return rows.select("id", "n", "l.line", "l.type")
 
 
 def sections(classified: DataFrame) -> DataFrame:
@@ -114,11 +124,12 @@ def sections(classified: DataFrame) -> DataFrame:
     upto = by.rowsBetween(Window.unboundedPreceding, 0)
     rows = classified.where(~F.col("type").isin("HEADER", "BB_META"))
     fused = (F.col("type") == "TAB") & (F.lag("type").over(by) == "TAB")
-    rows = rows.withColumn("island", F.sum(F.when(fused, 0).otherwise(1)).over(upto))
-    tabs = rows.where("type = 'TAB'").groupBy("id", "island").agg(F.min("n").alias("n"), F.array_sort(F.collect_list(F.struct("n", "line"))).alias("tab"))
-    rows = rows.where("type NOT IN ('BLANK', 'TAB')").select("id", "n", "line", "type", F.lit(None).cast("array<string>").alias("tab"))
-    tabs = tabs.select("id", "n", F.lit(None).cast("string").alias("line"), F.lit("TAB").alias("type"), F.transform("tab", lambda t: t["line"]).alias("tab"))
-    rows = rows.union(tabs)
+    rows = rows.withColumns({"fused": fused, "island": F.sum(F.when(fused, 0).otherwise(1)).over(upto)})
+    whole = Window.partitionBy("id", "island").orderBy("n").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    rows = rows.withColumn("tab", F.collect_list(F.when(F.col("type") == "TAB", F.col("line"))).over(whole))  # the first line of a tablature stands for it
+    rows = rows.where("type <> 'BLANK' AND NOT coalesce(fused, false)")
+    is_tab = F.col("type") == "TAB"
+    rows = rows.select("id", "n", F.when(~is_tab, F.col("line")).alias("line"), "type", F.when(is_tab, F.col("tab")).alias("tab"))
     lyric, alone = ("LYRIC", "INLINE_CHORD_LYRIC"), ("SECTION_REF", "MODULATION", "SECTION_WITH_CHORDS")
     rows = rows.withColumns({"last": F.lag("type").over(by), "next": F.lead("type").over(by), "next_line": F.lead("line").over(by)})
     starts = F.col("type").isin(*alone, "PLAIN_SECTION") | F.coalesce(F.col("last").isin(*alone), F.lit(False))

@@ -178,14 +178,13 @@ def vec_cosine(spark, d):
     return v.join(other, "vec_id").select("vec_id", F.round(cosine(F.col("embedding"), F.col("other")), 6).alias("similarity"))
 
 
-_BEST = "b AS (SELECT q.vec_id AS query_id, max_by(i.vec_id, [s, -i.vec_id]) AS item_id, max(s) AS similarity FROM embeddings q JOIN embeddings i ON q.vec_id % 50 = 0 AND i.vec_id % 50 <> 0, LATERAL (SELECT list_cosine_similarity(q.embedding::DOUBLE[], i.embedding::DOUBLE[]) AS s) GROUP BY 1)"
+_BEST = "b AS (SELECT q.vec_id AS query_id, max_by(i.vec_id, [s, -i.vec_id]) AS item_id, max(s) AS similarity FROM embeddings q JOIN embeddings i ON q.vec_id % 50 = 0 AND i.vec_id <> q.vec_id, LATERAL (SELECT list_cosine_similarity(q.embedding::DOUBLE[], i.embedding::DOUBLE[]) AS s) GROUP BY 1)"
 
 
 def _nearest(spark, d, threshold=nearest.THRESHOLD):
     v = read_table(spark, d, "embeddings")
     queries = v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
-    items = v.where("vec_id % 50 <> 0").select(F.col("vec_id").alias("item_id"), "embedding")
-    return nearest.nearest_above(queries, items, threshold)
+    return nearest.nearest_above(queries, v.select(F.col("vec_id").alias("item_id"), "embedding"), threshold, apart=True)
 
 
 @query(f"WITH {_BEST} SELECT query_id, item_id, round(similarity, 6) AS similarity FROM b")

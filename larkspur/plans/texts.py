@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import charts
+from ..operators import charts, keywords
 from ..sources.tables import read_table
 from .registry import query
 
@@ -76,9 +76,9 @@ def txt_classify(spark, d):
     return charts.classified_lines(_chart(read_table(spark, d, "part")), "p_partkey", "chart").select("id", "n", "line", "type")
 
 
-@query("SELECT type, count(*) AS n FROM (SELECT CASE WHEN trim(line, chr(32) || chr(9)) = '' THEN 'BLANK' ELSE 'LYRIC' END AS type FROM (SELECT unnest(string_split(text, chr(10))) AS line FROM documents WHERE lang = 'fr')) GROUP BY 1")
+@query("SELECT type, count(*) AS n FROM (SELECT CASE WHEN trim(line, chr(32) || chr(9)) = '' THEN 'BLANK' ELSE 'LYRIC' END AS type FROM (SELECT unnest(string_split(text, chr(10))) AS line FROM documents)) GROUP BY 1")
 def txt_classify_documents(spark, d):
-    found = charts.classified_lines(read_table(spark, d, "documents").where("lang = 'fr'"), "doc_id", "text")
+    found = charts.classified_lines(read_table(spark, d, "documents"), "doc_id", "text")
     return found.groupBy("type").agg(F.count("*").alias("n"))
 
 
@@ -139,7 +139,8 @@ def txt_keyword_any(spark, d):
 def join_keyword(spark, d):
     first = F.lower(F.split("text", " ")[0])
     words = read_table(spark, d, "benchmark").select("item_id", first.alias("word"))
-    return read_table(spark, d, "conversations").join(F.broadcast(words) if words.count() < 10_000 else words, F.contains(F.lower("text"), F.col("word"))).select("conv_id", "turn", "item_id")
+    found = keywords.keyword_hits(read_table(spark, d, "conversations").select("conv_id", "turn", "text"), words, "text", "word")
+    return found.select("conv_id", "turn", "item_id")
 
 
 @query("SELECT doc_id, left(text, 200) AS head FROM documents")
@@ -168,14 +169,14 @@ def json_outer(spark, d):
     return _replies(spark, d).select("event_id", F.get_json_object(text.tolerant_json(F.col("reply")), "$.k").cast("int").alias("k"))
 
 
-@query("SELECT event_id, props FROM events WHERE event_id % 5 = 2")
+@query("SELECT event_id, CASE event_id % 5 WHEN 1 THEN '<think>{</think>' || chr(10) || props WHEN 3 THEN 'Sure: ' || props || ' - done' WHEN 4 THEN '{' || props ELSE props END AS props FROM events")
 def json_fenced(spark, d):
-    return _replies(spark, d).where("event_id % 5 = 2").select("event_id", text.strip_fences(F.col("reply")).alias("props"))
+    return _replies(spark, d).select("event_id", text.strip_fences(F.col("reply")).alias("props"))
 
 
-@query("SELECT event_id, props FROM events WHERE event_id % 5 = 3")
+@query("SELECT event_id, CASE event_id % 5 WHEN 1 THEN '{</think>' || chr(10) || props WHEN 4 THEN '{' || props ELSE props END AS props FROM events")
 def json_first_block(spark, d):
-    return _replies(spark, d).where("event_id % 5 = 3").select("event_id", text.outer_braces(F.col("reply")).alias("props"))
+    return _replies(spark, d).select("event_id", text.outer_braces(F.col("reply")).alias("props"))
 
 
 @query("SELECT event_id, CASE WHEN event_id % 2 = 0 THEN event_type END AS genre, coalesce(CASE WHEN event_id % 3 = 0 THEN 2 END, 0) AS tags, CASE WHEN event_id % 5 = 0 THEN 0.5::DOUBLE END AS confidence FROM events")
