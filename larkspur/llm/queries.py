@@ -71,7 +71,7 @@ def op8_digest_array_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_warc_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc.round_trip(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    return warc.round_trip(spark.read.parquet(f"{sf_dir}/pages.parquet")).drop("broken")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -1,14 +1,16 @@
 """WARC archives with segmented records, written and reassembled.
 
-Records longer than SEGMENT bytes are written as a first segment and
-continuation records. Reading parses every archive by itself, groups the
-segments by the identifier of their origin, orders them by number, verifies the
-total length, and decodes the chunked transfer framing of the payload.
+Archives are WARC/1.1: a warcinfo record, then a record for each page, every one a
+gzip member of its own. Records longer than SEGMENT bytes are written as a first
+segment and continuation records. Reading parses every archive by itself, groups
+the segments by the identifier of their origin, orders them by number, verifies
+the total length, and decodes the chunked transfer framing of the payload.
 """
 
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import uuid
 import zlib
@@ -18,12 +20,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import new_path
+from .shared import new_path, stage
 
 #: Most bytes of a record's block, bytes of a chunk, records in an archive, bytes of blocks in an Arrow batch.
 SEGMENT, CHUNK, RECORDS, BATCH = 16 << 10, 4 << 10, 512, 4 << 20
+#: Compression level of a record; when records without a date of their own are dated.
+LEVEL, DATE = 6, "2024-01-01T00:00:00Z"
 EOL, END = b"\r\n", "\r\n\r\n"
 _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"
+#: A gzip member without content: what Spark's writer puts behind a file's only line.
+_NOTHING = gzip.compress(b"", mtime=0)
 _SPACE = uuid.UUID(int=0x6C61726B73707572)
 
 
@@ -72,31 +78,38 @@ def record_id(page_id: int | None, digest: str) -> str:
     return f"<urn:uuid:{uuid.uuid5(_SPACE, f'{page_id}/{digest}')}>"
 
 
-def _record(kind: str, own_id: str, block: bytes, *more: tuple[str, object]) -> bytes:
-    fields = [("WARC-Type", kind), ("WARC-Record-ID", own_id), *more, ("Content-Length", len(block))]
+def _record(kind: str, own_id: str, date: str, block: bytes, *more: tuple[str, object]) -> bytes:
+    fields = [("WARC-Type", kind), ("WARC-Record-ID", own_id), ("WARC-Date", date), *more, ("Content-Length", len(block))]
     head = "".join(f"{k}: {v}\r\n" for k, v in fields if v is not None)
     return b"WARC/1.1\r\n" + head.encode(errors="replace") + EOL + block
 
 
-def records_of(page_id: int | None, url: str | None, payload: bytes, digest: str, first: int | None, revisit: bool, segment: int) -> Iterator[bytes]:
+def info_record(date: str, name: str) -> bytes:
+    """The record that an archive begins with."""
+    block = b"software: larkspur\r\nformat: WARC File Format 1.1\r\n"
+    return _record("warcinfo", f"<urn:uuid:{uuid.uuid5(_SPACE, name)}>", date, block, ("Content-Type", "application/warc-fields"))
+
+
+def records_of(page_id: int | None, url: str | None, payload: bytes, digest: str, first: int | None, revisit: bool, segment: int, date: str = DATE) -> Iterator[bytes]:
     """The records of one page, without the empty lines behind each."""
     own = record_id(page_id, digest)
     target = "".join((url or "").split()) or None
-    fields = [("WARC-Target-URI", target), ("WARC-Payload-Digest", f"sha1:{digest}"), ("X-Page-ID", page_id)]
+    http = ("Content-Type", "application/http; msgtype=response")
+    fields = [("WARC-Target-URI", target), ("WARC-Payload-Digest", f"sha1:{digest}"), ("X-Page-ID", page_id), http]
     if revisit:
         profile = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-        yield _record("revisit", own, _HTTP + EOL, *fields, ("WARC-Profile", profile), ("WARC-Refers-To", record_id(first, digest)))
+        yield _record("revisit", own, date, _HTTP + EOL, *fields, ("WARC-Profile", profile), ("WARC-Refers-To", record_id(first, digest)))
         return
     block = _HTTP + b"Transfer-Encoding: chunked\r\n\r\n" + chunked(payload)
     parts = [block[i : i + segment] for i in range(0, len(block), segment)]
     if len(parts) == 1:
-        yield _record("response", own, block, *fields)
+        yield _record("response", own, date, block, *fields)
         return
-    yield _record("response", own, parts[0], *fields, ("WARC-Segment-Number", 1))
+    yield _record("response", own, date, parts[0], *fields, ("WARC-Segment-Number", 1))
     for n, part in enumerate(parts[1:], 2):
         total = len(block) if n == len(parts) else None
         ident = f"<urn:uuid:{uuid.uuid5(_SPACE, f'{own}/{n}')}>"
-        yield _record("continuation", ident, part, ("WARC-Segment-Origin-ID", own), ("WARC-Segment-Number", n), ("WARC-Segment-Total-Length", total))
+        yield _record("continuation", ident, date, part, ("WARC-Target-URI", target), ("WARC-Segment-Origin-ID", own), ("WARC-Segment-Number", n), ("WARC-Segment-Total-Length", total))
 
 
 def _batches(rows: Iterator[tuple], names: list[str], kinds: list[pa.DataType], heavy: int) -> Iterator[pa.RecordBatch]:
@@ -116,27 +129,54 @@ def _batches(rows: Iterator[tuple], names: list[str], kinds: list[pa.DataType],
         yield batch()
 
 
-def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: int = 0, segment: int = SEGMENT) -> None:
+def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: int = 0, segment: int = SEGMENT, date_col: str | None = None) -> None:
     """Writes a record per row as gzip-compressed WARC archives.
 
     Of equal payloads of at least ``least`` bytes, the one with the largest id is
     a response and the others revisit it. A null text has an empty payload; null
     ids are never the largest. Repeated rows with the largest id are all
-    responses with one record id. Archives hold RECORDS records at most.
+    responses with one record id. Archives hold a warcinfo record and RECORDS
+    others at most, and are named ``.warc.gz``. ``date_col`` has the records' times;
+    without it, and where it is null, they are dated DATE. A URL loses its white
+    space; an empty table gives no archives; other columns are not read.
     """
-    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.encode(F.coalesce(html_col, F.lit("")), "UTF-8").alias("payload"))
+    date = F.date_format(F.col(date_col), "yyyy-MM-dd'T'HH:mm:ss'Z'") if date_col else F.lit(None).cast("string")
+    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.coalesce(date, F.lit(DATE)).alias("date"), F.encode(F.coalesce(html_col, F.lit("")), "UTF-8").alias("payload"))
     rows = rows.withColumn("digest", digest_of(F.col("payload")))
     seen = rows.where(F.octet_length("payload") >= least).groupBy("digest").agg(F.max("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
     revisit = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first")) & (F.octet_length("payload") >= least)
-    dealt = rows.join(seen, "digest", "left").select("page_id", "url", F.when(~revisit, F.col("payload")).alias("payload"), "digest", "first", revisit.alias("revisit"))
+    dealt = rows.join(seen, "digest", "left").select("page_id", "url", F.when(~revisit, F.col("payload")).alias("payload"), "digest", "first", revisit.alias("revisit"), "date")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            pages_ = zip(*(c.to_pylist() for c in b.columns))
-            yield from _batches(((r,) for p, u, x, d, f, v in pages_ for r in records_of(p, u, x or b"", d, f, v, segment)), ["record"], [pa.binary()], 0)
+        def member(record: bytes) -> bytes:
+            return gzip.compress(record + END.encode(), LEVEL, mtime=0)
 
-    out = dealt.mapInArrow(write, "record binary").select(F.col("record").cast("string"))
-    out.write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", RECORDS).text(path)
+        def archive() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([b"".join(held)], pa.binary())], ["archive"])
+
+        held: list[bytes] = []
+        for b in batches:
+            for p, u, x, d, f, v, t in zip(*(c.to_pylist() for c in b.columns)):
+                for record in records_of(p, u, x or b"", d, f, v, segment, t):
+                    if not held:
+                        held.append(member(info_record(t, f"{path}/{p}/{d}")))
+                    held.append(member(record))
+                    if len(held) > RECORDS:
+                        yield archive()
+                        held = []
+        if held:
+            yield archive()
+
+    out = dealt.mapInArrow(write, "archive binary").select(F.col("archive").cast("string"))
+    # a file for each row; the line's end is an empty gzip member
+    writer = out.write.option("encoding", "ISO-8859-1").option("lineSep", _NOTHING.decode("latin-1")).option("maxRecordsPerFile", 1)
+    writer.text(path)
+    spark = pages.sparkSession
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs = at(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for file in fs.globStatus(at(f"{path}/part-*.txt")):
+        name = file.getPath().toString()
+        fs.rename(file.getPath(), at(name.removesuffix(".txt") + ".warc.gz"))
 
 
 def parse_archive(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -172,24 +212,40 @@ def parse_archive(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
         del buffer[: end + 4 + n + 4]
 
 
-_FIELDS = ["record_id", "kind", "page_id", "origin", "segment", "total", "digest", "refers_to", "block"]
+_FIELDS = ["record_id", "kind", "page_id", "origin", "segment", "total", "digest", "refers_to", "payload_bytes", "block"]
 
 
-def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """One row per record: record_id, kind, page_id, origin (of its segments, its own id for a first one), segment, total, digest, refers_to, block."""
+def base32_sha1(payload: bytes) -> str:
+    return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
-    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def read_archives(spark: SparkSession, path: str, blocks: bool = True) -> DataFrame:
+    """One row per record: record_id, kind, page_id, origin (of its segments, its own id for a first one), segment, total, digest, refers_to, payload_bytes, block.
+
+    payload_bytes is set for responses in one piece whose framing and digest are
+    right. Without ``blocks`` only segments keep their block. Archives with
+    records that are cut off give what is whole before that. warcinfo records
+    have rows too.
+    """
+
+    def rows(data: bytes) -> Iterator[tuple]:
         number = lambda x: int(x) if x else None
+        for f, block in parse_archive(data):
+            digest, segment, size = f.get("warc-payload-digest", "").removeprefix("sha1:") or None, number(f.get("warc-segment-number")), None
+            if f.get("warc-type") == "response" and segment is None:
+                payload = payload_of(block)
+                size = len(payload) if payload is not None and base32_sha1(payload) == digest else None
+            kept = block if blocks or segment is not None else None
+            yield f.get("warc-record-id"), f.get("warc-type"), number(f.get("x-page-id")), f.get("warc-segment-origin-id") or f.get("warc-record-id"), segment, number(f.get("warc-segment-total-length")), digest, f.get("warc-refers-to"), size, kept
+
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [pa.string(), pa.string(), pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary()]
         for b in batches:
             for data in b.column(0):
-                rows = (
-                    (f.get("warc-record-id"), f.get("warc-type"), number(f.get("x-page-id")), f.get("warc-segment-origin-id") or f.get("warc-record-id"), number(f.get("warc-segment-number")), number(f.get("warc-segment-total-length")), f.get("warc-payload-digest", "").removeprefix("sha1:") or None, f.get("warc-refers-to"), block)
-                    for f, block in parse_archive(data.as_py())
-                )
-                yield from _batches(rows, _FIELDS, [pa.string(), pa.string(), pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.string(), pa.string(), pa.binary()], 8)
+                yield from _batches(rows(data.as_py()), _FIELDS, kinds, 9)
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content")
-    return files.mapInArrow(parse, "record_id string, kind string, page_id long, origin string, segment int, total long, digest string, refers_to string, block binary")
+    return files.mapInArrow(parse, "record_id string, kind string, page_id long, origin string, segment int, total long, digest string, refers_to string, payload_bytes long, block binary")
 
 
 def responses(records: DataFrame) -> DataFrame:
@@ -205,6 +261,14 @@ def responses(records: DataFrame) -> DataFrame:
     def decode(blocks: pa.Array) -> pa.Array:
         return pa.array([payload_of(x.as_py()) for x in blocks], pa.binary())
 
+    whole = records.where("kind = 'response' AND segment IS NULL").select("record_id", "page_id", "digest", decode("block").alias("payload"))
+    both = whole.union(_joined(records))
+    return both.withColumn("payload", F.when(digest_of(F.col("payload")) == F.col("digest"), F.col("payload")))
+
+
+def _joined(records: DataFrame) -> DataFrame:
+    """record_id, page_id, digest and payload of the responses in segments."""
+
     @F.arrow_udf("binary")
     def join_segments(parts: pa.Array) -> pa.Array:
         out = []
@@ -218,26 +282,35 @@ def responses(records: DataFrame) -> DataFrame:
             out.append(payload_of(block) if whole else None)
         return pa.array(out, pa.binary())
 
-    whole = records.where("kind = 'response' AND segment IS NULL").select("record_id", "page_id", "digest", decode("block").alias("payload"))
     parts = records.where("segment IS NOT NULL AND kind IN ('response', 'continuation')").select("origin", "page_id", "digest", F.struct("segment", "total", "block").alias("part"))
     grouped = parts.groupBy("origin").agg(F.collect_list("part").alias("parts"), F.max("page_id").alias("page_id"), F.max("digest").alias("digest"), F.count_if(F.col("part.segment") == 1).alias("times"))
     joined = grouped.select(F.col("origin").alias("record_id"), "page_id", "digest", join_segments("parts").alias("payload"), "times")
-    joined = joined.withColumn("_", F.explode(F.sequence(F.lit(1), F.greatest(F.col("times"), F.lit(1))))).drop("times", "_")
-    both = whole.union(joined)
-    return both.withColumn("payload", F.when(digest_of(F.col("payload")) == F.col("digest"), F.col("payload")))
+    return joined.withColumn("_", F.explode(F.sequence(F.lit(1), F.greatest(F.col("times"), F.lit(1))))).drop("times", "_")
 
 
 def round_trip(pages: DataFrame, least: int = 0, segment: int = SEGMENT, path: str | None = None) -> DataFrame:
-    """Writes the pages as archives, reads them back: page_id, payload_bytes, payload_digest, record_type, refers_to."""
+    """Writes the pages as archives, reads them back once: page_id, payload_bytes, payload_digest, record_type, refers_to, broken.
+
+    ``broken`` tells where a payload could not be put together again, or the
+    response that a revisit refers to was not read whole: payload_bytes, and then
+    refers_to, are null. Null ids and texts, repeated rows and empty tables are as
+    ``write_archives`` says; columns of other names are not read, whatever they are.
+    """
     spark = pages.sparkSession
     path = path or new_path(spark, "warc")
     write_archives(pages, path, least=least, segment=segment)
-    records = read_archives(spark, path)
-    found = responses(records).where("payload IS NOT NULL").select("record_id", "page_id", F.octet_length("payload").cast("long").alias("payload_bytes"), F.col("digest").alias("payload_digest"))
-    revisits = records.where("kind = 'revisit'").select("page_id", "refers_to", F.col("digest").alias("payload_digest"))
-    origin = found.groupBy("record_id").agg(F.first("page_id").alias("to"), F.first("payload_bytes").alias("payload_bytes"))
-    seen = revisits.join(origin, F.col("refers_to") == F.col("record_id"))
-    kind = lambda x: F.lit(x).alias("record_type")
-    return found.select("page_id", "payload_bytes", "payload_digest", kind("response"), F.lit(None).cast("long").alias("refers_to")).union(
-        seen.select("page_id", "payload_bytes", "payload_digest", kind("revisit"), F.col("to").alias("refers_to"))
-    )
+    if not spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/*.gz")):
+        return spark.createDataFrame([], "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, broken boolean")
+    return restored(stage(read_archives(spark, path, blocks=False), "records"))
+
+
+def restored(records: DataFrame) -> DataFrame:
+    """What ``round_trip`` returns, from the records read."""
+    segments = _joined(records)
+    whole = records.where("kind = 'response' AND segment IS NULL").select("record_id", "page_id", "digest", "payload_bytes")
+    found = whole.union(segments.select("record_id", "page_id", "digest", F.when(digest_of(F.col("payload")) == F.col("digest"), F.octet_length("payload").cast("long"))))
+    found = stage(found, "responses")
+    origin = found.where("payload_bytes IS NOT NULL").groupBy("record_id").agg(F.first("page_id").alias("to"), F.first("payload_bytes").alias("payload_bytes"))
+    seen = records.where("kind = 'revisit'").select("page_id", "refers_to", "digest").join(origin.withColumnRenamed("record_id", "refers_to"), "refers_to", "left")
+    out = lambda rows, kind, to: rows.select("page_id", "payload_bytes", F.col("digest").alias("payload_digest"), F.lit(kind).alias("record_type"), to.alias("refers_to"), F.col("payload_bytes").isNull().alias("broken"))
+    return out(found, "response", F.lit(None).cast("long")).union(out(seen, "revisit", F.col("to")))

@@ -4,8 +4,10 @@ import base64
 import hashlib
 import math
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -534,6 +536,57 @@ def test_least_payload_and_broken_segments(spark):
     assert {r.page_id: r.payload for r in warc.responses(lost).collect()}[5] is None
 
 
+def members(data):
+    """What each gzip member of a file holds."""
+    while data:
+        one = zlib.decompressobj(31)
+        yield one.decompress(data) + one.flush()
+        assert one.eof
+        data = one.unused_data
+
+
+def test_archives_follow_the_grammar(spark):
+    path = shared.new_path(spark, "grammar")
+    pages = pages_of(spark).withColumn("seen", F.to_timestamp(F.lit("2023-05-06 07:08:09")))
+    warc.write_archives(pages, path, segment=1000, date_col="seen")
+    files = [f for f in Path(path.removeprefix("file:")).iterdir() if not f.name.startswith(("_", "."))]
+    assert files and all(f.name.endswith(".warc.gz") for f in files)
+    ids, kinds = set(), Counter()
+    for f in files:
+        *records, last = members(f.read_bytes())
+        assert last == b""
+        for i, r in enumerate(records):
+            head, _, rest = r.partition(b"\r\n\r\n")
+            first, *lines = head.decode().split("\r\n")
+            assert first == "WARC/1.1" and all(re.fullmatch(r"[!#$%&'*+.^_`|~0-9A-Za-z-]+: \S.*", x) for x in lines)
+            fields = dict(x.split(": ", 1) for x in lines)
+            assert len(fields) == len(lines)
+            kind, block = fields["WARC-Type"], rest[: int(fields["Content-Length"])]
+            assert rest[len(block) :] == b"\r\n\r\n" and len(block) == int(fields["Content-Length"])
+            assert re.fullmatch(r"<urn:uuid:[0-9a-f-]{36}>", fields["WARC-Record-ID"])
+            assert fields["WARC-Date"] == "2023-05-06T07:08:09Z" and (kind == "warcinfo") == (i == 0)
+            assert fields.get("Content-Type") == {"warcinfo": "application/warc-fields", "continuation": None}.get(kind, "application/http; msgtype=response")
+            if kind == "continuation":
+                assert fields["WARC-Segment-Origin-ID"] in ids and int(fields["WARC-Segment-Number"]) > 1
+            if kind == "revisit":
+                assert fields["WARC-Profile"].startswith("http://") and "WARC-Refers-To" in fields
+            ids.add(fields["WARC-Record-ID"])
+            kinds[kind] += 1
+    assert kinds["warcinfo"] == len(files) and kinds["continuation"] > 60 and kinds["revisit"] and kinds["response"]
+
+
+def test_broken_records_are_reported(spark):
+    path = shared.new_path(spark, "cut")
+    warc.write_archives(pages_of(spark).where("page_id IS NOT NULL"), path, segment=1000)
+    records = warc.read_archives(spark, path, blocks=False)
+    assert records.where("kind = 'response' AND segment IS NULL AND block IS NOT NULL").count() == 0
+    lost = records.where("segment IS NULL OR segment <> 3").withColumn("payload_bytes", F.expr("CASE WHEN page_id = 3 THEN NULL ELSE payload_bytes END"))
+    got = {(r.page_id, r.record_type): (r.payload_bytes, r.refers_to, r.broken) for r in warc.restored(lost).collect()}
+    assert got[5, "response"] == (None, None, True) and got[6, "response"] == (None, None, True)  # in segments
+    assert got[1, "revisit"] == (None, None, True) and got[3, "response"] == (None, None, True) and got[2, "revisit"] == (None, None, True)
+    assert got[0, "revisit"] == (10, 7, False)
+
+
 def test_chunked_framing():
     for data in (b"", b"a", bytes(range(256)) * 100):
         assert warc.unchunked(warc.chunked(data)) == data
