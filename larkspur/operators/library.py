@@ -119,7 +119,3 @@ def newest(log: DataFrame, time: str, key: str, n: int = 100) -> DataFrame:
     """The newest n entries; entries of the same time by the larger key."""
     return log.orderBy(F.desc(time), F.desc(key)).limit(n or 100)
 
-
-def neighbours(rows: DataFrame, window, column: str) -> DataFrame:
-    """The value before and after in the given order."""
-    return rows.withColumns({f"previous_{column}": F.lag(column).over(window), f"next_{column}": F.lead(column).over(window)})

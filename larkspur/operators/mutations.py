@@ -6,21 +6,21 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import ascii_fold
+from .ordering import numbered
 
 #: The columns of a song that may be set.
 SETTABLE = ("title", "artist", "chart_written_key", "sounding_key", "original_key", "preferred_key", "default_capo", "bpm", "genre", "feel", "era", "tempo_feel", "beatbuddy_structure", "ai_confidence", "user_edited_at", "edited_offline")
 
 
 def insert_rows(old: DataFrame, new: DataFrame, id_col: str = "id", order: str | None = None) -> DataFrame:
-    """Adds rows with ids beyond the largest; columns that the new rows lack are null.
+    """Adds rows with the ids that follow the largest, without gaps; columns that the new rows lack are null."""
+    return old.unionByName(with_new_ids(old, new, id_col, order), allowMissingColumns=True)
 
-    Ids are the largest one plus each row's place in its partition and the
-    partitions before it, so new rows never meet in one task.
-    """
-    top = old.agg(F.coalesce(F.max(id_col), F.lit(0)).alias("_top"))
-    rows = new.orderBy(order) if order else new
-    rows = rows.crossJoin(F.broadcast(top)).withColumn(id_col, F.col("_top") + 1 + F.monotonically_increasing_id()).drop("_top")  # top is one row
-    return old.unionByName(rows, allowMissingColumns=True)
+
+def with_new_ids(old: DataFrame, new: DataFrame, id_col: str = "id", order: str | None = None) -> DataFrame:
+    """The new rows with the ids that they get; new rows never meet in one task."""
+    top = old.agg(F.max(id_col)).first()[0] or 0
+    return numbered(new, [F.col(order)] if order else [], id_col).withColumn(id_col, F.col(id_col) + top + 1)
 
 
 def update_allowed(old: DataFrame, where: Column, values: dict[str, object], allowed: tuple[str, ...] = SETTABLE) -> DataFrame:

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import first_filled, join_filled, number_or_zero
 from ..functions.text import ascii_fold, comma_list, empty_to_null
 from ..operators import library, mutations
+from ..operators.ordering import neighbours, numbered, sample_rows, sample_share
 from ..sources.tables import read_table
 from .registry import query
 from .stand_ins import ENTRIES, LINKS, LISTS, SONGS, entries, links, lists, songs
@@ -215,26 +215,28 @@ def agg_import_totals(spark, d):
 # Orders and the tops of them
 
 
-@query(f"WITH {SONGS} SELECT id, {_FOLD('title')} AS key FROM songs")
+@query(f"WITH {SONGS} SELECT id, {_FOLD('title')} AS key, row_number() OVER (ORDER BY {_FOLD('title')} NULLS FIRST, id) - 1 AS rank FROM songs")
 def sort_title(spark, d):
-    return songs(spark, d).select("id", ascii_fold(F.col("title")).alias("key")).orderBy("key", "id")
+    return numbered(songs(spark, d).select("id", ascii_fold(F.col("title")).alias("key")), [F.col("key").asc_nulls_first(), F.col("id")], "rank")
 
 
-@query(f"WITH {SONGS} SELECT id, era FROM songs")
+@query(f"WITH {SONGS} SELECT id, era, row_number() OVER (ORDER BY era, id) - 1 AS rank FROM songs")
 def sort_era(spark, d):
-    return songs(spark, d).select("id", "era").orderBy("era", "id")
+    return numbered(songs(spark, d).select("id", "era"), [F.col("era"), F.col("id")], "rank")
 
 
-@query("SELECT o_orderkey, nullif(o_orderdate, (SELECT max(o_orderdate) FROM orders)) AS gig_date FROM orders")
+@query("SELECT *, row_number() OVER (ORDER BY gig_date DESC NULLS LAST, o_orderkey) - 1 AS rank FROM (SELECT o_orderkey, nullif(o_orderdate, (SELECT max(o_orderdate) FROM orders)) AS gig_date FROM orders)")
 def sort_setlists(spark, d):
     orders = read_table(spark, d, "orders")
     newest = orders.agg(F.max("o_orderdate").alias("newest"))
-    return orders.crossJoin(F.broadcast(newest)).select("o_orderkey", F.nullif(F.col("o_orderdate"), F.col("newest")).alias("gig_date")).orderBy(F.col("gig_date").desc_nulls_last(), "o_orderkey")
+    rows = orders.crossJoin(F.broadcast(newest)).select("o_orderkey", F.nullif(F.col("o_orderdate"), F.col("newest")).alias("gig_date"))  # one row
+    return numbered(rows, [F.col("gig_date").desc_nulls_last(), F.col("o_orderkey")], "rank")
 
 
-@query("SELECT p_name, p_brand FROM part")
+@query("SELECT p_partkey, p_name, row_number() OVER (ORDER BY p_name, p_partkey) - 1 AS rank FROM part")
 def sort_locale(spark, d):
-    return read_table(spark, d, "part").select("p_name", "p_brand").orderBy(F.collate("p_name", "UNICODE"), "p_brand")
+    """In the order of the root locale, which for these lower-case names is that of their code points."""
+    return numbered(read_table(spark, d, "part").select("p_partkey", "p_name"), [F.collate("p_name", "UNICODE"), F.col("p_partkey")], "rank")
 
 
 @query("SELECT event_id, ts, event_type FROM events ORDER BY ts DESC, event_id DESC LIMIT 100")
@@ -247,19 +249,19 @@ def topk_score(spark, d):
     return read_table(spark, d, "part").select("p_partkey", (F.col("p_size") + F.col("p_retailprice")).alias("score")).orderBy(F.desc("score"), "p_partkey").limit(20)
 
 
-@query()
+@query("WITH t AS (SELECT p_partkey, p_size + p_retailprice AS score FROM part ORDER BY score DESC, p_partkey LIMIT 20) SELECT * FROM t ORDER BY ('0x' || left(md5(p_partkey || ':7'), 8))::BIGINT, p_partkey LIMIT 1")
 def sample_one(spark, d):
-    return topk_score(spark, d).orderBy(F.rand(7)).limit(1)
+    return sample_rows(topk_score(spark, d), 1, "p_partkey")
 
 
-@query()
+@query("SELECT event_id FROM events WHERE ('0x' || left(md5(event_id || ':7'), 8))::BIGINT < 0.35 * 4294967296")
 def sample_bernoulli(spark, d):
-    return read_table(spark, d, "events").where(F.rand(7) < 0.35).select("event_id")
+    return sample_share(read_table(spark, d, "events"), 0.35, "event_id").select("event_id")
 
 
 @query(f"WITH {SONGS} SELECT id, lag(id) OVER w AS previous_id, lead(id) OVER w AS next_id FROM songs WINDOW w AS (PARTITION BY artist ORDER BY title, id)")
 def seq_prev_next(spark, d):
-    return library.neighbours(songs(spark, d), Window.partitionBy("artist").orderBy("title", "id"), "id").select("id", "previous_id", "next_id")
+    return neighbours(songs(spark, d), ["artist"], ["title", "id"], "id").select("id", "previous_id", "next_id")
 
 
 # Sets
@@ -298,14 +300,14 @@ def set_not_tried(spark, d):
 # Changes
 
 
-@query(f"WITH {SONGS} SELECT count(*) AS n, count(DISTINCT id) AS ids, count(genre) AS genres, (min(CASE WHEN title = 'new' THEN id END) > (SELECT max(id) FROM songs)) AS beyond FROM (SELECT id, title, genre FROM songs UNION ALL SELECT (SELECT max(id) FROM songs) + 1 + row_number() OVER (ORDER BY id), 'new', NULL FROM songs WHERE id % 2 = 0)")
+@query(f"WITH {SONGS} SELECT count(*) AS n, count(DISTINCT id) AS ids, count(genre) AS genres, min(CASE WHEN title = 'new' THEN id END) - (SELECT max(id) FROM songs) AS first, max(id) - (SELECT max(id) FROM songs) AS last FROM (SELECT id, title, genre FROM songs UNION ALL SELECT (SELECT max(id) FROM songs) + row_number() OVER (ORDER BY id), 'new', NULL FROM songs WHERE id % 2 = 0)")
 def mut_insert_song(spark, d):
     rows = songs(spark, d).select("id", "title", "genre")
     new = rows.where("id % 2 = 0").select(F.lit("new").alias("title"))
     out = mutations.insert_rows(rows, new)
     top = rows.agg(F.max("id").alias("top"))
-    counts = out.agg(F.count("*").alias("n"), F.countDistinct("id").alias("ids"), F.count("genre").alias("genres"), F.min(F.when(F.col("title") == "new", F.col("id"))).alias("least"))
-    return counts.crossJoin(top).select("n", "ids", "genres", (F.col("least") > F.col("top")).alias("beyond"))  # one row each
+    counts = out.agg(F.count("*").alias("n"), F.countDistinct("id").alias("ids"), F.count("genre").alias("genres"), F.min(F.when(F.col("title") == "new", F.col("id"))).alias("least"), F.max("id").alias("most"))
+    return counts.crossJoin(top).select("n", "ids", "genres", (F.col("least") - F.col("top")).alias("first"), (F.col("most") - F.col("top")).alias("last"))  # one row each
 
 
 @query(f"WITH {SONGS} SELECT id, title, CASE WHEN id = 3 THEN NULL ELSE genre END AS genre, CASE WHEN id = 3 THEN 77 ELSE bpm END AS bpm FROM songs")

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from ..functions import pitch, scalars, text
-from ..operators import cache, charts, library, mutations
-from ..sources.tables import SCHEMAS, first_row, read_table
+from ..operators import cache, charts, importer, library, mutations
+from ..operators.ordering import numbered
+from ..sources import files
+from ..sources.tables import empty_table, first_row, open_catalogue, read_table, scratch_path, write_snapshot
 from .registry import query
 from .stand_ins import ENTRIES, LINKS, LISTS, SCALE, SONGS, entries, events, links, lists, songs
 
@@ -28,11 +32,13 @@ def src_first(spark, d):
     return spark.createDataFrame([(found["p_partkey"] if found else None,)], "p_partkey long")
 
 
-@query("SELECT 6 AS tables, 49 AS columns")
+@query("SELECT 'songs' AS name, 23 AS columns, count(*) AS rows FROM part UNION ALL VALUES ('tags', 4, 0), ('song_tags', 2, 0), ('setlists', 6, 0), ('setlist_songs', 8, 0), ('import_log', 6, 0)")
 def src_db_open(spark, d):
-    """The catalogue's tables and columns."""
-    kinds = [(name, len(schema.split(", "))) for name, schema in SCHEMAS.items()]
-    return spark.createDataFrame(kinds, "name string, n int").agg(F.count("*").cast("int").alias("tables"), F.sum("n").cast("int").alias("columns"))
+    """A catalogue is written and opened; its tables, their columns and rows."""
+    path = scratch_path(spark, "opened")
+    write_snapshot({"songs": empty_table(spark, "songs").unionByName(songs(spark, d), allowMissingColumns=True)}, path)
+    counts = [t.agg(F.lit(name).alias("name"), F.lit(len(t.columns)).alias("columns"), F.count("*").alias("rows")) for name, t in open_catalogue(spark, path).items()]
+    return reduce(lambda a, b: a.union(b), counts)
 
 
 @query("SELECT vec_id, label FROM embeddings WHERE trim(CASE WHEN label % 3 = 0 THEN ' ' ELSE 'about ' || label END) <> ''")
@@ -41,12 +47,41 @@ def src_vector_build(spark, d):
     return read_table(spark, d, "embeddings").withColumn("about", about).where(F.trim("about") != "").select("vec_id", "label")
 
 
-@query("SELECT conv_id, turn, CASE role WHEN 'user' THEN 1 WHEN 'assistant' THEN 2 END AS content FROM conversations")
+@query("SELECT conv_id, turn, CASE role WHEN 'user' THEN 'asks' WHEN 'assistant' THEN 'replies' END AS content FROM conversations")
 def src_file_by_key(spark, d):
     """What a file named like the lower-cased label holds, else null."""
-    named = spark.createDataFrame([("user", 1), ("assistant", 2)], "name string, content int")
+    path = scratch_path(spark, "named")
+    files.write_files(spark, path, {"user.gif": b"asks", "assistant.gif": b"replies", "other.gif": b"x"})
     rows = read_table(spark, d, "conversations").withColumn("label", F.upper("role"))
-    return rows.join(named, F.lower("label") == F.col("name"), "left").select("conv_id", "turn", "content")
+    found = files.content_by_label(rows, files.find_files(spark, path, "*.gif"), "label")
+    return found.select("conv_id", "turn", F.col("file_content").cast("string").alias("content"))
+
+
+_DOCX_TEXT = "'# ' || n_name || ' – G' || chr(9) || chr(9) || 'Region ' || n_regionkey || chr(10) || 'Verse' || chr(10) || 'G  D' || chr(10) || 'words of ' || n_name"
+
+
+@query(f"SELECT n_nationkey, CASE WHEN n_nationkey % 7 <> 3 THEN {_DOCX_TEXT} END AS text FROM nation")
+def src_docx(spark, d):
+    """A word-processor file for each nation, some of them broken, read back."""
+    path = scratch_path(spark, "docx")
+    made = {}
+    for r in read_table(spark, d, "nation").collect():  # 25 rows at every size
+        page = files.docx([(f"{r.n_name} – G\t\tRegion {r.n_regionkey}", "Heading1"), ("Verse", None), ("G  D", None), (f"words of {r.n_name}", None)])
+        made[f"{r.n_nationkey}.docx"] = page if r.n_nationkey % 7 != 3 else b"broken"
+    files.write_files(spark, path, made | {"~$1.docx": b"lock"})
+    return files.read_docx(spark, path).select(F.regexp_extract("path", r"(\d+)\.docx$", 1).cast("int").alias("n_nationkey"), "text")
+
+
+@query("SELECT n_nationkey, CASE WHEN n_nationkey % 7 = 3 THEN 'error' WHEN n_nationkey % 5 = 0 THEN 'skipped' ELSE 'dryRun' END AS status, CASE WHEN n_nationkey % 7 <> 3 AND n_nationkey % 5 = 0 THEN n_nationkey::BIGINT END AS song_id FROM nation")
+def imp_docx_dry(spark, d):
+    """A dry run of the import from word-processor files: what would be taken, and which songs are there already."""
+    path = scratch_path(spark, "docx")
+    nations = read_table(spark, d, "nation")
+    page = lambda r: files.docx([(f"{r.n_name} – G\t\tRegion {r.n_regionkey}", "Heading1"), ("words", None)])
+    files.write_files(spark, path, {f"{r.n_nationkey}.docx": page(r) if r.n_nationkey % 7 != 3 else b"broken" for r in nations.collect()})  # 25 rows at every size
+    known = nations.where("n_nationkey % 5 = 0").select(F.col("n_nationkey").cast("long").alias("id"), F.lower("n_name").alias("title"), F.concat(F.lit("REGION "), F.col("n_regionkey").cast("string")).alias("artist"))
+    _, log = importer.import_charts(files.read_docx(spark, path), known, dry_run=True)
+    return log.select(F.regexp_extract("source_file", r"(\d+)\.docx$", 1).cast("int").alias("n_nationkey"), "status", "song_id")
 
 
 @query("SELECT p_partkey FROM part WHERE p_type = 'PROMO' AND p_size = 7")
@@ -60,25 +95,25 @@ def flt_empty_params(spark, d):
 # Orders
 
 
-@query(f"WITH {SONGS} SELECT id, {_FOLD('artist')} AS key FROM songs")
+@query(f"WITH {SONGS} SELECT id, {_FOLD('artist')} AS key, row_number() OVER (ORDER BY {_FOLD('artist')} NULLS FIRST, id) - 1 AS rank FROM songs")
 def sort_artist(spark, d):
-    return library.search(songs(spark, d), sort="artist").select("id", text.ascii_fold(F.col("artist")).alias("key"))
+    return numbered(library.search(songs(spark, d), sort="artist").select("id", text.ascii_fold(F.col("artist")).alias("key")), [], "rank")
 
 
-@query(f"WITH {LINKS} SELECT name, count(*) AS n, CASE WHEN length(name) = 7 THEN NULL ELSE 'two' END AS category FROM links GROUP BY 1")
+@query(f"WITH {LINKS} SELECT name, n, category, row_number() OVER (ORDER BY category NULLS LAST, n DESC, name) - 1 AS rank FROM (SELECT name, count(*) AS n, CASE WHEN length(name) = 7 THEN NULL ELSE 'two' END AS category FROM links GROUP BY 1)")
 def sort_multi_tags(spark, d):
     counts = links(spark, d).groupBy("name").agg(F.count("*").alias("n")).withColumn("category", F.when(F.length("name") != 7, "two"))
-    return counts.orderBy(F.col("category").asc_nulls_last(), F.desc("n"), text.ascii_fold(F.col("name")))
+    return numbered(counts, [F.col("category").asc_nulls_last(), F.desc("n"), text.ascii_fold(F.col("name"))], "rank")
 
 
-@query(f"WITH {LINKS} SELECT song_id, name FROM links WHERE song_id < 50")
+@query(f"WITH {LINKS} SELECT song_id, name, row_number() OVER (ORDER BY song_id, name) - 1 AS rank FROM links")
 def sort_song_tags(spark, d):
-    return links(spark, d).where("song_id < 50").orderBy("song_id", text.ascii_fold(F.col("name")))
+    return numbered(links(spark, d), [F.col("song_id"), text.ascii_fold(F.col("name"))], "rank")
 
 
-@query(f"WITH {ENTRIES} SELECT setlist_id, position, song_id FROM entries WHERE setlist_id = 7")
+@query(f"WITH {ENTRIES} SELECT setlist_id, position, song_id, row_number() OVER (ORDER BY setlist_id, position, song_id) - 1 AS rank FROM entries")
 def sort_position(spark, d):
-    return entries(spark, d).where("setlist_id = 7").orderBy("position", "song_id").select("setlist_id", "position", "song_id")
+    return numbered(entries(spark, d).select("setlist_id", "position", "song_id"), [F.col(c) for c in ("setlist_id", "position", "song_id")], "rank")
 
 
 @query(f"WITH {LINKS} SELECT name, count(*) AS n FROM links GROUP BY 1")
@@ -199,9 +234,9 @@ def arr_every(spark, d):
     return read_table(spark, d, "part").select("p_partkey", F.forall(divisors, hit).alias("every"), F.exists(divisors, hit).alias("some"), F.try_element_at(F.filter(divisors, hit), F.lit(1)).alias("first"))
 
 
-@query("SELECT doc_id, replace(text, chr(10), ' / ') AS joined FROM documents WHERE lang = 'es'")
+@query("SELECT doc_id, replace(text, chr(10), ' / ') AS joined FROM documents")
 def arr_join(spark, d):
-    return read_table(spark, d, "documents").where("lang = 'es'").select("doc_id", F.array_join(F.split("text", "\n", -1), " / ").alias("joined"))
+    return read_table(spark, d, "documents").select("doc_id", F.array_join(F.split("text", "\n", -1), " / ").alias("joined"))
 
 
 @query("SELECT event_id, 2 + (user_id % 2 = 0)::INT + (value > 50)::INT AS n, CASE WHEN user_id % 2 = 0 THEN user_id::VARCHAR END AS conversation FROM events")

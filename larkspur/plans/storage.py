@@ -148,9 +148,9 @@ def imp_songs(spark, d):
     return grown.agg(F.countDistinct("id").alias("songs"), F.count("chart_written_key").alias("keyed"))
 
 
-@query("SELECT p_partkey AS id, 'chord_lyric' AS items FROM part WHERE p_partkey % 10 <> 0")
+@query("SELECT p_partkey AS id, unnest([0, 1]) AS nth, unnest(['chord_lyric', CASE WHEN p_size % 2 = 0 THEN 'lyric' ELSE 'chord_only' END]) AS items FROM part WHERE p_partkey % 10 <> 0")
 def txt_sections_of_import(spark, d):
-    """The sections of each text's first chart."""
-    first = importer.split_charts(_texts(spark, d)).where("nth = 0")
-    found = charts.sections(charts.classified_lines(first, "path", "chart_content"))
-    return found.select(F.substring("id", 2, 12).cast("long").alias("id"), F.array_join(F.transform("lines", lambda x: x["type"]), ",").alias("items"))
+    """The sections of each text's charts."""
+    found = charts.sections(charts.classified_lines(importer.split_charts(_texts(spark, d)), "id", "chart_content"))
+    nth = F.substring_index("id", "#", -1).cast("int")
+    return found.select(F.substring("id", 2, 12).cast("long").alias("id"), nth.alias("nth"), F.array_join(F.transform("lines", lambda x: x["type"]), ",").alias("items"))

@@ -54,6 +54,34 @@ def read_numbers_csv(spark: SparkSession, path: str, numbers: list[str]) -> Data
     return rows.withColumns({c: number_or_zero(F.col(c)) for c in numbers})
 
 
+def write_files(spark: SparkSession, folder: str, named: dict[str, bytes]) -> None:
+    """Writes a few small files by name, wherever the folder is."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs = at(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for name, content in named.items():
+        out = fs.create(at(f"{folder}/{name}"))
+        out.write(bytearray(content))
+        out.close()
+
+
+def docx(paragraphs: list[tuple[str, str | None]]) -> bytes:
+    """A word-processor file of (text, style) paragraphs."""
+    body = ElementTree.Element(f"{_W}document")
+    for text, style in paragraphs:
+        p = ElementTree.SubElement(ElementTree.SubElement(body, f"{_W}body") if not len(body) else body[0], f"{_W}p")
+        if style:
+            ElementTree.SubElement(ElementTree.SubElement(p, f"{_W}pPr"), f"{_W}pStyle", {f"{_W}val": style})
+        run = ElementTree.SubElement(p, f"{_W}r")
+        for i, part in enumerate(text.split("\t")):
+            if i:
+                ElementTree.SubElement(run, f"{_W}tab")
+            ElementTree.SubElement(run, f"{_W}t").text = part
+    data = io.BytesIO()
+    with zipfile.ZipFile(data, "w") as z:
+        z.writestr("word/document.xml", ElementTree.tostring(body))
+    return data.getvalue()
+
+
 def content_by_label(labels: DataFrame, files: DataFrame, label: str) -> DataFrame:
     """The content of the file named like each label in lower case, else null."""
     named = files.select(F.regexp_extract("path", r"([^/]+)\.[^./]*$", 1).alias("_name"), F.col("content").alias("file_content"))
