@@ -1,6 +1,7 @@
 """A uniform shuffle into shards of exact sizes by a hypergeometric communication matrix.
 
-Rows are dealt into about sqrt(n) logical partitions by a hash of their key.
+Rows are numbered in the order of their key and dealt into about sqrt(n) logical
+partitions by a hash of that number, so that no key, however frequent, is hot.
 The driver draws how many rows each partition sends to each shard: row by row a
 multivariate hypergeometric draw from the shards' remaining places, which is the
 law of those counts under a uniform permutation. Every partition permutes its
@@ -17,7 +18,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import unit
+from .shared import numbered, unit
 
 SEED = 20_231
 
@@ -58,24 +59,27 @@ def shuffle_rows(df: DataFrame, shards: int = 8, key: list[str] | None = None, s
     """Adds ``shard`` (0 to shards - 1) and ``slot`` (gapless from 0 inside the shard) to every row.
 
     Shard sizes differ by one at most; which rows meet in a shard, and in which
-    order, is a uniform permutation decided by ``seed`` and the key columns
-    (default: all). Equal keys fall to the same logical partition, in any order;
-    null keys count as a value. An empty table gives an empty result. Columns of
-    df named like the two new ones are replaced.
+    order, is a uniform permutation decided by ``seed`` and the rows' places in the
+    order of the key columns (default: all) and then of all others, so reruns
+    agree, but for rows that are equal, which may change places. Null keys count
+    as a value, and come first. An empty table gives an empty result; values of
+    any length pass through. Columns of df named like the two new ones are replaced.
     """
     kept = [c for c in df.columns if c not in (shard_col, slot_col)]
-    by = [df[c] for c in key or df.columns]
-    n = df.count()
+    by = [df[c].alias(f"_key{i}") for i, c in enumerate(key or [])]
+    keyed = df.select(F.struct(*[df[c] for c in kept]).alias("_row"), *by, F.xxhash64(*[df[c] for c in kept]).alias("_hash"))
+    placed = numbered(keyed, [*[F.col(f"_key{i}").asc_nulls_first() for i in range(len(by))], F.col("_hash"), F.monotonically_increasing_id()])
+    n = placed.count()
     parts = math.isqrt(max(n - 1, 0)) + 1
-    drawn = lambda k: unit(F.lit(seed + k), *by)
-    rows = df.select(F.struct(*[df[c] for c in kept]).alias("_row"), F.floor(drawn(0) * parts).alias("_part"), drawn(1).alias("_u"), drawn(2).alias("_v"))
+    drawn = lambda k: unit(F.lit(seed + k), "n")
+    rows = placed.select("_row", "n", F.floor(drawn(0) * parts).alias("_part"), drawn(1).alias("_u"), drawn(2).alias("_v"))
     counts = {r["_part"]: r["count"] for r in rows.groupBy("_part").count().collect()}
     matrix = communication_matrix([counts.get(p, 0) for p in range(parts)], [n // shards + (s < n % shards) for s in range(shards)], seed)
     spark = df.sparkSession
     cuts = spark.createDataFrame(list(enumerate(np.cumsum(matrix, axis=1).tolist())), "_part long, _cuts array<long>")
-    local = F.row_number().over(Window.partitionBy("_part").orderBy("_u")) - 1
+    local = F.row_number().over(Window.partitionBy("_part").orderBy("_u", "n")) - 1
     dealt = rows.withColumn("_at", local).join(cuts, "_part")
-    dealt = dealt.select("_row", "_v", F.size(F.filter("_cuts", lambda c: c <= F.col("_at"))).alias("_shard"))
+    dealt = dealt.select("_row", "_v", "n", F.size(F.filter("_cuts", lambda c: c <= F.col("_at"))).alias("_shard"))
     return _slots(dealt, parts, kept, shard_col, slot_col)
 
 
@@ -85,6 +89,6 @@ def _slots(dealt: DataFrame, buckets: int, kept: list[str], shard_col: str, slot
     counts = dealt.groupBy("_shard", "_bucket").count()
     ahead = Window.partitionBy("_shard").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     before = counts.select("_shard", "_bucket", F.coalesce(F.sum("count").over(ahead), F.lit(0)).alias("_before"))
-    local: Column = F.row_number().over(Window.partitionBy("_shard", "_bucket").orderBy("_v")) - 1
+    local: Column = F.row_number().over(Window.partitionBy("_shard", "_bucket").orderBy("_v", "n")) - 1
     placed = dealt.withColumn("_at", local).join(before, ["_shard", "_bucket"])
     return placed.select(*[F.col("_row")[c].alias(c) for c in kept], F.col("_shard").cast("int").alias(shard_col), (F.col("_before") + F.col("_at")).alias(slot_col))

@@ -11,9 +11,11 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import ordering
+
 #: Words are runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Bytes of text that are split into words at once.
@@ -68,20 +70,9 @@ def unit(*cols: Column | str) -> Column:
     return (F.shiftrightunsigned(F.xxhash64(*cols), 12).cast("double") + 0.5) / float(1 << 52)
 
 
-def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
-    """Adds ``n``, each row's place from 0 in the global order, without gathering rows in one task.
-
-    Rows are range-partitioned and sorted, then staged with their partition's
-    number; only one count for each partition is summed up across partitions.
-    """
-    spread = F.monotonically_increasing_id()
-    rows = stage(df.orderBy(*order).withColumn("_at", spread), name)
-    part, local = F.shiftright("_at", 33), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
-    rows = rows.withColumn("_part", part).withColumn("_local", local)
-    counts = rows.groupBy("_part").count()
-    ahead = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    before = counts.select("_part", F.coalesce(F.sum("count").over(ahead), F.lit(0)).alias("_before"))
-    return rows.join(before, "_part").withColumn("n", F.col("_before") + F.col("_local")).drop("_at", "_part", "_local", "_before")
+def numbered(df: DataFrame, order: list[Column], name: str = "rows") -> DataFrame:
+    """Adds ``n``, each row's place from 0 in the global order, without gathering rows in one task."""
+    return ordering.numbered(df, order, "n")
 
 
 def components(edges: DataFrame) -> DataFrame:
