@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import components, signed, stage, token_hashes
+from .shared import components, signed, stage, token_hashes, unstage
 
 TAU, M, SHINGLE, SEED = 4, 5, 4, 42
 #: Fingerprints of a bucket that one task compares with as many others.
@@ -361,6 +361,8 @@ def similar_texts(docs: DataFrame, row_col: str, text_col: str = "text", shingle
 
     of = lambda end, to: looked_at.select(F.col("row").alias(end), F.col("own").alias(to))
     held = edges.join(of("a", "one"), "a").join(of("b", "two"), "b").where(alike("one", "two"))
-    roots = components(held.select("a", "b"))
+    roots = components(held.select("a", "b"))  # all links have been read when this returns
+    for read in (shared, edges, looked_at):
+        unstage(read)
     of = distinct.join(roots.withColumnRenamed("node", "id"), "id", "left").select("fp", F.coalesce("root", "id").alias("root"))
     return found.join(of, "fp").select(F.col("row").alias(row_col), "root")
