@@ -174,8 +174,9 @@ def fit(labelled: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_
     def vector(texts: pa.Array) -> pa.Array:
         return pa.array([features(t).astype(np.float16).tobytes() for t in texts.to_pylist()], pa.binary())
 
-    drawn = rows.where(u < chance[F.col(lang_col)]).select(u.alias("u"), F.col(lang_col).alias("lang"), vector(F.col(text_col)).alias("features"), F.substring(F.encode(text_col, "UTF-8"), 1, LENGTHS[-1]).alias("head"))
-    found = drawn.limit(2 * sample).groupBy().applyInPandas(_train, "model binary").first()
+    place = u / chance[F.col(lang_col)]  # from 0 to 1 for what is drawn, in every language
+    drawn = rows.where(place < 1).select(place.alias("u"), F.col(lang_col).alias("lang"), vector(F.col(text_col)).alias("features"), F.substring(F.encode(text_col, "UTF-8"), 1, LENGTHS[-1]).alias("head"))
+    found = drawn.orderBy("u").limit(sample).groupBy().applyInPandas(_train, "model binary").first()
     return pickle.loads(found["model"]) if found else Model(np.zeros((0, WIDTH), np.float32), np.array([], str))
 
 
@@ -183,8 +184,10 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", lang_col: st
     """Adds the predicted language and a score from 0 to 1 to every row, from its text alone.
 
     A null text or one without letters gets ``und`` and score 0, as does every
-    text if the model has learned no language. Columns named like the new ones
-    are replaced. ``belongs_col`` adds whether the text has letters and is in a
+    text if the model has learned no language. A text of any length is read whole,
+    a piece at a time; of languages with equal votes the later name wins; repeated
+    rows are judged each; an empty table stays empty. Columns named like the new
+    ones are replaced. ``belongs_col`` adds whether the text has letters and is in a
     learned language at all, as far as its length lets one tell.
     """
     spark: SparkSession = docs.sparkSession

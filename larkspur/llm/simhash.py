@@ -182,7 +182,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     component_id is the least id reachable over links of at most TAU differing
     bits. Texts that are null, empty or blank have fingerprint 0 and are linked
-    like any other; shorter texts than a shingle count as one shingle. Repeated
+    like any other; shorter texts than a shingle count as one shingle. A text of
+    any length is read whole: its words and a joined copy are held at once, its
+    shingles' hashes a chunk at a time. Repeated
     rows keep a row each. Null ids are never least; a component of null ids only
     has a null component_id. An empty table gives an empty result. Further
     columns are not read, but for ``row_col``, a key of the rows: it is returned,
