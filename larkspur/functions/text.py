@@ -28,8 +28,8 @@ def ascii_fold(x: Column) -> Column:
 
 
 def contains_fold(x: Column, part: str) -> Column:
-    """Case-insensitive LIKE '%part%', in which % and _ of ``part`` are wildcards and nothing escapes."""
-    return F.ilike(x, F.lit(f"%{part}%"), F.lit("\u0001"))
+    """LIKE '%part%' whatever the case of ASCII letters, in which % and _ of ``part`` are wildcards and nothing escapes."""
+    return F.like(ascii_fold(x), F.lit(f"%{part.translate(str.maketrans(_UPPER, _LOWER))}%"), F.lit("\u0001"))
 
 
 def empty_to_null(x: Column) -> Column:

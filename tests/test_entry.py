@@ -6,4 +6,4 @@ import __spark_entry__ as entry
 def test_contract(spark):
     queries = entry.queries()
     assert set(entry.oracle_sql()) <= set(queries)
-    assert entry.entry(spark).count() >= 0
+    assert entry.entry(spark).count() > 0
