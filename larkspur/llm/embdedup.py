@@ -1,23 +1,25 @@
 """Near-duplicate vectors by collision-counting projections.
 
-Vectors of length 1 are projected on the axes of a random orthonormal basis and
-sorted along the first. Two vectors collide on an axis if one lies in the window
-of half width w around the other. As the squared differences over all axes sum
-to the squared distance, 2 - 2 * cosine, a pair at the threshold or above misses
-at most (2 - 2 * threshold) / w ** 2 axes: the collision count that a
-pair has to reach is set for a recall of 1, whatever the data. Pairs that reach
-it are verified by their cosine in double precision.
-
-Equal vectors are one class with a count. Sorted classes are cut into blocks, and
-only blocks whose ranges on the first axis come within the distance meet: first
-their numbers and ranges alone, then each pair of blocks fetches its vectors. A
-task compares two blocks, and returns how many links each vector has and a
-spanning forest of the links, never the pairs.
+Vectors of length 1 are projected on PROJECTIONS random directions, and sorted
+along each. Two vectors collide on a direction if one lies in the window around
+the other. The window is as wide as lets two vectors at the threshold collide
+with chance HIT; the collisions of such a pair then follow a binomial law, and
+the count that a pair has to reach is the largest that a pair at the threshold
+misses with a chance of LOST at most (nearer pairs miss it still less). Pairs that
+reach it are verified by their cosine in double precision.
+
+Equal vectors are one class with a count. Classes sorted along the first direction
+are cut into blocks, and only blocks whose ranges on it come within the distance
+meet: first their numbers and ranges alone, then each pair of blocks fetches its
+vectors. A task sorts and counts within two blocks, and returns how many links
+each vector has and a spanning forest of the links, never the pairs.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -29,49 +31,59 @@ from .shared import components, stage
 from .vectors import blocks, matrix, unit_rows, usable
 
 THRESHOLD, BLOCK, SEED = 0.93, 4096, 17
-#: Half width of the windows in standard deviations of a difference between unrelated vectors; axes counted before the first pairs are dropped.
-WINDOW, FIRST = 0.85, 16
-#: Rounding of cosines and projections that windows allow for.
+#: Directions, the chance that a pair at the threshold collides on one, and that it misses the count.
+PROJECTIONS, HIT, LOST = 24, 0.972, 1e-6
+#: Rounding of cosines and projections that windows and blocks' ranges allow for.
 EPS = 1e-9
 
 
-def basis(dim: int) -> np.ndarray:
-    """A random orthonormal basis, the same in every run."""
-    return np.linalg.qr(np.random.default_rng([SEED, dim]).standard_normal((dim, dim)))[0]
+@lru_cache(8)
+def directions(dim: int) -> np.ndarray:
+    """Random directions of length 1 as columns, the same in every run."""
+    x = np.random.default_rng([SEED, dim]).standard_normal((dim, PROJECTIONS))
+    return x / np.linalg.norm(x, axis=0)
+
+
+@lru_cache(8)
+def reach_within(dim: int, chance: float) -> float:
+    """What the size of a random direction's component is at most with the given chance: its arc sine has the density cos ** (dim - 2)."""
+    if dim < 3:
+        return 1.0 if dim < 2 else float(np.sin(chance * np.pi / 2))
+    angle = np.linspace(0, np.pi / 2, 200_001)
+    mass = np.cumsum(np.cos(angle) ** (dim - 2))
+    return float(np.sin(angle[min(int(np.searchsorted(mass, chance * mass[-1])) + 1, len(angle) - 1)]))
+
+
+@lru_cache(1)
+def least_count() -> int:
+    """The largest count that all but LOST of the pairs at the threshold reach."""
+    below = [sum(comb(PROJECTIONS, k) * HIT**k * (1 - HIT) ** (PROJECTIONS - k) for k in range(c)) for c in range(PROJECTIONS + 1)]
+    return max(c for c, missed in enumerate(below) if missed <= LOST)
 
 
 def near_pairs(x: np.ndarray, y: np.ndarray, threshold: float, same: bool) -> tuple[np.ndarray, np.ndarray]:
     """Index pairs (i of x, j of y; i < j in the same block) with cosine at the threshold or above."""
     x, y = unit_rows(x), unit_rows(y)
-    axes = basis(x.shape[1])
+    axes = directions(x.shape[1])
     px, py = x @ axes, y @ axes
-    reach = np.sqrt(max(2 - 2 * threshold, 0)) + EPS
-    window = WINDOW * np.sqrt(2 / x.shape[1])
-    misses = int(reach**2 / window**2 + EPS)
-    order = np.argsort(py[:, 0], kind="stable")
-    low, high = np.searchsorted(py[order, 0], px[:, 0] - reach), np.searchsorted(py[order, 0], px[:, 0] + reach, "right")
+    window = np.sqrt(max(2 - 2 * threshold, 0)) * reach_within(x.shape[1], HIT) + EPS
+    order = np.argsort(py, axis=0, kind="stable")
+    low, high = np.empty(px.shape, np.int64), np.empty(px.shape, np.int64)
+    for t in range(PROJECTIONS):  # the window around each query in each sorted projection
+        along = py[order[:, t], t]
+        low[:, t], high[:, t] = np.searchsorted(along, px[:, t] - window), np.searchsorted(along, px[:, t] + window, "right")
+    order, need = np.ascontiguousarray(order.T), least_count()
     found: list[tuple[np.ndarray, np.ndarray]] = []
-    py, narrow = py[order], lambda p: np.ascontiguousarray(p.T, np.float32)
-    tx, ty, window = narrow(px), narrow(py), np.float32(window + 1e-5)
-    for i in range(0, len(x), 128):  # windows around 128 queries
-        to = slice(low[i : i + 128].min(initial=len(y)), high[i : i + 128].max(initial=0))
-        missed = np.zeros((len(x[i : i + 128]), max(to.stop - to.start, 0)), np.uint16)
-        for t in range(min(FIRST, len(tx))):
-            missed += np.abs(tx[t, i : i + 128, None] - ty[t, None, to]) > window
-        a, b = np.nonzero(missed <= misses)
-        count, a, b = missed[a, b].astype(int), a + i, b + to.start
-        for t in range(FIRST, len(tx)):
-            if not t % 8 and len(a):
-                open_ = count <= misses
-                a, b, count = a[open_], b[open_], count[open_]
-            count += np.abs(tx[t, a] - ty[t, b]) > window
-        a, b = a[count <= misses], order[b[count <= misses]]
+    for i in range(len(x)):
+        count = np.zeros(len(y), np.uint8)
+        for t in range(PROJECTIONS):
+            count[order[t, low[i, t] : high[i, t]]] += 1
+        b = np.flatnonzero(count >= need)
         if same:
-            a, b = a[a < b], b[a < b]
-        for k in range(0, len(a), 1 << 15):
-            p, q = a[k : k + (1 << 15)], b[k : k + (1 << 15)]
-            near = (x[p] * y[q]).sum(axis=1) >= threshold
-            found.append((p[near], q[near]))
+            b = b[b > i]
+        b = b[(y[b] * x[i]).sum(axis=1) >= threshold]
+        if len(b):
+            found.append((np.full(len(b), i), b))
     empty = np.zeros(0, int)
     return np.concatenate([empty, *[f[0] for f in found]]), np.concatenate([empty, *[f[1] for f in found]])
 
@@ -122,7 +134,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
         widths = pc.list_value_length(rows_).to_numpy(zero_copy_only=False)
         for w in set(widths.tolist()):
             own = rows_.filter(pa.array(widths == w))
-            out[widths == w] = unit_rows(own.flatten().to_numpy(zero_copy_only=False).reshape(-1, w)) @ basis(w)[:, 0]
+            out[widths == w] = unit_rows(own.flatten().to_numpy(zero_copy_only=False).reshape(-1, w)) @ directions(w)[:, 0]
         return pa.array(out)
 
     laid = classes.withColumn("at", first_axis("vector")).orderBy("label", "width", "at", "id")
