@@ -16,6 +16,8 @@ the longer ones are rounded: no document's expected copies change.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,6 +27,8 @@ from .shared import WORD, numbered, stage, unit
 FAN, MOST, SEED = 32, 3, 7_411
 #: Sizes, as multiples of a source's mean, above which documents belong to the first wave, the second, and so on.
 WAVES = (4.0, 1.0, 0.25)
+#: Sources, and eighties of bytes of their names, up to which their few numbers are broadcast; more are joined by a shuffle, whose hot keys adaptive execution splits.
+SOURCES = 100_000
 
 _UNIT = "struct<id:bigint,a:bigint,x:double>"
 #: Folds units (u, id, a: size, x: probability) into the one still fractional (a = 0: none) and those decided.
@@ -81,7 +85,7 @@ def source_targets(sizes: DataFrame) -> DataFrame:
     return each.select("n", "source", "source_size", "docs", target.alias("target"), copies.alias("copies"))
 
 
-def _shifted(units: DataFrame, sums: DataFrame, decided: DataFrame | None, wave: int) -> DataFrame:
+def _shifted(units: DataFrame, sums: DataFrame, decided: DataFrame | None, wave: int, beside: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """The wave's probabilities, moved evenly by what its source's longer documents took beyond their share.
 
     Rounding a wave misses its sum by its longest document at most, so what is
@@ -96,7 +100,7 @@ def _shifted(units: DataFrame, sums: DataFrame, decided: DataFrame | None, wave:
     share = F.least(F.lit(1.0), F.least("x", 1 - F.col("x")) * F.col("rest") / F.col("most"))
     over = F.coalesce(share * (F.col("got") - F.col("due")) / F.col("rest"), F.lit(0.0))
     moves = rest.join(got, "n", "left").select("n", over.alias("over"))
-    return units.join(moves, "n").withColumn("x", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("x") - F.col("over")))).drop("over")
+    return units.join(beside(moves), "n").withColumn("x", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("x") - F.col("over")))).drop("over")
 
 
 def _round(units: DataFrame, most: int, seed: int) -> DataFrame:
@@ -131,8 +135,10 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     sizes = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).alias("source"), words.alias("size"), F.xxhash64(text_col).alias("hash"))
     sizes = stage(sizes, "sizes")
     sources = stage(source_targets(sizes), "targets")
+    n, names = sources.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("source")), F.lit(0))).first()
+    beside = F.broadcast if n <= SOURCES and names <= 80 * SOURCES else lambda d: d
     order = [F.col("doc_id").asc_nulls_last(), "hash", F.col("source").asc_nulls_last(), F.monotonically_increasing_id()]
-    rows = numbered(sizes, order, "rows").withColumnRenamed("n", "id").alias("d").join(sources.alias("s"), F.col("d.source").eqNullSafe(F.col("s.source")))
+    rows = numbered(sizes, order, "rows").withColumnRenamed("n", "id").alias("d").join(beside(sources.alias("s")), F.col("d.source").eqNullSafe(F.col("s.source")))
     part = F.col("copies") - F.floor("copies")
     mean = F.try_divide("source_size", "docs")
     wave = F.lit(len(WAVES))
@@ -146,10 +152,10 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         here = sums.where(F.col("wave") == k).select("n", "docs")
         most = here.agg(F.max("docs")).first()[0]
         if most:
-            done = _round(_shifted(units.where(F.col("wave") == k).drop("wave"), sums, decided, k).join(here, "n"), most, seed + 10 * k)
+            done = _round(_shifted(units.where(F.col("wave") == k).drop("wave"), sums, decided, k, beside).join(beside(here), "n"), most, seed + 10 * k)
             decided = done if decided is None else decided.union(done)
     out = rows.withColumn("copy", F.lit(0)) if decided is None else rows.join(decided.select("id", "copy"), "id", "left")
-    out = out.join(sources.select("n", "source_size", "target", F.floor("copies").cast("int").alias("whole")), "n")
+    out = out.join(beside(sources.select("n", "source_size", "target", F.floor("copies").cast("int").alias("whole"))), "n")
     copies = F.coalesce(F.col("whole") + F.coalesce("copy", F.lit(0)), F.lit(0))
     return out.select("doc_id", "size", "source_size", "target", copies.alias("copies"), (F.col("size") * copies).alias("taken"))
 

@@ -323,6 +323,14 @@ def test_rounding_keeps_each_documents_expectation(spark):
         assert np.mean(misses) < 200
 
 
+def test_joined_sources_give_the_same_mix(spark, monkeypatch):
+    rows = [(i, "a b " * (1 + i % 7), "en", [None, "s", "t"][i % 3], 1) for i in range(200)]
+    df = spark.createDataFrame(rows, DOC)
+    one = sorted(map(tuple, mixing.mix(df).collect()))
+    monkeypatch.setattr(mixing, "SOURCES", 0)
+    assert one == sorted(map(tuple, mixing.mix(df).collect()))
+
+
 def test_repeated_rows_of_one_id_are_no_hot_bucket(spark):
     rows = [(5, "a b c", "en", "s", 1)] * 400 + [(None, "a b", "en", "s", 1)] * 300 + [(i, "x " * (i % 9), "en", "t", 1) for i in range(1000, 1100)]
     df = spark.createDataFrame(rows, DOC)
