@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import coded_words, new_path, packed, stage, unpacked
+from .shared import coded_words, new_path, packed, stage, unpacked, unstage
 
 #: Tokens of a part, most words whose followers are spread.
 PART, HOT = 1 << 20, 1 << 20
@@ -312,5 +312,7 @@ def score(docs: DataFrame, target: DataFrame | None = None, id_col: str = "doc_i
     left = chunks.where(F.col("kind") == SCORED).join(own, "chunk", "left").groupBy("chunk")
     right = answers.where("chunk IS NOT NULL").select("chunk", "part", "data").groupBy("chunk")
     found = stage(left.cogroup(right).applyInArrow(judge, "doc_id bigint, n_tokens bigint, target_loss double, background_loss double, score double"), "scores")
+    for read in (chunks, answers, *([own] if members is not None else [])):
+        unstage(read)
     spark.sql(f"DROP TABLE {name}")
     return found
