@@ -4,9 +4,10 @@ The rules' strings (host and path) are hashed to 64 bits with xxhash and sorted.
 Three files hold the digests, the strings' offsets and verdicts, and the strings;
 Spark ships them to the executors, whose workers map them into memory: only the
 pages that are touched are loaded, and the workers of a machine share them. A
-URL's candidate strings (each parent domain of its host with each rule-long
-beginning of its path) are probed together by vectorised binary search, and a
-hit counts only if the stored string is equal.
+URL's candidates are each parent domain of its host with each rule-long beginning
+of its path; their digests come from one pass over the path for each domain, are
+probed together by vectorised binary search, and a hit counts only if the stored
+string is equal.
 
 The files are bounded by LIMIT bytes, which is checked before they are made;
 larger rule tables are joined with the candidate strings instead, by Spark, with
@@ -17,7 +18,7 @@ from __future__ import annotations
 
 import mmap
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -32,6 +33,8 @@ from .shared import fresh, new_path
 #: Bytes of rules that are shipped to every executor at most.
 LIMIT = 1 << 30
 DEFAULT = "allow"
+#: Digests that are probed at once.
+PROBES = 1 << 16
 _LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
 
 
@@ -49,15 +52,30 @@ def split_url(url: str | None) -> tuple[str, str]:
     return rest[:i].translate(_LOWER), path.partition("?")[0].partition("#")[0]
 
 
-def candidates(host: str, path: str, lengths: list[int]) -> list[str]:
-    """Strings that a fitting rule has, the longest first; of equal length, the longer host first."""
-    if not host:
-        return []
-    hosts, at = [host], host.find(".")
+def domains(host: str) -> list[str]:
+    """The host and its parent domains, but for empty ones."""
+    out, at = [host], host.find(".")
     while at >= 0:
-        hosts.append(host[at + 1 :])
+        out.append(host[at + 1 :])
         at = host.find(".", at + 1)
-    return sorted((h + path[:n] for h in hosts if h for n in lengths if n <= len(path)), key=len, reverse=True)
+    return [h for h in out if h]
+
+
+def candidates(host: str, path: str, lengths: list[int]) -> list[str]:
+    """Strings that a fitting rule has, the longest first; of equal length, the longer host first."""
+    return sorted((h + path[:n] for h in domains(host) for n in lengths if n <= len(path)), key=len, reverse=True)
+
+
+def digests_of(host: str, path: str, lengths: list[int]) -> Iterator[tuple[int, str, int]]:
+    """(digest, domain, length of the path's beginning) of the same strings; ``lengths`` ascend."""
+    for h in domains(host):
+        x, at = xxhash.xxh64(h.encode(errors="surrogatepass")), 0
+        for n in lengths:
+            if n > len(path):
+                break
+            x.update(path[at:n].encode(errors="surrogatepass"))
+            at = n
+            yield x.intdigest(), h, n
 
 
 def _rules(rules: DataFrame) -> DataFrame:
@@ -118,15 +136,20 @@ class DigestArray:
 
     def find(self, keys: list[str]) -> list[int]:
         """The place of each key; -1 if it is not stored."""
-        data = [k.encode(errors="surrogatepass") for k in keys]
-        want = np.array([xxhash.xxh64_intdigest(k) for k in data], np.uint64)
         found = [-1] * len(keys)
+        want = np.array([xxhash.xxh64_intdigest(k.encode(errors="surrogatepass")) for k in keys], np.uint64)
+        for i, at in self.hits(want, lambda i: keys[i]):
+            found[i] = at
+        return found
+
+    def hits(self, want: np.ndarray, key: Callable[[int], str]) -> Iterator[tuple[int, int]]:
+        """(which digest, place) where the stored string is that digest's key."""
         low, high = np.searchsorted(self.digests, want, "left"), np.searchsorted(self.digests, want, "right")
         for i in np.flatnonzero(high > low).tolist():
+            data = key(i).encode(errors="surrogatepass")
             for at in range(low[i], high[i]):
-                if self.strings[int(self.offsets[at]) >> 1 : int(self.offsets[at + 1]) >> 1] == data[i]:
-                    found[i] = at
-        return found
+                if self.strings[int(self.offsets[at]) >> 1 : int(self.offsets[at + 1]) >> 1] == data:
+                    yield i, at
 
     def allows(self, at: int) -> bool:
         return bool(int(self.offsets[at]) & 1)
@@ -150,6 +173,7 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url_col: str = "url", default
     known = _rules(rules)
     size = known.agg(F.coalesce(F.sum(F.octet_length("key") + 16), F.lit(0)), F.collect_set("n")).first()
     lengths = sorted(size[1], reverse=True)
+    ascending = lengths[::-1]
     kept = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
     if not size[0]:
         names: tuple[str, ...] = ()
@@ -161,17 +185,25 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url_col: str = "url", default
     @F.arrow_udf("host string, path string, rule string, verdict string")
     def judge(urls: pa.Array) -> pa.Array:
         parts = [split_url(u) for u in urls.to_pylist()]
-        keys = [candidates(h, p, lengths) for h, p in parts]
         rule, verdict = [None] * len(parts), [default] * len(parts)
-        if names:
+        best = [(0, 0)] * len(parts)  # lengths of the rule and of its host
+        held: list[tuple[int, int, str, int]] = []
+
+        def probe() -> None:
             array = _array(names)
-            found, at = array.find([k for own in keys for k in own]), 0
-            for i, own in enumerate(keys):
-                for k, place in zip(own, found[at : at + len(own)]):
-                    if place >= 0:
-                        rule[i], verdict[i] = k, "allow" if array.allows(place) else "block"
-                        break
-                at += len(own)
+            key = lambda k: held[k][2] + parts[held[k][0]][1][: held[k][3]]
+            for k, place in array.hits(np.array([d for _, d, _, _ in held], np.uint64), key):
+                i, _, h, n = held[k]
+                if (len(h) + n, len(h)) > best[i]:
+                    best[i], rule[i], verdict[i] = (len(h) + n, len(h)), key(k), "allow" if array.allows(place) else "block"
+            held.clear()
+
+        for i, (h, p) in enumerate(parts if names else []):
+            held += [(i, *x) for x in digests_of(h, p, ascending)]
+            if len(held) >= PROBES:
+                probe()
+        if held:
+            probe()
         return pa.StructArray.from_arrays([pa.array(list(c), pa.string()) for c in ([h for h, _ in parts], [p for _, p in parts], rule, verdict)], ["host", "path", "rule", "verdict"])
 
     at = fresh(pages, "_judged")

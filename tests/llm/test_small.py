@@ -435,6 +435,19 @@ def test_language_of_held_out_documents(spark, sf):
     assert {r.lang_pred for r in langid.identify(docs.limit(5), one).collect()} == {"fr"}
 
 
+def test_votes_equal_brute_force(spark, sf):
+    rows = spark.read.parquet(f"{sf}/documents.parquet").limit(120).collect()
+    x = np.array([langid.features(r.text) for r in rows])
+    langs = np.array([{"en": "en", "de": "de", "fr": "fr", "es": "es"}.get(r.lang, "en") for r in rows])
+    model = langid.Model(x, langs)
+    assert model.families == {"germanic": ["de", "en"], "romance": ["es", "fr"]}
+    for r, v in zip(rows, x):
+        margins = model.w @ v + model.b
+        family = model.names[int(np.argmax(margins[:2]))]
+        (a, b), m = next((p, m) for p, m in zip(model.pairs, margins[2:]) if p[0] in model.families[family])
+        assert model.predict(r.text)[0] == (a if m > 0 else b)
+
+
 def test_features_of_long_texts_do_not_depend_on_chunks(monkeypatch):
     text = prose(9, 900)
     whole = langid.features(text)
@@ -474,6 +487,13 @@ def test_urls_on_both_ways(spark, limit):
     assert {r.verdict for r in urlfilter.judge_urls(pages, rules.limit(0), limit=limit).collect()} == {"allow"}
 
 
+def test_digests_of_candidates_are_those_of_their_strings():
+    host, path, lengths = "a.b.example.com", "/é/x/" * 30, [0, 1, 3, 8, 40, 149, 400]
+    got = sorted((d, h + path[:n]) for d, h, n in urlfilter.digests_of(host, path, lengths))
+    assert got == sorted((xxhash.xxh64_intdigest(k.encode()), k) for k in urlfilter.candidates(host, path, lengths))
+    assert urlfilter.domains("") == [] and urlfilter.domains(".com") == [".com", "com"]
+
+
 def test_colliding_digests_are_confirmed(spark, monkeypatch):
     monkeypatch.setattr(urlfilter.xxhash, "xxh64_intdigest", lambda k: 7)
     array = urlfilter.DigestArray.__new__(urlfilter.DigestArray)
