@@ -240,7 +240,7 @@ def score(docs: DataFrame, target: DataFrame | None = None, id_col: str = "doc_i
         chunks = chunks.union(tokenize(texts(target)).withColumn("kind", F.lit(TARGET)))
     # bucketed, so that chunks stay where they are and only the small sides of joins move
     name, path = f"larkspur_chunks_{uuid.uuid4().hex}", new_path(spark, "chunks")
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = min(int(spark.conf.get("spark.sql.shuffle.partitions")), 100_000)
     chunks.withColumn("chunk", F.monotonically_increasing_id()).write.bucketBy(buckets, "chunk").option("path", path).option("compression", "zstd").saveAsTable(name)
     chunks = spark.table(name)
     own = chunks.where(F.lit(False)).select("chunk", F.array().cast("array<int>").alias("own"))
