@@ -114,19 +114,19 @@ def components(edges: DataFrame) -> DataFrame:
     return roots.union(roots.select(F.col("root").alias("node"), "root").distinct())
 
 
-def slices(texts: pa.Array) -> Iterator[tuple[int, pa.Array]]:
-    """Runs of texts of CHUNK bytes, or single longer ones: the first's index, and the lower-cased words."""
+def slices(texts: pa.Array, chunk: int = CHUNK) -> Iterator[tuple[int, pa.Array]]:
+    """Runs of texts of ``chunk`` bytes, or single longer ones: the first's index, and the lower-cased words."""
     size = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
     i = 0
     while i < len(texts):
-        j = max(i + 1, int(np.searchsorted(size, (size[i - 1] if i else 0) + CHUNK, "right")))
+        j = max(i + 1, int(np.searchsorted(size, (size[i - 1] if i else 0) + chunk, "right")))
         yield i, pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts.slice(i, j - i), "")))
         i = j
 
 
-def coded_words(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+def coded_words(texts: pa.Array, chunk: int = CHUNK) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
     """For runs of texts: the first's index, hashes of the different words, each token's place among them, and where each text begins and the last ends."""
-    for first, split in slices(texts):
+    for first, split in slices(texts, chunk):
         coded = pc.dictionary_encode(split.flatten())
         known = coded.dictionary.to_pylist()
         words = np.array([xxhash.xxh64_intdigest(w, 42) or 1 for w in known], np.uint64)
@@ -143,7 +143,7 @@ def coded_words(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray,
 
 def token_hashes(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """For runs of texts: the first's index, all tokens' hashes, and where each text begins and the last ends."""
-    for first, words, at, offsets in coded_words(texts):
+    for first, words, at, offsets in coded_words(texts, CHUNK // 4):
         yield first, words[at], offsets
 
 

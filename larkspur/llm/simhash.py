@@ -237,8 +237,10 @@ class Plan:
 
     def cut(self, bits: np.ndarray) -> np.ndarray:
         """The segments as numbers, of the fingerprints in rows."""
-        own = bits[:, : self.width * self.segments].reshape(len(bits), self.segments, self.width).astype(np.int64)
-        return own @ (1 << np.arange(self.width, dtype=np.int64))
+        out = np.zeros((len(bits), self.segments), np.int64)
+        for i in range(self.width):  # a bit of all segments at a time, so that no wide copy is made
+            out |= bits[:, i : self.width * self.segments : self.width].astype(np.int64) << i
+        return out
 
 
 def _shingles(hashes: np.ndarray, size: int) -> np.ndarray:
@@ -287,8 +289,8 @@ def similar_texts(docs: DataFrame, row_col: str, text_col: str = "text", shingle
     def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, hashes, ends in token_hashes(batch.column(1)):
-                bits = np.array([plan.bits(_shingles(hashes[a:b], shingle)) if b > a else np.zeros(64 * plan.words, np.uint8) for a, b in zip(ends, ends[1:])])
-                fps = pa.array([x.tobytes() for x in np.packbits(bits, axis=1)], pa.binary())
+                of = lambda a, b: np.packbits(plan.bits(_shingles(hashes[a:b], shingle))).tobytes() if b > a else bytes(8 * plan.words)  # noqa: B023, E731
+                fps = pa.array([of(a, b) for a, b in zip(ends, ends[1:])], pa.binary())
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(fps)), fps], ["row", "fp"])
 
     found = stage(rows.mapInArrow(prints, "row long, fp binary"), "fingerprints")
