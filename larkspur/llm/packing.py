@@ -39,7 +39,7 @@ WHOLE, SLACK = 128, 1 / 32
 #: Places in a bin, beyond every count up to 16.
 FINER = (18, 20, 22, 24, 27, 30, 34, 38, 44, 52, 64, 80, 102, 128, 170, 256, 409, 682, 1024, 2048)
 #: Bytes of text that are split into words at once, and words whose ids a worker remembers.
-SLICE, REMEMBERED = 8 << 20, 300_000
+SLICE, REMEMBERED = 4 << 20, 150_000
 
 #: Letters of Latin-1 that normalisation leaves alone, then marks that begin no contraction and no special token.
 _STEM = re.compile(r"([A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+)([!-&(-/:;=-@\[-`{-~]*)")
