@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, embdedup, langid, lmscore, mixing, packing, sharding, simhash, urlfilter, warc
+from . import ann, ballkmeans, embdedup, langid, lmscore, mixing, packing, prefixcounts, productcodes, sharding, simhash, urlfilter, warc
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,6 +74,18 @@ def op10_warc_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(spark.read.parquet(f"{sf_dir}/pages.parquet")).drop("broken")
 
 
+def op11_ball_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ballkmeans.cluster(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op12_product_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return productcodes.encode(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op13_prefix_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefixcounts.count_tokens(_documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -87,10 +99,60 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_digest_array_urls,
         op9_harmonic_packing,
         op10_warc_segments,
+        op11_ball_kmeans,
+        op12_product_codes,
+        op13_prefix_counts,
     )
 }
 
+#: Vectors without null or non-finite components, in whole numbers.
+_KEPT = """
+          SELECT vec_id, label, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::DOUBLE) AS v
+          FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"""
+#: Squared distance of two lists of whole numbers, exact as long as they stay below 2 ** 53, and an exact floor of s / n.
+_SQUARED = "(list_inner_product({0}, {0}) - 2 * list_inner_product({0}, {1}) + list_inner_product({1}, {1}))::BIGINT"
+_MEAN = "((s - (s % n + n) % n) // n)::DOUBLE"
+
+
+def _kmeans_sql(k: int, rounds: int, width: int, seed: int) -> str:
+    """SQL of op11: a round after the other, each a full search."""
+    name = f"sha256('{seed}:' || vec_id)"
+    parts = [
+        f"WITH kept AS MATERIALIZED ({_KEPT} AND len(embedding) = {width})",
+        f"c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY {name}) - 1 AS k, v AS c FROM (SELECT * FROM kept ORDER BY {name} LIMIT {k}))",
+    ]
+    for r in range(rounds + 1):
+        parts.append(f"a{r} AS MATERIALIZED (SELECT vec_id, any_value(v) AS v, min({_SQUARED.format('v', 'c')} * {k} + k) AS m FROM kept, c{r} GROUP BY vec_id)")
+        if r < rounds:
+            sums = f"SELECT k, i, sum(x)::HUGEINT AS s, count(*) AS n FROM (SELECT m % {k} AS k, unnest(v) AS x, unnest(range({width})) AS i FROM a{r}) GROUP BY k, i"
+            parts.append(f"c{r + 1} AS MATERIALIZED (SELECT o.k, coalesce(w.c, o.c) AS c FROM c{r} o LEFT JOIN (SELECT k, list({_MEAN} ORDER BY i) AS c FROM ({sums}) GROUP BY k) w USING (k))")
+    return ", ".join(parts) + f"""
+        SELECT vec_id, (m % {k})::INT AS cluster, m // {k} AS distance, (sum(m // {k}) OVER (PARTITION BY m % {k}))::BIGINT AS cluster_inertia,
+          (sum(m // {k}) OVER ())::BIGINT AS inertia, sha256(array_to_string(list_transform(c, lambda x: x::BIGINT), ',')) AS centroid_sha256
+        FROM a{rounds} JOIN c{rounds} ON k = m % {k}"""
+
+
+def _codes_sql(parts: int, entries: int, rounds: int) -> str:
+    """SQL of op12: a round after the other, each a full search."""
+    steps = [
+        f"WITH kept AS MATERIALIZED ({_KEPT})",
+        f"part AS MATERIALIZED (SELECT vec_id, label, p, v[(p * len(v) // {parts} + 1)::INT:((p + 1) * len(v) // {parts})::INT] AS x FROM kept, range({parts}) t(p))",
+        f"b0 AS MATERIALIZED (SELECT p, k, x AS c FROM (SELECT p, x, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS k FROM part) WHERE k < {entries})",
+    ]
+    for r in range(rounds + 1):
+        steps.append(f"a{r} AS MATERIALIZED (SELECT vec_id, any_value(label) AS label, p, any_value(x) AS x, min({_SQUARED.format('x', 'c')} * {entries} + k) AS m FROM part JOIN b{r} USING (p) GROUP BY vec_id, p)")
+        if r < rounds:
+            sums = f"SELECT p, k, i, sum(y)::HUGEINT AS s, count(*) AS n FROM (SELECT p, m % {entries} AS k, unnest(x) AS y, unnest(range(len(x))) AS i FROM a{r}) GROUP BY p, k, i"
+            steps.append(f"b{r + 1} AS MATERIALIZED (SELECT o.p, o.k, coalesce(w.c, o.c) AS c FROM b{r} o LEFT JOIN (SELECT p, k, list({_MEAN} ORDER BY i) AS c FROM ({sums}) GROUP BY p, k) w USING (p, k))")
+    return ", ".join(steps) + f""",
+        coded AS (SELECT vec_id, any_value(label) AS label, string_agg(lower(lpad(to_hex(m % {entries}), 2, '0')), '' ORDER BY p) AS code, sum(m // {entries})::BIGINT AS error FROM a{rounds} GROUP BY vec_id),
+        named AS (SELECT sha256(string_agg(array_to_string(list_transform(c, lambda x: x::BIGINT), ','), ',' ORDER BY p, k)) AS codebooks_sha256 FROM b{rounds})
+        SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM coded, named"""
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op11_ball_kmeans": _kmeans_sql(ballkmeans.CLUSTERS, ballkmeans.ROUNDS, ballkmeans.WIDTH, ballkmeans.SEED),
+    "op12_product_codes": _codes_sql(productcodes.PARTS, productcodes.ENTRIES, productcodes.ROUNDS),
     "op1_cross_entropy_difference": r"""
         WITH d AS (
           SELECT row_number() OVER () AS r, doc_id, doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) AS own,

@@ -65,3 +65,43 @@ def unit_rows(x: np.ndarray) -> np.ndarray:
     """Rows at length 1; scaled first, so that no square overflows or vanishes."""
     x = x / np.abs(x).max(axis=1, keepdims=True)
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
+
+
+#: Components become floor(SCALE * x). Vectors of width w with a component of 2 ** 20 / sqrt(w) or more have squared distances that a long may not hold.
+SCALE, MOST = 1024, float(1 << 20)
+
+
+def finite(vector: str) -> Column:
+    """Not null, and no component null or non-finite; the empty vector is."""
+    return F.coalesce(~F.exists(vector, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))), F.lit(False))
+
+
+def in_reach(vector: str) -> Column:
+    """Whether all squared distances among such scaled vectors are longs."""
+    return F.forall(vector, lambda x: F.abs(x) * F.sqrt(F.size(vector)) < MOST)
+
+
+def scaled_blocks(rows: DataFrame, carried: list[str], size: int, vector: str = "vector") -> DataFrame:
+    """Packs rows of finite vectors of one width, a run of at most ``size`` in each row.
+
+    Returns the carried columns as arrays, n, and data: the scaled components, all
+    vectors' first, then all their second ones, and so on, as ``columns_of`` reads them.
+    """
+    schema = rows.select(*[F.array(c).alias(c) for c in carried], F.lit(0).alias("n"), F.lit(b"").alias("data")).schema
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in (batch.slice(i, size) for i in range(0, batch.num_rows, size)):
+                x = part.column(len(carried)).flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, -1)
+                x = np.floor(SCALE * x).astype(np.int64).T
+                kind = next(k for k in (np.int16, np.int32, np.int64) if np.abs(x).max(initial=0) <= np.iinfo(k).max)
+                data = bytes([np.dtype(kind).itemsize]) + np.ascontiguousarray(x, kind).tobytes()
+                listed = [pa.ListArray.from_arrays(pa.array([0, part.num_rows], pa.int32()), c) for c in part.columns[: len(carried)]]
+                yield pa.RecordBatch.from_arrays([*listed, pa.array([part.num_rows], pa.int32()), pa.array([data], pa.binary())], [*carried, "n", "data"])
+
+    return rows.select(*carried, F.col(vector).cast("array<double>").alias(vector)).mapInArrow(pack, schema)
+
+
+def columns_of(data: bytes, n: int) -> np.ndarray:
+    """The components of a packed block: a row for each dimension."""
+    return np.frombuffer(data, f"i{data[0]}", offset=1).reshape(-1, n) if n else np.zeros((0, 0), np.int16)
