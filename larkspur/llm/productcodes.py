@@ -25,6 +25,8 @@ from .vectors import columns_of, finite, in_reach, scaled_blocks
 PARTS, ENTRIES, ROUNDS = 4, 256, 4
 #: Vectors of a block, vectors whose distances to all entries are held at once, tensors that one node of the tree merges.
 BLOCK, SLICE, FAN = 4096, 256, 32
+#: Labels up to which their sums are broadcast.
+LABELS = 100_000
 
 
 def nearest(part: np.ndarray, book: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -107,8 +109,9 @@ def encode(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
         books = train(blocks, books, rounds)
         sha = hashlib.sha256(",".join(map(str, books.ravel().tolist())).encode()).hexdigest()
         out = stage(_coded(blocks, books), "codes").union(out)
-    errors = out.groupBy("label").agg(F.try_sum("error").alias("label_error")).withColumnRenamed("label", "of")
-    met = out.join(errors, F.col("label").eqNullSafe(F.col("of")), "left")
+    errors = stage(out.groupBy("label").agg(F.try_sum("error").alias("label_error")).withColumnRenamed("label", "of"), "errors")
+    few = errors.count() <= LABELS  # beyond that a shuffle, whose hot keys adaptive execution splits
+    met = out.join(F.broadcast(errors) if few else errors, F.col("label").eqNullSafe(F.col("of")), "left")
     return met.select("vec_id", "code", "error", "label_error", F.lit(sha).alias("codebooks_sha256"))
 
 

@@ -88,6 +88,36 @@ def test_similar_texts_equal_brute_force(spark, block):
     assert corpus_pipeline.simhash.similar_texts(docs.limit(0), "row").count() == 0
 
 
+def test_links_of_copied_texts_are_kept(spark):
+    """Clusters of a base, copies with one word changed, and a text that is near the base but not near its copies."""
+    rng = random.Random(77)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(6))
+    texts, clusters = [], []
+    for copies, times in ((0, 30), (2, 20), (5, 15), (20, 6), (100, 2)):
+        for _ in range(times):
+            base = [word() for _ in range(400)]
+            group = [base]
+            for _ in range(copies):
+                other = list(base)
+                other[rng.randrange(400)] = word()
+                group.append(other)
+            other = list(base)
+            for i in range(8):
+                other[25 + 50 * i] = word()
+            group.append(other)
+            clusters.append(range(len(texts), len(texts) + len(group)))
+            texts += [" ".join(g) for g in group]
+    docs = spark.createDataFrame(list(enumerate(texts)), "row long, text string")
+    got = {r.row: r.root for r in corpus_pipeline.simhash.similar_texts(docs, "row").collect()}
+    links = [link for c in clusters for link in alike({i: texts[i] for i in c})]
+    want = roots_of(range(len(texts)), links)
+    kept = sum(got[a] == got[b] for a, b in links) / len(links)
+    whole = sum(len({got[i] for i in c}) == 1 for c in clusters if len({want[i] for i in c}) == 1)
+    assert kept >= 0.98
+    assert whole >= 0.95 * sum(len({want[i] for i in c}) == 1 for c in clusters)
+    assert all(want[a] == want[b] for a, b in got.items())
+
+
 def test_mix_stage_takes_whole_documents(stages):
     before = {r.doc_id: (r.source, len(r.text.encode().split())) for r in stages[2].collect()}
     times = Counter(r.doc_id for r in stages[3].collect())
