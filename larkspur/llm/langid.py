@@ -3,8 +3,8 @@
 A linear classifier over hashed byte n-grams of the whole text names the
 language family; inside a family with several languages, one linear support
 vector machine for each pair of them votes. All are fitted on a sample of
-labelled rows of at most SAMPLE documents, drawn by a hash of the id and dealt
-evenly over the languages.
+labelled rows of at most SAMPLE documents, drawn by a hash of id and text, each
+text once, and dealt evenly over the LANGUAGES most frequent languages.
 """
 
 from __future__ import annotations
@@ -27,6 +27,10 @@ UNKNOWN = "und"
 LENGTHS, ENOUGH = (8, 16, 32, 64, 128, 256, 512, 1024, 2048), 20
 #: The calibrated likeness is this share of what all but STRANGE of the labelled texts reach.
 SLACK, STRANGE = 0.85, 0.001
+#: Labelled texts are also held against the learned languages but their own, as texts of an unknown language would be. Where all but ODD of them are more like their own language, by MARGIN, than FOREIGN of them are like any other, a text must be as like its language as that, or prefer it to the next one by more than FOREIGN of them do.
+FOREIGN, ODD, MARGIN = 0.97, 0.05, 1.05
+#: Languages that are learned at most.
+LANGUAGES = 200
 #: Bytes of a text whose n-grams are counted at once.
 CHUNK = 1 << 20
 #: Families of languages that are often taken for each other. A language not listed is a family of its own.
@@ -83,6 +87,12 @@ def _svm(x: np.ndarray, y: np.ndarray, steps: int = 150, c: float = 30.0) -> tup
     return w, b
 
 
+def _two_best(like: np.ndarray) -> tuple[float, float]:
+    """The largest likeness, and how far the next one is behind it."""
+    best = np.sort(like)[::-1]
+    return float(best[0]), float(best[0] - best[1]) if len(best) > 1 else float(best[0])
+
+
 class Model:
     """Families one against the rest, and pairs of languages inside each family."""
 
@@ -104,28 +114,35 @@ class Model:
         self.centres = (sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-9)).astype(np.float32)
         self.least = self._calibrate(x, langs, sums, heads or [])
 
-    def _calibrate(self, x: np.ndarray, langs: np.ndarray, sums: np.ndarray, heads: list[bytes]) -> list[float]:
-        """For each of LENGTHS the least likeness that beginnings of labelled texts have to the other texts of their language."""
-        least, low = [], 0.0
+    def _calibrate(self, x: np.ndarray, langs: np.ndarray, sums: np.ndarray, heads: list[bytes]) -> list[tuple[float, float, float]]:
+        """For each of LENGTHS the likeness to ask for, from beginnings of labelled texts held against the other texts of their language and of others."""
+        least, low, asked, apart = [], 0.0, 0.0, 0.0
         for n in LENGTHS:
-            like = []
+            like, unlike = [], []
             for head, own, lang in zip(heads, x, langs):
                 if len(head) >= n and has_letter(text := head[:n].decode(errors="ignore")):
-                    others = sums[self.langs.index(lang)] - own
-                    like.append(float(others @ features(text)) / max(float(np.linalg.norm(others)), 1e-9))
+                    at = self.langs.index(lang)
+                    others, seen = sums[at] - own, features(text)
+                    like.append(float(others @ seen) / max(float(np.linalg.norm(others)), 1e-9))
+                    unlike += [_two_best(np.delete(self.centres, at, axis=0) @ seen)] if len(self.langs) > 2 else []
             if len(like) >= ENOUGH:
                 low = max(low, SLACK * float(np.quantile(like, STRANGE)))
-            least.append(low)
+                strange = np.quantile(unlike, FOREIGN, axis=0).tolist() if unlike else [1.0, 1.0]
+                if np.quantile(like, ODD) >= MARGIN * strange[0]:
+                    asked, apart = max(asked, strange[0]), strange[1]
+            least.append((low, asked, apart))
         return least
 
     def belongs(self, text: str | None, x: np.ndarray | None = None) -> bool:
         """Whether a text with letters is as like a learned language as clean texts of its length; True where none was learned."""
         if not has_letter(text):
             return False
-        known = [low for n, low in zip(LENGTHS, self.least) if n <= len(text.encode(errors="replace"))]
+        known = [bounds for n, bounds in zip(LENGTHS, self.least) if n <= len(text.encode(errors="replace"))]
         if not self.langs or not known:
             return True
-        return float((self.centres @ (features(text) if x is None else x)).max()) >= known[-1]
+        like, apart = _two_best(self.centres @ (features(text) if x is None else x))
+        low, asked, far = known[-1]
+        return like >= low and (like >= asked or apart > far)
 
     def predict(self, text: str | None, x: np.ndarray | None = None) -> tuple[str, float]:
         """The language and how sure it is: the family's share times the mean of its won comparisons."""
@@ -161,21 +178,27 @@ def _train(sample: pd.DataFrame) -> pd.DataFrame:
 
 
 def fit(labelled: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
-    """Fits on a sample of the rows with text and language, in one task that the sample's size bounds; the driver gets the weights."""
+    """Fits on a sample of the rows with text and language, in one task that the sample's size bounds; the driver gets the weights.
+
+    A row is drawn by its id and text, so rows without an id, or sharing one, are
+    learned from as others are. Copies of a text count once.
+    """
     rows = labelled.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
-    counts = {r[0]: r[1] for r in rows.groupBy(lang_col).count().collect()}
+    counts = {r[0]: r[1] for r in rows.groupBy(lang_col).count().orderBy(F.col("count").desc(), lang_col).limit(LANGUAGES).collect()}
     if not counts:
         return Model(np.zeros((0, WIDTH), np.float32), np.array([], str))
     share = sample / len(counts)
     chance = F.create_map(*[F.lit(v) for lang, n in counts.items() for v in (lang, min(1.0, share / n))])
-    u = unit(F.lit(SEED), F.col(id_col))
+    u = unit(F.lit(SEED), F.col(id_col), F.col(text_col))
 
     @F.arrow_udf("binary")
     def vector(texts: pa.Array) -> pa.Array:
         return pa.array([features(t).astype(np.float16).tobytes() for t in texts.to_pylist()], pa.binary())
 
     place = u / chance[F.col(lang_col)]  # from 0 to 1 for what is drawn, in every language
-    drawn = rows.where(place < 1).select(place.alias("u"), F.col(lang_col).alias("lang"), vector(F.col(text_col)).alias("features"), F.substring(F.encode(text_col, "UTF-8"), 1, LENGTHS[-1]).alias("head"))
+    drawn = rows.where(place < 1).select(place.alias("u"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    drawn = drawn.groupBy("lang", F.xxhash64("text").alias("hash")).agg(F.min("u").alias("u"), F.min("text").alias("text"))  # copies teach no more than one
+    drawn = drawn.select("u", "lang", vector("text").alias("features"), F.substring(F.encode("text", "UTF-8"), 1, LENGTHS[-1]).alias("head"))
     found = drawn.orderBy("u").limit(sample).groupBy().applyInPandas(_train, "model binary").first()
     return pickle.loads(found["model"]) if found else Model(np.zeros((0, WIDTH), np.float32), np.array([], str))
 

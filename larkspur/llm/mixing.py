@@ -21,7 +21,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import WORD, numbered, stage, unit
+from .shared import WORD, fresh, numbered, stage, unit
 
 #: Units that one node of the reduction tree combines, on average; most copies of one document.
 FAN, MOST, SEED = 32, 3, 7_411
@@ -165,8 +165,10 @@ def repeat_documents(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id",
 
     Rows sharing an id are copies of one document, null ids are left out; where
     ids are missing or shared by different texts, mix and join on a key of the
-    rows that is ``unique``.
+    rows that is ``unique``. An empty table stays empty; other columns pass
+    through, whatever their names.
     """
-    times = mixed.groupBy(F.col("doc_id").alias("_id")).agg(F.sum("copies").cast("int").alias("_copies")).where("_copies > 0")
+    key, times, copy = (fresh(docs, name) for name in ("_key", "_times", "_copy"))
+    taken = mixed.groupBy(F.col("doc_id").alias(key)).agg(F.sum("copies").cast("int").alias(times)).where(F.col(times) > 0)
     one = docs if unique else docs.dropDuplicates([id_col])
-    return one.join(times, one[id_col] == times["_id"]).withColumn("_copy", F.explode(F.sequence(F.lit(1), "_copies"))).select(*docs.columns)
+    return one.join(taken, F.col(id_col) == F.col(key)).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*docs.columns)

@@ -187,3 +187,38 @@ def test_language_stage_rejects_what_is_in_no_learned_language(spark, sf):
     assert kept == {r.doc_id for r in docs.select("doc_id").collect()} - {9101, 9102, 9103}
     bare = docs.withColumn("lang", F.lit(None).cast("string"))
     assert corpus_pipeline.language_id(spark, bare, sf).count() == docs.count()
+
+
+def test_language_stage_rejects_a_language_it_has_not_learned(spark):
+    """French is left out: at least 0.9 of its texts from 128 bytes on go, and what was kept of the others stays."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    full = corpus_pipeline.langid.fit(docs.where(~corpus_pipeline.langid.held_out()))
+    less = corpus_pipeline.langid.fit(docs.where(~corpus_pipeline.langid.held_out() & (F.col("lang") != "fr")))
+    assert full.langs == ["de", "en", "es", "fr"] and less.langs == ["de", "en", "es"]
+    found = docs.where("lang IS NOT NULL AND octet_length(text) >= 128")
+    shares = {}
+    for name, model in (("full", full), ("less", less)):
+        judged = corpus_pipeline.langid.identify(found, model, belongs_col="belongs")
+        shares[name] = {r.lang: r.kept for r in judged.groupBy("lang").agg(F.avg(F.col("belongs").cast("int")).alias("kept")).collect()}
+    assert shares["less"]["fr"] <= 0.1
+    assert all(shares["full"][lang] >= 0.93 for lang in full.langs)
+    assert all(shares["less"][lang] >= 0.93 for lang in less.langs)
+
+
+def test_languages_are_learned_from_rows_without_an_id(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    nameless = docs.withColumn("doc_id", F.when(F.col("lang") != "fr", F.col("doc_id")))
+    for rows in (nameless, docs.withColumn("doc_id", F.lit(None).cast("long")), docs.withColumn("doc_id", F.lit(7).cast("long"))):
+        model = corpus_pipeline.langid.fit(rows)
+        assert model.langs == ["de", "en", "es", "fr"]
+        found = corpus_pipeline.langid.identify(rows.where("lang = 'fr'"), model)
+        assert found.where("lang_pred = 'fr'").count() >= 0.9 * found.count()
+
+
+def test_repeated_documents_keep_columns_of_any_name(spark):
+    rows = [(i, "a b c " * (1 + i % 4), "en", "ab"[i % 2], 1) for i in range(30)]
+    docs = spark.createDataFrame(rows, DOC).withColumns({c: F.lit(c) for c in ("_copy", "_copies", "_id", "_key", "_times", "copies", "id", "n")})
+    mixed = corpus_pipeline.mix_sources(spark, docs, "")
+    assert mixed.columns == docs.columns
+    assert all(r["_copy"] == "_copy" and r["_key"] == "_key" and r["copies"] == "copies" for r in mixed.collect())
+    assert corpus_pipeline.mix_sources(spark, docs.limit(0), "").count() == 0
