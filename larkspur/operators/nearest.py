@@ -29,9 +29,7 @@ def _blocks(rows: DataFrame, name: str) -> DataFrame:
                     data = part.column(1).flatten().to_numpy().astype(np.float64).tobytes()
                     yield pa.RecordBatch.from_arrays([pa.array([w], pa.int32()), pa.array([ids], pa.binary()), pa.array([data], pa.binary())], ["width", f"{name}_ids", f"{name}_data"])
 
-    bad = F.exists("vector", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    usable = rows.where(F.col("id").isNotNull() & ~bad & F.exists("vector", lambda x: x != 0))
-    return usable.mapInArrow(pack, f"width int, {name}_ids binary, {name}_data binary")
+    return rows.where(F.col("id").isNotNull() & usable("vector")).mapInArrow(pack, f"width int, {name}_ids binary, {name}_data binary")
 
 
 def _best(batches: Iterator[pa.RecordBatch], apart: bool) -> Iterator[pa.RecordBatch]:
@@ -69,13 +67,24 @@ def nearest_above(queries: DataFrame, items: DataFrame, threshold: float = THRES
     rows = lambda d, i: d.select(F.col(i).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("vector"))
     asked = _blocks(rows(queries, query_id), "q").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     stored = _blocks(rows(items, item_id), "i").withColumn("salt", F.pmod(F.xxhash64("i_ids"), F.lit(salts)).cast("int"))
-    found = stored.join(asked, ["width", "salt"]).mapInArrow(lambda batches: _best(batches, apart), "query long, similarity double, less long")
-    best = found.groupBy(F.col("query").alias(query_id)).agg(F.max(F.struct("similarity", "less")).alias("_best"))
+    best = best_in_blocks(stored.join(asked, ["width", "salt"]), apart).withColumnRenamed("query", query_id)
     hit = F.col("_best.similarity") >= threshold
     out = queries.select(query_id).join(best, query_id, "left")
     return out.select(query_id, F.when(hit, -F.col("_best.less")).alias(item_id), F.when(hit, F.col("_best.similarity")).alias("similarity"))
 
 
+def best_in_blocks(pairs: DataFrame, apart: bool = False) -> DataFrame:
+    """The best item of each query over pairs of blocks (q_ids, q_data, i_ids, i_data): query, _best (similarity, less: the id, negative)."""
+    found = pairs.mapInArrow(lambda batches: _best(batches, apart), "query long, similarity double, less long")
+    return found.groupBy("query").agg(F.max(F.struct("similarity", "less")).alias("_best"))
+
+
+def usable(vector: str):
+    """Neither null nor zero, and all components finite."""
+    bad = F.exists(vector, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    return F.coalesce(~bad & F.exists(vector, lambda x: x != 0), F.lit(False))
+
+
 def first_tier(*tiers: tuple[str, DataFrame], key: str = "query_id", value: str = "answer") -> DataFrame:
     """For each key the value of the first tier that has one, and that tier's name."""
     ranked = None

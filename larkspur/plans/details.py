@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import pitch, scalars, text
 from ..operators import cache, charts, importer, library, mutations
 from ..operators.ordering import numbered
-from ..sources import files
+from ..sources import files, vector_index
 from ..sources.tables import empty_table, first_row, open_catalogue, read_table, scratch_path, write_snapshot
 from .registry import query
 from .stand_ins import ENTRIES, LINKS, LISTS, SCALE, SONGS, entries, events, links, lists, songs
@@ -41,10 +41,38 @@ def src_db_open(spark, d):
     return reduce(lambda a, b: a.union(b), counts)
 
 
-@query("SELECT vec_id, label FROM embeddings WHERE trim(CASE WHEN label % 3 = 0 THEN ' ' ELSE 'about ' || label END) <> ''")
-def src_vector_build(spark, d):
+_ABOUT = "trim(CASE WHEN label % 3 = 0 THEN ' ' ELSE 'about ' || label END) <> ''"
+
+
+def _described(spark, d):
+    """Vectors with a description that is not blank."""
     about = F.when(F.col("label") % 3 == 0, " ").otherwise(F.concat(F.lit("about "), F.col("label").cast("string")))
-    return read_table(spark, d, "embeddings").withColumn("about", about).where(F.trim("about") != "").select("vec_id", "label")
+    return read_table(spark, d, "embeddings").withColumn("about", about).where(F.trim("about") != "")
+
+
+def _stored_index(spark, d):
+    """An index that is built of a part of the described vectors, opened again, and grows by the rest in two batches."""
+    path = scratch_path(spark, "index")
+    rows = _described(spark, d).select(F.col("vec_id").alias("item_id"), "embedding", "label")
+    vector_index.open_or_build(rows.where("item_id % 3 = 0"), path, carried=["label"])
+    index = vector_index.open_or_build(rows.limit(0), path, carried=["label"])  # is there, so nothing is built
+    for k in (1, 2):
+        index = index.append(rows.where(F.col("item_id") % 3 == k))
+    return vector_index.open_index(spark, path)
+
+
+@query(f"SELECT vec_id, label FROM embeddings WHERE {_ABOUT}")
+def src_vector_build(spark, d):
+    """What a stored index of the vectors with a description holds."""
+    return _stored_index(spark, d).items().select(F.col("item_id").alias("vec_id"), "label")
+
+
+@query(f"WITH b AS (SELECT q.vec_id AS query_id, max_by(i.vec_id, [s, -i.vec_id]) AS item_id, max(s) AS similarity FROM embeddings q JOIN embeddings i ON q.vec_id % 50 = 0 AND i.vec_id <> q.vec_id AND {_ABOUT.replace('label', 'i.label')}, LATERAL (SELECT list_cosine_similarity(q.embedding::DOUBLE[], i.embedding::DOUBLE[]) AS s) GROUP BY 1) SELECT query_id, CASE WHEN similarity >= 0.45 THEN item_id END AS item_id, CASE WHEN similarity >= 0.45 THEN round(similarity, 6) END AS similarity FROM b")
+def vec_index_search(spark, d):
+    """The nearest described vector of each query, from the cells of a stored index that can hold it."""
+    queries = read_table(spark, d, "embeddings").where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    found = _stored_index(spark, d).search(queries, apart=True)
+    return found.withColumn("similarity", F.round("similarity", 6))
 
 
 @query("SELECT conv_id, turn, CASE role WHEN 'user' THEN 'asks' WHEN 'assistant' THEN 'replies' END AS content FROM conversations")

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import scalars
+from ..functions import scalars, text
 from ..operators import charts, importer, mutations
 from ..operators import events as ev
+from ..operators.ordering import numbered
 from ..sources import files, tables
 from ..sources.tables import read_table
 from ..streaming import metrics
@@ -39,13 +40,49 @@ def src_dir_walk(spark, d):
     return lines.where("line <> ''").groupBy("role").agg(F.count("*").alias("n"))
 
 
-@query(f"WITH {SONGS} SELECT id, title, artist, genre FROM songs")
+@query(f"WITH {SONGS} SELECT 1 AS version, 'songs' AS name, id, title AS value FROM songs UNION ALL SELECT 2, 'songs', id, upper(title) FROM songs WHERE id % 7 <> 0 UNION ALL SELECT 2, 'tags', row_number() OVER (ORDER BY genre), genre FROM (SELECT DISTINCT genre FROM songs WHERE genre IS NOT NULL)")
 def sink_db_save(spark, d):
-    """A snapshot in a new folder, opened again with the catalogue's schemas."""
+    """Two versions of a catalogue, and a third whose writing fails between its tables: a reader keeps the first, a new one gets the second whole."""
     path = tables.scratch_path(spark, "catalogue")
-    rows = songs(spark, d)
-    tables.write_snapshot({"songs": tables.empty_table(spark, "songs").unionByName(rows, allowMissingColumns=True)}, path)
-    return tables.open_catalogue(spark, path)["songs"].select("id", "title", "artist", "genre")
+    as_table = lambda name, rows: tables.empty_table(spark, name).unionByName(rows, allowMissingColumns=True)
+    first = as_table("songs", songs(spark, d).select("id", "title", "artist", "genre"))
+    tables.write_snapshot({"songs": first}, path)
+    early = tables.open_catalogue(spark, path)
+    genres = numbered(first.where("genre IS NOT NULL").select(F.col("genre").alias("name")).distinct(), [F.col("name")], "id").withColumn("id", F.col("id") + 1)
+    tables.write_snapshot({"songs": first.where("id % 7 <> 0").withColumn("title", F.upper("title")), "tags": as_table("tags", genres)}, path)
+    broken = as_table("tags", first.select("id", F.when(F.col("id") >= 0, F.raise_error(F.lit("the disk is full"))).cast("string").alias("name")))
+    try:
+        tables.write_snapshot({"songs": first.limit(0), "tags": broken}, path)
+    except Exception as e:
+        if "the disk is full" not in str(e):
+            raise
+    now = tables.open_catalogue(spark, path)
+    shown = lambda version, name, rows, value: rows.select(F.lit(version).alias("version"), F.lit(name).alias("name"), "id", F.col(value).alias("value"))
+    return shown(1, "songs", early["songs"], "title").union(shown(2, "songs", now["songs"], "title")).union(shown(2, "tags", now["tags"], "name"))
+
+
+@query(f"WITH {SONGS} SELECT id, title, {_FOLD('title')} AS title_key, genre AS tag, true AS refused FROM songs")
+def src_idb(spark, d):
+    """A store of the first schema, opened by a program that knows three; the program that knows one then refuses it."""
+
+    def first(_):
+        return {"songs": songs(spark, d).select("id", "title", "genre"), "meta": spark.createDataFrame([("last_synced", 0)], "key string, value long")}
+
+    def with_keys(at):
+        return {"songs": at["songs"].withColumn("title_key", text.ascii_fold(F.col("title")))}
+
+    def with_tags(at):
+        return {"tags": at["songs"].where("genre IS NOT NULL").select(F.col("id").alias("song_id"), F.col("genre").alias("tag")), "songs": at["songs"].drop("genre"), "meta": None}
+
+    path = tables.scratch_path(spark, "store")
+    tables.open_store(spark, path, [first])
+    now = tables.open_store(spark, path, [first, with_keys, with_tags])
+    try:
+        tables.open_store(spark, path, [first])
+        refused = False
+    except ValueError:
+        refused = True
+    return now["songs"].join(now["tags"], F.col("id") == F.col("song_id"), "left").select("id", "title", "title_key", "tag", F.lit(refused and "meta" not in now).alias("refused"))
 
 
 @query("SELECT event_id AS id, CASE WHEN event_type = 'error' THEN 'error' ELSE 'ok' END AS status FROM events")

@@ -1,13 +1,17 @@
-"""Tables as Parquet: the catalogue's schemas, reading, and writing a new snapshot."""
+"""Tables as Parquet: the catalogue's schemas, snapshots that appear at once, and a store that upgrades itself."""
 
 from __future__ import annotations
 
 import re
 import tempfile
 import uuid
+from collections.abc import Callable, Sequence
+from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import versions
+
 SCHEMAS = {
     "songs": "id long, title string, artist string, chart_written_key string, sounding_key string, original_key string, preferred_key string, default_capo int, bpm int, genre string, feel string, era string, tempo_feel string, beatbuddy_structure string, chart_content string, source_file string, cloud_provider string, cloud_file_id string, ai_confidence double, imported_at timestamp, synced_at timestamp, user_edited_at timestamp, edited_offline boolean",
     "tags": "id long, name string, category string, created_at timestamp",
@@ -28,17 +32,62 @@ def empty_table(spark: SparkSession, name: str) -> DataFrame:
     return spark.createDataFrame([], SCHEMAS[name])
 
 
-def open_catalogue(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
-    """All tables; those that have not been written are empty."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    fs = path(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return {n: read_table(spark, folder, n) if fs.exists(path(f"{folder}/{n}.parquet")) else empty_table(spark, n) for n in SCHEMAS}
+def open_catalogue(spark: SparkSession, folder: str, version: int | None = None) -> dict[str, DataFrame]:
+    """All tables of one version, the latest if none is named; those that have not been written are empty.
+
+    What has been opened stays readable while newer versions are written.
+    """
+    found = versions.manifest(spark, folder, version)
+    if version is not None and found is None:
+        raise ValueError(f"{folder} has no version {version}")
+    there = found["tables"] if found else {}
+    return {n: spark.read.schema(kind).parquet(f"{folder}/{there[n]}") if n in there else empty_table(spark, n) for n, kind in SCHEMAS.items()}
+
 
+def write_snapshot(tables: dict[str, DataFrame], folder: str, **more: Any) -> int:
+    """Writes tables as the folder's next version and returns its number; tables that are not named stay as they were.
 
-def write_snapshot(tables: dict[str, DataFrame], folder: str) -> None:
-    """Writes tables into a new folder; one that is being read is never overwritten."""
+    All are written before the version appears. A write that fails leaves the
+    version before, and one that another writer has overtaken raises ``Conflict``.
+    ``more`` goes into the manifest.
+    """
+    spark = next(iter(tables.values())).sparkSession
+    before = versions.manifest(spark, folder) or {"version": 0, "tables": {}}
+    paths = dict(before["tables"])
     for name, rows in tables.items():
-        rows.write.mode("errorifexists").parquet(f"{folder}/{name}.parquet")
+        paths[name] = f"data/{name}-{uuid.uuid4().hex}"
+        rows.write.parquet(f"{folder}/{paths[name]}")
+    return versions.commit(spark, folder, {**before, **more, "version": before["version"] + 1, "tables": paths})["version"]
+
+
+#: A step from one schema to the next: takes all tables by name, returns those it makes or changes, None for those it drops.
+Upgrade = Callable[[dict[str, DataFrame]], dict[str, DataFrame | None]]
+
+
+def open_store(spark: SparkSession, folder: str, upgrades: Sequence[Upgrade]) -> dict[str, DataFrame]:
+    """The tables of a store at the schema that ``upgrades`` lead to.
+
+    The store remembers how many steps it has taken; those it lacks are taken
+    in order on opening, and their tables appear together as one version. A store
+    that has taken more steps than are known is refused.
+    """
+    stored = lambda: {n: spark.read.parquet(f"{folder}/{path}") for n, path in found["tables"].items()}
+    found = versions.manifest(spark, folder) or {"version": 0, "tables": {}}
+    taken = found.get("schema", 0)
+    if taken > len(upgrades):
+        raise ValueError(f"{folder} has schema {taken}, newer than {len(upgrades)}")
+    if taken < len(upgrades):
+        tables, changed = stored(), {}
+        for step in upgrades[taken:]:
+            made = step(tables)
+            changed |= made
+            tables = {n: t for n, t in (tables | made).items() if t is not None}
+        paths = {n: p for n, p in found["tables"].items() if n in tables}
+        for name in changed.keys() & tables.keys():
+            paths[name] = f"data/{name}-{uuid.uuid4().hex}"
+            tables[name].write.parquet(f"{folder}/{paths[name]}")
+        found = versions.commit(spark, folder, {**found, "version": found["version"] + 1, "schema": len(upgrades), "tables": paths})
+    return stored()
 
 
 def append_log(rows: DataFrame, folder: str) -> None:
