@@ -19,8 +19,10 @@ a budget, are read without encoding anything again.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from operator import sub
 
 import numpy as np
 import public_tokenizers
@@ -52,67 +54,82 @@ class Prefixes:
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
         ids = self.tokenizer.get_vocab(with_added_tokens=False)
-        #: All beginnings of tokens, and whether they are one.
-        self.tokens = {t[:n]: False for t in ids for n in range(1, len(t))} | dict.fromkeys(ids, True)
+        self.names = {i: t for t, i in ids.items()}
+        as_bytes = ByteLevel(add_prefix_space=False, use_regex=False)
+        letters: dict[str, int] = {}  # the tokenizer's letter for each byte that texts have
+        for c in (*range(0x800), *range(0x800, 0xD800, 0x400), *range(0xE000, 0x110000, 0x1000)):
+            letters |= zip(as_bytes.pre_tokenize_str(chr(c))[0][0], chr(c).encode())
+        #: A tree of the tokens' bytes: what follows each byte, and the token that ends with it.
+        self.tree: dict[int, list] = {}
+        self.longest = max(map(len, ids))
+        for token, i in ids.items():
+            at = self.tree
+            codes = [letters.get(c) for c in token]
+            if None in codes:  # of bytes that are in no text
+                continue
+            for c in codes[:-1]:
+                at = at.setdefault(c, [{}, None])[0]
+            at.setdefault(codes[-1], [{}, None])[1] = i
         added = sorted((t.content for t in self.tokenizer.get_added_tokens_decoder().values()), key=len, reverse=True)
         self.special = re.compile("|".join(map(re.escape, added))) if added else None
-        as_bytes = ByteLevel(add_prefix_space=False, use_regex=False)
-        self.letters = {c: as_bytes.pre_tokenize_str(chr(c))[0][0] for c in (0x20, *range(0xC0, 0x100))}
-        self.agree: dict[tuple[str, str], bool] = {}
+        self.agree: dict[int, bool] = {}
         self.pieces: dict[str, list[int]] = {}
         self.runs: dict[str, bytes] = {}
         self.remembered = 0
 
-    def _agrees(self, one: str, two: str) -> bool:
-        if (found := self.agree.get((one, two))) is None:
-            if len(self.agree) >= PAIRS:
-                self.agree.clear()
-            found = self.agree[one, two] = [t.value for t in self.tokenizer.model.tokenize(one + two)] == [one, two]
+    def _agrees(self, one: int, two: int) -> bool:
+        """Whether the tokenizer gives the bytes of two tokens as those two."""
+        if len(self.agree) >= PAIRS:
+            self.agree.clear()
+        found = [t.id for t in self.tokenizer.model.tokenize(self.names[one] + self.names[two])] == [one, two]
+        self.agree[one << 32 | two] = found
         return found
 
     def _piece(self, piece: str) -> list[int]:
-        """Counts at every prefix of a piece, the empty one first; the piece is written with a letter for each byte."""
+        """Counts at every prefix of a piece."""
         if (known := self.pieces.get(piece)) is not None:
             return known
-        count, last = [0] * (len(piece) + 1), [""] * (len(piece) + 1)
-        for begin in range(len(piece)):  # tokens from here, as long as any token goes on like that
-            before, n = last[begin], count[begin] + 1
-            for end in range(begin + 1, len(piece) + 1):
-                token = piece[begin:end]
-                if (kind := self.tokens.get(token)) is None:
+        data = piece.encode()
+        size, tree, agree = len(data), self.tree, self.agree
+        count, last = [0] * (size + 1), [-1] * (size + 1)
+        for begin in range(size):  # tokens from here, as long as any token goes on like that
+            before, n, at, end = last[begin], count[begin] + 1, tree, begin
+            for c in data[begin : begin + self.longest]:
+                end += 1
+                if (found := at.get(c)) is None:
                     break
-                if kind and not last[end] and (not begin or self._agrees(before, token)):
+                at, token = found
+                if token is not None and last[end] < 0:
+                    if begin and (fits := agree.get(before << 32 | token)) is not True and (fits is False or not self._agrees(before, token)):
+                        continue
                     last[end], count[end] = token, n
+        del count[0]
+        if size > len(piece):  # where characters end
+            count = [n for n, c in zip(count, (*data[1:], 0)) if c & 0xC0 != 0x80]
         if len(piece) <= LONG:
             if len(self.pieces) >= PAIRS // 4:
                 self.pieces.clear()
             self.pieces[piece] = count
         return count
 
-    def _ordinary(self, text: str) -> int:
-        """Tokens of a text without special strings."""
-        return sum(self._piece(p)[-1] for p, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(text))
-
-    def _spelled(self, text: str) -> list[tuple[str, tuple[int, int]]]:
-        """The pieces of a text with a letter for each byte, and where they stand in it."""
+    def _cuts(self, text: str) -> list[tuple[int, int]]:
+        """Where the pieces of a text begin and end."""
         if m := _PLAIN.fullmatch(text):
             cut = m.end(1)
-            return [(m[1].translate(self.letters), (0, cut)), *([(m[2], (cut, len(text)))] if m[2] else [])]
-        return self.tokenizer.pre_tokenizer.pre_tokenize_str(text)
+            return [(0, cut), (cut, len(text))] if cut < len(text) else [(0, cut)]
+        return [at for _, at in self.tokenizer.pre_tokenizer.pre_tokenize_str(text)]
+
+    def _ordinary(self, text: str) -> int:
+        """Tokens of a text without special strings."""
+        return sum(self._piece(text[a:b])[-1] for a, b in self._cuts(text))
 
     def _stretch(self, text: str) -> list[int]:
         """Counts at every prefix of a run, or of a part of one, without special strings."""
         out, base, before, space = [], 0, (0, 0), False  # before: where the piece before begins, and the count up to there; space: whether it is white
-        for piece, (begin, end) in self._spelled(text):
-            counts, own = self._piece(piece), text[begin:end]
-            if len(piece) == len(own):
-                out += [base + n for n in counts[1:]] if base else counts[1:]
-            else:
-                byte = 0
-                for c in own:
-                    code = ord(c)
-                    byte += 1 if code < 0x80 else 2 if code < 0x800 else 3 if code < 0x10000 else 4
-                    out.append(base + counts[byte])
+        for begin, end in self._cuts(text):
+            own = text[begin:end]
+            counts = self._piece(own)
+            out += [base + n for n in counts] if base else counts
             if space or own[0] == "'":
                 for i in range(1, min(_UNSURE, len(own), len(text) - begin - 1) + 1):
                     out[begin + i - 1] = before[1] + self._ordinary(text[before[0] : begin + i])
@@ -121,10 +138,10 @@ class Prefixes:
 
     def counts(self, run: str) -> list[int]:
         """Counts at every prefix of a run of white space and other characters."""
-        if self.special is None or not (found := list(self.special.finditer(run))):
+        if self.special is None or not self.special.search(run):
             return self._stretch(run)
         out, base, at = [], 0, 0
-        for m in found:
+        for m in self.special.finditer(run):
             out += [base + n for n in self._stretch(run[at : m.start()])]
             for i in range(1, m.end() - m.start()):  # a special string cut short is ordinary text
                 out.append(base + self._ordinary(run[at : m.start() + i]))
@@ -135,7 +152,7 @@ class Prefixes:
 
     def _remember(self, run: str) -> bytes:
         counts = self.counts(run)
-        steps = bytes([counts[0], *[(b - a) & 255 for a, b in zip(counts, counts[1:])]])
+        steps = array("b", map(sub, counts, [0, *counts])).tobytes()
         if len(run) <= LONG:
             if self.remembered >= REMEMBERED:
                 self.runs.clear()
