@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from ..functions import scalars
 from ..functions.vectors import cosine
 from ..operators import events as ev
-from ..operators import nearest
+from ..operators import nearest, replica
 from ..sources.tables import read_table, scratch_path
-from ..streaming import metrics
+from ..streaming import exporters, metrics, sessions
 from .registry import query
 from .stand_ins import events
 
@@ -66,6 +66,79 @@ def str_session_corr(spark, d):
     return events(spark, d).groupBy("user_id").agg(F.count("*").alias("spans"), F.min("ts").alias("first"), F.max("ts").alias("last"))
 
 
+def _arrivals(spark, d):
+    """The events as they arrive in four files, every tenth one a file late, and a last file whose one row, of nobody and a year later, moves the watermark past all."""
+    rows = events(spark, d).select("event_id", "user_id", "event_type", "value", F.col("ts").cast("timestamp").alias("ts"))
+    low, high = rows.agg(F.min(F.unix_micros("ts")), F.max(F.unix_micros("ts"))).first()
+    quarter = F.least(F.lit(3), F.floor((F.unix_micros("ts") - (low or 0)) * 4 / ((high or 0) - (low or 0) + 1)))
+    rows = rows.withColumn("file", F.least(F.lit(3), quarter + F.when(F.col("event_id") % 10 == 0, 1).otherwise(0)))
+    late = f"{((high or 0) - (low or 0)) // 4_000_000 + 60} seconds"
+    last = spark.createDataFrame([(-1, -1, "none", 0.0)], "event_id long, user_id long, event_type string, value double")
+    last = last.select("event_id", F.col("user_id").cast(rows.schema["user_id"].dataType), "event_type", "value", F.timestamp_micros(F.lit((high or 0) + 366 * 86_400_000_000)).alias("ts"))
+    files = [rows.where(F.col("file") == k).drop("file") for k in range(4)] + [last]
+    return files, late
+
+
+def _drained(spark, files, make, mode="append"):
+    """What a stream over the files hands on that is stopped after the second and goes on from its checkpoint."""
+    folder, out, offsets = (scratch_path(spark, n) for n in ("arrivals", "handed", "offsets"))
+    for begin, end in ((0, 2), (2, len(files))):
+        for k in range(begin, end):
+            files[k].coalesce(1).write.mode("append").parquet(folder)
+        stream = metrics.read_events(spark, folder, files[0].schema, pattern="part-*")
+        metrics.drain(make(stream), metrics.files_sink(out), mode, offsets)
+    return spark.read.parquet(out)
+
+
+@query("SELECT user_id, event_id, round(sum(value) OVER (PARTITION BY user_id ORDER BY ts, event_id), 4) AS running FROM events")
+def str_token_meter_live(spark, d):
+    """The meter on a stream with late rows and a restart: a row is handed on with its sum once nothing earlier can come."""
+    files, late = _arrivals(spark, d)
+    found = _drained(spark, files, lambda s: sessions.running_totals(s, "user_id", "ts", "event_id", "value", late, 20 * 366 * 86_400_000))
+    return found.where("user_id >= 0").select("user_id", F.col("nth").alias("event_id"), F.round("running", 4).alias("running"))
+
+
+@query("WITH g AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS nth FROM (SELECT *, coalesce((ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) > INTERVAL '12 hours')::INT, 1) AS new FROM events)) SELECT user_id, count(*) AS spans, min(ts) AS first, max(ts) AS last FROM g GROUP BY user_id, nth")
+def str_session_corr_live(spark, d):
+    """Sessions of a stream with late rows and a restart, each handed on when it has been idle for twelve hours."""
+    files, late = _arrivals(spark, d)
+    found = _drained(spark, files, lambda s: sessions.session_summaries(s, "user_id", "ts", "event_id", 12 * 3_600_000, late))
+    return found.where("user_id >= 0").select("user_id", "spans", *[F.col(c).cast("timestamp_ntz").alias(c) for c in ("first", "last")])
+
+
+@query("SELECT time_bucket(INTERVAL '15 seconds', ts) AS start, event_type, count(*) AS count, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
+def str_metric_live(spark, d):
+    """What each 15 seconds add, in update mode by a timed trigger, stopped and started again; of an interval's exports the last counts."""
+    files, late = _arrivals(spark, d)
+    folder, out, offsets = (scratch_path(spark, n) for n in ("arrivals", "handed", "offsets"))
+    for begin, end in ((0, 2), (2, 4)):
+        for k in range(begin, end):
+            files[k].coalesce(1).write.mode("append").parquet(folder)
+        stream = metrics.read_events(spark, folder, files[0].schema, pattern="part-*")
+        running = metrics.export(metrics.interval_metrics(stream, "ts", "value", ["event_type"], late=late), metrics.files_sink(out), "update", "1 second", offsets)
+        running.processAllAvailable()
+        running.stop()
+    last = spark.read.parquet(out).groupBy("window", "event_type").agg(F.max_by(F.struct("count", "total"), "batch").alias("v"))
+    return last.select(F.col("window.start").cast("timestamp_ntz").alias("start"), "event_type", "v.count", F.round("v.total", 4).alias("total"))
+
+
+@query("SELECT event_id, user_id::VARCHAR AS user_id, event_type AS name, epoch_ns(ts) AS start, round(value, 4) AS value FROM events")
+def sink_otlp(spark, d):
+    """Spans of a stream, written by executors as OTLP requests; a batch that comes again is there once."""
+    files, _ = _arrivals(spark, d)
+    folder, out, offsets = (scratch_path(spark, n) for n in ("arrivals", "spans", "offsets"))
+    for k in range(4):
+        files[k].coalesce(1).write.mode("append").parquet(folder)
+    stream = metrics.read_events(spark, folder, files[0].schema, pattern="part-*")
+    spans = stream.select(F.lower(F.lpad(F.hex("user_id"), 32, "0")).alias("trace_id"), F.lower(F.lpad(F.hex("event_id"), 16, "0")).alias("span_id"), F.col("event_type").alias("name"), (F.unix_micros("ts") * 1000).alias("start"), "event_id", F.col("user_id").cast("string").alias("user_id"), "value")
+    options = exporters.chosen({exporters.ENDPOINT: out})
+    exporters.export_spans(spans, offsets, options).trigger(availableNow=True).start().awaitTermination()
+    # a new checkpoint hands on the same batches again
+    exporters.export_spans(spans, scratch_path(spark, "offsets"), options).trigger(availableNow=True).start().awaitTermination()
+    found = exporters.read_spans(spark, out)
+    return found.select(F.col("attributes")["event_id"].cast("long").alias("event_id"), F.col("attributes")["user_id"].alias("user_id"), "name", "start", F.round(F.col("attributes")["value"].cast("double"), 4).alias("value"))
+
+
 _NAMES = ("choose_spouse", "record_idea", "review_transcript", "evaluating", "safe", "spouse_warning", "friend_intervention", "spouse_rage", "abort_success", "exile")
 _STEPS = """
   s AS (
@@ -104,6 +177,42 @@ def str_sync_on_reconnect(spark, d):
     return ev.edges_online(rows, "user_id", ["ts", "event_id"], "online").select("event_id")
 
 
+_VERSIONS = "versions AS (SELECT o_custkey AS key, o_orderdate::TIMESTAMP AS t, o_totalprice AS value, o_orderstatus = 'F' AS deleted, o_orderkey AS number FROM orders)"
+
+
+def _server(spark, d):
+    """The versions of customers' totals, which some orders delete, and when clients, one for each kind of event, came back online; as if the events had gone on through the orders' years."""
+    first = read_table(spark, d, "orders").agg(F.min("o_orderdate")).first()[0]
+    start = read_table(spark, d, "events").agg(F.min("ts")).first()[0]
+    columns = [F.col("o_orderdate").cast("timestamp_ntz").alias("at"), F.col("o_totalprice").alias("value"), (F.col("o_orderstatus") == "F").alias("deleted"), F.col("o_orderkey").alias("number")]
+    versions = read_table(spark, d, "orders").select(F.col("o_custkey").alias("key"), *columns)
+    days = F.floor((F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.lit(start).cast("timestamp"))) / 3_600_000_000).cast("int")
+    log = events(spark, d).select("event_type", "event_id", F.date_add(F.lit(first).cast("date"), days).cast("timestamp_ntz").alias("at"), (F.col("value") > 20).alias("online"))
+    return replica.returns(log, "event_type", ["at", "event_id"], "online").distinct(), versions
+
+
+@query(f"""
+    WITH {_VERSIONS}, log AS (
+      SELECT event_type, event_id, value > 20 AS online, (SELECT min(o_orderdate)::DATE FROM orders) + ((epoch_us(ts) - (SELECT min(epoch_us(ts)) FROM events)) // 3600000000)::INT AS t FROM events
+    ), edges AS (
+      SELECT DISTINCT event_type, t::TIMESTAMP AS t FROM (SELECT *, lag(online) OVER (PARTITION BY event_type ORDER BY t, event_id) AS before FROM log) WHERE online AND NOT before
+    ), met AS (
+      SELECT v.*, c.event_type FROM versions v CROSS JOIN (SELECT DISTINCT event_type FROM edges) c
+    ), found AS (
+      SELECT m.event_type, m.key, m.value, m.deleted, m.number, m.t AS since, e.t FROM met m ASOF JOIN edges e ON m.event_type = e.event_type AND m.t <= e.t
+    ), newest AS (
+      SELECT *, row_number() OVER (PARTITION BY event_type, t, key ORDER BY since DESC, value DESC, deleted DESC, number DESC) AS n FROM found
+    )
+    SELECT event_type, t AS online_at, key, value, key % 50 = 0 AS dirty FROM newest WHERE n = 1 AND NOT deleted
+""")
+def str_sync_replica(spark, d):
+    """What each return online puts into a client's replica; the ids that clients have edited stay listed."""
+    edges, versions = _server(spark, d)
+    edited = read_table(spark, d, "customer").where("c_custkey % 50 = 0").select(F.col("c_custkey").alias("key"), F.lit(True).alias("dirty"))
+    found = replica.refreshed(edges, versions, "event_type", "key").join(edited, "key", "left")
+    return found.select("event_type", F.col("at").alias("online_at"), "key", "value", F.coalesce("dirty", F.lit(False)).alias("dirty"))
+
+
 @query("SELECT time_bucket(INTERVAL '15 seconds', ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
 def str_metric_interval(spark, d):
     return events(spark, d).groupBy(F.window("ts", "15 seconds").alias("w"), "event_type").agg(F.count("*").alias("n")).select(F.col("w.start").cast("timestamp_ntz").alias("start"), "event_type", "n")
