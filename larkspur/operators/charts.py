@@ -204,3 +204,38 @@ def inline_rows(text: Column) -> Column:
 
     row = F.aggregate(pairs, start, place)["row"]
     return F.struct(F.when(F.size(found) > 0, row).alias("chords"), F.array_join(between, "").alias("lyric"))
+
+
+def display(charts: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:
+    """What is shown of each chart, from top to bottom: id, at (from 0), kind, label, chords, lyric, repeat, text.
+
+    Lines are classified as the viewer does it. Headers, meta lines and blank ones
+    are not shown. Neighbouring tablature lines are one element, its lines in
+    ``text``. A chord line takes the next line that is not blank if that has words;
+    chords written into the words are padded to stand above them, and then
+    ``chords`` has both rows. References and labels are shown without brackets.
+    """
+    lyric = ("LYRIC", "INLINE_CHORD_LYRIC")
+    classed = F.transform(lines(F.col(text_col)), lambda x: F.struct(x.alias("raw"), bind(full_trim(x), lambda s: F.struct(s.alias("line"), _class(s, True).alias("type"))).alias("c")))
+    rows = charts.select(F.col(id_col).alias("id"), F.posexplode(classed).alias("n", "l")).select("id", "n", "l.raw", "l.c.line", "l.c.type")
+    by = Window.partitionBy("id").orderBy("n")
+    rows = rows.withColumn("first", ~F.coalesce((F.col("type") == "TAB") & (F.lag("type").over(by) == "TAB"), F.lit(False)))
+    rows = rows.withColumn("block", F.count_if("first").over(by.rowsBetween(Window.unboundedPreceding, 0)))
+    whole = Window.partitionBy("id", "block").orderBy("n").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    rows = rows.withColumn("tab", F.array_join(F.collect_list("line").over(whole), "\n")).where("first AND type <> 'BLANK'")
+    rows = rows.withColumns({"before": F.lag("type").over(by), "next": F.lead("type").over(by), "next_line": F.lead("line").over(by)})
+    taken = F.col("type").isin(*lyric) & F.coalesce(F.col("before") == "CHORD", F.lit(False))
+    rows = rows.where(~F.col("type").isin("HEADER", "BB_META") & ~taken)
+    own, is_ = F.col("line"), lambda *types: F.col("type").isin(*types)
+    pair = is_("CHORD") & F.coalesce(F.col("next").isin(*lyric), F.lit(False))
+    words_of = F.when(pair, F.col("next_line")).when(is_(*lyric), own)
+    inline = F.when(F.when(pair, F.col("next")).otherwise(F.col("type")) == "INLINE_CHORD_LYRIC", inline_rows(words_of))
+    bare = lambda x: F.regexp_replace(x, r"^\[|\]\z", "")
+    rest = full_trim(F.regexp_extract(own, LABELLED, 2))
+    kind = F.when(is_("CHORD"), F.when(pair, "chord_lyric").otherwise("chord_only")).otherwise(F.lower("type"))
+    label = F.when(is_("PLAIN_SECTION"), own).when(is_("SECTION_REF"), bare(own)).when(is_("SECTION_WITH_CHORDS"), bare(F.regexp_extract(own, LABELLED, 1)))
+    chords = F.when(is_("SECTION_WITH_CHORDS"), F.array_join(F.filter(_played(rest, True), pitch.is_chord), " ")).otherwise(F.nullif(F.concat_ws("\n", F.when(is_("CHORD"), F.col("raw")), inline["chords"]), F.lit("")))
+    repeat = F.when(is_("SECTION_WITH_CHORDS"), empty_to_null(F.regexp_extract(rest, f"(?i){REPEAT}", 0)))
+    text = F.when(is_("TAB"), F.col("tab")).when(is_("MODULATION"), own)
+    at = (F.row_number().over(by) - 1).alias("at")
+    return rows.select("id", at, kind.alias("kind"), label.alias("label"), chords.alias("chords"), F.coalesce(inline["lyric"], words_of).alias("lyric"), repeat.alias("repeat"), text.alias("text"))

@@ -101,6 +101,24 @@ def first_terminal(rows: DataFrame, by: str, order: str, terminal: Column, round
     return ends.groupBy(by).agg(F.min_by(F.struct(*[c for c in ends.columns if c != by]), "round").alias("r")).select(by, "r.*")
 
 
+def negotiate(rows: DataFrame, by: str, order: str, item: str, verdict: str, ends: tuple[str, ...], rounds: int) -> DataFrame:
+    """The rounds of each session: by, round (from 1), the row's columns, and the session's outcome.
+
+    Rows are candidates in ``order``. One whose item was tried before takes no
+    round. The session stops with the first verdict among ``ends``, or after
+    ``rounds`` rounds; then its outcome is ``exhausted``. ``order`` is unique in a
+    session. Items are reduced to their first rows before rows are ranked, and
+    ranks above ``rounds`` are dropped before they move, so a busy session is never
+    in one task.
+    """
+    rest = [c for c in rows.columns if c not in (by, order, item)]
+    once = rows.groupBy(by, item).agg(F.min(F.struct(order, *rest)).alias("_r")).select(by, item, "_r.*")
+    ranked = once.withColumn("round", F.row_number().over(Window.partitionBy(by).orderBy(order))).where(F.col("round") <= rounds)
+    last = F.min(F.when(F.col(verdict).isin(*ends), F.struct("round", F.col(verdict).alias("outcome")))).over(Window.partitionBy(by))
+    found = ranked.withColumn("_last", last).where(F.col("_last").isNull() | (F.col("round") <= F.col("_last")["round"]))
+    return found.withColumn("outcome", F.coalesce(F.col("_last")["outcome"], F.lit("exhausted"))).drop("_last")
+
+
 def rubric(rows: DataFrame, section: str, status: str, statuses: tuple[str, ...]) -> DataFrame:
     """How often each status occurs in a section; 0 where it doesn't."""
     return rows.groupBy(section).pivot(status, list(statuses)).count().na.fill(0)

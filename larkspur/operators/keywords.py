@@ -26,6 +26,9 @@ def keyword_hits(texts: DataFrame, keywords: DataFrame, text: str, word: str) ->
     """
     lengths = [r[0] for r in keywords.select(F.least(F.length(word), F.lit(GRAM))).where(F.col(word).isNotNull()).distinct().collect()]  # GRAM + 1 numbers at most
     found = F.flatten(F.array(*[F.coalesce(grams(F.lower(text), n), F.array()) for n in lengths])) if lengths else F.array().cast("array<string>")
-    asked = keywords.withColumn("_gram", F.left(F.lower(word), F.lit(GRAM)))
-    met = texts.withColumn("_gram", F.explode(found)).join(asked, "_gram")
-    return met.where(F.contains(F.lower(text), F.lower(word))).drop("_gram")
+    asked = keywords.select(word).distinct().withColumn("_gram", F.left(F.lower(word), F.lit(GRAM)))
+    keyed = texts.withColumn("_row", F.xxhash64(text))
+    # grams go with the text's hash alone; the texts themselves move once, to the keywords they have met
+    met = keyed.select("_row", F.explode(found).alias("_gram")).join(asked, "_gram").select("_row", word).distinct()
+    hits = keyed.join(met, "_row").where(F.contains(F.lower(text), F.lower(word))).drop("_row")
+    return hits.join(keywords, word).select(*texts.columns, *keywords.columns)

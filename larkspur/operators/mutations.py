@@ -88,9 +88,19 @@ def new_only(candidates: DataFrame, known: DataFrame, keys: list[str], order: st
 
 
 def place(old: DataFrame, new: DataFrame, order: str, keys: tuple[str, str] = ("setlist_id", "position")) -> DataFrame:
-    """Insert or replace at a place of a list: of rows at the same place, the newest wins. ``order`` tells new rows apart."""
-    both = old.withColumn("_age", F.lit(0)).unionByName(new.withColumn("_age", F.lit(1)), allowMissingColumns=True)
-    return first_of(both, [F.col(k) for k in keys], [F.desc("_age"), F.desc(order)]).drop("_age")
+    """Insert or replace at a place of a list: of rows at the same place, the newest wins. ``order`` tells new rows apart.
+
+    New rows without a position go behind the last one of their list, in their order.
+    """
+    listed, position = keys
+    both = old.withColumn("_age", F.lit(0)).unionByName(new.where(F.col(position).isNotNull()).withColumn("_age", F.lit(1)), allowMissingColumns=True)
+    kept = first_of(both, [F.col(k) for k in keys], [F.desc("_age"), F.desc(order)]).drop("_age")
+    most = kept.groupBy(F.col(listed).alias("_list")).agg(F.max(position).alias("_most"))
+    nth = F.row_number().over(Window.partitionBy(listed).orderBy(order))
+    added = new.where(F.col(position).isNull()).withColumn("_nth", nth).join(most, F.col(listed) == F.col("_list"), "left")
+    kind = old.schema[position].dataType
+    added = added.withColumn(position, (F.coalesce("_most", F.lit(0)) + F.col("_nth")).cast(kind)).drop("_list", "_most", "_nth")
+    return kept.unionByName(added, allowMissingColumns=True)
 
 
 def next_positions(lists: DataFrame, entries: DataFrame, list_id: str = "id", key: str = "setlist_id") -> DataFrame:

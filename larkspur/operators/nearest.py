@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -85,11 +85,17 @@ def usable(vector: str):
     return F.coalesce(~bad & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
-def first_tier(*tiers: tuple[str, DataFrame], key: str = "query_id", value: str = "answer") -> DataFrame:
-    """For each key the value of the first tier that has one, and that tier's name."""
-    ranked = None
-    for rank, (name, rows) in enumerate(tiers):
-        part = rows.where(F.col(value).isNotNull()).select(key, F.struct(F.lit(rank).alias("rank"), F.col(value).alias("value"), F.lit(name).alias("source")).alias("_hit"))
-        ranked = part if ranked is None else ranked.union(part)
-    best = ranked.groupBy(key).agg(F.min("_hit").alias("_hit"))
-    return best.select(key, F.col("_hit.value").alias(value), F.col("_hit.source").alias("source"))
+def tiers(first: DataFrame, source: str, *later: tuple[str, Callable[[DataFrame], DataFrame]], key: str = "query_id", value: str = "answer") -> DataFrame:
+    """For each key the value of the first tier that has one, and that tier's name.
+
+    ``first`` has a row for every key. Each later tier is asked for those keys
+    alone that no tier before has answered: its function takes them and returns
+    (key, value). A key that none answers has nulls.
+    """
+    done = first.select(key, value, F.when(F.col(value).isNotNull(), source).alias("source"))
+    for name, ask in later:
+        missed = done.where(F.col(value).isNull()).select(key)
+        answers = ask(missed.distinct()).where(F.col(value).isNotNull()).groupBy(key).agg(F.min(value).alias(value))
+        asked = missed.join(answers, key, "left").select(key, value, F.when(F.col(value).isNotNull(), name).alias("source"))
+        done = done.where(F.col(value).isNotNull()).union(asked)
+    return done

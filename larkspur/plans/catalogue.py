@@ -233,10 +233,15 @@ def sort_setlists(spark, d):
     return numbered(rows, [F.col("gig_date").desc_nulls_last(), F.col("o_orderkey")], "rank")
 
 
-@query("SELECT p_partkey, p_name, row_number() OVER (ORDER BY p_name, p_partkey) - 1 AS rank FROM part")
+#: Beginnings of names in the order of the root locale, which is not that of their code points: letters first, then marks over them, then capitals.
+_NAMES = ("a", "A", "á", "Á", "b", "e", "é", "É", "f", "ñ", "o", "ö", "ß", "z", "Z", "ž")
+
+
+@query(f"SELECT p_partkey, name, row_number() OVER (ORDER BY first, p_partkey) - 1 AS rank FROM (SELECT p_partkey, {list(_NAMES)}[(p_partkey * 7 % {len(_NAMES)})::INT + 1] AS name, p_partkey * 7 % {len(_NAMES)} AS first FROM part)")
 def sort_locale(spark, d):
-    """In the order of the root locale, which for these lower-case names is that of their code points."""
-    return numbered(read_table(spark, d, "part").select("p_partkey", "p_name"), [F.collate("p_name", "UNICODE"), F.col("p_partkey")], "rank")
+    """In the order of the root locale, held against a list of names in that order."""
+    name = F.element_at(F.array(*map(F.lit, _NAMES)), (F.col("p_partkey") * 7 % len(_NAMES)).cast("int") + 1)
+    return numbered(read_table(spark, d, "part").select("p_partkey", name.alias("name")), [F.collate("name", "UNICODE"), F.col("p_partkey")], "rank")
 
 
 @query("SELECT event_id, ts, event_type FROM events ORDER BY ts DESC, event_id DESC LIMIT 100")
@@ -356,13 +361,26 @@ def mut_rename_tag(spark, d):
     return mutations.duplicates(renamed, ["name"])
 
 
-_PLACED = "SELECT l_orderkey, l_linenumber, l_partkey FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_extendedprice DESC, l_partkey DESC, l_suppkey DESC) AS n FROM lineitem) WHERE n = 1"
+_PLACED = """
+    WITH old AS (SELECT l_orderkey, l_linenumber, l_partkey FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_extendedprice DESC, l_partkey DESC, l_suppkey DESC) AS n FROM lineitem) WHERE n = 1 AND l_linenumber <> 3),
+    new AS (SELECT l_orderkey, CASE WHEN l_partkey % 3 = 0 THEN NULL ELSE 2 END AS place, l_partkey, row_number() OVER (PARTITION BY l_orderkey, l_partkey % 3 = 0 ORDER BY l_partkey, l_suppkey, l_extendedprice) AS nth, l_suppkey, l_extendedprice FROM lineitem WHERE l_linenumber = 3),
+    put AS (SELECT l_orderkey, 2 AS l_linenumber, l_partkey FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY nth DESC) AS last FROM new WHERE place IS NOT NULL) WHERE last = 1),
+    kept AS (SELECT * FROM old WHERE (l_orderkey, l_linenumber) NOT IN (SELECT (l_orderkey, l_linenumber) FROM put) UNION ALL SELECT * FROM put),
+    added AS (SELECT l_orderkey, coalesce((SELECT max(l_linenumber) FROM kept k WHERE k.l_orderkey = new.l_orderkey), 0) + nth AS l_linenumber, l_partkey FROM new WHERE place IS NULL)
+    SELECT l_orderkey, l_linenumber::BIGINT AS l_linenumber, l_partkey FROM kept UNION ALL SELECT l_orderkey, l_linenumber, l_partkey FROM added
+"""
 
 
 @query(_PLACED)
 def mut_place(spark, d):
-    rows = read_table(spark, d, "lineitem").withColumn("_order", F.struct("l_extendedprice", "l_partkey", "l_suppkey"))
-    return mutations.place(rows.limit(0), rows, "_order", ("l_orderkey", "l_linenumber")).select("l_orderkey", "l_linenumber", "l_partkey")
+    """Third lines placed anew among the others: at the second place, or, without a place, behind the last."""
+    rows = read_table(spark, d, "lineitem").select("l_orderkey", F.col("l_linenumber").cast("long").alias("l_linenumber"), "l_partkey", "l_suppkey", "l_extendedprice")
+    first = rows.withColumn("_order", F.struct("l_extendedprice", "l_partkey", "l_suppkey"))
+    keys = ("l_orderkey", "l_linenumber")
+    old = mutations.place(first.limit(0), first.where("l_linenumber <> 3"), "_order", keys).drop("_order")
+    new = rows.where("l_linenumber = 3").withColumn("_order", F.struct("l_partkey", "l_suppkey", "l_extendedprice"))
+    new = new.withColumn("l_linenumber", F.when(F.col("l_partkey") % 3 != 0, F.lit(2)).cast("long"))
+    return mutations.place(old, new, "_order", keys).select("l_orderkey", "l_linenumber", "l_partkey")
 
 
 @query("SELECT l_orderkey, l_linenumber FROM lineitem WHERE NOT (l_orderkey = 7 AND l_linenumber = 2)")

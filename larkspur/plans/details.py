@@ -85,19 +85,20 @@ def src_file_by_key(spark, d):
     return found.select("conv_id", "turn", F.col("file_content").cast("string").alias("content"))
 
 
-_DOCX_TEXT = "'# ' || n_name || ' – G' || chr(9) || chr(9) || 'Region ' || n_regionkey || chr(10) || 'Verse' || chr(10) || 'G  D' || chr(10) || 'words of ' || n_name"
+_DOCX_TEXT = "'# ' || n_name || ' – G' || chr(9) || chr(9) || 'Region ' || n_regionkey || chr(10) || chr(10) || 'Verse & ' || n_regionkey || chr(10) || 'G  D' || chr(10) || 'words of ' || n_name || chr(10) || 'left ' || n_nationkey || chr(10) || 'right <' || n_name || '>' || chr(10) || 'end'"
 
 
-@query(f"SELECT n_nationkey, CASE WHEN n_nationkey % 7 <> 3 THEN {_DOCX_TEXT} END AS text FROM nation")
+@query(f"SELECT n_nationkey, CASE WHEN n_nationkey % 7 <> 3 THEN {_DOCX_TEXT} END AS text, CASE WHEN n_nationkey % 7 = 3 THEN 'not a word-processor file: BadZipFile' WHEN n_nationkey % 4 = 1 THEN 'no style is known as Fancy' ELSE '' END AS warnings FROM nation")
 def src_docx(spark, d):
-    """A word-processor file for each nation, some of them broken, read back."""
+    """A word-processor file for each nation, with headings of two levels and a table, some of them broken, read back through HTML."""
     path = scratch_path(spark, "docx")
     made = {}
     for r in read_table(spark, d, "nation").collect():  # 25 rows at every size
-        page = files.docx([(f"{r.n_name} – G\t\tRegion {r.n_regionkey}", "Heading1"), ("Verse", None), ("G  D", None), (f"words of {r.n_name}", None)])
+        table = [[f"left {r.n_nationkey}", f"right <{r.n_name}>"]]
+        page = files.docx([(f"{r.n_name} – G\t\tRegion {r.n_regionkey}", "Heading1"), (f"Verse & {r.n_regionkey}", "Heading2"), ("G  D", None), (f"words of {r.n_name}", "Fancy" if r.n_nationkey % 4 == 1 else None), table, ("end", None)])
         made[f"{r.n_nationkey}.docx"] = page if r.n_nationkey % 7 != 3 else b"broken"
     files.write_files(spark, path, made | {"~$1.docx": b"lock"})
-    return files.read_docx(spark, path).select(F.regexp_extract("path", r"(\d+)\.docx$", 1).cast("int").alias("n_nationkey"), "text")
+    return files.read_docx(spark, path).select(F.regexp_extract("path", r"(\d+)\.docx$", 1).cast("int").alias("n_nationkey"), "text", F.array_join("warnings", ",").alias("warnings"))
 
 
 @query("SELECT n_nationkey, CASE WHEN n_nationkey % 7 = 3 THEN 'error' WHEN n_nationkey % 5 = 0 THEN 'skipped' ELSE 'dryRun' END AS status, CASE WHEN n_nationkey % 7 <> 3 AND n_nationkey % 5 = 0 THEN n_nationkey::BIGINT END AS song_id FROM nation")
@@ -134,9 +135,11 @@ def sort_multi_tags(spark, d):
     return numbered(counts, [F.col("category").asc_nulls_last(), F.desc("n"), text.ascii_fold(F.col("name"))], "rank")
 
 
-@query(f"WITH {LINKS} SELECT song_id, name, row_number() OVER (ORDER BY song_id, name) - 1 AS rank FROM links")
+@query(f"WITH {LINKS} SELECT song_id, name, category, row_number() OVER (ORDER BY song_id, category NULLS LAST, name) - 1 AS rank FROM (SELECT *, CASE WHEN name IN ('Brand#2', 'Brand#4') THEN 'style' WHEN name <> 'Brand#1' THEN 'mood' END AS category FROM links)")
 def sort_song_tags(spark, d):
-    return numbered(links(spark, d), [F.col("song_id"), text.ascii_fold(F.col("name"))], "rank")
+    """A song's tags by category, those without one last, then by name."""
+    category = F.when(F.col("name").isin("Brand#2", "Brand#4"), "style").when(F.col("name") != "Brand#1", "mood")
+    return numbered(links(spark, d).withColumn("category", category), [F.col("song_id"), F.col("category").asc_nulls_last(), text.ascii_fold(F.col("name"))], "rank")
 
 
 @query(f"WITH {ENTRIES} SELECT setlist_id, position, song_id, row_number() OVER (ORDER BY setlist_id, position, song_id) - 1 AS rank FROM entries")

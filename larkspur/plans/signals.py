@@ -277,6 +277,24 @@ def cls_negotiate(spark, d):
     return ev.first_terminal(rows, "user_id", "event_id", F.col("event_type").isin("purchase", "error"), 4).select("user_id", "event_id", F.col("round").cast("long").alias("round"))
 
 
+@query(f"""
+    WITH RECURSIVE {_E}, c AS (
+      SELECT user_id, event_id, k % 6 AS item, event_type AS verdict, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM e
+    ), s AS (
+      SELECT DISTINCT user_id, 0 AS n, 0 AS round, []::INT[] AS tried, false AS done, NULL::BIGINT AS event_id, NULL::INT AS item, NULL::VARCHAR AS verdict FROM c
+      UNION ALL
+      SELECT c.user_id, c.n, CASE WHEN list_contains(s.tried, c.item) THEN s.round ELSE s.round + 1 END, list_append(s.tried, c.item),
+        NOT list_contains(s.tried, c.item) AND c.verdict IN ('purchase', 'error'), CASE WHEN NOT list_contains(s.tried, c.item) THEN c.event_id END, c.item, c.verdict
+      FROM s JOIN c ON c.user_id = s.user_id AND c.n = s.n + 1 WHERE NOT s.done AND s.round < 4
+    )
+    SELECT user_id, round, event_id, item, verdict, coalesce(max(CASE WHEN done THEN verdict END) OVER (PARTITION BY user_id), 'exhausted') AS outcome FROM s WHERE event_id IS NOT NULL
+""")
+def cls_negotiate_rounds(spark, d):
+    """Every round of each negotiation: an item tried before is passed over, an approval or a denial ends it."""
+    rows = events(spark, d).select("user_id", "event_id", (F.col("k") % 6).alias("item"), F.col("event_type").alias("verdict"))
+    return ev.negotiate(rows, "user_id", "event_id", "item", "verdict", ("purchase", "error"), 4)
+
+
 # Vectors
 
 
@@ -310,5 +328,6 @@ def vec_top1_threshold(spark, d):
 @query(f"WITH {_BEST} SELECT query_id, CASE WHEN similarity >= 0.45 THEN item_id::VARCHAR WHEN query_id % 100 = 0 THEN 'page' ELSE 'guess' END AS answer, CASE WHEN similarity >= 0.45 THEN 'vector' WHEN query_id % 100 = 0 THEN 'web' ELSE 'model' END AS source FROM b")
 def vec_tier_fallback(spark, d):
     found = _nearest(spark, d).select("query_id", F.col("item_id").cast("string").alias("answer"))
-    web = found.select("query_id", F.when(F.col("query_id") % 100 == 0, "page").alias("answer"))
-    return nearest.first_tier(("vector", found), ("web", web), ("model", found.select("query_id", F.lit("guess").alias("answer"))))
+    pages = lambda missed: missed.select("query_id", F.when(F.col("query_id") % 100 == 0, "page").alias("answer"))
+    guesses = lambda missed: missed.select("query_id", F.lit("guess").alias("answer"))
+    return nearest.tiers(found, "vector", ("web", pages), ("model", guesses))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import text
+from ..functions import pitch, sql, text
 from ..operators import charts, keywords
 from ..sources.tables import read_table
 from .registry import query
@@ -76,12 +76,97 @@ def txt_classify(spark, d):
     return charts.classified_lines(_chart(read_table(spark, d, "part")), "p_partkey", "chart").select("id", "n", "line", "type")
 
 
-@query("SELECT type, count(*) AS n FROM (SELECT CASE WHEN trim(line, chr(32) || chr(9)) = '' THEN 'BLANK' ELSE 'LYRIC' END AS type FROM (SELECT unnest(string_split(text, chr(10))) AS line FROM documents)) GROUP BY 1")
+def _class_sql(s: str, viewer: bool = False) -> str:
+    """SQL for the class of a trimmed line: the whole chain of conditions."""
+    split = lambda x: f"list_filter(string_split_regex({x}, '[{text.SPACE}]+'), lambda t: t <> '')"
+    chord = rf"regexp_matches(t, '{pitch.CHORD.removesuffix(chr(92) + 'z')}[,.]?\z')"
+    repeat = f"regexp_matches(t, '{'(?i)' if viewer else ''}{charts.REPEAT}')"
+    filler = "" if viewer else f" AND lower(t) NOT IN {charts.FILLERS}"
+    rest = f"regexp_extract({s}, '{charts.LABELLED}', 2)"
+    played = f"list_filter({split(rest)}, lambda t: NOT {repeat}{filler})"
+    share = lambda tokens, least: f"len(list_filter({tokens}, lambda t: {chord})) >= {least} * len({tokens})"
+    named = "|".join(charts.VIEWER_SECTIONS if viewer else charts.SECTIONS)
+    return rf"""CASE WHEN coalesce({s}, '') = '' THEN 'BLANK' WHEN starts_with({s}, '#') THEN 'HEADER' WHEN starts_with({s}, 'BB:') THEN 'BB_META'
+      WHEN regexp_matches({s}, '{charts.TAB}') THEN 'TAB' WHEN regexp_matches({s}, '{pitch.MODULATION}') THEN 'MODULATION'
+      WHEN regexp_matches({s}, '{charts.INLINE}') THEN 'INLINE_CHORD_LYRIC'
+      WHEN regexp_matches({s}, '{charts.LABELLED}') AND len({played}) > 0 AND {share(played, charts.SECTION_SHARE)} THEN 'SECTION_WITH_CHORDS'
+      WHEN regexp_matches({s}, '^\[.+\]\z') THEN 'SECTION_REF' WHEN regexp_matches({s}, '(?i)^({named})(\s+\d+)?[:\s]*\z') THEN 'PLAIN_SECTION'
+      WHEN {share(split(s), charts.CHORD_SHARE)} THEN 'CHORD' ELSE 'LYRIC' END"""
+
+
+def _trimmed(x: str) -> str:
+    return rf"regexp_replace(regexp_replace({x}, '^[{text.SPACE}]+', ''), '[{text.SPACE}]+\z', '')"
+
+
+def _lines_sql(x: str) -> str:
+    return rf"string_split(regexp_replace({x}, '\r\n?', chr(10), 'g'), chr(10))"
+
+
+@query(f"SELECT {_class_sql('line')} AS type, count(*) AS n FROM (SELECT {_trimmed('line')} AS line FROM (SELECT unnest({_lines_sql('text')}) AS line FROM documents)) GROUP BY 1")
 def txt_classify_documents(spark, d):
     found = charts.classified_lines(read_table(spark, d, "documents"), "doc_id", "text")
     return found.groupBy("type").agg(F.count("*").alias("n"))
 
 
+#: A chart of every kind of element, from a part's columns.
+_SHOWN = ("'# ' || p_name", "'BB: x'", "'Verse ' || p_size", "'  G   D'", "''", "p_name", "'Em7 C'", "'{D}Well ' || p_name || ' {E7} oh'", "'e--3--0--2--|'", "'B--1--1--1--|'", "''", "'G--1--1--1--|'", "'[CHORUS]'", "'1/2 step up'", "'[Intro] G D  4x'", "'G D'", "'Outro'", "p_brand", "'oh {G}my {C}' || p_brand", "'C  G'", "'[Solo ' || p_size || ']'", "'D'")
+_INLINE_SQL = r"""list_reduce(list_transform(range(1, len(found) + 1), lambda i: {'row': found[i], 'at': list_sum(list_transform(gaps[1:i], lambda g: length(g)))::INT}),
+  lambda a, b: {'row': rpad(a.row, greatest(b.at, length(a.row))::INT, ' ') || b.row, 'at': b.at}, {'row': '', 'at': 0}).row"""
+
+
+@query(rf"""
+    WITH l AS (
+      SELECT p_partkey AS id, unnest(range({len(_SHOWN)})) AS n, unnest(list_value({', '.join(_SHOWN)})) AS raw FROM part
+    ), c AS (
+      SELECT *, {_class_sql('line', True)} AS type FROM (SELECT *, {_trimmed('raw')} AS line FROM l)
+    ), t AS (
+      SELECT *, NOT coalesce(type = 'TAB' AND lag(type) OVER (PARTITION BY id ORDER BY n) = 'TAB', false) AS first FROM c
+    ), k AS (
+      SELECT *, count(*) FILTER (first) OVER (PARTITION BY id ORDER BY n) AS block FROM t
+    ), b AS (
+      SELECT *, string_agg(line, chr(10)) OVER (PARTITION BY id, block ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS tab FROM k
+    ), w AS (
+      SELECT *, lag(type) OVER o AS before, lead(type) OVER o AS follows, lead(line) OVER o AS next_line FROM b WHERE first AND type <> 'BLANK' WINDOW o AS (PARTITION BY id ORDER BY n)
+    ), s AS (
+      SELECT *, type = 'CHORD' AND coalesce(follows IN ('LYRIC', 'INLINE_CHORD_LYRIC'), false) AS pair FROM w
+      WHERE type NOT IN ('HEADER', 'BB_META') AND NOT coalesce(type IN ('LYRIC', 'INLINE_CHORD_LYRIC') AND before = 'CHORD', false)
+    ), v AS (
+      SELECT *, CASE WHEN pair THEN next_line WHEN type IN ('LYRIC', 'INLINE_CHORD_LYRIC') THEN line END AS words, CASE WHEN pair THEN follows ELSE type END = 'INLINE_CHORD_LYRIC' AS inline FROM s
+    ), x AS (
+      SELECT *, string_split_regex(words, '\{{[^}}]+\}}') AS gaps, regexp_extract_all(words, '\{{([^}}]+)\}}', 1) AS found, trim(regexp_extract(line, '{charts.LABELLED}', 2)) AS rest FROM v
+    )
+    SELECT id, row_number() OVER (PARTITION BY id ORDER BY n) - 1 AS at_, CASE WHEN pair THEN 'chord_lyric' WHEN type = 'CHORD' THEN 'chord_only' ELSE lower(type) END AS kind,
+      CASE type WHEN 'PLAIN_SECTION' THEN line WHEN 'SECTION_REF' THEN line[2:-2] WHEN 'SECTION_WITH_CHORDS' THEN regexp_extract(line, '^\[(.+?)\]', 1) END AS label,
+      CASE WHEN type = 'SECTION_WITH_CHORDS' THEN regexp_extract(rest, '^(.*?)\s+4x', 1) WHEN type = 'CHORD' AND inline THEN raw || chr(10) || {_INLINE_SQL} WHEN type = 'CHORD' THEN raw WHEN inline THEN {_INLINE_SQL} END AS chords,
+      CASE WHEN inline THEN array_to_string(gaps, '') ELSE words END AS lyric, CASE WHEN type = 'SECTION_WITH_CHORDS' THEN '4x' END AS repeat, CASE type WHEN 'TAB' THEN tab WHEN 'MODULATION' THEN line END AS text
+    FROM x
+""")
+def txt_display(spark, d):
+    """Everything that is shown of a chart, in order."""
+    chart = F.concat_ws("\n", *[F.expr(x) for x in _SHOWN])
+    found = charts.display(read_table(spark, d, "part").select("p_partkey", chart.alias("chart")), "p_partkey", "chart")
+    return found.withColumnRenamed("at", "at_")
+
+
+@query(rf"""
+    SELECT doc_id, n - 1 AS n, length(line) AS length, regexp_matches(line, '{pitch.CHORD.removesuffix(chr(92) + 'z')}[,.]?\z') AS chord FROM (
+      SELECT doc_id, unnest(range(1, len(l) + 1)) AS n, {_trimmed('unnest(l)')} AS line FROM (SELECT doc_id, {_lines_sql('text')} AS l FROM documents WHERE text IS NOT NULL))
+""")
+def sql_text_lines(spark, d):
+    """Lines of all documents by a table function in LATERAL, trimmed and looked at by SQL functions."""
+    sql.register(spark)
+    docs = read_table(spark, d, "documents").select("doc_id", "text")
+    return spark.sql("SELECT doc_id, n, length(line) AS length, is_chord(line) AS chord FROM (SELECT doc_id, n, full_trim(raw) AS line FROM {docs}, LATERAL text_lines(text) AS l(n, raw))", docs=docs)
+
+
+@query(f"SELECT doc_id, unnest([0, 1])::INT AS n, unnest(['# one' || chr(10) || {_trim('text')} || chr(10) || '#two', '# three' || chr(10) || lang]) AS block FROM documents")
+def sql_split_documents(spark, d):
+    """The same blocks as from the column function, by a table function in LATERAL."""
+    sql.register(spark)
+    whole = read_table(spark, d, "documents").selectExpr("doc_id", "concat_ws('\\n', 'before\\n# one', full_trim(text), '#two\\n# three', lang) AS whole")
+    return spark.sql("SELECT doc_id, n, block FROM {docs}, LATERAL split_documents(whole) AS b(n, block)", docs=whole)
+
+
 @query("SELECT p_partkey, p_name AS title, p_brand AS artist, ['C', 'F#', 'Bb', 'Am'][(p_partkey % 4)::INT + 1] AS written_key, CASE WHEN p_size % 2 = 0 THEN 'D' END AS sounding_key, CASE WHEN p_size % 3 = 0 THEN 'E' END AS original_key FROM part")
 def txt_header(spark, d):
     key = F.element_at(F.array(*map(F.lit, ("C", "F#", "Bb", "Am"))), (F.col("p_partkey") % 4).cast("int") + 1)
@@ -111,6 +196,14 @@ def txt_sections(spark, d):
     return found.select("id", "type", F.regexp_replace("label", r"\s\d+$", "").alias("label"), F.array_join(F.transform("lines", lambda x: x["type"]), ",").alias("items"))
 
 
+@query(_SECTIONS)
+def sql_chart_sections(spark, d):
+    """The same sections by a table function over each chart's lines in order."""
+    sql.register(spark)
+    lines = charts.classified_lines(_chart(read_table(spark, d, "part")), "p_partkey", "chart")
+    return spark.sql("SELECT id, type, regexp_replace(label, r'\\s\\d+$', '') AS label, items FROM chart_sections(TABLE(SELECT id, n, line, type FROM {lines}) PARTITION BY id ORDER BY n)", lines=lines)
+
+
 @query("SELECT p_partkey AS id, p_name AS title, p_brand AS structure, 6 AS n FROM part")
 def txt_parse_doc(spark, d):
     found = charts.parse_charts(_chart(read_table(spark, d, "part")), "p_partkey", "chart")
