@@ -38,8 +38,12 @@ def route(score: Column) -> Column:
     return F.when(score <= SAFE, "safe").when(score <= WARNING, "spouse_warning").otherwise("friend_intervention")
 
 
+#: The phrases for a voice's tone.
+CALM, FURIOUS = "calm but firm", "absolutely furious and appalled"
+
+
 def tone(score: Column) -> Column:
-    return F.when(score <= WARNING, "calm but firm").otherwise("absolutely furious and appalled")
+    return F.when(score <= WARNING, CALM).otherwise(FURIOUS)
 
 
 def verdict(score: Column) -> Column:
