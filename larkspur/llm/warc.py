@@ -12,24 +12,27 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyarrow.fs import FileSystem
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import new_path, stage
 
-#: Most bytes of a record's block, bytes of a chunk, records in an archive, bytes of blocks in an Arrow batch.
+#: Most bytes of a record's block, bytes of a chunk, records in an archive beside its warcinfo, bytes of blocks in an Arrow batch.
 SEGMENT, CHUNK, RECORDS, BATCH = 16 << 10, 4 << 10, 512, 4 << 20
+#: The table that lists a folder's archives; bytes of archives that a task reads.
+MANIFEST, TASK = "_manifest", 64 << 20
 #: Compression level of a record; when records without a date of their own are dated.
 LEVEL, DATE = 6, "2024-01-01T00:00:00Z"
 EOL, END = b"\r\n", "\r\n\r\n"
 _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"
-#: A gzip member without content: what Spark's writer puts behind a file's only line.
-_NOTHING = gzip.compress(b"", mtime=0)
 _SPACE = uuid.UUID(int=0x6C61726B73707572)
 
 
@@ -129,8 +132,20 @@ def _batches(rows: Iterator[tuple], names: list[str], kinds: list[pa.DataType],
         yield batch()
 
 
+def _hadoop(spark: SparkSession, path: str) -> tuple[object, object]:
+    """The path and its file system, as Spark sees them."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def _location(spark: SparkSession, path: str) -> str:
+    """The folder's address for the executors."""
+    at, fs = _hadoop(spark, path)
+    return re.sub("^file:/*", "file:///", fs.makeQualified(at).toUri().toString()).rstrip("/")
+
+
 def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: int = 0, segment: int = SEGMENT, date_col: str | None = None) -> None:
-    """Writes a record per row as gzip-compressed WARC archives.
+    """Writes a record per row as gzip-compressed WARC archives into a new folder.
 
     Of equal payloads of at least ``least`` bytes, the one with the largest id is
     a response and the others revisit it. A null text has an empty payload; null
@@ -138,8 +153,18 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
     responses with one record id. Archives hold a warcinfo record and RECORDS
     others at most, and are named ``.warc.gz``. ``date_col`` has the records' times;
     without it, and where it is null, they are dated DATE. A URL loses its white
-    space; an empty table gives no archives; other columns are not read.
+    space; an empty table gives no archives; other columns are not read. A very
+    long text is held by its task as a whole, with its segments.
+
+    Tasks write their archives under the names that these keep, each attempt
+    under names of its own. The folder's table MANIFEST lists the archives of the
+    attempts that count, and appears at once when all are done: without it the
+    folder is not read, and what a lost attempt left is not listed in it. The
+    folder's file system must be one that ``pyarrow.fs`` knows.
     """
+    spark = pages.sparkSession
+    where = _location(spark, path)
+    FileSystem.from_uri(where)  # an unknown one fails here, not in the tasks
     date = F.date_format(F.col(date_col), "yyyy-MM-dd'T'HH:mm:ss'Z'") if date_col else F.lit(None).cast("string")
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.coalesce(date, F.lit(DATE)).alias("date"), F.encode(F.coalesce(html_col, F.lit("")), "UTF-8").alias("payload"))
     rows = rows.withColumn("digest", digest_of(F.col("payload")))
@@ -148,35 +173,37 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
     dealt = rows.join(seen, "digest", "left").select("page_id", "url", F.when(~revisit, F.col("payload")).alias("payload"), "digest", "first", revisit.alias("revisit"), "date")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def member(record: bytes) -> bytes:
-            return gzip.compress(record + END.encode(), LEVEL, mtime=0)
+        fs, root = FileSystem.from_uri(where)
+        task = TaskContext.get()
+        done: list[tuple[str, int, int]] = []
+        out, name, records, size = None, "", 0, 0
 
-        def archive() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([b"".join(held)], pa.binary())], ["archive"])
+        def put(record: bytes) -> int:
+            return out.write(gzip.compress(record + END.encode(), LEVEL, mtime=0))
 
-        held: list[bytes] = []
         for b in batches:
             for p, u, x, d, f, v, t in zip(*(c.to_pylist() for c in b.columns)):
                 for record in records_of(p, u, x or b"", d, f, v, segment, t):
-                    if not held:
-                        held.append(member(info_record(t, f"{path}/{p}/{d}")))
-                    held.append(member(record))
-                    if len(held) > RECORDS:
-                        yield archive()
-                        held = []
-        if held:
-            yield archive()
-
-    out = dealt.mapInArrow(write, "archive binary").select(F.col("archive").cast("string"))
-    # a file for each row; the line's end is an empty gzip member
-    writer = out.write.option("encoding", "ISO-8859-1").option("lineSep", _NOTHING.decode("latin-1")).option("maxRecordsPerFile", 1)
-    writer.text(path)
-    spark = pages.sparkSession
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    fs = at(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    for file in fs.globStatus(at(f"{path}/part-*.txt")):
-        name = file.getPath().toString()
-        fs.rename(file.getPath(), at(name.removesuffix(".txt") + ".warc.gz"))
+                    if out is None:
+                        name, records = f"part-{task.partitionId():05d}-{task.taskAttemptId()}-{len(done):05d}.warc.gz", 0
+                        fs.create_dir(root)
+                        out = fs.open_output_stream(f"{root}/{name}", compression=None)
+                        size = put(info_record(t, f"{where}/{name}"))
+                    size += put(record)
+                    records += 1
+                    if records == RECORDS:
+                        out.close()
+                        done.append((name, records, size))
+                        out = None
+        if out is not None:
+            out.close()
+            done.append((name, records, size))
+        if done:
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*done)], ["name", "records", "bytes"])
+
+    begun, folder = _hadoop(spark, f"{path}/{MANIFEST}/_BEGUN")
+    folder.create(begun, False).close()  # fails where there are archives already
+    dealt.mapInArrow(write, "name string, records long, bytes long").write.mode("append").parquet(f"{path}/{MANIFEST}")
 
 
 def parse_archive(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -225,8 +252,12 @@ def read_archives(spark: SparkSession, path: str, blocks: bool = True) -> DataFr
     payload_bytes is set for responses in one piece whose framing and digest are
     right. Without ``blocks`` only segments keep their block. Archives with
     records that are cut off give what is whole before that. warcinfo records
-    have rows too.
+    have rows too. In a folder of ``write_archives`` the archives listed in its
+    manifest are read, and one whose manifest is not finished is refused; in other
+    folders, all files named ``.gz``.
     """
+    kinds = [pa.string(), pa.string(), pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary()]
+    schema = "record_id string, kind string, page_id long, origin string, segment int, total long, digest string, refers_to string, payload_bytes long, block binary"
 
     def rows(data: bytes) -> Iterator[tuple]:
         number = lambda x: int(x) if x else None
@@ -239,13 +270,28 @@ def read_archives(spark: SparkSession, path: str, blocks: bool = True) -> DataFr
             yield f.get("warc-record-id"), f.get("warc-type"), number(f.get("x-page-id")), f.get("warc-segment-origin-id") or f.get("warc-record-id"), segment, number(f.get("warc-segment-total-length")), digest, f.get("warc-refers-to"), size, kept
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [pa.string(), pa.string(), pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary()]
         for b in batches:
             for data in b.column(0):
                 yield from _batches(rows(data.as_py()), _FIELDS, kinds, 9)
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content")
-    return files.mapInArrow(parse, "record_id string, kind string, page_id long, origin string, segment int, total long, digest string, refers_to string, payload_bytes long, block binary")
+    def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, root = FileSystem.from_uri(where)
+        for b in batches:
+            for name in b.column(0).to_pylist():
+                with fs.open_input_stream(f"{root}/{name}", compression=None) as archive:
+                    yield from _batches(rows(archive.read()), _FIELDS, kinds, 9)
+
+    at, fs = _hadoop(spark, f"{path}/{MANIFEST}")
+    if not fs.exists(at):
+        files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content")
+        return files.mapInArrow(parse, schema)
+    if not fs.exists(_hadoop(spark, f"{path}/{MANIFEST}/_SUCCESS")[0]):
+        raise FileNotFoundError(f"the archives in {path} were not written to the end")
+    where = _location(spark, path)
+    listed = spark.read.schema("name string, records long, bytes long").parquet(f"{path}/{MANIFEST}")
+    size = listed.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
+    tasks = max(spark.sparkContext.defaultParallelism, -(-size // TASK))
+    return listed.select("name").repartition(tasks).mapInArrow(fetch, schema)
 
 
 def responses(records: DataFrame) -> DataFrame:
@@ -282,8 +328,12 @@ def _joined(records: DataFrame) -> DataFrame:
             out.append(payload_of(block) if whole else None)
         return pa.array(out, pa.binary())
 
-    parts = records.where("segment IS NOT NULL AND kind IN ('response', 'continuation')").select("origin", "page_id", "digest", F.struct("segment", "total", "block").alias("part"))
-    grouped = parts.groupBy("origin").agg(F.collect_list("part").alias("parts"), F.max("page_id").alias("page_id"), F.max("digest").alias("digest"), F.count_if(F.col("part.segment") == 1).alias("times"))
+    # equal segments of repeated rows become one where they are read, so an origin gathers the segments of one record
+    parts = records.where("segment IS NOT NULL AND kind IN ('response', 'continuation')").groupBy("origin", "segment")
+    parts = parts.agg(F.max("page_id").alias("page_id"), F.max("digest").alias("digest"), F.max("total").alias("total"), F.max("block").alias("block"), F.count("*").alias("n"))
+    grouped = parts.groupBy("origin").agg(
+        F.collect_list(F.struct("segment", "total", "block")).alias("parts"), F.max("page_id").alias("page_id"), F.max("digest").alias("digest"), F.coalesce(F.max(F.when(F.col("segment") == 1, F.col("n"))), F.lit(0)).alias("times")
+    )
     joined = grouped.select(F.col("origin").alias("record_id"), "page_id", "digest", join_segments("parts").alias("payload"), "times")
     return joined.withColumn("_", F.explode(F.sequence(F.lit(1), F.greatest(F.col("times"), F.lit(1))))).drop("times", "_")
 
@@ -293,14 +343,12 @@ def round_trip(pages: DataFrame, least: int = 0, segment: int = SEGMENT, path: s
 
     ``broken`` tells where a payload could not be put together again, or the
     response that a revisit refers to was not read whole: payload_bytes, and then
-    refers_to, are null. Null ids and texts, repeated rows and empty tables are as
+    refers_to, are null. Null ids and texts, repeated rows, very long texts and empty tables are as
     ``write_archives`` says; columns of other names are not read, whatever they are.
     """
     spark = pages.sparkSession
     path = path or new_path(spark, "warc")
     write_archives(pages, path, least=least, segment=segment)
-    if not spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/*.gz")):
-        return spark.createDataFrame([], "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, broken boolean")
     return restored(stage(read_archives(spark, path, blocks=False), "records"))
 
 

@@ -591,9 +591,7 @@ def test_archives_follow_the_grammar(spark):
     assert files and all(f.name.endswith(".warc.gz") for f in files)
     ids, kinds = set(), Counter()
     for f in files:
-        *records, last = members(f.read_bytes())
-        assert last == b""
-        for i, r in enumerate(records):
+        for i, r in enumerate(members(f.read_bytes())):
             head, _, rest = r.partition(b"\r\n\r\n")
             first, *lines = head.decode().split("\r\n")
             assert first == "WARC/1.1" and all(re.fullmatch(r"[!#$%&'*+.^_`|~0-9A-Za-z-]+: \S.*", x) for x in lines)
@@ -625,6 +623,49 @@ def test_broken_records_are_reported(spark):
     assert got[0, "revisit"] == (10, 7, False)
 
 
+def test_only_archives_of_finished_writes_are_read(spark):
+    path = shared.new_path(spark, "finished")
+    folder = Path(path.removeprefix("file:"))
+    warc.write_archives(pages_of(spark), path, segment=1000)
+    records = warc.read_archives(spark, path).count()
+    archives = sorted(folder.glob("*.warc.gz"))
+    listed = spark.read.parquet(f"{path}/{warc.MANIFEST}").collect()
+    assert sorted(r.name for r in listed) == [f.name for f in archives] and all((folder / r.name).stat().st_size == r.bytes for r in listed)
+    assert sum(r.records for r in listed) + len(listed) == records
+    (folder / "part-00000-99-00000.warc.gz").write_bytes(archives[0].read_bytes())  # what a lost attempt left
+    assert warc.read_archives(spark, path).count() == records
+    (folder / warc.MANIFEST / "_SUCCESS").unlink()
+    with pytest.raises(FileNotFoundError):
+        warc.read_archives(spark, path)
+
+
+def test_a_failed_write_leaves_no_readable_folder(spark):
+    path = shared.new_path(spark, "failed")
+    bad = pages_of(spark).withColumn("html", F.when(F.col("page_id") == 6, F.raise_error(F.lit("broken"))).otherwise(F.col("html")))
+    with pytest.raises(Exception, match="broken"):
+        warc.write_archives(bad, path)
+    with pytest.raises(FileNotFoundError):
+        warc.read_archives(spark, path)
+    with pytest.raises(Exception, match="already exists"):  # nor is it written again
+        warc.write_archives(pages_of(spark), path)
+
+
+def test_archives_of_others_are_read_by_their_names(spark, tmp_path):
+    path = shared.new_path(spark, "own")
+    warc.write_archives(pages_of(spark), path, segment=1000)
+    for f in Path(path.removeprefix("file:")).glob("*.warc.gz"):
+        (tmp_path / f.name).write_bytes(f.read_bytes())
+    rows = lambda where: sorted(warc.read_archives(spark, where).collect(), key=str)
+    assert rows(tmp_path.as_uri()) == rows(path)
+
+
+def test_repeated_long_rows_share_their_segments(spark):
+    """Rows with one record id: each segment is gathered once, and every row is in the result."""
+    pages = spark.range(40).select(F.lit(None).cast("long").alias("page_id"), F.lit("u").alias("url"), F.lit("ab" * 5000).alias("html"))
+    got = warc.round_trip(pages, segment=1000).collect()
+    assert [(r.page_id, r.payload_bytes, r.record_type, r.refers_to, r.broken) for r in got] == [(None, 10_000, "response", None, False)] * 40
+
+
 def test_chunked_framing():
     for data in (b"", b"a", bytes(range(256)) * 100):
         assert warc.unchunked(warc.chunked(data)) == data
