@@ -18,6 +18,11 @@ def clear(held: Column, item: Column) -> Column:
     return F.array_except(held, F.array(item))
 
 
+def clear_all(held: Column) -> Column:
+    """The set without any item."""
+    return F.filter(held, lambda _: F.lit(False))
+
+
 def toggle(held: Column, item: Column) -> Column:
     """Without the item if it is there, else with it."""
     return F.when(F.array_contains(held, item), clear(held, item)).otherwise(mark(held, item))

@@ -63,6 +63,28 @@ def upsert_tags(tags: DataFrame, new: DataFrame, order: str) -> DataFrame:
     return tags.unionByName(fresh.join(known, "_fold", "left_anti").select("name", "category"), allowMissingColumns=True)
 
 
+def rename(tags: DataFrame, renames: DataFrame, key: str = "name") -> DataFrame:
+    """The tags with the names that ``renames`` (name, new_name) asks for, and ``refused`` where a tag had to keep its own.
+
+    Refused is a name that another tag has, whatever its case, also if that tag
+    is itself renamed; of several tags that ask for one name, the first by name
+    gets it. A tag may change the case of its own name. A null new name, and a
+    name that no tag has, ask for nothing; of several wishes for a tag, the first by
+    name counts.
+    """
+    fold = lambda c: ascii_fold(F.col(c))
+    asked = renames.where("new_name IS NOT NULL").groupBy(F.col("name").alias("_old")).agg(F.min("new_name").alias("_new"))
+    known = tags.groupBy(fold(key).alias("_fold")).agg(F.count("*").alias("_holders"))
+    rows = tags.join(asked, F.col(key) == F.col("_old"), "left").withColumn("_wish", fold("_new"))
+    rows = rows.join(known, F.col("_wish") == F.col("_fold"), "left")
+    rows = rows.withColumn("_taken", F.coalesce("_holders", F.lit(0)) > F.coalesce((fold(key) == F.col("_wish")).cast("int"), F.lit(0)))
+    first = rows.where("_wish IS NOT NULL AND NOT _taken").groupBy(F.col("_wish").alias("_won")).agg(F.min(key).alias("_first"))
+    rows = rows.join(first, F.col("_wish") == F.col("_won"), "left")
+    refused = F.col("_wish").isNotNull() & (F.col("_taken") | (F.col(key) != F.coalesce("_first", key)))
+    name = F.when(refused | F.col("_new").isNull(), F.col(key)).otherwise(F.col("_new")).alias(key)
+    return rows.select(*[name if c == key else F.col(c) for c in tags.columns], refused.alias("refused"))
+
+
 def add_links(links: DataFrame, new: DataFrame) -> DataFrame:
     """Adds the links that are not there."""
     return links.unionByName(new.select(*links.columns)).dropDuplicates()

@@ -6,11 +6,11 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import first_filled, join_filled, number_or_zero
 from ..functions.text import ascii_fold, comma_list, empty_to_null
-from ..operators import library, mutations
+from ..operators import cache, library, mutations
 from ..operators.ordering import neighbours, numbered, sample_rows, sample_share
 from ..sources.tables import read_table
 from .registry import query
-from .stand_ins import ENTRIES, LINKS, LISTS, SONGS, entries, links, lists, songs
+from .stand_ins import ENTRIES, HELD, LINKS, LISTS, SONGS, entries, held, links, lists, songs
 
 BRANDS = ["Brand#1", "Brand#2", "Brand#3"]
 _FOLD = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')".format
@@ -277,23 +277,26 @@ def set_distinct(spark, d):
     return read_table(spark, d, "part").select("p_type", "p_brand").distinct()
 
 
-_SET = "SELECT p_partkey, len({}) AS n FROM part"
+_SET = f"WITH {HELD} SELECT id, array_to_string({{}}, ',') AS items FROM held"
 
 
-@query(_SET.format("list_distinct([p_size, 5, 6])"))
+def _joined(items):
+    return F.array_join(F.array_sort(items), ",").alias("items")
+
+
+@query(_SET.format("list_sort(list_distinct(list_append(held, item)))"))
 def set_add_once(spark, d):
-    return read_table(spark, d, "part").select("p_partkey", F.size(F.array_union(F.array(F.lit(5), F.lit(6)), F.array("p_size"))).cast("long").alias("n"))
+    return held(spark, d).select("id", _joined(cache.mark(F.col("held"), F.col("item"))))
 
 
-@query(_SET.format("list_filter([4, 5, 6], lambda x: x <> p_size)"))
+@query(_SET.format("list_filter(held, lambda x: x <> item AND x <> held[-1])"))
 def set_minus(spark, d):
-    return read_table(spark, d, "part").select("p_partkey", F.size(F.array_except(F.array(F.lit(4), F.lit(5), F.lit(6)), F.array("p_size"))).cast("long").alias("n"))
+    return held(spark, d).select("id", _joined(F.array_except("held", F.array("item", F.element_at("held", -1)))))
 
 
-@query(_SET.format("CASE WHEN p_size IN (5, 6) THEN [5] ELSE [5, 6, p_size] END"))
+@query(_SET.format("CASE WHEN list_contains(held, item) THEN list_filter(held, lambda x: x <> item) ELSE list_sort(list_append(held, item)) END"))
 def set_toggle(spark, d):
-    held, own = F.array(F.lit(5), F.lit(6)), F.array("p_size")
-    return read_table(spark, d, "part").select("p_partkey", F.size(F.when(F.array_contains(held, F.col("p_size")), F.array_except(held, own)).otherwise(F.array_union(held, own))).cast("long").alias("n"))
+    return held(spark, d).select("id", _joined(cache.toggle(F.col("held"), F.col("item"))))
 
 
 @query("SELECT p_partkey FROM part WHERE lower(p_name) NOT IN ('cold widget', 'hot rod')")
@@ -354,11 +357,17 @@ def mut_unlink(spark, d):
     return mutations.remove_links(links(spark, d), gone, ["name"])
 
 
-@query("SELECT p_brand AS name, n FROM (SELECT CASE WHEN p_brand = 'Brand#2' THEN 'Brand#1' ELSE p_brand END AS p_brand, count(*) AS n FROM (SELECT DISTINCT p_brand FROM part) GROUP BY 1) WHERE n > 1")
+@query("""
+    WITH tags AS (SELECT DISTINCT p_brand AS name FROM part),
+    asked AS (SELECT name, CASE replace(name, 'Brand#', '')::INT % 4 WHEN 0 THEN upper(name) WHEN 1 THEN 'brand#2' WHEN 2 THEN 'Style' ELSE 'Tag ' || replace(name, 'Brand#', '') END AS new_name FROM tags),
+    told AS (SELECT name, new_name, EXISTS (SELECT 1 FROM tags t WHERE lower(t.name) = lower(a.new_name) AND t.name <> a.name) OR EXISTS (SELECT 1 FROM asked b WHERE b.new_name = a.new_name AND b.name < a.name) AS refused FROM asked a)
+    SELECT name AS old_name, CASE WHEN refused THEN name ELSE new_name END AS name, refused FROM told""")
 def mut_rename_tag(spark, d):
+    """Every tag asks for a new name: its own in capitals, one that another has, one that many ask for, or a free one."""
     tags = read_table(spark, d, "part").select(F.col("p_brand").alias("name")).distinct()
-    renamed = tags.withColumn("name", F.when(F.col("name") == "Brand#2", "Brand#1").otherwise(F.col("name")))
-    return mutations.duplicates(renamed, ["name"])
+    number = F.regexp_extract("name", r"\d+", 0)
+    wish = F.when(number % 4 == 0, F.upper("name")).when(number % 4 == 1, "brand#2").when(number % 4 == 2, "Style").otherwise(F.concat(F.lit("Tag "), number))
+    return mutations.rename(tags.withColumn("old_name", F.col("name")), tags.select("name", wish.alias("new_name")))
 
 
 _PLACED = """

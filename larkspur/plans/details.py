@@ -12,7 +12,7 @@ from ..operators.ordering import numbered
 from ..sources import files, vector_index
 from ..sources.tables import empty_table, first_row, open_catalogue, read_table, scratch_path, write_snapshot
 from .registry import query
-from .stand_ins import ENTRIES, LINKS, LISTS, SCALE, SONGS, entries, events, links, lists, songs
+from .stand_ins import ENTRIES, HELD, LINKS, LISTS, SCALE, SONGS, entries, events, held, links, lists, songs
 
 _FOLD = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')".format
 
@@ -179,10 +179,10 @@ def mut_tag_category(spark, d):
     return mutations.update_allowed(tags, F.col("name") == "Brand#4", {"category": "Feel"}, ("category",))
 
 
-@query(f"WITH {LISTS} SELECT name, count(*) AS n FROM (SELECT name FROM lists UNION ALL SELECT 'gig') GROUP BY 1")
+@query(f"WITH {LISTS} SELECT id, name, gig_date FROM lists UNION ALL SELECT (SELECT max(id) FROM lists) + row_number() OVER (ORDER BY c_name), c_name, NULL FROM customer")
 def mut_setlist_create(spark, d):
-    grown = mutations.insert_rows(lists(spark, d), spark.createDataFrame([("gig",)], "name string"))
-    return grown.groupBy("name").agg(F.count("*").alias("n"))
+    new = read_table(spark, d, "customer").select(F.col("c_name").alias("name"))
+    return mutations.insert_rows(lists(spark, d), new, order="name").select("id", "name", "gig_date")
 
 
 @query(f"WITH {LISTS} SELECT id, CASE WHEN id = 3 THEN 'renamed' ELSE name END AS name, id = 3 AS touched FROM lists")
@@ -191,11 +191,13 @@ def mut_setlist_update(spark, d):
     return mutations.update_allowed(rows, F.col("id") == 3, {"name": "renamed", "touched": True, "id": 9}, ("name", "gig_date", "notes", "touched"))
 
 
-@query("SELECT p_partkey, CASE WHEN p_size IN (3, 4) THEN 2 ELSE 3 END AS marked, CASE WHEN p_size IN (3, 4) THEN 1 ELSE 2 END AS cleared, CASE WHEN p_size IN (3, 4) THEN 1 ELSE 3 END AS toggled FROM part")
+@query(f"""
+    WITH {HELD} SELECT id, array_to_string(list_sort(list_distinct(list_append(held, item))), ',') AS marked, array_to_string(list_filter(held, lambda x: x <> item), ',') AS cleared,
+      CASE WHEN list_contains(held, item) THEN array_to_string(list_filter(held, lambda x: x <> item), ',') ELSE array_to_string(list_sort(list_append(held, item)), ',') END AS toggled, '' AS emptied FROM held""")
 def mut_dirty_add(spark, d):
-    held, item = F.array(F.lit(3), F.lit(4)), F.col("p_size")
-    size = lambda x: F.size(x)
-    return read_table(spark, d, "part").select("p_partkey", size(cache.mark(held, item)).alias("marked"), size(cache.clear(held, item)).alias("cleared"), size(cache.toggle(held, item)).alias("toggled"))
+    edited, item = F.col("held"), F.col("item")
+    sets = {"marked": cache.mark(edited, item), "cleared": cache.clear(edited, item), "toggled": cache.toggle(edited, item), "emptied": cache.clear_all(cache.mark(edited, item))}
+    return held(spark, d).select("id", *[F.array_join(F.array_sort(x), ",").alias(n) for n, x in sets.items()])
 
 
 @query("SELECT event_type AS key, max_by(value, [epoch_us(ts), event_id]) AS value FROM events GROUP BY 1")
@@ -312,9 +314,10 @@ def date_clock(spark, d):
     return read_table(spark, d, "events").select("event_id", F.date_format("ts", "HH:mm:ss").alias("clock"))
 
 
-@query("SELECT count(*) AS n, true AS now FROM orders")
+@query("SELECT o_orderkey, (o_orderdate + INTERVAL 360 MONTH)::DATE <= current_date AS due FROM orders")
 def date_now(spark, d):
-    return read_table(spark, d, "orders").agg(F.count("*").alias("n")).withColumn("now", F.current_timestamp() > F.lit("2020-01-01").cast("timestamp"))
+    """Whether an order's thirtieth anniversary has come."""
+    return read_table(spark, d, "orders").select("o_orderkey", (F.add_months("o_orderdate", 360) <= F.current_date()).alias("due"))
 
 
 # Numbers and labels

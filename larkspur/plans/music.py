@@ -88,10 +88,15 @@ def mus_section(spark, d):
     return _part(spark, d).select("p_partkey", pitch.transpose_section(line, F.col("m")).alias("line"))
 
 
-@query("SELECT p_partkey, p_size % 2 = 0 AS chords, true AS section FROM part")
+#: Lines, and whether each is a section with chords.
+_LABELLED = {" [Solo] G": True, "[Chorus]": False, "[Solo] now": False, "[Verse 2]   Am7": True, "G [x]": False}
+
+
+@query(f"SELECT p_partkey, p_size % 2 = 0 AS chords, {list(_LABELLED.values())}[p_size % {len(_LABELLED)} + 1] AS section FROM part")
 def mus_is_chord_line(spark, d):
     line = F.when(F.col("p_size") % 2 == 0, "G D/F# Em7 C now").otherwise("A day in the life")
-    return read_table(spark, d, "part").select("p_partkey", pitch.is_chord_line(line).alias("chords"), pitch.is_section_with_chords(F.lit(" [Solo] G")).alias("section"))
+    labelled = F.element_at(F.array(*map(F.lit, _LABELLED)), F.col("p_size") % len(_LABELLED) + 1)
+    return read_table(spark, d, "part").select("p_partkey", pitch.is_chord_line(line).alias("chords"), pitch.is_section_with_chords(labelled).alias("section"))
 
 
 def _flat(at):

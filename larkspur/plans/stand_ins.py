@@ -21,6 +21,7 @@ SONGS = f"""songs AS (
     p_size AS bpm, (p_partkey % 8)::INT AS default_capo, ({SCALE})[(p_partkey % 12)::INT + 1] AS chart_written_key FROM part)"""
 LISTS = "lists AS (SELECT o_orderkey AS id, o_orderpriority AS name, o_orderdate AS gig_date FROM orders)"
 ENTRIES = "entries AS (SELECT l_orderkey AS setlist_id, l_partkey AS song_id, l_linenumber AS position, l_quantity AS notes FROM lineitem)"
+HELD = "held AS (SELECT l_orderkey AS id, list_sort(list_distinct(list(l_partkey))) AS held, CASE WHEN l_orderkey % 2 = 0 THEN min(l_partkey) ELSE l_orderkey % 200 + 1 END AS item FROM lineitem GROUP BY l_orderkey)"
 LINKS = "links AS (SELECT DISTINCT l_orderkey AS song_id, p_brand AS name FROM lineitem JOIN part ON l_partkey = p_partkey)"
 
 
@@ -57,3 +58,10 @@ def links(spark: SparkSession, d: str) -> DataFrame:
 
 def events(spark: SparkSession, d: str) -> DataFrame:
     return read_table(spark, d, "events").withColumn("k", F.get_json_object("props", "$.k").cast("int"))
+
+
+def held(spark: SparkSession, d: str) -> DataFrame:
+    """The set of an order's parts, and an item: for even orders one of the set."""
+    item = F.when(F.col("l_orderkey") % 2 == 0, F.min("l_partkey")).otherwise(F.col("l_orderkey") % 200 + 1)
+    rows = read_table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_set("l_partkey")).alias("held"), item.alias("item"))
+    return rows.withColumnRenamed("l_orderkey", "id")

@@ -204,10 +204,12 @@ def sql_chart_sections(spark, d):
     return spark.sql("SELECT id, type, regexp_replace(label, r'\\s\\d+$', '') AS label, items FROM chart_sections(TABLE(SELECT id, n, line, type FROM {lines}) PARTITION BY id ORDER BY n)", lines=lines)
 
 
-@query("SELECT p_partkey AS id, p_name AS title, p_brand AS structure, 6 AS n FROM part")
+@query(f"SELECT s.*, p_name AS title, p_brand AS structure FROM ({_SECTIONS}) s JOIN part ON p_partkey = s.id")
 def txt_parse_doc(spark, d):
+    """A row for each section of the parsed charts."""
     found = charts.parse_charts(_chart(read_table(spark, d, "part")), "p_partkey", "chart")
-    return found.select("id", "title", "structure", F.size("sections").alias("n"))
+    found = found.select("id", "title", "structure", F.explode("sections").alias("s"))
+    return found.select("id", "title", "structure", "s.type", F.regexp_replace("s.label", r"\s\d+$", "").alias("label"), F.array_join(F.transform("s.lines", lambda x: x["type"]), ",").alias("items"))
 
 
 @query("SELECT p_partkey, '   D' || repeat(' ', length(p_name) - 1) || 'E7' AS chords, 'Oh ' || p_name || ' yeah' AS lyric FROM part")

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from larkspur.operators import events, library, mutations, nearest
+from larkspur.operators import cache, events, library, mutations, nearest
 from larkspur.streaming import metrics
 
 SONG = "id long, title string, artist string, genre string, feel string, era string"
@@ -145,3 +145,16 @@ def test_known_sessions_pass_the_stage_check(spark):
     session = ["choose_spouse", "record_idea", "review_transcript", "evaluating", "friend_intervention", "spouse_rage", "exile", "choose_spouse"]
     rows = spark.createDataFrame([("a", i, s) for i, s in enumerate(session)], "session string, seq int, stage string")
     assert all(r.allowed for r in events.check_sequence(rows, "session", ["seq"]).collect())
+
+
+def test_rename_refuses_names_that_are_taken(spark):
+    tags = spark.createDataFrame([("Slow", "tempo"), ("Fast", "tempo"), ("Live", None), ("Solo", None), ("Old", None), ("Kept", None)], "name string, category string")
+    wishes = [("Slow", "SLOW"), ("Fast", "live"), ("Live", "Stage"), ("Solo", "stage"), ("Old", None), ("Nobody", "Else")]
+    got = {(r.name, r.category): r.refused for r in mutations.rename(tags, spark.createDataFrame(wishes, "name string, new_name string")).collect()}
+    assert got == {("SLOW", "tempo"): False, ("Fast", "tempo"): True, ("Stage", None): False, ("Solo", None): True, ("Old", None): False, ("Kept", None): False}
+    assert mutations.rename(tags.limit(0), tags.select("name", F.col("category").alias("new_name"))).count() == 0
+
+
+def test_an_emptied_set_keeps_its_type(spark):
+    row = spark.range(1).select(cache.clear_all(cache.mark(F.array("id"), F.lit(7).cast("long"))).alias("x"))
+    assert row.schema["x"].dataType.elementType.simpleString() == "bigint" and row.first().x == []
