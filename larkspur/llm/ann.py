@@ -2,84 +2,93 @@
 
 Rotations are learned on a sample of at most SAMPLE vectors (principal axes,
 then iterative quantisation towards the signs), and every vector gets the signs
-of its coordinates under them as its binary code. Codes are cut into substrings
-of PART bits, each with an index of its own, and a query retrieves from every
-substring's index all that differs there in at most ``near`` bits: by the
-pigeonhole principle that is every code within a Hamming radius of (near + 1) *
-substrings - 1, and many further ones. An index finds them by the same principle:
-of PIECES pieces of the substring one differs in at most near // PIECES bits, and
-all such values are probed. All that is retrieved is ranked by the cosine of the
-original vectors in double precision.
-
-How many substrings there are (MOST at most), and how many bits may differ, is
-set for a recall of TARGET on TRIED rows whose true neighbours among all rows are
-found by brute force. A query that retrieves fewer than k rows is held against
-all rows instead, so none comes out short.
+of its coordinates under them as one binary code of BITS bits. The code is cut
+into substrings of about log2(rows) bits, each with an index of its own. A query
+wants all codes within a Hamming radius; by the pigeonhole principle such a code
+differs in at most its share of the radius in one of the substrings, so all
+values within that share are looked up there. What was met is held to the radius
+by the whole code, and what remains is ranked by the cosine of the original
+vectors in double precision.
+
+The radius is set so that TARGET of the true neighbours of TRIED of the queries,
+found by brute force, are retrieved; these queries are not among the vectors that
+the rotations are learned on. A query that retrieves fewer than k rows is held
+against all rows instead, so none comes out short.
 
 Equal vectors are one entry with their k + 1 least ids. Index entries and probes
-meet on (substring, leading bits of the value); where many entries share those
-bits, they are split. Retrieved pairs are numbers inside pairs of blocks of rows
+meet on (substring, leading bits of the value); where many entries or many probes
+share those bits, both are split. Retrieved pairs are numbers inside pairs of blocks of rows
 and queries, and each pair of blocks reads its vectors once.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import packed, stage, unit, unpacked
 from .vectors import matrix, stored, unit_rows, usable
 
 #: Vectors that rotations are fitted on at most, rows the recall is tried on at most, recall aimed at, seed.
-SAMPLE, TRIED, TARGET, SEED = 2000, 200, 0.94, 5
-#: Bits of a substring, bits that may differ at first, pieces a substring is probed by, most substrings, steps of fitting a rotation.
-PART, NEAR, PIECES, MOST, STEPS = 40, 8, 3, 512, 2
-#: Rows of an index block, queries of a block, entries of a group before it is split.
-BLOCK, QUERIES, GROUP = 10_000, 1000, 1 << 20
+SAMPLE, TRIED, TARGET, SEED = 2000, 200, 0.95, 5
+#: Bits of a code, fewest bits of a substring, steps of fitting a rotation.
+BITS, LEAST, STEPS = 256, 8, 2
+#: Rows of an index block, queries of a block, entries and queries of a group before it is split.
+BLOCK, QUERIES, GROUP, ASKED = 10_000, 1000, 1 << 20, 1 << 16
 
 
 class Codes:
-    """The learned rotations, the number of substrings and how many bits of them may differ."""
+    """The learned rotations and the radius."""
 
     def __init__(self, sample: np.ndarray):
-        self.dim = sample.shape[1]
+        dim = sample.shape[1]
         rng = np.random.default_rng(SEED)
-        axes = np.linalg.svd(sample - sample.mean(0), full_matrices=False)[2] if len(sample) > self.dim else np.eye(self.dim)
+        axes = np.linalg.svd(sample - sample.mean(0), full_matrices=False)[2] if len(sample) > dim else np.eye(dim)
         turns = []
-        for _ in range(-(-MOST * PART // self.dim)):
-            turn = axes.T @ np.linalg.qr(rng.standard_normal((self.dim, self.dim)))[0]
-            for _ in range(STEPS if len(sample) > self.dim else 0):
+        for _ in range(-(-BITS // dim)):
+            turn = axes.T @ np.linalg.qr(rng.standard_normal((dim, dim)))[0]
+            for _ in range(STEPS if len(sample) > dim else 0):
                 u, _, v = np.linalg.svd(sample.T @ np.sign(sample @ turn))
                 turn = u @ v
             turns.append(turn)
-        self.axes = np.concatenate(turns, axis=1)[:, : MOST * PART]
-        self.parts, self.near = MOST, NEAR
+        self.axes, self.radius = np.concatenate(turns, axis=1)[:, :BITS], -1
 
     def of(self, x: np.ndarray) -> np.ndarray:
-        """The substrings of the codes of rows of length 1, as numbers."""
-        axes, half = self.axes[:, : self.parts * PART].astype(np.float32), PART // 2
-        powers = (1 << np.arange(half)).astype(np.float32)
-        out = np.empty((len(x), self.parts), np.uint64)
-        for i in range(0, len(x), 256):
-            bits = (x[i : i + 256].astype(np.float32) @ axes > 0).astype(np.float32)
-            halves = (bits.reshape(-1, half) @ powers).astype(np.uint64).reshape(-1, self.parts, 2)
-            out[i : i + 256] = halves[:, :, 0] << np.uint64(half) | halves[:, :, 1]
-        return out
+        """The bits of the codes of rows of length 1."""
+        return x @ self.axes > 0
 
     def calibrate(self, one: np.ndarray, two: np.ndarray) -> None:
-        """Sets substrings and bits so that TARGET of the pairs of rows are retrieved."""
-        differ = np.bitwise_count(self.of(one) ^ self.of(two))
-        for self.near in range(NEAR, PART + 1):
-            recall = np.logical_or.accumulate(differ <= self.near, axis=1).mean(axis=0) if len(one) else np.zeros(MOST)
-            if recall[-1] >= TARGET or self.near == PART:
-                self.parts = int(np.argmax(recall >= TARGET)) + 1
-                return
+        """Sets the radius that TARGET of the pairs of rows keep to."""
+        differ = np.sort((self.of(one) != self.of(two)).sum(axis=1))
+        self.radius = int(differ[math.ceil(TARGET * len(differ)) - 1]) if len(differ) else -1
+
+
+def cuts(rows: int) -> list[int]:
+    """Where the substrings of about log2(rows) bits begin, and the last ends."""
+    parts = max(1, BITS // max(LEAST, (rows - 1).bit_length()))
+    return [BITS * j // parts for j in range(parts + 1)]
+
+
+def shares(radius: int, parts: int) -> list[int]:
+    """How many bits may differ in each substring: a code beyond all of them differs in more than ``radius``. Where it is -1, none need be looked up."""
+    whole, rest = divmod(radius, parts)
+    return [whole - (j > rest) for j in range(parts)]
+
+
+def _values(bits: np.ndarray) -> np.ndarray:
+    """Each row's bits as a number."""
+    return bits.astype(np.uint64) @ (np.uint64(1) << np.arange(bits.shape[1], dtype=np.uint64))
+
+
+def _words(bits: np.ndarray) -> np.ndarray:
+    return np.packbits(bits, axis=1).view(np.uint64)
 
 
 def _pack(rows: DataFrame, size: int) -> DataFrame:
@@ -129,14 +138,19 @@ def _nearest_of(index: DataFrame, tried: dict[int, np.ndarray], k: int) -> dict[
     return out
 
 
-def fit(classes: DataFrame, index: DataFrame, k: int, sample: int = SAMPLE) -> dict[int, Codes]:
-    """Codes for each width of the sampled vectors."""
-    drawn = classes.select(unit(F.lit(SEED), F.col("ids")[0]).alias("u"), "vector").orderBy("u").limit(sample).toArrow()["vector"].to_pylist()
-    by_width = {w: unit_rows(np.array([v for v in drawn if len(v) == w])) for w in {len(v) for v in drawn}}
-    models = {w: Codes(x) for w, x in by_width.items()}
-    for w, pairs in _nearest_of(index, {w: x[:TRIED] for w, x in by_width.items()}, k).items():
+def fit(classes: DataFrame, index: DataFrame, asked: DataFrame, k: int, sample: int = SAMPLE) -> dict[int, Codes]:
+    """Codes for each width of the sampled vectors that some of the queries tried have neighbours in."""
+
+    def drawn(rows: DataFrame, most: int, without: set[bytes]) -> dict[int, np.ndarray]:
+        found = rows.select(unit(F.lit(SEED), F.col("ids")[0]).alias("u"), "vector").orderBy("u").limit(most).toArrow()["vector"].to_pylist()
+        found = [x for x in map(np.array, found) if x.tobytes() not in without]
+        return {w: np.array([x for x in found if len(x) == w]) for w in {len(x) for x in found}}
+
+    tried = drawn(asked, TRIED, set())
+    models = {w: Codes(unit_rows(x)) for w, x in drawn(classes, sample, {v.tobytes() for x in tried.values() for v in x}).items()}
+    for w, pairs in _nearest_of(index, {w: unit_rows(x) for w, x in tried.items() if w in models}, k).items():
         models[w].calibrate(*pairs)
-    return models
+    return {w: m for w, m in models.items() if m.radius >= 0}
 
 
 def _masks(bits: int, most: int, least: int = 0) -> list[int]:
@@ -145,35 +159,33 @@ def _masks(bits: int, most: int, least: int = 0) -> list[int]:
 
 
 def _within(index: np.ndarray, asked: np.ndarray, bits: int, near: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs (place in asked, place in index) of numbers of ``bits`` bits that differ in at most ``near``, each once."""
-    cuts = [bits * i // PIECES for i in range(PIECES + 1)]
-    masks = [np.uint64((1 << b) - (1 << a)) for a, b in zip(cuts, cuts[1:])]
-    budget = near // PIECES
-    for p, (a, b) in enumerate(zip(cuts, cuts[1:])):
-        piece = lambda x: (x & masks[p]) >> np.uint64(a)  # noqa: B023, E731
-        order = np.argsort(piece(index), kind="stable")
-        starts = np.searchsorted(piece(index)[order], np.arange((1 << b - a) + 1, dtype=np.uint64))
-        probes = np.array(_masks(b - a, budget), np.int64)
-        expected = len(probes) * len(index) >> (b - a)
-        step = max(1, (1 << 20) // (len(probes) + expected))
+    """Pairs (place in asked, place in index) of numbers of ``bits`` bits that differ in at most ``near``, each once.
+
+    All values within ``near`` of an asked one are looked up; where these are more
+    than the index has entries, the entries are compared instead.
+    """
+    ball = sum(math.comb(bits, i) for i in range(min(near, bits) + 1))
+    if ball >= len(index):
+        step = max(1, (1 << 20) // max(1, len(index)))
         for i in range(0, len(asked), step):
-            probed = (piece(asked[i : i + step]).astype(np.int64)[:, None] ^ probes).ravel()
-            n = starts[probed + 1] - starts[probed]
-            at = order[np.arange(n.sum()) + np.repeat(starts[probed] - np.cumsum(n) + n, n)]
-            q = np.repeat(np.repeat(np.arange(i, min(i + step, len(asked))), len(probes)), n)
-            differ = index[at] ^ asked[q]
-            kept = np.bitwise_count(differ) <= near
-            at, q, differ = at[kept], q[kept], differ[kept]
-            for m in masks[:p]:  # found by an earlier piece
-                new = np.bitwise_count(differ & m) > budget
-                at, q, differ = at[new], q[new], differ[new]
-            yield q, at
-
-
-def _entries(blocks: DataFrame, models: dict[int, Codes], lead: int, probes: bool) -> DataFrame:
-    """Rows (width, j, lead, block, n, rest, rows[, left]) of entries with equal leading bits; probes go to all leads within ``near`` bits, with the bits left."""
+            q, at = np.nonzero(np.bitwise_count(asked[i : i + step, None] ^ index) <= near)
+            yield q + i, at
+        return
+    order = np.argsort(index, kind="stable")
+    index = index[order]
+    probes = np.array(_masks(bits, near), np.uint64)
+    step = max(1, (1 << 18) // ball)
+    for i in range(0, len(asked), step):
+        probed = (asked[i : i + step, None] ^ probes).ravel()
+        first = np.searchsorted(index, probed, "left")
+        n = np.searchsorted(index, probed, "right") - first
+        at = order[np.arange(n.sum()) + np.repeat(first - np.cumsum(n) + n, n)]
+        yield np.repeat(np.repeat(np.arange(i, min(i + step, len(asked))), ball), n), at
+
+
+def _entries(blocks: DataFrame, models: dict[int, Codes], at: list[int], lead: int, probes: bool) -> DataFrame:
+    """Rows (width, j, lead, block, n, rest, rows, left) of entries with equal leading bits; probes go to all leads within the substring's share, with the bits left."""
     shared = blocks.sparkSession.sparkContext.broadcast(models)
-    low = PART - lead
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flips = [(n, np.uint64(f)) for n in range(lead + 1) for f in _masks(lead, n, n)] if probes else [(0, np.uint64(0))]
@@ -182,29 +194,32 @@ def _entries(blocks: DataFrame, models: dict[int, Codes], lead: int, probes: boo
                 if (model := shared.value.get(w)) is None:
                     continue
                 codes, out = model.of(unit_rows(matrix(data, n))), []
-                for j in range(model.parts):
-                    head, rest = codes[:, j] >> np.uint64(low), codes[:, j] & np.uint64((1 << low) - 1)
+                for j, near in enumerate(shares(model.radius, len(at) - 1)):
+                    if near < 0:
+                        continue
+                    value, low = _values(codes[:, at[j] : at[j + 1]]), at[j + 1] - at[j] - lead
+                    head, rest = value >> np.uint64(low), value & np.uint64((1 << low) - 1)
                     order = np.argsort(head, kind="stable")
                     for rows in np.split(order, np.flatnonzero(np.diff(head[order])) + 1):
                         for bits, flip in flips:
-                            if bits <= model.near:
-                                out.append((w, j, int(head[rows[0]] ^ flip), block, len(rows), packed(rest[rows]), packed(np.diff(rows, prepend=0)), model.near - bits))
-                kinds = (pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int32())
+                            if bits <= near:
+                                out.append((w, j, int(head[rows[0]] ^ flip), block, len(rows), packed(rest[rows]), packed(np.diff(rows, prepend=0)), near - bits))
+                kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int32())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names)
 
     names = ["width", "j", "lead", "block", "n", "rest", "rows", "left"]
-    return blocks.select("block", "width", "n", "data").mapInArrow(cut, "width int, j int, lead int, block long, n long, rest binary, rows binary, left int")
+    return blocks.select("block", "width", "n", "data").mapInArrow(cut, "width int, j int, lead long, block long, n long, rest binary, rows binary, left int")
 
 
-def _probe(lead: int):
-    """Retrieves, for one substring and leading bits, the entries within the radius, as numbers inside pairs of blocks."""
-    low = PART - lead
+def _probe(at: list[int], lead: int):
+    """Looks up, for one substring and leading bits, the entries within its share, as numbers inside pairs of blocks."""
     schema = pa.schema([("block", pa.int64()), ("asked", pa.int64()), ("found", pa.binary())])
 
     def probe(index: pa.Table, probes: pa.Table) -> pa.Table:
         if not index.num_rows or not probes.num_rows:
             return schema.empty_table()
-        blocks = index["block"].to_numpy()
+        blocks, j = index["block"].to_numpy(), index["j"][0].as_py()
+        low = at[j + 1] - at[j] - lead
         rows_of = lambda data: np.cumsum(unpacked(data).astype(np.int64))
         parts = [(unpacked(a), rows_of(b)) for a, b in zip(index["rest"].to_pylist(), index["rows"].to_pylist())]
         value, row = (np.concatenate(x) for x in zip(*parts))
@@ -212,7 +227,7 @@ def _probe(lead: int):
         out = []
         for asked, rest, rows, left in zip(*(probes[c].to_pylist() for c in ("block", "rest", "rows", "left"))):
             rows = rows_of(rows)
-            got = [(place[at], rows[q] * BLOCK + row[at]) for q, at in _within(value, unpacked(rest), low, left)]
+            got = [(place[e], rows[q] * BLOCK + row[e]) for q, e in _within(value, unpacked(rest), low, left)]
             where, number = (np.concatenate(x) for x in zip(*got))
             order = np.lexsort((number, where))
             where, number = where[order], number[order]
@@ -240,8 +255,9 @@ def _mark(bits: np.ndarray, data: bytes) -> None:
         bits |= np.unpackbits(np.frombuffer(data, np.uint8, offset=1)).astype(bool)
 
 
-def _rank(pairs: DataFrame, k: int) -> DataFrame:
-    """The k best rows of each block for each query: query_id, vec_id, score, seen (different vectors, in one row of each query and block)."""
+def _rank(pairs: DataFrame, models: dict[int, Codes], k: int) -> DataFrame:
+    """The k best rows of each block for each query, of those found within the radius: query_id, vec_id, score, seen (different vectors ranked, in one row of each query and block)."""
+    shared = pairs.sparkSession.sparkContext.broadcast(models)
 
     def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -249,12 +265,17 @@ def _rank(pairs: DataFrame, k: int) -> DataFrame:
                 x, q = unit_rows(matrix(data, n)), unit_rows(matrix(queries, m))
                 ids, asked, counts = np.frombuffer(ids, np.int64), np.frombuffer(asked, np.int64), unpacked(counts).astype(np.int64)
                 starts = np.cumsum(counts) - counts
-                bits = np.zeros(BLOCK * QUERIES, bool)
+                out, bits = [], np.zeros(BLOCK * QUERIES, bool)
                 for f in found or []:
                     _mark(bits, f)
-                out = []
+                if found is not None:
+                    model = shared.value[x.shape[1]]
+                    codes, wanted = _words(model.of(x)), _words(model.of(q))
                 for i in range(m):
-                    rows = np.flatnonzero(bits[i * BLOCK : i * BLOCK + n]) if found is not None else np.arange(n)
+                    rows = np.arange(n)
+                    if found is not None:
+                        rows = np.flatnonzero(bits[i * BLOCK : i * BLOCK + n])
+                        rows = rows[np.bitwise_count(codes[rows] ^ wanted[i]).sum(axis=1, dtype=np.int64) <= model.radius]
                     score = (x[rows] * q[i]).sum(axis=1)
                     if len(rows) > 8 * (k + 1):  # ties with the last one stay
                         kept = score >= np.partition(score, len(rows) - k - 1)[len(rows) - k - 1]
@@ -290,25 +311,28 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "ve
     index = _pack(classes.repartition(-(-n // BLOCK) or 1), BLOCK)
     asked = stage(asked, "asked")
     packed_ = _pack(asked.repartition(-(-asked.count() // BLOCK) or 1), QUERIES)
-    models = fit(classes, index, k, sample)
+    models = fit(classes, index, asked, k, sample)
 
-    lead = min(max(0, (-(-n // GROUP)).bit_length() - 1), PART - NEAR)
-    entries, probes = stage(_entries(index, models, lead, False), "entries"), _entries(packed_, models, lead, True)
+    at = cuts(n)
+    lead = min(max(0, (-(-n // GROUP)).bit_length() - 1), min(b - a for a, b in zip(at, at[1:])))
+    entries, probes = (stage(_entries(d, models, at, lead, asks), name) for d, asks, name in ((index, False, "entries"), (packed_, True, "probes")))
     on = ["width", "j", "lead"]
-    splits = entries.groupBy(*on).agg(F.ceil(F.sum("n") / GROUP).cast("int").alias("splits"))
-    split: Column = F.pmod(F.xxhash64("block"), F.col("splits")).cast("int")
-    entries = entries.join(splits, on).withColumn("split", split).drop("splits").groupBy(*on, "split")
-    probes = probes.join(splits, on).withColumn("split", F.explode(F.sequence(F.lit(0), F.col("splits") - 1))).drop("splits").groupBy(*on, "split")
-    retrieved = entries.cogroup(probes).applyInArrow(_probe(lead), "block long, asked long, found binary")
+    share = lambda d, most, name: d.groupBy(*on).agg(F.ceil(F.sum("n") / most).cast("int").alias(name))
+    sizes = share(entries, GROUP, "splits").join(share(probes, ASKED, "slices"), on)
+    dealt = lambda name: F.pmod(F.xxhash64("block"), F.col(name)).cast("int")
+    every = lambda name: F.explode(F.sequence(F.lit(0), F.col(name) - 1))
+    entries = entries.join(sizes, on).withColumn("split", dealt("splits")).withColumn("slice", every("slices")).drop("splits", "slices").groupBy(*on, "split", "slice")
+    probes = probes.join(sizes, on).withColumn("slice", dealt("slices")).withColumn("split", every("splits")).drop("splits", "slices").groupBy(*on, "split", "slice")
+    retrieved = entries.cogroup(probes).applyInArrow(_probe(at, lead), "block long, asked long, found binary")
     pairs = retrieved.groupBy("block", "asked").agg(F.collect_list("found").alias("found"))
     against = packed_.select(F.col("block").alias("asked"), F.col("n").alias("m"), F.col("ids").alias("asked_ids"), F.col("data").alias("queries"))
-    found = stage(_rank(pairs.join(index, "block").join(against, "asked"), k), "found")
+    found = stage(_rank(pairs.join(index, "block").join(against, "asked"), models, k), "found")
 
     got = found.groupBy(F.col("query_id").alias("id")).count()
     short = stage(asked.withColumn("id", F.col("ids")[0]).join(got, "id", "left").where(F.coalesce("count", F.lit(0)) < k).drop("count"), "short")
     if not short.isEmpty():  # these are held against all rows of their width
         few = _pack(short.select("ids", "vector"), QUERIES).select("width", F.col("n").alias("m"), F.col("ids").alias("asked_ids"), F.col("data").alias("queries"))
-        again = _rank(index.withColumn("found", F.lit(None).cast("array<binary>")).join(few, "width"), k)
+        again = _rank(index.withColumn("found", F.lit(None).cast("array<binary>")).join(few, "width"), models, k)
         found = found.join(short.select(F.col("id").alias("query_id")), "query_id", "left_anti").union(again)
     of = Window.partitionBy("query_id")
     rank = F.row_number().over(of.orderBy(F.desc("score"), "vec_id")).cast("int")

@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -384,11 +385,46 @@ def test_index_retrieves_all_within_the_radius_once():
         assert len(got) == len(set(got)) and sorted(got) == [tuple(w) for w in want.tolist()]
 
 
+def test_shares_of_the_radius_lose_no_code():
+    """Differing bits dealt over the substrings in any way: up to the radius one keeps to its share, and one bit more can be beyond all."""
+    for parts in (1, 3, 4):
+        for radius in range(10):
+            share = ann.shares(radius, parts)
+            dealt = [d for d in itertools.product(range(radius + 2), repeat=parts) if sum(d) <= radius + 1]
+            beyond = [d for d in dealt if all(n > most for n, most in zip(d, share))]
+            assert beyond and all(sum(d) == radius + 1 for d in beyond)
+    for rows in (0, 1, 2, 300, 10**6, 10**10):
+        at = ann.cuts(rows)
+        widths = [b - a for a, b in zip(at, at[1:])]
+        assert at[0] == 0 and at[-1] == ann.BITS and max(widths) - min(widths) <= 1 and min(widths) >= max(ann.LEAST, (max(rows, 1) - 1).bit_length())
+
+
+@pytest.mark.parametrize("group", [1 << 20, 200])
+def test_every_code_within_the_radius_is_retrieved(spark, sf, monkeypatch, group):
+    df = spark.read.parquet(f"{sf}/embeddings.parquet")
+    fitted, fit = [], ann.fit
+    monkeypatch.setattr(ann, "fit", lambda *a: fitted.append(fit(*a)) or fitted[-1])
+    monkeypatch.setattr(ann, "GROUP", group)
+    monkeypatch.setattr(ann, "ASKED", group)
+    got = {r.query_id: r.retrieved for r in ann.search(df, df.where("vec_id % 7 = 0")).collect()}
+    rows = df.collect()
+    x = np.array([r.embedding for r in rows], float)
+    x = np.unique(x, axis=0)
+    (model,) = fitted[0].values()
+    code = lambda v: model.of(v / np.linalg.norm(v, axis=-1, keepdims=True))
+    for r in rows:
+        if r.vec_id % 7 == 0:
+            within = int(((code(np.array([r.embedding], float)) != code(x)).sum(axis=1) <= model.radius).sum())
+            assert got[r.vec_id] == within or within <= 5
+    assert len(got) == sum(r.vec_id % 7 == 0 for r in rows)
+
+
 @pytest.mark.parametrize("group", [1 << 20, 200])
 def test_leading_bits_and_splits_change_nothing(spark, sf, monkeypatch, group):
     df = spark.read.parquet(f"{sf}/embeddings.parquet")
     df = df.union(df.where("vec_id < 300").select((F.col("vec_id") * 0 + 7).alias("vec_id"), F.lit(df.first()["embedding"]).cast("array<float>"), "label"))
     monkeypatch.setattr(ann, "GROUP", group)
+    monkeypatch.setattr(ann, "ASKED", 3 if group == 200 else 1 << 16)
     got = sorted(map(tuple, ann.search(df, df.where("vec_id % 50 = 0")).collect()))
     monkeypatch.setattr(ann, "GROUP", 1 << 20)
     assert group == 1 << 20 or got == sorted(map(tuple, ann.search(df, df.where("vec_id % 50 = 0")).collect()))
