@@ -42,6 +42,8 @@ SAMPLE, TRIED, TARGET, SEED = 2000, 200, 0.95, 5
 BITS, LEAST, STEPS = 256, 8, 2
 #: Rows of an index block, queries of a block, entries and queries of a group before it is split.
 BLOCK, QUERIES, GROUP, ASKED = 10_000, 1000, 1 << 20, 1 << 16
+#: Entries that can be compared at the cost of a lookup; most tasks that look up.
+LOOKUP, TASKS = 32, 1 << 15
 
 
 class Codes:
@@ -158,29 +160,50 @@ def _masks(bits: int, most: int, least: int = 0) -> list[int]:
     return [sum(1 << b for b in f) for n in range(least, min(most, bits) + 1) for f in combinations(range(bits), n)]
 
 
-def _within(index: np.ndarray, asked: np.ndarray, bits: int, near: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs (place in asked, place in index) of numbers of ``bits`` bits that differ in at most ``near``, each once.
+def _dense(entries: int, bits: int, near: int) -> bool:
+    """Whether it costs less to compare all entries than to look up all values within ``near``."""
+    return LOOKUP * sum(math.comb(bits, i) for i in range(min(near, bits) + 1)) >= entries
 
-    All values within ``near`` of an asked one are looked up; where these are more
-    than the index has entries, the entries are compared instead.
-    """
-    ball = sum(math.comb(bits, i) for i in range(min(near, bits) + 1))
-    if ball >= len(index):
-        step = max(1, (1 << 20) // max(1, len(index)))
-        for i in range(0, len(asked), step):
-            q, at = np.nonzero(np.bitwise_count(asked[i : i + step, None] ^ index) <= near)
+
+def _compared(index: np.ndarray, asked: np.ndarray, near: int) -> Iterator[tuple[int, np.ndarray]]:
+    """For runs of the asked numbers: the first's place, and which of the index differ from each in at most ``near`` bits."""
+    step = max(1, (1 << 18) // max(1, len(index)))
+    for i in range(0, len(asked), step):
+        yield i, np.bitwise_count(asked[i : i + step, None] ^ index) <= near
+
+
+def _within(index: np.ndarray, asked: np.ndarray, bits: int, near: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (place in asked, place in index) of numbers of ``bits`` bits that differ in at most ``near``, each once."""
+    if _dense(len(index), bits, near):
+        for i, hit in _compared(index, asked, near):
+            q, at = np.nonzero(hit)
             yield q + i, at
         return
     order = np.argsort(index, kind="stable")
     index = index[order]
-    probes = np.array(_masks(bits, near), np.uint64)
-    step = max(1, (1 << 18) // ball)
+    probes = np.array(_masks(bits, near), index.dtype)
+    step = max(1, (1 << 18) // len(probes))
     for i in range(0, len(asked), step):
         probed = (asked[i : i + step, None] ^ probes).ravel()
         first = np.searchsorted(index, probed, "left")
         n = np.searchsorted(index, probed, "right") - first
         at = order[np.arange(n.sum()) + np.repeat(first - np.cumsum(n) + n, n)]
-        yield np.repeat(np.repeat(np.arange(i, min(i + step, len(asked))), ball), n), at
+        yield np.repeat(np.repeat(np.arange(i, min(i + step, len(asked))), len(probes)), n), at
+
+
+def _grid(index: np.ndarray, row: np.ndarray, asked: np.ndarray, rows: np.ndarray, near: int) -> bytes | None:
+    """What a block's entries and a block's queries have in common, by comparison; null if nothing."""
+    if len(index) * len(asked) < BLOCK * QUERIES // 16:
+        numbers = [(rows[i : i + len(hit), None] * BLOCK + row)[hit] for i, hit in _compared(index, asked, near)]
+        numbers = np.concatenate(numbers)
+        return _numbers(numbers) if len(numbers) else None
+    bits = np.zeros((QUERIES, BLOCK), bool)
+    for i, hit in _compared(index, asked, near):
+        bits[np.ix_(rows[i : i + len(hit)], row)] = hit
+    n = np.count_nonzero(bits)
+    if not n:
+        return None
+    return _numbers(np.flatnonzero(bits)) if n < BLOCK * QUERIES // 32 else b"b" + np.packbits(bits).tobytes()
 
 
 def _entries(blocks: DataFrame, models: dict[int, Codes], at: list[int], lead: int, probes: bool) -> DataFrame:
@@ -221,13 +244,18 @@ def _probe(at: list[int], lead: int):
         blocks, j = index["block"].to_numpy(), index["j"][0].as_py()
         low = at[j + 1] - at[j] - lead
         rows_of = lambda data: np.cumsum(unpacked(data).astype(np.int64))
-        parts = [(unpacked(a), rows_of(b)) for a, b in zip(index["rest"].to_pylist(), index["rows"].to_pylist())]
+        kind = np.uint32 if low <= 32 else np.uint64
+        parts = [(unpacked(a).astype(kind), rows_of(b)) for a, b in zip(index["rest"].to_pylist(), index["rows"].to_pylist())]
         value, row = (np.concatenate(x) for x in zip(*parts))
         place = np.repeat(np.arange(len(parts)), [len(p[0]) for p in parts])
         out = []
         for asked, rest, rows, left in zip(*(probes[c].to_pylist() for c in ("block", "rest", "rows", "left"))):
-            rows = rows_of(rows)
-            got = [(place[e], rows[q] * BLOCK + row[e]) for q, e in _within(value, unpacked(rest), low, left)]
+            rest, rows = unpacked(rest).astype(kind), rows_of(rows)
+            if _dense(len(value), low, left):
+                found = [(int(b), asked, _grid(v, r, rest, rows, left)) for b, (v, r) in zip(blocks, parts)]
+                out += [f for f in found if f[2] is not None]
+                continue
+            got = [(place[e], rows[q] * BLOCK + row[e]) for q, e in _within(value, rest, low, left)]
             where, number = (np.concatenate(x) for x in zip(*got))
             order = np.lexsort((number, where))
             where, number = where[order], number[order]
@@ -321,8 +349,10 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "ve
     sizes = share(entries, GROUP, "splits").join(share(probes, ASKED, "slices"), on)
     dealt = lambda name: F.pmod(F.xxhash64("block"), F.col(name)).cast("int")
     every = lambda name: F.explode(F.sequence(F.lit(0), F.col(name) - 1))
-    entries = entries.join(sizes, on).withColumn("split", dealt("splits")).withColumn("slice", every("slices")).drop("splits", "slices").groupBy(*on, "split", "slice")
-    probes = probes.join(sizes, on).withColumn("slice", dealt("slices")).withColumn("split", every("splits")).drop("splits", "slices").groupBy(*on, "split", "slice")
+    sizes = stage(sizes, "sizes")
+    tasks = max(1, min(sizes.agg(F.sum(F.col("splits").cast("long") * F.col("slices"))).first()[0] or 1, TASKS))  # few bytes, much work: not for adaptive execution to join
+    entries = entries.join(sizes, on).withColumn("split", dealt("splits")).withColumn("slice", every("slices")).drop("splits", "slices").repartition(tasks, *on, "split", "slice").groupBy(*on, "split", "slice")
+    probes = probes.join(sizes, on).withColumn("slice", dealt("slices")).withColumn("split", every("splits")).drop("splits", "slices").repartition(tasks, *on, "split", "slice").groupBy(*on, "split", "slice")
     retrieved = entries.cogroup(probes).applyInArrow(_probe(at, lead), "block long, asked long, found binary")
     pairs = retrieved.groupBy("block", "asked").agg(F.collect_list("found").alias("found"))
     against = packed_.select(F.col("block").alias("asked"), F.col("n").alias("m"), F.col("ids").alias("asked_ids"), F.col("data").alias("queries"))
