@@ -2,23 +2,24 @@
 
 Rotations are learned on a sample of at most SAMPLE vectors (principal axes,
 then iterative quantisation towards the signs), and every vector gets the signs
-of its coordinates under them as one binary code of BITS bits. The code is cut
-into substrings of about log2(rows) bits, each with an index of its own. A query
-wants all codes within a Hamming radius; by the pigeonhole principle such a code
-differs in at most its share of the radius in one of the substrings, so all
-values within that share are looked up there. What was met is held to the radius
-by the whole code, and what remains is ranked by the cosine of the original
-vectors in double precision.
+of its coordinates under them as one binary code of BITS bits. The different
+vectors are dealt into shards, and in each the code is cut into substrings of
+about log2(rows) bits, each with an index of its own. A query wants all codes
+within a Hamming radius; by the pigeonhole principle such a code differs in at
+most its share of the radius in one of the substrings, so all values within that
+share are looked up there. What was met is held to the radius by the whole code,
+and what remains is ranked by the cosine of the original vectors in double
+precision.
 
 The radius is set so that TARGET of the true neighbours of TRIED of the queries,
 found by brute force, are retrieved; these queries are not among the vectors that
 the rotations are learned on. A query that retrieves fewer than k rows is held
 against all rows instead, so none comes out short.
 
-Equal vectors are one entry with their k + 1 least ids. Index entries and probes
-meet on (substring, leading bits of the value); where many entries or many probes
-share those bits, both are split. Retrieved pairs are numbers inside pairs of blocks of rows
-and queries, and each pair of blocks reads its vectors once.
+Equal vectors are one entry with their k + 1 least ids, and equal queries are asked
+once. A task holds one shard's entries and reads the queries past them, so its memory is
+bounded by the shard whatever the input: pairs are met, filtered and ranked where
+they are, and no list of them is kept, sent or written.
 """
 
 from __future__ import annotations
@@ -33,17 +34,19 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import packed, stage, unit, unpacked
-from .vectors import matrix, stored, unit_rows, usable
+from .shared import stage, unit
+from .vectors import unit_rows, usable
 
 #: Vectors that rotations are fitted on at most, rows the recall is tried on at most, recall aimed at, seed.
 SAMPLE, TRIED, TARGET, SEED = 2000, 200, 0.95, 5
 #: Bits of a code, fewest bits of a substring, steps of fitting a rotation.
 BITS, LEAST, STEPS = 256, 8, 2
-#: Rows of an index block, queries of a block, entries and queries of a group before it is split.
-BLOCK, QUERIES, GROUP, ASKED = 10_000, 1000, 1 << 20, 1 << 16
-#: Entries that can be compared at the cost of a lookup; most tasks that look up.
-LOOKUP, TASKS = 32, 1 << 15
+#: Entries of a shard at most, components that they have at most, queries that a task asks it at most.
+GROUP, HELD, ASKED = 1 << 20, 1 << 23, 1 << 18
+#: Pairs from which more shards are made than memory asks for, up to so many for each core; most tasks.
+PAIRS, SPREAD, TASKS = 1 << 22, 4, 1 << 15
+#: Entries that can be compared at the cost of a lookup; pairs at once: compared, met, marked; rows turned at once.
+LOOKUP, COMPARED, MET, MARKED, TURNED = 32, 1 << 18, 1 << 18, 1 << 22, 1 << 12
 
 
 class Codes:
@@ -93,43 +96,35 @@ def _words(bits: np.ndarray) -> np.ndarray:
     return np.packbits(bits, axis=1).view(np.uint64)
 
 
-def _pack(rows: DataFrame, size: int) -> DataFrame:
-    """Rows (ids: a list, vector) as blocks of one width: block, width, n, counts (of ids), ids, data."""
+def _by_width(vectors: pa.Array) -> Iterator[tuple[pa.Array | None, np.ndarray]]:
+    """For each width: which of the vectors have it (null: all), and they in rows."""
+    widths = pc.list_value_length(vectors)
+    found = pc.unique(widths).to_pylist()
+    for w in found:
+        kept = pc.equal(widths, w) if len(found) > 1 else None
+        own = vectors if kept is None else vectors.filter(kept)
+        yield kept, own.flatten().to_numpy(zero_copy_only=False).reshape(-1, w)
 
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            widths = pc.list_value_length(batch.column(1))
-            for w in pc.unique(widths).to_pylist():
-                own = batch.filter(pc.equal(widths, w))
-                for i in range(0, len(own), size):
-                    ids, vectors = (own.column(c).slice(i, size) for c in (0, 1))
-                    counts = pc.list_value_length(ids).to_numpy(zero_copy_only=False)
-                    blobs = (packed(counts), ids.flatten().to_numpy(zero_copy_only=False).astype(np.int64).tobytes(), stored(vectors.flatten().to_numpy(zero_copy_only=False)))
-                    yield pa.RecordBatch.from_arrays([pa.array([w], pa.int32()), pa.array([len(ids)], pa.int32()), *[pa.array([b], pa.binary()) for b in blobs]], ["width", "n", "counts", "ids", "data"])
-
-    blocks = rows.select("ids", "vector").mapInArrow(pack, "width int, n int, counts binary, ids binary, data binary")
-    return stage(blocks.withColumn("block", F.monotonically_increasing_id()), "blocks")
 
-
-def _nearest_of(index: DataFrame, tried: dict[int, np.ndarray], k: int) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+def _nearest_of(classes: DataFrame, tried: dict[int, np.ndarray], k: int) -> dict[int, tuple[np.ndarray, np.ndarray]]:
     """For each width: the tried rows, each repeated, and their k nearest rows of other direction among all rows."""
-    shared = index.sparkSession.sparkContext.broadcast(tried)
+    shared = classes.sparkSession.sparkContext.broadcast(tried)
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for w, n, data in zip(*(batch.column(c).to_pylist() for c in ("width", "n", "data"))):
-                if w in shared.value:
-                    x = unit_rows(matrix(data, n))
+            for _, own in _by_width(batch.column(0)):
+                if (w := own.shape[1]) in shared.value:
+                    x = unit_rows(own.astype(np.float64))
                     cos = shared.value[w] @ x.T
                     cos[cos > 1 - 1e-12] = -2
-                    near = np.argsort(-cos, axis=1)[:, :k]
+                    near = np.argpartition(-cos, min(k, len(x)) - 1, axis=1)[:, :k]
                     q = np.repeat(np.arange(len(cos)), near.shape[1])
                     score = np.take_along_axis(cos, near, 1).ravel()
                     kept = score > -2
                     found = pa.array([x[i].tobytes() for i in near.ravel()[kept]], pa.binary())
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(kept.sum(), w), pa.int32()), pa.array(q[kept]), pa.array(score[kept]), found], ["width", "q", "score", "vector"])
 
-    found = index.select("width", "n", "data").mapInArrow(best, "width int, q long, score double, vector binary")
+    found = classes.select("vector").mapInArrow(best, "width int, q long, score double, vector binary")
     place = F.row_number().over(Window.partitionBy("width", "q").orderBy(F.desc("score")))
     got = found.withColumn("place", place).where(F.col("place") <= k).toArrow()  # TRIED * k rows at most for each sampled width
     out = {}
@@ -140,7 +135,7 @@ def _nearest_of(index: DataFrame, tried: dict[int, np.ndarray], k: int) -> dict[
     return out
 
 
-def fit(classes: DataFrame, index: DataFrame, asked: DataFrame, k: int, sample: int = SAMPLE) -> dict[int, Codes]:
+def fit(classes: DataFrame, asked: DataFrame, k: int, sample: int = SAMPLE) -> dict[int, Codes]:
     """Codes for each width of the sampled vectors that some of the queries tried have neighbours in."""
 
     def drawn(rows: DataFrame, most: int, without: set[bytes]) -> dict[int, np.ndarray]:
@@ -150,7 +145,7 @@ def fit(classes: DataFrame, index: DataFrame, asked: DataFrame, k: int, sample:
 
     tried = drawn(asked, TRIED, set())
     models = {w: Codes(unit_rows(x)) for w, x in drawn(classes, sample, {v.tobytes() for x in tried.values() for v in x}).items()}
-    for w, pairs in _nearest_of(index, {w: unit_rows(x) for w, x in tried.items() if w in models}, k).items():
+    for w, pairs in _nearest_of(classes, {w: unit_rows(x) for w, x in tried.items() if w in models}, k).items():
         models[w].calibrate(*pairs)
     return {w: m for w, m in models.items() if m.radius >= 0}
 
@@ -165,158 +160,178 @@ def _dense(entries: int, bits: int, near: int) -> bool:
     return LOOKUP * sum(math.comb(bits, i) for i in range(min(near, bits) + 1)) >= entries
 
 
-def _compared(index: np.ndarray, asked: np.ndarray, near: int) -> Iterator[tuple[int, np.ndarray]]:
-    """For runs of the asked numbers: the first's place, and which of the index differ from each in at most ``near`` bits."""
-    step = max(1, (1 << 18) // max(1, len(index)))
-    for i in range(0, len(asked), step):
-        yield i, np.bitwise_count(asked[i : i + step, None] ^ index) <= near
-
-
-def _within(index: np.ndarray, asked: np.ndarray, bits: int, near: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs (place in asked, place in index) of numbers of ``bits`` bits that differ in at most ``near``, each once."""
+def _within(index: np.ndarray, asked: np.ndarray, bits: int, near: int, order: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Runs of pairs (place in asked, place in index) of numbers of ``bits`` bits that differ in at most ``near``, each once; order: that of the index, if it is sorted already."""
     if _dense(len(index), bits, near):
-        for i, hit in _compared(index, asked, near):
-            q, at = np.nonzero(hit)
+        step = max(1, COMPARED // max(1, len(index)))
+        for i in range(0, len(asked), step):
+            q, at = np.nonzero(np.bitwise_count(asked[i : i + step, None] ^ index) <= near)
             yield q + i, at
         return
-    order = np.argsort(index, kind="stable")
-    index = index[order]
+    if order is None:
+        order = np.argsort(index, kind="stable")
+        index = index[order]
     probes = np.array(_masks(bits, near), index.dtype)
-    step = max(1, (1 << 18) // len(probes))
+    step = max(1, COMPARED // len(probes))
     for i in range(0, len(asked), step):
         probed = (asked[i : i + step, None] ^ probes).ravel()
         first = np.searchsorted(index, probed, "left")
         n = np.searchsorted(index, probed, "right") - first
-        at = order[np.arange(n.sum()) + np.repeat(first - np.cumsum(n) + n, n)]
-        yield np.repeat(np.repeat(np.arange(i, min(i + step, len(asked))), len(probes)), n), at
-
-
-def _grid(index: np.ndarray, row: np.ndarray, asked: np.ndarray, rows: np.ndarray, near: int) -> bytes | None:
-    """What a block's entries and a block's queries have in common, by comparison; null if nothing."""
-    if len(index) * len(asked) < BLOCK * QUERIES // 16:
-        numbers = [(rows[i : i + len(hit), None] * BLOCK + row)[hit] for i, hit in _compared(index, asked, near)]
-        numbers = np.concatenate(numbers)
-        return _numbers(numbers) if len(numbers) else None
-    bits = np.zeros((QUERIES, BLOCK), bool)
-    for i, hit in _compared(index, asked, near):
-        bits[np.ix_(rows[i : i + len(hit)], row)] = hit
-    n = np.count_nonzero(bits)
-    if not n:
-        return None
-    return _numbers(np.flatnonzero(bits)) if n < BLOCK * QUERIES // 32 else b"b" + np.packbits(bits).tobytes()
-
-
-def _entries(blocks: DataFrame, models: dict[int, Codes], at: list[int], lead: int, probes: bool) -> DataFrame:
-    """Rows (width, j, lead, block, n, rest, rows, left) of entries with equal leading bits; probes go to all leads within the substring's share, with the bits left."""
-    shared = blocks.sparkSession.sparkContext.broadcast(models)
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flips = [(n, np.uint64(f)) for n in range(lead + 1) for f in _masks(lead, n, n)] if probes else [(0, np.uint64(0))]
+        who = np.repeat(np.arange(i, min(i + step, len(asked))), len(probes))
+        ends, a = np.cumsum(n), 0
+        while a < len(n):  # values that many entries share come in several runs
+            b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + MET, "right")))
+            m = n[a:b]
+            yield np.repeat(who[a:b], m), order[np.arange(m.sum()) + np.repeat(first[a:b] - np.cumsum(m) + m, m)]
+            a = b
+
+
+class Shard:
+    """Entries of one width with an index for each substring, in one task."""
+
+    def __init__(self, ids: list[pa.Array], parts: list[np.ndarray], model: Codes | None):
+        listed = pa.concat_arrays(ids)
+        self.counts = pc.list_value_length(listed).to_numpy(zero_copy_only=False).astype(np.int64)
+        self.ids, self.starts = listed.flatten().to_numpy(zero_copy_only=False), np.cumsum(self.counts) - self.counts
+        self.x = np.concatenate(parts)
+        self.most, self.length, self.model = np.empty((len(self.x), 1)), np.empty((len(self.x), 1)), model
+        words = []
+        for i in range(0, len(self.x), TURNED):
+            x = self.x[i : i + TURNED].astype(np.float64)
+            self.most[i : i + TURNED] = np.abs(x).max(axis=1, keepdims=True)
+            x /= self.most[i : i + TURNED]
+            self.length[i : i + TURNED] = np.sqrt((x * x).sum(axis=1, keepdims=True))
+            if model:
+                words.append(_words(model.of(x / self.length[i : i + TURNED])))
+        if model:
+            self.words, at = np.concatenate(words), cuts(len(self.x))
+            self.substrings = []
+            for a, b, near in zip(at, at[1:], shares(model.radius, len(at) - 1)):
+                if near >= 0:
+                    value = self.cut(self.words, a, b)
+                    dense = _dense(len(value), b - a, near)
+                    order = None if dense else np.argsort(value, kind="stable").astype(np.int32)
+                    self.substrings.append((a, b, near, value if dense else value[order], order))
+
+    @staticmethod
+    def cut(words: np.ndarray, a: int, b: int) -> np.ndarray:
+        """Each row's bits a to b as a number of as few bytes as hold it."""
+        kind = next(k for k in (np.uint8, np.uint16, np.uint32, np.uint64) if b - a <= 8 * np.dtype(k).itemsize)
+        out = np.empty(len(words), kind)
+        for i in range(0, len(words), TURNED):
+            out[i : i + TURNED] = _values(np.unpackbits(words[i : i + TURNED].view(np.uint8), axis=1)[:, a:b])
+        return out
+
+    def met(self, words: np.ndarray, values: list[np.ndarray]) -> np.ndarray:
+        """Which entries some substring retrieves for each query and the whole code keeps."""
+        hit, compared = np.zeros((len(words), len(self.x)), bool), False
+        for (a, b, near, index, order), asked in zip(self.substrings, values):
+            if order is not None:
+                for q, at in _within(index, asked, b - a, near, order):
+                    kept = np.bitwise_count(self.words[at] ^ words[q]).sum(axis=1, dtype=np.int64) <= self.model.radius
+                    hit[q[kept], at[kept]] = True
+        dense = [(near, index, asked) for (_, _, near, index, order), asked in zip(self.substrings, values) if order is None]
+        step = max(1, COMPARED // len(self.x))
+        for i in range(0, len(words) if dense else 0, step):
+            own, far = np.zeros_like(hit[i : i + step]), np.zeros(hit[i : i + step].shape, np.uint16)
+            for near, index, asked in dense:
+                own |= np.bitwise_count(asked[i : i + step, None] ^ index) <= near
+            for c in range(self.words.shape[1]):
+                far += np.bitwise_count(words[i : i + step, None, c] ^ self.words[:, c])
+            hit[i : i + step] |= own & (far <= self.model.radius)
+        return hit
+
+    def best(self, rows: np.ndarray, q: np.ndarray, k: int) -> list[tuple[float, int]]:
+        """The k + 1 nearest ids of these entries, an id as often as it comes before the next."""
+        score = np.concatenate([(self.x[r].astype(np.float64) / self.most[r] / self.length[r] * q).sum(axis=1) for r in (rows[i : i + TURNED] for i in range(0, len(rows), TURNED))])
+        if len(rows) > 8 * (k + 1):  # ties with the last one stay
+            kept = score >= np.partition(score, len(rows) - k - 1)[len(rows) - k - 1]
+            rows, score = rows[kept], score[kept]
+        first = np.lexsort((self.ids[self.starts[rows]], -score))[: k + 1]
+        own = sorted((-s, v) for r, s in zip(rows[first].tolist(), score[first].tolist()) for v in self.ids[self.starts[r] : self.starts[r] + self.counts[r]].tolist())
+        known: set[int] = set()
+        for i, (_, v) in enumerate(own):
+            if v not in known and len(known) == k + 1:
+                return own[:i]
+            known.add(v)
+        return own
+
+    def answers(self, keys: np.ndarray, x: np.ndarray, k: int, every: bool) -> Iterator[tuple[int, int, float, int]]:
+        """For each query: its best ids with their scores, and how many entries were ranked, in its first row."""
+        step = max(1, MARKED // len(self.x))
+        for i in range(0, len(x), step):
+            q = unit_rows(x[i : i + step].astype(np.float64))
+            if not every:
+                words = _words(self.model.of(q))
+                hit = self.met(words, [self.cut(words, a, b) for a, b, *_ in self.substrings])
+            for j, key in enumerate(keys[i : i + step].tolist()):
+                rows = np.arange(len(self.x)) if every else np.flatnonzero(hit[j])
+                if len(rows):
+                    yield from ((key, v, -s, 0 if t else len(rows)) for t, (s, v) in enumerate(self.best(rows, q[j], k)))
+
+
+def _spread(classes: DataFrame, wanted: DataFrame) -> tuple[int, int]:
+    """Shards of the entries, and slices of the queries: one of each is a task."""
+    n, components = classes.agg(F.count("*"), F.coalesce(F.sum(F.size("vector").cast("long")), F.lit(0))).first()
+    m = wanted.count()
+    cores = classes.sparkSession.sparkContext.defaultParallelism
+    return max(1, -(-n // GROUP), -(-components // HELD), min(SPREAD * cores, n * m // PAIRS)), max(1, -(-m // ASKED))
+
+
+def _nearest(classes: DataFrame, wanted: DataFrame, models: dict[int, Codes], k: int, every: bool = False) -> DataFrame:
+    """Rows (key, vec_id, score, seen): each shard's k + 1 nearest ids for each of ``wanted`` (key, vector), of those within the radius or of every entry."""
+    shards, slices = _spread(classes, wanted)
+    shared = classes.sparkSession.sparkContext.broadcast({} if every else models)
+    of = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    index = classes.select(of(F.col("ids")[0], shards).alias("shard"), each(slices).alias("slice"), F.lit(0).alias("asks"), "ids", "vector")
+    asked = wanted.select(each(shards).alias("shard"), of("key", slices).alias("slice"), F.lit(1).alias("asks"), F.array("key").alias("ids"), "vector")
+    rows = index.union(asked).select((F.col("shard").cast("long") * slices + F.col("slice")).alias("task"), "asks", "ids", "vector")
+    tasks = min(shards * slices, TASKS)
+    dealt = rows.repartitionById(tasks, (F.col("task") % tasks).cast("int")).sortWithinPartitions("task", "asks")
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, held, built = None, {}, {}
+        kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int64())
         for batch in batches:
-            for block, w, n, data in zip(*(batch.column(c).to_pylist() for c in ("block", "width", "n", "data"))):
-                if (model := shared.value.get(w)) is None:
+            marks = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in (0, 1)], axis=1)
+            ends = [0, *(np.flatnonzero(np.any(marks[1:] != marks[:-1], axis=1)) + 1).tolist(), len(marks)]
+            for i, j in zip(ends, ends[1:]):
+                if i == j:
                     continue
-                codes, out = model.of(unit_rows(matrix(data, n))), []
-                for j, near in enumerate(shares(model.radius, len(at) - 1)):
-                    if near < 0:
+                if marks[i, 0] != task:
+                    task, held, built = marks[i, 0], {}, {}
+                ids, vectors = (batch.column(c).slice(i, j - i) for c in (2, 3))
+                for kept, x in _by_width(vectors):
+                    own, w = ids if kept is None else ids.filter(kept), x.shape[1]
+                    if not marks[i, 1]:
+                        if every or w in shared.value:
+                            both = held.setdefault(w, ([], []))
+                            both[0].append(own)
+                            both[1].append(x)
                         continue
-                    value, low = _values(codes[:, at[j] : at[j + 1]]), at[j + 1] - at[j] - lead
-                    head, rest = value >> np.uint64(low), value & np.uint64((1 << low) - 1)
-                    order = np.argsort(head, kind="stable")
-                    for rows in np.split(order, np.flatnonzero(np.diff(head[order])) + 1):
-                        for bits, flip in flips:
-                            if bits <= near:
-                                out.append((w, j, int(head[rows[0]] ^ flip), block, len(rows), packed(rest[rows]), packed(np.diff(rows, prepend=0)), near - bits))
-                kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int32())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names)
-
-    names = ["width", "j", "lead", "block", "n", "rest", "rows", "left"]
-    return blocks.select("block", "width", "n", "data").mapInArrow(cut, "width int, j int, lead long, block long, n long, rest binary, rows binary, left int")
-
-
-def _probe(at: list[int], lead: int):
-    """Looks up, for one substring and leading bits, the entries within its share, as numbers inside pairs of blocks."""
-    schema = pa.schema([("block", pa.int64()), ("asked", pa.int64()), ("found", pa.binary())])
-
-    def probe(index: pa.Table, probes: pa.Table) -> pa.Table:
-        if not index.num_rows or not probes.num_rows:
-            return schema.empty_table()
-        blocks, j = index["block"].to_numpy(), index["j"][0].as_py()
-        low = at[j + 1] - at[j] - lead
-        rows_of = lambda data: np.cumsum(unpacked(data).astype(np.int64))
-        kind = np.uint32 if low <= 32 else np.uint64
-        parts = [(unpacked(a).astype(kind), rows_of(b)) for a, b in zip(index["rest"].to_pylist(), index["rows"].to_pylist())]
-        value, row = (np.concatenate(x) for x in zip(*parts))
-        place = np.repeat(np.arange(len(parts)), [len(p[0]) for p in parts])
-        out = []
-        for asked, rest, rows, left in zip(*(probes[c].to_pylist() for c in ("block", "rest", "rows", "left"))):
-            rest, rows = unpacked(rest).astype(kind), rows_of(rows)
-            if _dense(len(value), low, left):
-                found = [(int(b), asked, _grid(v, r, rest, rows, left)) for b, (v, r) in zip(blocks, parts)]
-                out += [f for f in found if f[2] is not None]
-                continue
-            got = [(place[e], rows[q] * BLOCK + row[e]) for q, e in _within(value, rest, low, left)]
-            where, number = (np.concatenate(x) for x in zip(*got))
-            order = np.lexsort((number, where))
-            where, number = where[order], number[order]
-            groups = np.split(np.arange(len(where)), np.flatnonzero(np.diff(where)) + 1)
-            out += [(int(blocks[where[own[0]]]), asked, _numbers(number[own])) for own in groups if len(own)]
-        return pa.Table.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*out), schema)] if out else [[], [], []], schema=schema)
-
-    return probe
-
-
-def _numbers(sorted_numbers: np.ndarray) -> bytes:
-    """Numbers below BLOCK * QUERIES by their differences, or as bits if these are fewer bytes."""
-    listed = packed(np.diff(sorted_numbers, prepend=0))
-    if len(listed) <= BLOCK * QUERIES // 8:
-        return b"l" + listed
-    bits = np.zeros(BLOCK * QUERIES, bool)
-    bits[sorted_numbers] = True
-    return b"b" + np.packbits(bits).tobytes()
-
-
-def _mark(bits: np.ndarray, data: bytes) -> None:
-    if data[:1] == b"l":
-        bits[np.cumsum(unpacked(data[1:]).astype(np.int64))] = True
-    else:
-        bits |= np.unpackbits(np.frombuffer(data, np.uint8, offset=1)).astype(bool)
-
-
-def _rank(pairs: DataFrame, models: dict[int, Codes], k: int) -> DataFrame:
-    """The k best rows of each block for each query, of those found within the radius: query_id, vec_id, score, seen (different vectors ranked, in one row of each query and block)."""
-    shared = pairs.sparkSession.sparkContext.broadcast(models)
-
-    def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for found, n, counts, ids, data, m, asked, queries in zip(*(batch.column(c).to_pylist() for c in ("found", "n", "counts", "ids", "data", "m", "asked_ids", "queries"))):
-                x, q = unit_rows(matrix(data, n)), unit_rows(matrix(queries, m))
-                ids, asked, counts = np.frombuffer(ids, np.int64), np.frombuffer(asked, np.int64), unpacked(counts).astype(np.int64)
-                starts = np.cumsum(counts) - counts
-                out, bits = [], np.zeros(BLOCK * QUERIES, bool)
-                for f in found or []:
-                    _mark(bits, f)
-                if found is not None:
-                    model = shared.value[x.shape[1]]
-                    codes, wanted = _words(model.of(x)), _words(model.of(q))
-                for i in range(m):
-                    rows = np.arange(n)
-                    if found is not None:
-                        rows = np.flatnonzero(bits[i * BLOCK : i * BLOCK + n])
-                        rows = rows[np.bitwise_count(codes[rows] ^ wanted[i]).sum(axis=1, dtype=np.int64) <= model.radius]
-                    score = (x[rows] * q[i]).sum(axis=1)
-                    if len(rows) > 8 * (k + 1):  # ties with the last one stay
-                        kept = score >= np.partition(score, len(rows) - k - 1)[len(rows) - k - 1]
-                        close, score = rows[kept], score[kept]
-                    else:
-                        close = rows
-                    best = np.lexsort((ids[starts[close]], -score))[: k + 1]
-                    own = sorted((-s, int(v)) for r, s in zip(close[best], score[best]) for v in ids[starts[r] : starts[r] + counts[r]] if v != asked[i])[:k]
-                    out += [(asked[i], v, -s, len(rows) if not t else 0) for t, (s, v) in enumerate(own)]
-                cols = list(zip(*out)) or [[], [], [], []]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.float64(), pa.int64()))], ["query_id", "vec_id", "score", "seen"])
-
-    return pairs.mapInArrow(rank, "query_id long, vec_id long, score double, seen long")
+                    if w in held:
+                        built[w] = Shard(*held.pop(w), shared.value.get(w))
+                    if w in built:
+                        keys = own.flatten().to_numpy(zero_copy_only=False)
+                        for a in range(0, len(keys), 1000):
+                            found = list(zip(*built[w].answers(keys[a : a + 1000], x[a : a + 1000], k, every)))
+                            if found:
+                                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(found, kinds)], ["key", "vec_id", "score", "seen"])
+
+    return dealt.mapInArrow(search, "key long, vec_id long, score double, seen long")
+
+
+def _ranked(found: DataFrame, ids: DataFrame, k: int) -> DataFrame:
+    """What was found for the keys as the k nearest of each of their ids, the id itself left out."""
+    of = Window.partitionBy("key")
+    order = (F.desc("score"), "vec_id")
+    first = F.row_number().over(Window.partitionBy("key", "vec_id").orderBy(F.desc("score"))) == 1
+    firsts = F.sum(F.col("first").cast("int")).over(of.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    best = found.withColumn("retrieved", F.sum("seen").over(of)).withColumn("first", first).withColumn("firsts", firsts).where(F.col("firsts") <= k + 1)
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(*order)).cast("int")
+    got = best.join(ids, "key").where("vec_id <> query_id").withColumn("rank", rank)
+    return got.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score", "retrieved")
 
 
 def search(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", sample: int = SAMPLE) -> DataFrame:
@@ -330,41 +345,22 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "ve
     repeated candidates count each. Empty tables give an empty result; further
     columns are not read.
     """
-    both = [d.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("vector")).where(usable("vector") & F.col("id").isNotNull()) for d in (vectors, queries)]
-    rows, asked = both[0], both[1].dropDuplicates(["id"]).select(F.array("id").alias("ids"), "vector")
+    kinds = {dict(d.dtypes)[vector_col] for d in (vectors, queries)}
+    kind = "array<float>" if kinds == {"array<float>"} else "array<double>"
+    rows, own = [d.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast(kind).alias("vector")).where(usable("vector") & F.col("id").isNotNull()) for d in (vectors, queries)]
     place = F.row_number().over(Window.partitionBy("vector").orderBy("id"))  # filtered before it is shuffled, so no group is large
     classes = rows.withColumn("place", place).where(F.col("place") <= k + 1).groupBy("vector").agg(F.collect_list("id").alias("ids"))
     classes = stage(classes.select(F.array_sort("ids").alias("ids"), "vector"), "classes")
-    n = classes.count()
-    index = _pack(classes.repartition(-(-n // BLOCK) or 1), BLOCK)
-    asked = stage(asked, "asked")
-    packed_ = _pack(asked.repartition(-(-asked.count() // BLOCK) or 1), QUERIES)
-    models = fit(classes, index, asked, k, sample)
-
-    at = cuts(n)
-    lead = min(max(0, (-(-n // GROUP)).bit_length() - 1), min(b - a for a, b in zip(at, at[1:])))
-    entries, probes = (stage(_entries(d, models, at, lead, asks), name) for d, asks, name in ((index, False, "entries"), (packed_, True, "probes")))
-    on = ["width", "j", "lead"]
-    share = lambda d, most, name: d.groupBy(*on).agg(F.ceil(F.sum("n") / most).cast("int").alias(name))
-    sizes = share(entries, GROUP, "splits").join(share(probes, ASKED, "slices"), on)
-    dealt = lambda name: F.pmod(F.xxhash64("block"), F.col(name)).cast("int")
-    every = lambda name: F.explode(F.sequence(F.lit(0), F.col(name) - 1))
-    sizes = stage(sizes, "sizes")
-    tasks = max(1, min(sizes.agg(F.sum(F.col("splits").cast("long") * F.col("slices"))).first()[0] or 1, TASKS))  # few bytes, much work: not for adaptive execution to join
-    entries = entries.join(sizes, on).withColumn("split", dealt("splits")).withColumn("slice", every("slices")).drop("splits", "slices").repartition(tasks, *on, "split", "slice").groupBy(*on, "split", "slice")
-    probes = probes.join(sizes, on).withColumn("slice", dealt("slices")).withColumn("split", every("splits")).drop("splits", "slices").repartition(tasks, *on, "split", "slice").groupBy(*on, "split", "slice")
-    retrieved = entries.cogroup(probes).applyInArrow(_probe(at, lead), "block long, asked long, found binary")
-    pairs = retrieved.groupBy("block", "asked").agg(F.collect_list("found").alias("found"))
-    against = packed_.select(F.col("block").alias("asked"), F.col("n").alias("m"), F.col("ids").alias("asked_ids"), F.col("data").alias("queries"))
-    found = stage(_rank(pairs.join(index, "block").join(against, "asked"), models, k), "found")
-
-    got = found.groupBy(F.col("query_id").alias("id")).count()
-    short = stage(asked.withColumn("id", F.col("ids")[0]).join(got, "id", "left").where(F.coalesce("count", F.lit(0)) < k).drop("count"), "short")
-    if not short.isEmpty():  # these are held against all rows of their width
-        few = _pack(short.select("ids", "vector"), QUERIES).select("width", F.col("n").alias("m"), F.col("ids").alias("asked_ids"), F.col("data").alias("queries"))
-        again = _rank(index.withColumn("found", F.lit(None).cast("array<binary>")).join(few, "width"), models, k)
-        found = found.join(short.select(F.col("id").alias("query_id")), "query_id", "left_anti").union(again)
-    of = Window.partitionBy("query_id")
-    rank = F.row_number().over(of.orderBy(F.desc("score"), "vec_id")).cast("int")
-    ranked = found.withColumn("rank", rank).withColumn("retrieved", F.sum("seen").over(of))
-    return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score", "retrieved")
+    own = stage(own.dropDuplicates(["id"]), "asked")
+    wanted = stage(own.groupBy("vector").agg(F.min("id").alias("key")), "wanted")
+    ids = stage(own.join(wanted, "vector").select(F.col("id").alias("query_id"), "key"), "ids")
+
+    models = fit(classes, wanted.select(F.array("key").alias("ids"), "vector"), k, sample)
+    ranked = stage(_ranked(stage(_nearest(classes, wanted, models, k), "found"), ids, k), "ranked")
+    got = ids.join(ranked.groupBy("query_id").count(), "query_id", "left")
+    short = stage(got.where(F.coalesce("count", F.lit(0)) < k).select("key").distinct(), "short")
+    if short.isEmpty():
+        return ranked
+    few = ids.join(short, "key", "left_semi")  # these are held against all rows of their width
+    again = _ranked(stage(_nearest(classes, wanted.join(short, "key", "left_semi"), models, k, every=True), "found"), few, k)
+    return ranked.join(few, "query_id", "left_anti").select(ranked.columns).union(again)

@@ -6,12 +6,14 @@ import itertools
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 from pathlib import Path
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -431,6 +433,49 @@ def test_leading_bits_and_splits_change_nothing(spark, sf, monkeypatch, group):
     assert len(got) == 5 * len({r[0] for r in got})
 
 
+def test_pairs_that_a_task_holds_are_bounded_where_all_entries_are_alike():
+    """20,000 near copies and 1,000 queries: 20 million pairs lie within the radius, but few are held at once."""
+    rng = np.random.default_rng(3)
+    index = np.concatenate((np.zeros(20_000, np.uint32), rng.integers(0, 1 << 20, 40_000, dtype=np.uint32)))
+    runs = [len(q) for q, _ in ann._within(index, np.zeros(1000, np.uint32), 20, 1)]
+    assert sum(runs) >= 20_000_000 and max(runs) <= ann.MET + len(index)
+
+    x = (rng.standard_normal(64) + 0.01 * rng.standard_normal((20_000, 64))).astype(np.float32)
+    model = ann.Codes(ann.unit_rows(rng.standard_normal((500, 64))))
+    for radius in (31, 90):  # looked up, compared
+        model.radius = radius
+        tracemalloc.start()
+        shard = ann.Shard([pa.array([[i] for i in range(len(x))], pa.list_(pa.int64()))], [x], model)
+        assert all((order is None) == (radius == 90) for *_, order in shard.substrings)
+        got = list(shard.answers(np.arange(300), x[:300], 5, False))
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert sum(seen for *_, seen in got) >= 0.9 * 300 * len(x) and peak < 80e6
+        unit = ann.unit_rows(x.astype(float))
+        for q in (0, 299):
+            cos = unit @ unit[q]
+            assert [v for key, v, *_ in got if key == q] == np.lexsort((np.arange(len(x)), -cos))[:6].tolist()
+
+
+def test_equal_queries_are_asked_once(spark, monkeypatch):
+    """Copies of rows under other ids: each query gets the others, and none comes twice."""
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((60, 16)).astype(np.float32)
+    rows = [(100 * copy + i, v.tolist()) for copy in range(9) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    asked, nearest = [], ann._nearest
+    monkeypatch.setattr(ann, "_nearest", lambda classes, wanted, *a, **b: asked.append(wanted.count()) or nearest(classes, wanted, *a, **b))
+    got = defaultdict(list)
+    for r in ann.search(df, df.where("vec_id % 50 = 0"), k=12).orderBy("query_id", "rank").collect():
+        got[r.query_id].append((r["rank"], r.vec_id))
+    assert asked[0] == 2 and sorted(got) == [i for i, _ in rows if i % 50 == 0]
+    unit = x / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    for q, own in got.items():
+        cos = unit @ unit[q % 100]
+        want = sorted((-cos[i % 100] if i % 100 != q % 100 else -2.0, i) for i, _ in rows if i != q)[:12]
+        assert own == [(n + 1, v) for n, (_, v) in enumerate(want)]
+
+
 @pytest.mark.parametrize(("size", "most"), [("sf0.1", 0.05), ("sf0.01", 0.12)])
 def test_recall_and_retrieved_share_of_whole_tables(spark, sf, size, most):
     """The vectors are unrelated: neighbours lie at 66 to 70 degrees, and the fewer there are, the larger a share the five nearest take."""
