@@ -348,9 +348,10 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "ve
     kinds = {dict(d.dtypes)[vector_col] for d in (vectors, queries)}
     kind = "array<float>" if kinds == {"array<float>"} else "array<double>"
     rows, own = [d.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast(kind).alias("vector")).where(usable("vector") & F.col("id").isNotNull()) for d in (vectors, queries)]
-    place = F.row_number().over(Window.partitionBy("vector").orderBy("id"))  # filtered before it is shuffled, so no group is large
-    classes = rows.withColumn("place", place).where(F.col("place") <= k + 1).groupBy("vector").agg(F.collect_list("id").alias("ids"))
-    classes = stage(classes.select(F.array_sort("ids").alias("ids"), "vector"), "classes")
+    alike = Window.partitionBy("vector").orderBy("id")
+    least = rows.withColumn("place", F.row_number().over(alike)).where(F.col("place") <= k + 1)  # filtered before it is shuffled, so no group is large
+    listed = least.withColumn("ids", F.collect_list("id").over(alike.rowsBetween(0, k)))  # dealt and sorted already
+    classes = stage(listed.where("place = 1").select("ids", "vector"), "classes")
     own = stage(own.dropDuplicates(["id"]), "asked")
     wanted = stage(own.groupBy("vector").agg(F.min("id").alias("key")), "wanted")
     ids = stage(own.join(wanted, "vector").select(F.col("id").alias("query_id"), "key"), "ids")
