@@ -168,7 +168,8 @@ def links(fps: DataFrame, block: int = BLOCK) -> DataFrame:
         F.explode(F.array(*[F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(signed(m))).alias("key")) for t, (_, m) in enumerate(chains)])).alias("k"),
     ).select("fp", "k.t", "k.key")
     shared = keys.groupBy("t", "key").count().where("count > 1")
-    met = keys.join(shared, ["t", "key"]).withColumn("blocks", F.ceil(F.col("count") / block).cast("int"))
+    # Spark sizes keys as if the explode made one row of each, and would broadcast them: the join is told to merge
+    met = keys.hint("merge").join(shared, ["t", "key"]).withColumn("blocks", F.ceil(F.col("count") / block).cast("int"))
     own = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
     pairs = met.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     first = F.element_at(F.array(*[F.lit(i) for i, _ in chains]), F.col("t") + 1)
@@ -196,8 +197,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     roots = components(links(distinct.select("fp"), block))
     member = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = member.groupBy("root").agg(F.min("least").alias("component_id"))
-    of = member.join(least, "root").select("fp", "component_id", "root")
-    return ids.join(of, "fp").select("doc_id", "fp", "component_id", *([row_col, "root"] if row_col else []))
+    # tables of all documents are merged too: Spark knows their compressed sizes only
+    of = member.hint("merge").join(least, "root").select("fp", "component_id", "root")
+    return ids.hint("merge").join(of, "fp").select("doc_id", "fp", "component_id", *([row_col, "root"] if row_col else []))
 
 
 class Plan:

@@ -222,6 +222,16 @@ def test_near_copies_of_fingerprints_in_large_buckets(spark):
     assert len(found) < len(want)
 
 
+def test_keys_of_fingerprints_are_not_broadcast(spark, capsys):
+    df = spark.range(2000).select(F.xxhash64("id").alias("fp"))
+    linked = simhash.links(df)
+    linked.explain()
+    assert "BroadcastHashJoin" not in capsys.readouterr().out
+    linked.collect()
+    linked.explain()  # nor once adaptive execution has measured the tables
+    assert "BroadcastHashJoin" not in capsys.readouterr().out
+
+
 # 4: near-duplicate vectors
 
 
