@@ -1,9 +1,11 @@
 """Search, changes, sequences and streams on small rows."""
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
-from larkspur.operators import cache, events, library, mutations, nearest
+from larkspur.operators import cache, events, keywords, library, mutations, nearest
 from larkspur.streaming import metrics
 
 SONG = "id long, title string, artist string, genre string, feel string, era string"
@@ -158,3 +160,22 @@ def test_rename_refuses_names_that_are_taken(spark):
 def test_an_emptied_set_keeps_its_type(spark):
     row = spark.range(1).select(cache.clear_all(cache.mark(F.array("id"), F.lit(7).cast("long"))).alias("x"))
     assert row.schema["x"].dataType.elementType.simpleString() == "bigint" and row.first().x == []
+
+
+def test_keyword_hits_equal_brute_force(spark):
+    words = ["", "a", "É", "éa", "the", "the", "The", "hen", "n the", "\u00a0x", "öüß", "ß", "\U0001d11ex", "\U0001d11e", "abcd", "abcdefgh", "abcdx", "zzzzz", "bcde", None]
+    texts = [None, "", " ", "a", "É", "éA", "when the hen", "WHEN THE", "th e", "abcdefg", "abcdefgh", "xABCDxabcde", "A\u00a0X", "ÖÜSS öüß", "\U0001d11e", "\U0001d11eX", "\n".join(["abc"] * 9), "the" * 200_000 + "zzzzz", "the", "the"]
+    asked = spark.createDataFrame(list(enumerate(words)), "item int, word string")
+    rows = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    got = sorted((r.id, r.item) for r in keywords.keyword_hits(rows, asked, "text", "word").collect())
+    assert got == sorted((i, k) for i, t in enumerate(texts) for k, w in enumerate(words) if t is not None and w is not None and w.lower() in t.lower())
+    assert keywords.keyword_hits(rows, asked.where("word IS NULL"), "text", "word").count() == 0
+    assert keywords.keyword_hits(rows.limit(0), asked, "text", "word").count() == 0
+
+
+def test_keywords_are_found_in_time_that_grows_with_the_text(spark):
+    rows = spark.createDataFrame([(0, "x " * 250_000 + "needle")], "id int, text string")
+    asked = spark.createDataFrame([("needle",), ("and",), ("x",)], "word string")
+    began = time.time()
+    assert sorted(r.word for r in keywords.keyword_hits(rows, asked, "text", "word").collect()) == ["needle", "x"]
+    assert time.time() - began < 40
